@@ -3,21 +3,45 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from filegrove.llm import bpe, media
+from filegrove.llm import bpe, chat, langid, media, quality, secrets
+from filegrove.llm.common import bucket
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(bucket("doc_id", 5) != 0))
+    scored = quality.score(docs, model, out="score")
+    return scored.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.AT_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(bucket("doc_id", 4) != 2))
+    found = langid.identify(docs.drop("lang"), model)
+    return found.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), F.col("lang_nearest").alias("lang_pred"), F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op6_media_columns(spark, sf_dir):
     return media.text_image_features(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark, sf_dir):
+    return chat.chat_digests(chat.with_probe(_table(spark, sf_dir, "conversations")))
+
+
+def op8_secret_scan(spark, sf_dir):
+    return secrets.span_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op6_media_columns, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
