@@ -149,3 +149,20 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + words[i : i + n]
     return mix(out + np.uint64(k))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_key(column: str = "text"):
+    """128 bits that stand for a whole text; null for null."""
+    return F.unhex(F.md5(F.col(f"`{column}`").cast("string")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from filegrove.llm import bpe, chat, langid, media, quality, secrets
+from filegrove.llm import bpe, chat, decontaminate, langid, linededup, media, neardup, quality, secrets
 from filegrove.llm.common import bucket
 
 
@@ -13,6 +13,20 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_neardup(spark, sf_dir):
+    found = neardup.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", (~F.col("first")).alias("duplicate"))
+
+
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.contamination_digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_recurring_lines(docs).select("doc_id", F.coalesce(F.size(F.split("text", "\n")) + F.col("dropped_lines"), F.lit(0)).alias("n_lines"), "dropped_lines", "text")
+
+
 def op4_quality(spark, sf_dir):
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(bucket("doc_id", 5) != 0))
@@ -43,5 +57,5 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_line_dedup, op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op10_byte_bpe)}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
