@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from filegrove.llm import bpe, chat, decontaminate, langid, linededup, media, neardup, quality, secrets
+from filegrove.llm import bpe, chat, decontaminate, langid, linededup, media, neardup, quality, secrets, warc
 from filegrove.llm.common import bucket
 
 
@@ -53,9 +53,13 @@ def op8_secret_scan(spark, sf_dir):
     return secrets.span_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc_revisits(spark, sf_dir):
+    return warc.revisit_digests(_table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_line_dedup, op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op10_byte_bpe)}
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_line_dedup, op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op9_warc_revisits, op10_byte_bpe)}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op9_warc_revisits": warc.ORACLE}
