@@ -29,17 +29,23 @@ class Tree:
     own_share: float = 0.5
 
 
-def masked(line: Column) -> Column:
-    """A line's tokens, one blank between them, those with a digit as wildcards."""
-    plain = F.trim(F.regexp_replace(line, r"\s+", " "))
+def spaced(line: Column) -> Column:
+    """A line's tokens with one blank between them."""
+    plain = F.trim(line)
+    return F.when(plain.contains("  ") | plain.rlike("[\\t\\x0B\\f\\r]"), F.trim(F.regexp_replace(plain, r"\s+", " "))).otherwise(plain)
+
+
+def masked(plain: Column) -> Column:
+    """A spaced line in which tokens with a digit are wildcards."""
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ 0-9]*+[0-9][^ ]*", WILDCARD)).otherwise(plain)
 
 
 def _lines(df: DataFrame, text: str, tree: Tree) -> DataFrame:
     """(key, place, line, tokens, leaf, template) of each line with tokens; key stands for the text."""
-    rows = df.select(text_key(text).alias("key"), F.posexplode(F.split(F.col(f"`{text}`").cast("string"), "\n")).alias("place", "raw"))
-    rows = rows.select("key", "place", masked(F.col("raw")).alias("line")).where("line <> ''")
-    tokens = F.size(F.split("line", " "))
+    keyed = df.select(text_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))  # once a text, not once a line
+    rows = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("place", "raw")).where(F.col("raw").rlike(r"\S"))
+    rows = rows.select("key", "place", spaced(F.col("raw")).alias("plain")).select("key", "place", masked(F.col("plain")).alias("line"))
+    tokens = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
     leaf = F.xxhash64(tokens, F.substring_index("line", " ", tree.depth))
     return rows.select("key", "place", "line", tokens.alias("tokens"), leaf.alias("leaf"), F.xxhash64("line").alias("template"))
 

@@ -18,18 +18,18 @@ class Plan:
     """Shingles of so many words; the least Jaccard similarity of the shingle sets as a fraction; bands of rows registers.
 
     32 bands of 5 miss a pair of similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6. The sketch has one bit a register;
-    unlike_bits lets pairs of 0.8 pass but for 6 standard deviations. In rounds many rounds each bucket's members meet one
-    of them; what is still apart then meets all members of the bucket that belong to other classes, first split by a second
-    band where a bucket has more than big members.
+    unlike_bits lets pairs of 0.8 pass but for 6 standard deviations. Candidates go through so many sieves (see _linkable;
+    what one drops makes the next finer). In rounds many rounds each bucket's members meet one
+    of them; what is still apart then meets all members of the bucket that belong to other classes.
     """
 
     words: int = 5
     similar: tuple[int, int] = (4, 5)
     bands: int = 32
     rows: int = 5
-    unlike_bits: int = 44
+    unlike_bits: int = 40
+    sieves: int = 2
     rounds: int = 3
-    big: int = 1000
 
     @property
     def registers(self) -> int:
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
         signature = signature[some]
         bands = np.zeros((len(some), plan.bands), np.uint64) + np.arange(plan.bands, dtype=np.uint64)
         for r in range(plan.rows):
-            bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + signature[:, r :: plan.rows][:, : plan.bands])
+            bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + signature[:, r :: plan.rows])
         bit = (mix(signature) & np.uint64(1)).astype(np.uint8)
         packed = np.packbits(np.pad(bit, ((0, 0), (0, -plan.registers % 64))), axis=1).view(np.int64)
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64)))
@@ -129,14 +129,14 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(node, shingles) of each row of docs (node, text)."""
+    """(id, shingles) of each row of docs (id, text)."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, found, _ = shingles([t.lower().encode() for t in batch.column("text").to_pylist()], plan.words)
         offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))], names=["node", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))], names=["id", "shingles"])
 
-    return map_arrow(docs, kernel, "node binary, shingles array<long>")
+    return map_arrow(docs, kernel, "id long, shingles array<long>")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -166,47 +166,77 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return written(current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots), name)
 
 
-def _verified(pairs: DataFrame, attributes: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough: sizes and bits first, then the sets themselves."""
-    side = lambda x: attributes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may(plan, F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"))).select("a", "b")
-    whole = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"))
+    side = lambda x: sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "rest", "bits")))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may(plan, "a_", "b_")).select("a", "b")
+    whole = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set"))
     both = near.join(whole("a"), "a").join(whole("b"), "b")
-    shared, sizes = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    shared, sizes = F.size(F.array_intersect("a_set", "b_set")), F.col("a_n") + F.col("b_n")
     top, bottom = plan.similar
     return both.where(shared * (top + bottom) >= sizes * top).select("a", "b")  # shared / (sizes - shared) >= top / bottom
 
 
-def _may(plan: Plan, n: Column, m: Column, bits: Column, other: Column) -> Column:
-    """Whether sizes and one-bit sketches leave a pair a chance."""
+def _may(plan: Plan, a: str, b: str) -> Column:
+    """Whether sizes and one-bit sketches leave a pair a chance: the columns n, rest and bits with prefixes a and b. rest
+    shingles of a set occur in other sets as well, so no pair shares more than the lesser rest."""
     top, bottom = plan.similar
+    of = lambda c: (F.col(f"{a}{c}"), F.col(f"{b}{c}"))
+    (n, m), (bits, other) = of("n"), of("bits")
     unlike = sum((F.bit_count(bits[i].bitwiseXOR(other[i])) for i in range(-(-plan.registers // 64))), F.lit(0))
-    return (F.least(n, m) * bottom >= F.greatest(n, m) * top) & (unlike <= plan.unlike_bits)
+    return (F.least(n, m) * bottom >= F.greatest(n, m) * top) & (F.least(*of("rest")) * (top + bottom) >= (n + m) * top) & (unlike <= plan.unlike_bits)
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _linkable(sets: DataFrame, plan: Plan) -> DataFrame:
+    """sets (id, n, bits, shingles) that may have a link, with only the shingles that occur in several sets (rest many).
+
+    A shingle that no other candidate has is lost to every pair. Where more than a fifth are such, no other set can be
+    similar enough. This settles texts that share a passage, and copies with many changes, without a look at any pair."""
+    single = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("texts"), F.max("id").alias("id")).where("texts = 1")
+    own = single.groupBy("id").agg(F.collect_set("shingle").alias("own"))
+    top, bottom = plan.similar
+    left = sets.drop("rest").join(own, "id", "left").withColumn("shingles", F.when(F.col("own").isNull(), F.col("shingles")).otherwise(F.array_except("shingles", "own")))
+    return left.withColumn("rest", F.size("shingles")).where(F.col("rest") * bottom >= F.col("n") * top).drop("own")
+
+
+def _shared(buckets: DataFrame) -> DataFrame:
+    """Rows (band, id) of bands that several ids have."""
+    return buckets.join(buckets.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band"), "band")
+
+
 def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
-    """Of docs (doc_id, text): a table (node, doc_id, ...) of the texts with words, and (node, label) of the classes of
+    """Of docs (doc_id, text): a table (node, doc_id, ...) of the rows with words, and (node, label) of the classes of
     different texts that near-duplicate links join (None: there are no candidates at all)."""
     docs = docs.where("text IS NOT NULL").select("doc_id", "text", text_key().alias("node"))
     table = written(sketches(docs, plan), "neardup-sketches")
     bands = table.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band")
-    buckets = written(bands.join(shared, "band").distinct(), "neardup-buckets")
-    nodes = written(buckets.select("node").distinct(), "neardup-nodes")
-    chosen = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "n", "bits")).alias("x"))
-    attributes = written(chosen.select("node", "x.doc_id", "x.n", "x.bits"), "neardup-attributes")
-    text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(attributes.select("node", "doc_id"), ["node", "doc_id"]).select("node", "text")
-    sets = written(shingle_sets(text, plan).dropDuplicates(["node"]), "neardup-sets")
+    mark = F.xxhash64("node")
+    several = bands.groupBy("band").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("band")
+    hits = written(bands.join(several, "band").distinct(), "neardup-hits")
+    # candidate texts get whole numbers, which later aggregates take without sorting
+    nodes = written(hits.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "neardup-nodes")
+    rows = table.join(nodes, "node").groupBy("id", "node").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    chosen = written(rows, "neardup-chosen")
+    text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(chosen.select("node", "doc_id", "id"), ["node", "doc_id"]).select("id", "text")
+    sets = written(shingle_sets(text, plan).dropDuplicates(["id"]).join(chosen.select("id", "n", "bits"), "id"), "neardup-sets")
+    for _ in range(plan.sieves):
+        sets = written(_linkable(sets, plan), "neardup-linkable")
+    buckets = hits.join(nodes, "node").select("band", "id").join(sets.select("id"), "id", "left_semi")
+    buckets = written(_shared(buckets), "neardup-buckets")
+    # a text that meets many others in its buckets is near the middle of a group: it leads first
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))
+    middle = buckets.join(sizes, "band").groupBy("id").agg(F.sum("members").alias("middle"))
+    buckets = written(buckets.join(middle, "id"), "neardup-buckets")
     labels, edges, tested = None, None, None
 
     def labelled() -> DataFrame:
         if labels is None:
-            return buckets.withColumn("label", F.col("node"))
-        return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            return buckets.withColumn("label", F.col("id"))
+        return buckets.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
     def add(pairs: DataFrame) -> bool:
         nonlocal labels, edges, tested
@@ -214,7 +244,7 @@ def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
         pairs = written(pairs, "neardup-pairs")
         if pairs.isEmpty():
             return False
-        found = written(_verified(pairs, attributes, sets, plan), "neardup-links")
+        found = written(_verified(pairs, sets, plan), "neardup-links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
@@ -223,35 +253,30 @@ def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
 
     for turn in range(plan.rounds):
         rows = labelled()
-        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        lead = rows.groupBy("band").agg(F.min(F.struct(order.alias("order"), "node", "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "lead")
-        met = rows.join(lead, "band").where(F.col("label") != F.col("lead.label"))
-        if not add(met.select(*_ordered(F.col("node"), F.col("lead.node"))).distinct()):
+        order = F.col("middle") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        lead = rows.groupBy("band").agg(F.max_by("id", order).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "lead")
+        own = rows.select(F.col("id").alias("lead"), F.col("label").alias("lead_label")).distinct()
+        met = rows.join(lead.join(own, "lead"), "band").where("label <> lead_label")
+        if not add(met.select(*_ordered(F.col("id"), F.col("lead"))).distinct()):
             break
-    add(_across(labelled(), table, attributes, plan))
-    return table, labels
+    add(_across(labelled().select("band", "id", "label"), sets, plan))
+    if labels is None:
+        return table, None
+    names = nodes.select("id", "node")
+    named = labels.select(F.col("node").alias("id"), "label").join(names, "id").select("node", F.col("label").alias("id")).join(names.withColumnRenamed("node", "label"), "id")
+    return table, named.select("node", "label")
 
 
-def _across(rows: DataFrame, table: DataFrame, attributes: DataFrame, plan: Plan) -> DataFrame:
+def _across(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """All pairs of different classes that share a bucket and that sizes and bits leave a chance.
 
-    In each bucket, members outside its largest class meet all members of other classes. A bucket of more than big members
-    is first split by each member's other bands: a similar pair shares one more with a probability of 1 - 5e-6.
-    """
+    In each bucket, members outside its largest class meet all members of other classes."""
     sizes = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.sum("n").alias("members"), F.count("*").alias("classes")).where("classes > 1")
-    rows = rows.join(mixed.select("band", "members"), "band")
-    big = rows.where(F.col("members") > plan.big)
-    if not big.isEmpty():
-        other = table.join(big.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bands").alias("bands"))
-        split = big.join(other, "node").select("node", "label", "band", F.explode("bands").alias("second")).where("second <> band").select("node", "label", F.xxhash64("band", "second").alias("band"))
-        rows = rows.where(F.col("members") <= plan.big).select("node", "label", "band").unionByName(split)
-        sizes = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.count("*").alias("classes")).where("classes > 1")
-    rows = written(rows.select("node", "label", "band").join(mixed.select("band", "home"), "band").join(attributes.select("node", "n", "bits"), "node"), "neardup-mixed")
-    left = rows.where("label <> home").select("band", *(F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "bits")))
-    near = left.join(rows, (left["band"] == rows["band"]) & (F.col("x_label") != F.col("label")) & _may(plan, F.col("x_n"), F.col("n"), F.col("x_bits"), F.col("bits")))
-    return near.select(*_ordered(F.col("x_node"), F.col("node"))).distinct()
+    mixed = sizes.groupBy("band").agg(F.max_by("label", "n").alias("home"), F.count("*").alias("classes")).where("classes > 1").select("band", "home")
+    rows = written(rows.join(mixed, "band").join(sets.select("id", "n", "rest", "bits"), "id"), "neardup-mixed")
+    left = rows.where("label <> home").select("band", *(F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "rest", "bits")))
+    near = left.join(rows, "band").where((F.col("x_label") != F.col("label")) & _may(plan, "x_", ""))
+    return near.select(*_ordered(F.col("x_id"), F.col("id"))).distinct()
 
 
 def classes(df: DataFrame, text: str = "text", id_column: str = "doc_id", plan: Plan = Plan()) -> DataFrame:

@@ -77,7 +77,7 @@ def test_classes_are_those_of_brute_force(spark):
 def test_leftover_pairs_are_found_without_rounds(spark):
     rows = corpus()
     want = brute(rows)
-    for plan in (Plan(rounds=0), Plan(rounds=0, big=2), Plan(rounds=1)):
+    for plan in (Plan(rounds=0), Plan(rounds=1)):
         found = {r["doc_id"]: r["class_id"] for r in classes(spark.createDataFrame(rows, "doc_id long, text string"), plan=plan).collect()}
         assert all((found[i] == found[j]) == (want[i] == want[j]) for i in range(len(rows)) for j in range(i))
 
