@@ -19,7 +19,8 @@ BROADCAST_LINES = 500_000
 class Tree:
     """depth: leading tokens that choose a leaf beside the token count. min_docs: different texts in which a template
     recurs. A token is constant at its place of a leaf if it stands there in min_docs texts; a line of min_tokens tokens or
-    more of which constant_share are constant has the template of those constants, with wildcards in between. A document of
+    more of which constant_share are constant has the template of those constants, with wildcards in between; of its tokens
+    in blocks, one more than it may have variable fields, one at least must recur as a whole. A document of
     which more than own_share of the tokens would go is a copy rather than a carrier of boilerplate and stays whole."""
 
     depth: int = 2
@@ -52,7 +53,15 @@ def _lines(df: DataFrame, text: str, tree: Tree) -> DataFrame:
 
 def _recurring(rows: DataFrame, by: list[str], least: int) -> DataFrame:
     """The groups that occur in at least so many different texts."""
-    return rows.select(*by, "key").distinct().groupBy(*by).agg(F.count("*").alias("texts")).where(F.col("texts") >= least).drop("texts")
+    return rows.select(*by, F.xxhash64("key").alias("text")).distinct().groupBy(*by).agg(F.count("*").alias("texts")).where(F.col("texts") >= least).drop("texts")
+
+
+def _blocks(line: Column, tokens: Column, leaf: Column, tree: Tree) -> Column:
+    """Hashes of a line's tokens in one block more than it may have variable fields: one block has none of them."""
+    words = F.split(line, " ")
+    n = tokens - F.ceil(tokens * tree.constant_share).cast("int") + 1
+    edge = lambda i: F.floor(i * tokens / n).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(leaf, i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")))
 
 
 def _generalised(df: DataFrame, text: str, lines: DataFrame, exact: DataFrame, tree: Tree) -> DataFrame:
@@ -62,8 +71,12 @@ def _generalised(df: DataFrame, text: str, lines: DataFrame, exact: DataFrame, t
     few = rest.select("template").distinct()
     if few.count() <= BROADCAST_LINES:
         few = F.broadcast(few)
-    seen = _lines(df, text, tree).join(few, "template", "left_semi")
-    places = written(seen.select("key", "template", "leaf", "tokens", F.posexplode(F.split("line", " ")).alias("at", "token")).select("key", "template", "leaf", "tokens", "at", F.xxhash64("token").alias("token")).distinct(), "line-tokens")
+    seen = written(_lines(df, text, tree).join(few, "template", "left_semi").select(F.xxhash64("key").alias("key"), "template", "leaf", "tokens", "line").distinct(), "line-seen")
+    # a template's lines agree in a whole block: few lines of running text share one with others of their leaf
+    blocks = written(seen.select("key", "template", F.explode(_blocks(F.col("line"), F.col("tokens"), F.col("leaf"), tree)).alias("block")).distinct(), "line-blocks")
+    likely = blocks.join(_recurring(blocks, ["block"], tree.min_docs), "block", "left_semi").select("template").distinct()
+    places = seen.join(likely, "template", "left_semi").select("key", "template", "leaf", "tokens", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    places = written(places.withColumn("token", F.xxhash64("token")).distinct(), "line-tokens")
     constant = _recurring(places, ["leaf", "at", "token"], tree.min_docs)
     found = places.drop("key").distinct().join(constant, ["leaf", "at", "token"]).groupBy("template", "leaf", "tokens").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("constants"))
     found = found.where(F.size("constants") >= F.ceil(F.col("tokens") * tree.constant_share)).select("template", F.xxhash64("leaf", F.to_json("constants")).alias("general"))

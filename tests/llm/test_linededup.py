@@ -28,6 +28,14 @@ def brute(texts, tree=Tree()):
     leaf = lambda m: (len(m), tuple(m[: tree.depth]))
     leaves = recurring((leaf(m), t) for t, _, m in rest)
     rest = [x for x in rest if leaf(x[2]) in leaves]
+
+    def blocks(m):
+        n = len(m) - math.ceil(len(m) * tree.constant_share) + 1
+        edges = [i * len(m) // n for i in range(n + 1)]
+        return [(leaf(m), i, tuple(m[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+    whole = recurring((b, t) for t, _, m in rest for b in blocks(m))
+    rest = [x for x in rest if whole.intersection(blocks(x[2]))]
     constant = recurring(((leaf(m), at, w), t) for t, _, m in rest for at, w in enumerate(m))
     general = {}
     for _, _, m in rest:
