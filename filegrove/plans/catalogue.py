@@ -1,29 +1,687 @@
-"""The queries of the reference's operators, each with the SQL that checks it."""
+"""The queries of the engine's operators over the driver's tables, each beside the SQL that checks it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filegrove.functions import paths, perceptual, signatures, text
+from filegrove.operators import actions, evidence, exact, export, findings, media_policy, similarity
 from filegrove.session import table
+from filegrove.sources import adapters
+from filegrove.sources.adapters import BASE, DAY
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) by its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _files(spark, sf_dir):
+    return adapters.files(table(spark, sf_dir, "documents"))
+
+
+def _members(spark, sf_dir):
+    return exact.funnel(exact.admitted(_files(spark, sf_dir), hidden=True, system=True))
+
+
+_W = f"WITH RECURSIVE {adapters.FILES_SQL}, adm AS (SELECT * FROM files WHERE size_bytes >= 1 AND attributes & 1024 = 0)"
+_MEMBERS = (
+    _W
+    + """, uq AS (SELECT *, row_number() OVER (PARTITION BY content, identity ORDER BY upper(full_path), full_path) AS r FROM adm),
+ mem AS (SELECT * EXCLUDE r FROM (SELECT *, count(*) OVER (PARTITION BY content) AS n FROM uq WHERE r = 1) WHERE n > 1),
+ grp AS (SELECT content, size_bytes, count(*) AS n_files, arg_min(full_path, upper(full_path)) AS first_path, arg_min(file_name, upper(full_path)) AS first_name FROM mem GROUP BY content, size_bytes)"""
+)
+
+# --- identical files -------------------------------------------------------------------------------------------------
+
+_GROUP = ["first_path", "first_name", "size_bytes", "n_files", "wasted_bytes"]
 
 
+@query(_MEMBERS + " SELECT first_path, first_name, size_bytes, n_files, size_bytes * (n_files - 1) AS wasted_bytes FROM grp")
 def exact_groups(spark, sf_dir):
-    """Byte-identical documents: one row a group, most wasted bytes first."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    size = F.octet_length("text").cast("long")
-    return (
-        docs.groupBy(F.sha2("text", 256).alias("digest"), size.alias("size_bytes"))
-        .agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_doc"))
-        .where("n_files > 1")
-        .select("first_doc", "size_bytes", "n_files", (F.col("size_bytes") * (F.col("n_files") - 1)).alias("wasted_bytes"))
-        .orderBy(F.desc("wasted_bytes"), "first_doc")
-    )
-
-
-QUERIES = {"exact_groups": exact_groups}
-ORACLES = {
-    "exact_groups": """
-        SELECT min(doc_id) AS first_doc, octet_length(encode(text))::BIGINT AS size_bytes, count(*) AS n_files,
-               (octet_length(encode(text)) * (count(*) - 1))::BIGINT AS wasted_bytes
-        FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1"""
-}
+    return exact.groups(_members(spark, sf_dir)).select(*_GROUP)
+
+
+@query(_MEMBERS + " SELECT full_path, first_path, mem.size_bytes, modified_ticks FROM mem JOIN grp USING (content)")
+def exact_members(spark, sf_dir):
+    members = _members(spark, sf_dir)
+    return members.join(exact.groups(members).select("digest", "first_path"), "digest").select("full_path", "first_path", "size_bytes", "modified_ticks")
+
+
+@query(_MEMBERS + " SELECT (SELECT count(*) FROM adm) AS n_scanned, count(*) AS n_groups, sum(n_files - 1)::BIGINT AS n_duplicates, sum(size_bytes * (n_files - 1))::BIGINT AS reclaimable_bytes FROM grp")
+def exact_summary(spark, sf_dir):
+    return exact.summary(exact.admitted(_files(spark, sf_dir), hidden=True, system=True), _members(spark, sf_dir))
+
+
+@query(_MEMBERS + " SELECT first_path, n_files FROM grp")
+def exact_staged(spark, sf_dir):
+    """The funnel by stages: size, prefix, whole content."""
+    members = exact.funnel(exact.admitted(_files(spark, sf_dir), hidden=True, system=True), staged=True)
+    return exact.groups(members).select("first_path", "n_files")
+
+
+@query(_W + " SELECT size_bytes, count(*) AS n_files FROM adm GROUP BY 1 HAVING count(*) > 1")
+def size_buckets(spark, sf_dir):
+    return exact.admitted(_files(spark, sf_dir), hidden=True, system=True).groupBy("size_bytes").agg(F.count("*").alias("n_files")).where("n_files > 1")
+
+
+@query(_W + " SELECT full_path FROM (SELECT full_path, count(*) OVER (PARTITION BY size_bytes, substr(content, 1, 64)) AS n FROM adm) WHERE n > 1")
+def prefix_buckets(spark, sf_dir):
+    files = exact.admitted(_files(spark, sf_dir), hidden=True, system=True).withColumn("prefix", F.xxhash64(F.substring("content", 1, 64)))
+    return exact.several(files, ["size_bytes", "prefix"]).select("full_path")
+
+
+@query(_MEMBERS + " SELECT identity, count(*) AS n_names, min(full_path) AS first_name_of_all FROM adm GROUP BY 1 HAVING count(*) > 1")
+def identity_aliases(spark, sf_dir):
+    """Names of one physical file."""
+    return exact.admitted(_files(spark, sf_dir), hidden=True, system=True).groupBy("identity").agg(F.count("*").alias("n_names"), F.min("full_path").alias("first_name_of_all")).where("n_names > 1")
+
+
+@query(_W.replace("size_bytes >= 1 AND attributes & 1024 = 0", "size_bytes BETWEEN 500 AND 5000 AND attributes & 1030 = 0 AND extension IN ('.txt', '.py', '.csv')") + " SELECT doc_id, full_path, size_bytes FROM adm")
+def scan_admission(spark, sf_dir):
+    return exact.admitted(_files(spark, sf_dir), 500, 5000, extensions=[".txt", ".py", ".csv"]).select("doc_id", "full_path", "size_bytes")
+
+
+@query(_W + " SELECT full_path, extension FROM files WHERE extension IN ('.jpg', '.zip', '.mp3')")
+def ext_category_filter(spark, sf_dir):
+    return exact.admitted(_files(spark, sf_dir), 0, hidden=True, system=True, links=True, extensions=paths.category_extensions(["Images", "Archives", "Audio"])).select("full_path", "extension")
+
+
+@query(_W + " SELECT full_path FROM files WHERE NOT (upper(full_path) LIKE '/SRC0/%' OR upper(full_path) LIKE '/SRC1/EN/%' OR upper(full_path) LIKE '/SRC7/FR/%' OR doc_id = 21 OR doc_id = 42)")
+def exclusion_antijoin(spark, sf_dir):
+    gone = spark.createDataFrame([("/SRC0/",), ("/src1/EN",), ("/src7/fr/",), ("/nowhere",)], "excluded_path string")
+    files = _files(spark, sf_dir)
+    one = files.where("doc_id IN (21, 42)").select(F.lower("full_path").alias("excluded_path"))
+    return exact.excluded(files, gone.unionByName(one)).select("full_path")
+
+
+_NEWEST = "modified_ticks DESC, length(full_path), upper(full_path), full_path"
+
+
+def _kept(order: str) -> str:
+    return _MEMBERS + f" SELECT full_path, first_value(full_path) OVER (PARTITION BY content ORDER BY {order}) AS survivor_path, row_number() OVER (PARTITION BY content ORDER BY {order}) > 1 AS selected FROM mem"
+
+
+_KEEP = ["full_path", "survivor_path", "selected"]
+
+
+@query(_kept(_NEWEST))
+def keep_newest(spark, sf_dir):
+    return exact.keep_one(_members(spark, sf_dir), "newest").select(*_KEEP)
+
+
+@query(_kept(_NEWEST.replace(" DESC", "")))
+def keep_oldest(spark, sf_dir):
+    return exact.keep_one(_members(spark, sf_dir), "oldest").select(*_KEEP)
+
+
+@query(_kept("length(full_path), upper(full_path), full_path"))
+def keep_shortest(spark, sf_dir):
+    return exact.keep_one(_members(spark, sf_dir), "shortest").select(*_KEEP)
+
+
+@query(_kept("CASE WHEN full_path LIKE '/src3/%' THEN 0 ELSE 1 END, " + _NEWEST))
+def keep_preferred(spark, sf_dir):
+    return exact.keep_one(_members(spark, sf_dir), "preferred", "/SRC3/").select(*_KEEP)
+
+
+_SELECTED = _MEMBERS + f", sel AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY {_NEWEST}) > 1 AS selected FROM mem)"
+
+
+@query(_SELECTED + """, lft AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY content) AS m FROM sel WHERE doc_id % 4 <> 1) WHERE m > 1)
+ SELECT full_path, selected AND NOT (bool_and(selected) OVER (PARTITION BY content) AND row_number() OVER (PARTITION BY content ORDER BY modified_ticks DESC, length(full_path), upper(full_path)) = 1) AS selected FROM lft""")
+def exclude_files(spark, sf_dir):
+    """After every file with an id of 1 modulo 4 went."""
+    members = exact.keep_one(_members(spark, sf_dir))
+    return exact.without(members, members.where("doc_id % 4 = 1").select(F.col("full_path").alias("gone_path"))).select("full_path", "selected")
+
+
+@query(_MEMBERS + " SELECT full_path FROM mem WHERE content IN (SELECT content FROM mem WHERE contains(upper(full_path), '/EN/DOC_1'))")
+def search_groups(spark, sf_dir):
+    return exact.search(_members(spark, sf_dir), "/en/doc_1").select("full_path")
+
+
+@query(_MEMBERS + " SELECT first_path, row_number() OVER (ORDER BY n_files DESC, upper(first_name), upper(first_path)) AS place FROM grp")
+def sort_groups(spark, sf_dir):
+    """Groups by the number of files, with their places."""
+    from pyspark.sql import Window
+
+    result = exact.sort_groups(exact.groups(_members(spark, sf_dir)), 2)
+    order = Window.orderBy(F.desc("n_files"), F.upper("first_name"), F.upper("first_path"))
+    return result.select("first_path", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(_SELECTED + """ SELECT count(DISTINCT content) AS n_groups, (count(*) - count(DISTINCT content))::BIGINT AS n_duplicates, (SELECT sum(size_bytes * (n_files - 1)) FROM grp)::BIGINT AS reclaimable_bytes,
+ count(DISTINCT CASE WHEN selected THEN content END) AS selected_groups, count(*) FILTER (selected) AS selected_files, (sum(size_bytes) FILTER (selected))::BIGINT AS selected_bytes FROM sel""")
+def result_totals(spark, sf_dir):
+    return exact.totals(exact.keep_one(_members(spark, sf_dir)))
+
+
+@query(_SELECTED + " SELECT a.full_path, count(b.full_path) AS n_survivors, arg_min(b.full_path, upper(b.full_path)) AS first_survivor FROM sel a LEFT JOIN sel b ON a.content = b.content AND NOT b.selected WHERE a.selected GROUP BY a.full_path")
+def survivors_per_target(spark, sf_dir):
+    return exact.survivors_of_targets(exact.keep_one(_members(spark, sf_dir))).select("full_path", "n_survivors", "first_survivor")
+
+
+@query(_SELECTED + f""", old AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY {_NEWEST.replace(" DESC", "")}) > 1 AS was FROM sel)
+ SELECT full_path, CASE WHEN selected THEN 'a' ELSE 'b' END AS side FROM old WHERE selected <> was""")
+def selection_difference(spark, sf_dir):
+    """What two rules select differently."""
+    members = _members(spark, sf_dir)
+    chosen = lambda rule: exact.keep_one(members, rule).where("selected").select("full_path")
+    return actions.same_rows(chosen("newest"), chosen("oldest"))
+
+
+# --- findings --------------------------------------------------------------------------------------------------------
+
+_F = ["full_path", "kind", "reason", "size_bytes", "modified_ticks"]
+
+
+@query(_W + " SELECT full_path, 'File' AS kind, 'At least 10,000 bytes' AS reason, size_bytes, modified_ticks, extension FROM files WHERE size_bytes >= 10000 AND attributes & 1024 = 0")
+def large_files(spark, sf_dir):
+    return findings.large_files(_files(spark, sf_dir), 10_000).select(*_F, F.col("metadata")["Extension"].alias("extension"))
+
+
+@query(_W + " SELECT full_path, 'File' AS kind, 'File is empty' AS reason, size_bytes, modified_ticks, extension FROM files WHERE size_bytes = 0 AND attributes & 1024 = 0")
+def empty_files(spark, sf_dir):
+    return findings.empty_files(_files(spark, sf_dir)).select(*_F, F.col("metadata")["Extension"].alias("extension"))
+
+
+_NOW = BASE + 900 * DAY
+
+
+@query(_W + f""" SELECT full_path, 'File' AS kind, 'Temporary file at least 30 days old' AS reason, size_bytes, modified_ticks FROM files
+ WHERE (starts_with(file_name, '~$') OR suffix(file_name, '~') OR extension IN ('.tmp', '.crdownload')) AND modified_ticks <= {_NOW - 30 * DAY} AND attributes & 1024 = 0""")
+def temp_files(spark, sf_dir):
+    return findings.temporary_files(_files(spark, sf_dir), _NOW, 30 * DAY).select(*_F)
+
+
+_DIRS = "dirs AS (SELECT concat('/top/', c_custkey % 20, '/', c_custkey) AS full_path, (c_custkey % 4)::INT - 1 AS physical_child_count, (2 + c_custkey % 3)::INT AS depth, CASE WHEN c_custkey % 25 = 1 THEN 1040 ELSE 16 END AS attributes, c_custkey FROM customer)"
+
+
+@query(f"WITH {_DIRS} SELECT full_path, 'Directory' AS kind, 'Folder is empty' AS reason, 0::BIGINT AS size_bytes, depth::VARCHAR AS depth FROM dirs WHERE physical_child_count = 0 AND attributes & 1024 = 0 AND c_custkey NOT IN (5, 9) AND c_custkey % 100 <> 13")
+def empty_folders(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    path = F.concat_ws("/", F.lit("/top"), (F.col("c_custkey") % 20).cast("string"), F.col("c_custkey").cast("string"))
+    folders = c.select(path.alias("full_path"), ((F.col("c_custkey") % 4).cast("int") - 1).alias("physical_child_count"), (F.col("c_custkey") % 3 + 2).cast("int").alias("depth"), F.when(F.col("c_custkey") % 25 == 1, 1040).otherwise(16).alias("attributes"))
+    roots = c.where("c_custkey IN (5, 9)").select(F.upper(path).alias("path"))
+    links = c.where("c_custkey % 100 = 13").select(path.alias("path"))
+    found = actions.deepest_first(findings.empty_folders(folders, roots, links))
+    return found.select("full_path", "kind", "reason", "size_bytes", F.col("metadata")["Depth"].alias("depth"))
+
+
+@query("""WITH l AS (SELECT concat('/ln/', s_suppkey) AS full_path, s_suppkey % 3 = 0 AS is_directory, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE concat('../', s_suppkey + 1) END AS target, s_suppkey % 5 AS k FROM supplier)
+ SELECT full_path, CASE WHEN is_directory THEN 'Directory' ELSE 'File' END AS link_kind, target, CASE k WHEN 1 THEN 'Link target is missing.' WHEN 2 THEN 'Link target is inaccessible.' ELSE 'Link target cannot be resolved.' END AS reason FROM l WHERE target IS NOT NULL AND k <> 0""")
+def invalid_links(spark, sf_dir):
+    k = F.col("s_suppkey")
+    state = F.when(k % 5 == 0, "ok").when(k % 5 == 1, "missing").when(k % 5 == 2, "denied").when(k % 5 == 3, "unresolvable").otherwise("loop")
+    links = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/ln/"), k.cast("string")).alias("path"), (k % 3 == 0).alias("is_directory"), F.when(k % 7 != 0, F.concat(F.lit("../"), (k + 1).cast("string"))).alias("immediate_target"), state.alias("resolve_state"))
+    return findings.invalid_links(links).select("full_path", F.col("metadata")["LinkKind"].alias("link_kind"), F.col("metadata")["ImmediateTarget"].alias("target"), "reason")
+
+
+_TYPE_OF = {
+    0: "JPEG", 1: "PNG", 2: "GIF", 3: "BMP", 4: "TIFF", 5: "PDF", 6: "ZIP", 7: "RAR", 8: "7z", 9: "MP3", 10: "MP3", 11: "FLAC", 12: "Ogg", 13: "WebP", 14: "WAV", 15: "AVI", 16: "MP4", 17: "QuickTime", 18: None, 19: "WebM", 20: None, 24: "ISO BMFF",
+}
+_TYPED = f"WITH {adapters.HEADERS_SQL}, typed AS (SELECT *, CASE p_partkey % 25 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _TYPE_OF.items() if v) + " END AS detected FROM heads)"
+
+
+@query(_TYPED + " SELECT full_path, detected FROM typed")
+def signature_detect(spark, sf_dir):
+    return adapters.headers(table(spark, sf_dir, "part")).select("full_path", signatures.detect(F.col("content")).alias("detected"))
+
+
+def _case(values: dict, name: str = "detected") -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+_ALLOWED = _case({k: "[" + ", ".join(f"'{e}'" for e in v[0]) + "]" for k, v in signatures.TYPES.items()})
+_PROPER = _case({k: f"'{v[1]}'" for k, v in signatures.TYPES.items() if v[1]})
+
+
+@query(_TYPED + f""" SELECT full_path, regexp_replace(file_name, '[.][^.]*$', '') || {_PROPER} AS suggestion, CASE extension WHEN '' THEN '(none)' ELSE extension END AS current_extension, {_PROPER} AS proper_extension, detected AS detected_type
+ FROM typed WHERE attributes = 0 AND {_PROPER} IS NOT NULL AND NOT list_contains({_ALLOWED}, extension)""")
+def bad_extensions(spark, sf_dir):
+    found = findings.bad_extensions(adapters.headers(table(spark, sf_dir, "part")))
+    m = F.col("metadata")
+    return found.select("full_path", "suggestion", m["CurrentExtension"].alias("current_extension"), m["ProperExtension"].alias("proper_extension"), m["DetectedType"].alias("detected_type"))
+
+
+_PROBED = _TYPED + """, pr AS (SELECT *, CASE WHEN p_partkey % 6 = 1 THEN size_bytes + 1 ELSE size_bytes END AS before_size, CASE WHEN p_partkey % 10 = 3 THEN modified_ticks + 1 ELSE modified_ticks END AS after_ticks,
+ CASE p_partkey % 4 WHEN 0 THEN 'Valid' WHEN 1 THEN 'Invalid' WHEN 2 THEN 'UnsupportedOrProtected' END AS status FROM typed WHERE attributes = 0 AND size_bytes <> 0), ok AS (SELECT *, before_size = size_bytes AND after_ticks = modified_ticks AS same FROM pr)"""
+
+
+def _broken(spark, sf_dir):
+    files = adapters.headers(table(spark, sf_dir, "part"))
+    k = F.col("p_partkey")
+    status = F.when(k % 4 == 0, "Valid").when(k % 4 == 1, "Invalid").when(k % 4 == 2, "UnsupportedOrProtected")
+    probes = files.select(
+        F.col("full_path").alias("path"), (F.col("size_bytes") + (k % 6 == 1).cast("long")).alias("before_size"), F.col("modified_ticks").alias("before_ticks"), F.col("size_bytes").alias("after_size"), (F.col("modified_ticks") + (k % 10 == 3).cast("long")).alias("after_ticks"),
+        signatures.detect(F.col("content")).alias("detected_type"), status.alias("status"), F.when(k % 2 == 0, "Damaged").alias("error_type"),
+    )
+    return findings.broken_files(files, probes)
+
+
+_VALIDATOR = _case({n: f"'{k}'" for k, v in signatures.VALIDATORS.items() for n in v}).replace(" END", " ELSE 'Header' END")
+
+
+@query(_PROBED + f""" SELECT full_path, CASE status WHEN 'Invalid' THEN 'Unreadable or malformed file.' ELSE 'Unsupported or protected.' END AS reason, {_VALIDATOR} AS validator, CASE WHEN p_partkey % 2 = 0 THEN 'Damaged' ELSE '' END AS error_type, detected AS detected_type
+ FROM ok WHERE same AND status IN ('Invalid', 'UnsupportedOrProtected')""")
+def broken_files(spark, sf_dir):
+    m = F.col("metadata")
+    return _broken(spark, sf_dir)[0].select("full_path", "reason", m["Validator"].alias("validator"), m["ErrorType"].alias("error_type"), F.try_element_at(m, F.lit("DetectedType")).alias("detected_type"))
+
+
+@query(_PROBED + " SELECT full_path AS path, CASE WHEN NOT same THEN 'File changed since scan.' ELSE 'Could not validate file.' END AS reason FROM ok WHERE NOT same OR status IS NULL")
+def broken_skipped(spark, sf_dir):
+    return _broken(spark, sf_dir)[1]
+
+
+_NAMES = r"""WITH n AS (SELECT p_partkey, CASE p_partkey % 16 WHEN 0 THEN 'con.txt' WHEN 1 THEN ' lead.txt' WHEN 2 THEN 'trail.txt ' WHEN 3 THEN 'dot.' WHEN 4 THEN '.env' WHEN 5 THEN 'a:b?.txt' WHEN 6 THEN 'LPT9 .tar.gz' WHEN 7 THEN '...' WHEN 8 THEN ' aux. ' WHEN 9 THEN 'q"<>|*' WHEN 10 THEN 'tab' || chr(9) || '.x' WHEN 11 THEN chr(127) || 'del' WHEN 12 THEN '' ELSE 'plain ' || p_partkey || '.txt' END AS name FROM part)"""
+_REASONS = r"""array_to_string(list_filter([CASE WHEN regexp_matches(name, '[\x00-\x1F\x7F]') THEN 'Contains control characters' END, CASE WHEN regexp_matches(name, '["<>|:*?\\/]') THEN 'Contains invalid Windows characters' END,
+ CASE WHEN regexp_matches(name, '^\s|\s$') THEN 'Has leading or trailing whitespace' END, CASE WHEN regexp_matches(name, '[.]\s*$') THEN 'Ends with a dot' END,
+ CASE WHEN regexp_matches(upper(name), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])[ .]*([.].*)?$') THEN 'Uses a reserved DOS device name' END,
+ CASE WHEN regexp_matches(regexp_replace(regexp_replace(regexp_replace(name, '[\x00-\x1F\x7F]', '', 'g'), '^\s+', ''), '[\s.]+$', ''), '^([.][^.]*)?$') THEN 'Has an empty file name stem' END], lambda x: x IS NOT NULL), '; ')"""
+
+
+def _named(spark, sf_dir):
+    k = F.col("p_partkey") % 16
+    odd = ["con.txt", " lead.txt", "trail.txt ", "dot.", ".env", "a:b?.txt", "LPT9 .tar.gz", "...", " aux. ", 'q"<>|*', "tab\t.x", "\x7fdel", ""]
+    name = F.concat(F.lit("plain "), F.col("p_partkey").cast("string"), F.lit(".txt"))
+    for i, n in enumerate(odd):
+        name = F.when(k == i, F.lit(n)).otherwise(name)
+    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("file_name"), F.lit(0).alias("attributes"), F.lit(1).cast("long").alias("size_bytes"), F.lit(1).cast("long").alias("created_ticks"), F.lit(1).cast("long").alias("modified_ticks"))
+    return rows.withColumn("full_path", F.concat(F.lit("/n/"), F.col("p_partkey").cast("string"), F.lit("/"), F.col("file_name")))
+
+
+@query(_NAMES + f", r AS (SELECT concat('/n/', p_partkey, '/', name) AS full_path, name AS current_name, {_REASONS} AS reasons FROM n) SELECT * FROM r WHERE reasons <> ''")
+def bad_names(spark, sf_dir):
+    return findings.bad_names(_named(spark, sf_dir)).select("full_path", F.col("metadata")["CurrentName"].alias("current_name"), F.col("reason").alias("reasons"))
+
+
+_SUGGESTED = {0: "con_file.txt", 1: "lead.txt", 2: "trail.txt", 3: "dot", 4: "file.env", 5: "a_b_.txt", 6: "LPT9 _file.tar.gz", 7: "file", 8: "aux_file", 9: "q_____", 10: "tab.x", 11: "del", 12: "file"}
+
+
+@query(_NAMES + " SELECT concat('/n/', p_partkey, '/', name) AS full_path, CASE p_partkey % 16 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _SUGGESTED.items()) + " END AS suggestion FROM n WHERE p_partkey % 16 < 13")
+def name_suggestions(spark, sf_dir):
+    return findings.bad_names(_named(spark, sf_dir)).select("full_path", "suggestion")
+
+
+# --- similar pictures, videos and tracks -----------------------------------------------------------------------------
+
+_PHASH = """WITH d AS (SELECT doc_id, substr(hex(encode(text)), 1, 2048) AS h FROM documents WHERE octet_length(encode(text)) >= 1024),
+ px AS (SELECT doc_id, i // 32 AS y, i % 32 AS x, ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS v FROM d, range(1024) AS t(i)),
+ c AS (SELECT p, f, cos(pi() * (2 * p + 1) * f / 64) * CASE WHEN f = 0 THEN sqrt(1.0 / 32) ELSE sqrt(2.0 / 32) END AS w FROM range(32) AS a(p), range(8) AS b(f)),
+ hz AS (SELECT doc_id, y, f AS u, sum(v * w) AS s FROM px JOIN c ON x = p GROUP BY ALL),
+ co AS (SELECT doc_id, f * 8 + u AS i, round(sum(s * w), 9) AS q FROM hz JOIN c ON y = p GROUP BY doc_id, f, u),
+ md AS (SELECT doc_id, list_sort(list(q))[32] AS m FROM co WHERE i > 0 GROUP BY doc_id)"""
+
+
+@query(_PHASH + " SELECT doc_id, lpad(hex(sum(CASE WHEN q > m THEN 1::HUGEINT << i::INT ELSE 0 END)::UBIGINT), 16, '0') AS phash FROM co JOIN md USING (doc_id) GROUP BY doc_id")
+def phash(spark, sf_dir):
+    """Hashes of the first 1024 bytes of texts, as grey pictures."""
+    content = F.col("text").cast("binary")
+    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 1024)
+    return docs.select("doc_id", F.lpad(F.hex(perceptual.phash(F.substring(content, 1, 1024))), 16, "0").alias("phash"))
+
+
+_PAIR_SQL = " SELECT a.full_path AS a_path, b.full_path AS b_path, bit_count(xor(a.hash, b.hash))::INT AS distance FROM images a JOIN images b ON a.full_path < b.full_path AND bit_count(xor(a.hash, b.hash)) <= {d} AND abs(a.width / a.height::DOUBLE - b.width / b.height::DOUBLE) / greatest(a.width / a.height::DOUBLE, b.width / b.height::DOUBLE) <= 0.05"
+
+
+@query(f"WITH {adapters.IMAGES_SQL}" + _PAIR_SQL.format(d=8))
+def image_pairs(spark, sf_dir):
+    return similarity.image_pairs(adapters.images(table(spark, sf_dir, "part")), 8)
+
+
+_REACH = """, both_ways AS (SELECT a_path AS a, b_path AS b FROM pairs UNION SELECT b_path, a_path FROM pairs), reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+ comp AS (SELECT a AS full_path, min(b) AS label FROM reach GROUP BY a)"""
+
+
+def _groups_sql(source: str, pairs: str, order: str, distance: str, prefix: str) -> str:
+    return f"""WITH RECURSIVE {source}, pairs AS ({pairs}){_REACH}, it AS (SELECT * FROM {prefix}s JOIN comp USING (full_path)),
+ rf AS (SELECT label, full_path AS ref_path, ref, '{prefix}-' || lpad(row_number() OVER (ORDER BY upper(full_path), full_path)::VARCHAR, 4, '0') AS group_id
+        FROM (SELECT *, {{ref}} AS ref, row_number() OVER (PARTITION BY label ORDER BY {order}, upper(full_path), full_path) AS r FROM it) WHERE r = 1)
+ SELECT group_id, full_path, full_path = ref_path AS is_reference, {distance} AS distance, 100.0::DOUBLE * (64 - {distance}) / 64 AS similarity_percent FROM it JOIN rf USING (label)"""
+
+
+_IMAGE_GROUPS = _groups_sql(adapters.IMAGES_SQL, _PAIR_SQL.format(d=12), "width::BIGINT * height DESC, size_bytes DESC", "bit_count(xor(hash, ref))::INT", "image").replace("{ref}", "hash")
+_G = ["group_id", "full_path", "is_reference", "distance", "similarity_percent"]
+
+
+@query(_IMAGE_GROUPS)
+def image_groups(spark, sf_dir):
+    return similarity.image_groups(adapters.images(table(spark, sf_dir, "part")), 12).select(*_G)
+
+
+@query(_IMAGE_GROUPS.replace(" FROM part)", " FROM part WHERE p_partkey % 4 <> 1)").replace("<= 12", "<= 9"))
+def image_regroup(spark, sf_dir):
+    """Groups from what is left of the stored evidence after some pictures went, at another distance."""
+    left = adapters.images(table(spark, sf_dir, "part").where("p_partkey % 4 <> 1"))
+    return similarity.image_groups(left, 9).select(*_G)
+
+
+_TOTAL = "list_sum(list_transform(range(1, 6), lambda i: bit_count(xor({a}.hashes[i], {b}.hashes[i]))))::INT"
+_VPAIR = f""" SELECT a.full_path AS a_path, b.full_path AS b_path, {_TOTAL.format(a="a", b="b")} AS total FROM videos a JOIN videos b ON a.full_path < b.full_path
+ AND (abs(a.duration_ticks - b.duration_ticks) <= 20000000 OR abs(a.duration_ticks - b.duration_ticks) <= greatest(a.duration_ticks, b.duration_ticks) // 50)
+ AND abs(a.display_aspect - b.display_aspect) / greatest(a.display_aspect, b.display_aspect) <= 0.05 AND {_TOTAL.format(a="a", b="b")} <= 45"""
+
+
+@query(f"WITH {adapters.VIDEOS_SQL}" + _VPAIR)
+def video_pairs(spark, sf_dir):
+    return similarity.video_pairs(adapters.videos(table(spark, sf_dir, "part")), 9)
+
+
+@query(_groups_sql(adapters.VIDEOS_SQL, _VPAIR, "width::BIGINT * height DESC, bitrate DESC, size_bytes DESC", "(list_sum(list_transform(range(1, 6), lambda i: bit_count(xor(hashes[i], ref[i]))))::DOUBLE / 5)", "video").replace("{ref}", "hashes"))
+def video_groups(spark, sf_dir):
+    return similarity.video_groups(adapters.videos(table(spark, sf_dir, "part")), 9).select(*_G)
+
+
+_MUSIC = f"""WITH RECURSIVE {adapters.TRACKS_SQL}, k AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key, trim(regexp_replace(lower(coalesce(artist, '')), '[^a-z0-9]+', ' ', 'g')) AS ka,
+ trim(regexp_replace(lower(coalesce(album_artist, '')), '[^a-z0-9]+', ' ', 'g')) AS kb FROM tracks), kk AS (SELECT *, CASE WHEN ka <> '' THEN ka ELSE kb END AS artist_key FROM k),
+ good AS (SELECT * FROM kk WHERE duration_ticks > 0 AND title_key <> '' AND artist_key <> ''),
+ num AS (SELECT *, row_number() OVER (PARTITION BY title_key, artist_key ORDER BY duration_ticks, full_path) AS rn FROM good),
+ walk AS (SELECT title_key, artist_key, rn, full_path, duration_ticks, duration_ticks AS anchor FROM num WHERE rn = 1
+          UNION ALL SELECT n.title_key, n.artist_key, n.rn, n.full_path, n.duration_ticks, CASE WHEN n.duration_ticks - w.anchor > {{most}} THEN n.duration_ticks ELSE w.anchor END
+          FROM walk w JOIN num n ON n.title_key = w.title_key AND n.artist_key = w.artist_key AND n.rn = w.rn + 1)"""
+
+
+@query(_MUSIC.replace("{most}", "300000000") + " SELECT full_path, title_key, artist_key, anchor FROM walk")
+def music_clusters(spark, sf_dir):
+    good, _ = similarity.music_keys(adapters.tracks(table(spark, sf_dir, "events")), ready=True)
+    rows = similarity.anchored_clusters(good, ["title_key", "artist_key"], "duration_ticks", ["full_path"], 300_000_000)
+    return rows.select("full_path", "title_key", "artist_key", F.col("cluster").alias("anchor"))
+
+
+@query(_MUSIC.replace("{most}", "300000000") + """, it AS (SELECT w.*, g.bitrate, g.size_bytes, count(*) OVER (PARTITION BY w.title_key, w.artist_key, anchor) AS n,
+  row_number() OVER (PARTITION BY w.title_key, w.artist_key, anchor ORDER BY g.bitrate DESC, g.size_bytes DESC, upper(w.full_path), w.full_path) AS r FROM walk w JOIN good g USING (full_path)),
+ rf AS (SELECT title_key, artist_key, anchor, full_path AS ref_path, duration_ticks AS rt, 'music-' || lpad(row_number() OVER (ORDER BY upper(full_path), full_path)::VARCHAR, 4, '0') AS group_id FROM it WHERE n > 1 AND r = 1)
+ SELECT group_id, full_path, full_path = ref_path AS is_reference, abs(duration_ticks - rt) AS difference_ticks FROM it JOIN rf USING (title_key, artist_key, anchor)""")
+def music_groups(spark, sf_dir):
+    good, _ = similarity.music_keys(adapters.tracks(table(spark, sf_dir, "events")), ready=True)
+    return similarity.music_groups(good, 300_000_000).select("group_id", "full_path", "is_reference", "difference_ticks")
+
+
+@query(_MUSIC.split(", good AS")[0] .replace("{most}", "0") + " SELECT full_path AS path, CASE WHEN duration_ticks <= 0 THEN 'Could not read music metadata.' ELSE 'Required music metadata is missing.' END AS reason FROM kk WHERE duration_ticks <= 0 OR title_key = '' OR artist_key = ''")
+def music_skipped(spark, sf_dir):
+    return similarity.music_keys(adapters.tracks(table(spark, sf_dir, "events")))[1]
+
+
+@query(f"WITH {adapters.IMAGES_SQL} SELECT full_path, replace(full_path, '/img/', '')[-7:] = '.gone.jpg' AS missing FROM images WHERE (size_bytes % 5 = 0)")
+def revalidate_evidence(spark, sf_dir):
+    """Pictures whose fresh hash is another: every one with a size that 5 divides."""
+    stored = adapters.images(table(spark, sf_dir, "part"))
+    fresh = stored.withColumn("hash", F.when(F.col("size_bytes") % 5 == 0, F.col("hash").bitwiseXOR(F.lit(1).cast("long"))).otherwise(F.col("hash")))
+    return similarity.changed(stored, fresh, ["hash", "width", "height"])
+
+
+# --- plans and exports -----------------------------------------------------------------------------------------------
+
+_PLAN = _SELECTED + """, tgt AS (SELECT * FROM sel WHERE selected), now AS (SELECT *, CASE WHEN doc_id % 5 = 1 THEN size_bytes + 1 ELSE size_bytes END AS s2, CASE WHEN doc_id % 7 = 2 THEN modified_ticks + 1 ELSE modified_ticks END AS t2 FROM files WHERE doc_id % 11 <> 3),
+ ks AS (SELECT content, count(*) FILTER (n.doc_id IS NULL OR n.s2 <> s.size_bytes OR n.t2 <> s.modified_ticks OR n.attributes & 1040 <> 0) AS bad FROM sel s LEFT JOIN now n USING (full_path) WHERE NOT s.selected GROUP BY s.content)"""
+
+
+@query(_PLAN.replace("ks AS (SELECT content", "ks AS (SELECT s.content") + """ SELECT t.full_path, CASE WHEN ks.bad > 0 THEN 'The source changed since the scan.' WHEN n.doc_id IS NULL THEN 'The source no longer exists.' WHEN n.s2 <> t.size_bytes OR n.t2 <> t.modified_ticks THEN 'The source changed since the scan.' END AS failure
+ FROM tgt t LEFT JOIN now n USING (full_path) JOIN ks ON ks.content = t.content""")
+def revalidate_plan(spark, sf_dir):
+    members = exact.keep_one(_members(spark, sf_dir))
+    kept = members.where("NOT selected").groupBy("digest", "size_bytes").agg(F.collect_list(F.struct(F.col("full_path").alias("path"), "size_bytes", "modified_ticks")).alias("survivors"))
+    targets = members.where("selected").join(kept, ["digest", "size_bytes"]).select("full_path", F.lit("File").alias("kind"), "size_bytes", "modified_ticks", "survivors")
+    k = F.col("doc_id")
+    now = _files(spark, sf_dir).where("doc_id % 11 <> 3").withColumns({"size_bytes": F.col("size_bytes") + (k % 5 == 1).cast("long"), "modified_ticks": F.col("modified_ticks") + (k % 7 == 2).cast("long"), "physical_child_count": F.lit(None).cast("int")})
+    return actions.revalidated(targets, now).select("full_path", "failure")
+
+
+@query(_PLAN.replace("ks AS (SELECT content", "ks AS (SELECT s.content") + """, oc AS (SELECT t.size_bytes, ks.bad > 0 OR n.doc_id IS NULL OR n.s2 <> t.size_bytes OR n.t2 <> t.modified_ticks AS failed FROM tgt t LEFT JOIN now n USING (full_path) JOIN ks ON ks.content = t.content)
+ SELECT count(*) FILTER (NOT failed) AS n_done, coalesce(sum(size_bytes) FILTER (NOT failed), 0)::BIGINT AS bytes_done, count(*) FILTER (failed) AS n_failed FROM oc""")
+def action_summary(spark, sf_dir):
+    sizes = exact.keep_one(_members(spark, sf_dir)).where("selected").select("full_path", "size_bytes")
+    return actions.action_summary(revalidate_plan(spark, sf_dir).join(sizes, "full_path"))
+
+
+def _leaves(spark, sf_dir):
+    """Files of ten folders whose names repeat across folders."""
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("f"), (F.col("p_partkey") % 40).cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".TXT").otherwise(".txt"))
+    return p.select("p_partkey", name.alias("file_name"), F.concat(F.lit("/d"), F.lpad((F.floor(F.col("p_partkey") / 40)).cast("string"), 6, "0"), F.lit("/"), name).alias("full_path"))
+
+
+_LEAVES = "WITH f AS (SELECT p_partkey, concat('f', p_partkey % 40, CASE WHEN p_partkey % 3 = 0 THEN '.TXT' ELSE '.txt' END) AS file_name FROM part), l AS (SELECT *, concat('/d', lpad((p_partkey // 40)::VARCHAR, 6, '0'), '/', file_name) AS full_path FROM f)"
+
+
+@query(_LEAVES + """, o AS (SELECT *, row_number() OVER (PARTITION BY upper(regexp_replace(file_name, '[.][^.]*$', '')) ORDER BY upper(full_path), full_path) + CASE WHEN p_partkey % 40 = 7 THEN 1 ELSE 0 END AS n FROM l),
+ o2 AS (SELECT *, CASE WHEN p_partkey % 40 = 9 AND n >= 3 THEN n + 1 ELSE n END AS m FROM o)
+ SELECT full_path, CASE WHEN m = 1 THEN file_name ELSE regexp_replace(file_name, '[.][^.]*$', '') || ' (' || m || ')' || regexp_extract(file_name, '[.][^.]*$') END AS new_name FROM o2""")
+def move_plan(spark, sf_dir):
+    """All files into one folder that has f7 and a third f9 in either spelling: names in use are passed over."""
+    used = spark.createDataFrame([("F7.txt",), ("f9 (3).txt",), ("f9 (3).TXT",), ("other.txt",)], "name string")
+    return actions.move_plan(_leaves(spark, sf_dir), used, "/to").select("full_path", "new_name")
+
+
+@query(_LEAVES + " SELECT full_path, regexp_replace(file_name, '[.][^.]*$', '') || '.optimized' || CASE WHEN p_partkey % 40 = 5 THEN ' (2)' ELSE '' END || '.mp4' AS new_name FROM l")
+def output_names(spark, sf_dir):
+    """Output names beside the sources; each folder has f5.optimized.mp4 already."""
+    files = _leaves(spark, sf_dir).withColumn("folder", paths.parent(F.col("full_path")))
+    taken = files.select("folder").distinct().withColumn("name", F.lit("F5.Optimized.mp4"))
+    return actions.free_names(files, taken, "folder", actions.optimized_name).select("full_path", "new_name")
+
+
+@query(_LEAVES + """, c AS (SELECT *, CASE p_partkey % 6 WHEN 0 THEN 'new' || p_partkey || '.txt' WHEN 1 THEN 'a/b' WHEN 2 THEN upper(file_name) WHEN 3 THEN 'nul.txt' WHEN 4 THEN 'F' || (p_partkey + 1) % 40 || '.txt' ELSE 'x.' END AS new_name FROM l)
+ SELECT c.full_path, new_name, CASE WHEN p_partkey % 6 IN (1, 3, 5) THEN 'Enter a valid Windows file name.' WHEN p_partkey % 6 = 2 THEN 'Choose a different file name.'
+  WHEN EXISTS (SELECT 1 FROM l s WHERE s.full_path <> c.full_path AND s.p_partkey // 40 = c.p_partkey // 40 AND upper(s.file_name) = upper(c.new_name)) THEN 'A file or folder with the same name already exists.' END AS message FROM c""")
+def rename_checks(spark, sf_dir):
+    files = _leaves(spark, sf_dir)
+    k = F.col("p_partkey")
+    new = F.when(k % 6 == 0, F.concat(F.lit("new"), k.cast("string"), F.lit(".txt"))).when(k % 6 == 1, "a/b").when(k % 6 == 2, F.upper("file_name")).when(k % 6 == 3, "nul.txt").when(k % 6 == 4, F.concat(F.lit("F"), ((k + 1) % 40).cast("string"), F.lit(".txt"))).otherwise("x.")
+    candidates = files.select("full_path", new.alias("new_name"), F.lit(None).cast("string").alias("suggestion"))
+    return actions.rename_checks(candidates, files).select("full_path", "new_name", "message")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part) SELECT k AS p_partkey, CASE WHEN k % 11 = 1 THEN 'The file changed since the duplicate scan.' WHEN k % 13 = 2 THEN 'The file has unsupported or unsafe attributes.' WHEN k % 7 = 3 THEN 'The file attributes no longer match exactly.'
+ WHEN k % 17 = 4 THEN 'The duplicate already has more than one physical hard link.' WHEN k % 19 = 5 THEN 'Hard-link replacement requires two files on a local NTFS volume.' WHEN k % 23 = 6 THEN 'Hard-link replacement requires the survivor and duplicate on the same volume.'
+ WHEN k % 29 = 7 THEN 'The survivor has reached the NTFS hard-link limit of 1024 links.' WHEN k % 31 = 8 THEN 'The files are no longer byte-identical.' END AS refusal FROM p""")
+def link_eligibility(spark, sf_dir):
+    k = F.col("p_partkey")
+    one = lambda v: F.lit(v)
+    rows = table(spark, sf_dir, "part").select("p_partkey").withColumns({
+        "s_length": one(10), "s_expected_length": one(10), "s_ticks": one(5), "s_expected_ticks": one(5), "d_length": one(10), "d_expected_length": F.when(k % 11 == 1, 11).otherwise(10), "d_ticks": one(6), "d_expected_ticks": one(6),
+        "s_attributes": F.when(k % 13 == 2, paths.REPARSE_POINT).otherwise(32), "d_attributes": F.when(k % 7 == 3, 33).otherwise(32), "s_links": F.when(k % 29 == 7, 1024).otherwise(1), "d_links": F.when(k % 17 == 4, 2).otherwise(1),
+        "s_is_local": one(True), "d_is_local": one(True), "s_file_system": one("ntfs"), "d_file_system": F.when(k % 19 == 5, "FAT32").otherwise("NTFS"), "s_volume": one(1), "d_volume": F.when(k % 23 == 6, 2).otherwise(1),
+        "same_security": one(True), "same_streams": one(True), "same_content": k % 31 != 8,
+    })
+    return actions.link_eligibility(rows).select("p_partkey", "refusal")
+
+
+_UTC = "strftime(make_timestamp(({t} - 621355968000000000) // 10), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(({t} % 10000000)::VARCHAR, 7, '0') || 'Z'"
+_LARGE = f"{_W}, lg AS (SELECT * FROM files WHERE size_bytes >= 10000 AND attributes & 1024 = 0), sk AS (SELECT concat('/skip,', s_suppkey) AS path, 'Access \"denied\"' AS reason FROM supplier)"
+
+
+def _export(spark, sf_dir):
+    items = export.finding_items(findings.large_files(_files(spark, sf_dir), 10_000))
+    skipped = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/skip,"), F.col("s_suppkey").cast("string")).alias("path"), F.lit('Access "denied"').alias("reason"))
+    return export.export_rows(items, skipped, "BigFiles", BASE + 7, export.scope_text(1, 0, 2))
+
+
+@query(_LARGE + f""" SELECT 'item' AS record_type, 'BigFiles' AS tool, '2023-01-01T00:00:00.0000007Z' AS generated_utc, full_path AS path, 'At least 10,000 bytes' AS reason, size_bytes, {_UTC.format(t="modified_ticks")} AS modified_utc, '{{"Extension":"' || extension || '"}}' AS metadata, NULL AS skipped_reason FROM lg
+ UNION ALL SELECT 'skipped_path', 'BigFiles', '2023-01-01T00:00:00.0000007Z', path, NULL, NULL, NULL, '{{}}', reason FROM sk""")
+def export_rows(spark, sf_dir):
+    return _export(spark, sf_dir).select("record_type", "tool", "generated_utc", "path", "reason", "size_bytes", "modified_utc", "metadata", "skipped_reason")
+
+
+@query(_LARGE + f""" SELECT 'item,BigFiles,2023-01-01T00:00:00.0000007Z,"1 folder, 0 files, 2 excluded; subfolders included",' || full_path || ',File,"At least 10,000 bytes",,,,' || size_bytes || ',,' || {_UTC.format(t="modified_ticks")} || ',"{{""Extension"":""' || extension || '""}}",' AS line FROM lg
+ UNION ALL SELECT 'skipped_path,BigFiles,2023-01-01T00:00:00.0000007Z,"1 folder, 0 files, 2 excluded; subfolders included","' || path || '",,,,,,,,,{{}},"Access ""denied""\"' FROM sk""")
+def export_csv(spark, sf_dir):
+    return export.csv_lines(_export(spark, sf_dir))
+
+
+@query(_MEMBERS + " SELECT full_path AS path, 'Byte-identical duplicate' AS reason, upper(substr(sha256(content), 1, 16)) AS group_id, size_bytes FROM mem")
+def export_exact(spark, sf_dir):
+    return export.exact_items(_members(spark, sf_dir)).select("path", "reason", "group_id", "size_bytes")
+
+
+@query(_W + """, fd AS (SELECT full_path, size_bytes, 'At least 10,000 bytes' AS reason FROM files WHERE size_bytes >= 10000 AND attributes & 1024 = 0 UNION ALL SELECT full_path, size_bytes, 'File is empty' FROM files WHERE size_bytes = 0 AND attributes & 1024 = 0)
+ SELECT full_path, reason, row_number() OVER (ORDER BY size_bytes DESC, upper(full_path), full_path) AS place FROM fd WHERE contains(upper(full_path), 'EN') OR contains(upper(reason), 'EMPTY')""")
+def findings_search_sort(spark, sf_dir):
+    from pyspark.sql import Window
+
+    files = _files(spark, sf_dir)
+    both = findings.large_files(files, 10_000).unionByName(findings.empty_files(files))
+    hit = F.upper("full_path").contains("EN") | F.upper("reason").contains("EMPTY")
+    return both.where(hit).select("full_path", "reason", F.row_number().over(Window.orderBy(F.desc("size_bytes"), *paths.path_order("full_path"))).cast("long").alias("place"))
+
+
+# --- media decisions -------------------------------------------------------------------------------------------------
+
+_USABLE = "par_n > 0 AND coalesce(trim(video_codec), '') <> '' AND trim(container) <> '' AND video_tracks = 1 AND audio_tracks IN (0, 1) AND metadata_tracks = 0 AND (audio_tracks = 0 OR coalesce(trim(audio_codec), '') <> '')"
+_PROFILE = f"""WITH {adapters.MEDIA_SQL}, sc AS (SELECT *, least(1.0::DOUBLE, least(1920 / display_width, 1080 / display_height)) AS scale FROM media),
+ sz AS (SELECT *, (floor(display_width * scale / 2) * 2)::BIGINT AS w, (floor(display_height * scale / 2) * 2)::BIGINT AS h FROM sc), pf AS (SELECT *, {_USABLE} AND w >= 2 AND h >= 2 AS good FROM sz),
+ prof AS (SELECT *, CASE WHEN good THEN w END AS t_width, CASE WHEN good THEN h END AS t_height, CASE WHEN good THEN CASE WHEN fps_n <= 60 * fps_d THEN fps_n ELSE 60 END END AS t_fps_n, CASE WHEN good THEN CASE WHEN fps_n <= 60 * fps_d THEN fps_d ELSE 1 END END AS t_fps_d,
+  CASE WHEN good THEN CASE WHEN video_bitrate = 0 THEN 8000000 ELSE least(video_bitrate, 8000000) END END AS t_video_bitrate, CASE WHEN good THEN CASE WHEN audio_tracks = 0 THEN 0 WHEN audio_bitrate = 0 THEN 192000 ELSE least(audio_bitrate, 192000) END END AS t_audio_bitrate FROM pf)"""
+
+
+@query(_PROFILE + " SELECT p_partkey, t_width, t_height, t_fps_n::BIGINT AS t_fps_n, t_fps_d::BIGINT AS t_fps_d, t_video_bitrate::BIGINT AS t_video_bitrate, t_audio_bitrate::BIGINT AS t_audio_bitrate, CASE WHEN NOT good THEN 'UnsupportedInput' END AS outcome FROM prof")
+def video_profile(spark, sf_dir):
+    rows = media_policy.video_profiles(adapters.media(table(spark, sf_dir, "part")), "Balanced")
+    return rows.select("p_partkey", "t_width", "t_height", "t_fps_n", "t_fps_d", "t_video_bitrate", "t_audio_bitrate", "outcome")
+
+
+_O = {
+    "width": "t_width + CASE WHEN k % 17 = 1 THEN 2 ELSE 0 END", "height": "t_height", "display_width": "CAST(t_width + CASE WHEN k % 17 = 1 THEN 2 ELSE 0 END AS DOUBLE)", "display_height": "CAST(t_height AS DOUBLE)", "display_aspect": "CAST(t_width AS DOUBLE) / t_height * CASE WHEN k % 19 = 2 THEN 2 ELSE 1 END",
+    "par_n": "CASE WHEN k % 23 = 3 THEN 2 ELSE 1 END", "par_d": "1", "duration_ticks": "duration_ticks + CASE WHEN k % 29 = 4 THEN 10000001 WHEN k % 29 = 5 THEN 10000000 ELSE 0 END", "fps_n": "t_fps_n * 2", "fps_d": "t_fps_d * CASE WHEN k % 31 = 6 THEN 1 ELSE 2 END",
+    "container": "CASE WHEN k % 37 = 7 THEN 'MKV' ELSE 'mp4' END", "video_codec": "CASE WHEN k % 41 = 8 THEN '' ELSE 'h.264' END", "video_tracks": "CASE WHEN k % 43 = 9 THEN 2 ELSE 1 END", "metadata_tracks": "0", "audio_tracks": "CASE WHEN k % 47 = 10 THEN 1 ELSE audio_tracks END",
+    "audio_codec": "'aac'", "audio_bitrate": "CASE WHEN k % 53 = 11 THEN t_audio_bitrate + 1 ELSE t_audio_bitrate END",
+}
+_OUT = ", ".join(f"{v.replace('k %', 'p_partkey %')} AS o_{n}" for n, v in _O.items())
+_V = media_policy.VIDEO_FAULTS
+_VERIFY = f""", ot AS (SELECT *, {_OUT} FROM prof WHERE good) SELECT p_partkey, CASE WHEN o_video_codec = '' THEN '{_V[0]}' WHEN o_container = 'MKV' THEN '{_V[1]}' WHEN o_video_tracks <> 1 THEN '{_V[2]}' WHEN o_width <> t_width THEN '{_V[3]}' WHEN o_par_n <> 1 THEN '{_V[4]}'
+ WHEN o_display_width > display_width OR o_display_height > display_height THEN '{_V[5]}' WHEN abs(o_display_aspect - display_aspect) / greatest(o_display_aspect, display_aspect) > 2.0 / least(t_width, t_height) THEN '{_V[6]}' WHEN o_fps_n * t_fps_d <> t_fps_n * o_fps_d THEN '{_V[7]}'
+ WHEN audio_tracks = 0 AND o_audio_tracks <> 0 THEN '{_V[8]}' WHEN audio_tracks <> 0 AND NOT (o_audio_bitrate > 0 AND o_audio_bitrate <= t_audio_bitrate) THEN '{_V[9]}' WHEN abs(o_duration_ticks - duration_ticks) > 10000000 THEN '{_V[10]}' ELSE '{media_policy.VIDEO_SOUND}' END AS detail FROM ot"""
+
+
+@query(_PROFILE + _VERIFY)
+def video_verify(spark, sf_dir):
+    rows = media_policy.video_profiles(adapters.media(table(spark, sf_dir, "part")), "Balanced").where("outcome IS NULL")
+    rows = rows.selectExpr("*", *[f"{v.replace('k %', 'p_partkey %')} AS o_{n}" for n, v in _O.items()])
+    return media_policy.verify_video(rows).select("p_partkey", "detail")
+
+
+@query("SELECT p_partkey, (p_size - p_partkey % 60)::BIGINT AS saved_bytes, CASE WHEN p_size - p_partkey % 60 <= 0 THEN 'NoSpaceSaving' WHEN p_partkey % 9 = 0 THEN 'DestinationCollision' ELSE 'Succeeded' END AS outcome FROM part")
+def size_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("source_bytes"), (F.col("p_partkey") % 60).cast("long").alias("output_bytes"), (F.col("p_partkey") % 9 == 0).alias("destination_taken"))
+    return media_policy.size_gate(rows).select("p_partkey", "saved_bytes", "outcome")
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+def _queries_sql(kind: str) -> str:
+    return " || ".join(f"CASE WHEN p_partkey % {2 + i} = 0 THEN {_list(media_policy.metadata_queries(kind, (o,)))} ELSE []::VARCHAR[] END" for i, o in enumerate(media_policy.OPTIONS))
+
+
+_EXIF = f"WITH q AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN {_queries_sql('Jpeg')} ELSE {_queries_sql('Tiff')} END AS qs, CASE WHEN p_partkey % 3 = 1 THEN 'Jpeg' ELSE 'Tiff' END AS container FROM part)"
+
+
+def _selected(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 3 == 1, "Jpeg").otherwise("Tiff").alias("container"))
+    return rows.withColumn("selected", media_policy.selected_queries(F.col("container"), {o: k % (2 + i) == 0 for i, o in enumerate(media_policy.OPTIONS)}))
+
+
+@query(_EXIF + " SELECT p_partkey, len(qs)::INT AS n_queries, array_to_string(qs, '|') AS queries FROM q")
+def exif_queries(spark, sf_dir):
+    return _selected(spark, sf_dir).select("p_partkey", F.size("selected").alias("n_queries"), F.array_join("selected", "|").alias("queries"))
+
+
+@query(_EXIF + f""", a AS (SELECT *, CASE container WHEN 'Jpeg' THEN {_list(media_policy.metadata_queries("Jpeg"))} ELSE {_list(media_policy.metadata_queries("Tiff"))} END AS known FROM q)
+ SELECT p_partkey, NOT (p_partkey % 13 = 1 AND len(qs) > 0) AND NOT (p_partkey % 17 = 2 AND len(list_filter(known, lambda x: NOT list_contains(qs, x))) > 0) AND p_partkey % 19 <> 3 AS verified FROM a""")
+def exif_verify(spark, sf_dir):
+    """Outputs that kept a selected path, changed an unselected one, or another picture."""
+    k = F.col("p_partkey")
+    known = F.when(F.col("container") == "Jpeg", F.array(*map(F.lit, media_policy.metadata_queries("Jpeg")))).otherwise(F.array(*map(F.lit, media_policy.metadata_queries("Tiff"))))
+    rows = _selected(spark, sf_dir).withColumn("metadata", F.map_from_arrays(known, known))
+    left = F.map_filter("metadata", lambda q, _: ~F.array_contains("selected", q) | (k % 13 == 1))
+    rows = rows.withColumns({"o_metadata": F.transform_values(left, lambda _, v: F.when(k % 17 == 2, F.concat(v, F.lit("!"))).otherwise(v)), "render": F.struct(F.lit(1).alias("frames")), "o_render": F.struct(F.when(k % 19 == 3, 2).otherwise(1).alias("frames")), "o_container": F.col("container")})
+    return media_policy.verify_metadata(rows).select("p_partkey", "verified")
+
+
+@query(_W + " SELECT full_path FROM files WHERE extension = '.jpg' AND attributes & 1104 = 0")
+def exif_queue(spark, sf_dir):
+    return media_policy.exif_queue(_files(spark, sf_dir)).select("full_path")
+
+
+@query(_W + " SELECT full_path FROM files WHERE extension = '.mp4' AND attributes & 1104 = 0")
+def video_queue(spark, sf_dir):
+    return media_policy.video_queue(_files(spark, sf_dir)).select("full_path")
+
+
+@query(_TYPED + """ SELECT full_path, CASE WHEN detected IN ('MP3', 'FLAC', 'WAV') OR detected = 'Ogg' THEN 'Audio' ELSE 'Video' END AS route FROM typed WHERE detected IN ('MP3', 'FLAC', 'WAV', 'Ogg', 'MP4', 'QuickTime', 'ISO BMFF', 'AVI')""")
+def media_route(spark, sf_dir):
+    rows = adapters.headers(table(spark, sf_dir, "part")).withColumn("detected", signatures.simple_type(F.col("content")))
+    return rows.where(F.col("detected").isin("MP3", "FLAC", "WAV", "Ogg", "MP4", "QuickTime", "ISO BMFF", "AVI")).select("full_path", media_policy.media_route(F.col("detected"), F.col("extension")).alias("route"))
+
+
+# --- side table, numbers and texts -----------------------------------------------------------------------------------
+
+
+def _cache(files: DataFrame) -> DataFrame:
+    k = F.col("doc_id")
+    return files.where(k % 3 != 0).select("full_path", "size_bytes", (F.col("modified_ticks") + (k % 5 == 0).cast("long")).alias("modified_ticks"), F.when(k % 7 == 0, 1).otherwise(2).alias("version"), (k * 10).alias("print"))
+
+
+@query(_W + " SELECT full_path FROM files WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0")
+def cache_misses(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return evidence.missing(files, _cache(files), 2).select("full_path")
+
+
+@query(_W + " SELECT full_path, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0 THEN -doc_id ELSE doc_id * 10 END AS print, 2 AS version FROM files")
+def cache_refresh(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return evidence.refreshed(files, _cache(files), 2, lambda df: df.select("full_path", "size_bytes", "modified_ticks", (-F.col("doc_id")).alias("print"))).select("full_path", "print", "version")
+
+
+@query("""WITH b AS (SELECT o_orderkey, (o_orderkey * o_orderkey * 37 % 5000000000000) AS n FROM orders), u AS (SELECT *, CASE WHEN n >= 1099511627776 THEN 4 WHEN n >= 1073741824 THEN 3 WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS i FROM b)
+ SELECT o_orderkey, CASE WHEN i = 0 THEN n || ' B' ELSE regexp_replace(regexp_replace(printf('%.2f', round(n / pow(1024, i), 2)), '0+$', ''), '[.]$', '') || ' ' || ['KB', 'MB', 'GB', 'TB'][i] END AS size_text FROM u""")
+def byte_text(spark, sf_dir):
+    n = F.col("o_orderkey") * F.col("o_orderkey") * 37 % 5_000_000_000_000
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.byte_text(n).alias("size_text"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 77 WHEN 1 THEN 77 WHEN 2 THEN 9223372036854775807 WHEN 3 THEN 0 ELSE floor(o_totalprice)::BIGINT END AS bytes FROM orders")
+def byte_input(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    value = F.when(k == 0, float("nan")).when(k == 1, float("-inf")).when(k == 2, 1e19).when(k == 3, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.bytes_of_input(value, 77).alias("bytes"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, (o_orderkey * 123456789) % 3000000000000 - 1000000000000 AS k FROM orders), a AS (SELECT *, abs(k) // 10000000 AS s, abs(k) % 10000000 AS r FROM t)
+ SELECT o_orderkey, CASE WHEN k < 0 THEN '-' ELSE '' END || CASE WHEN s >= 86400 THEN (s // 86400) || '.' ELSE '' END || lpad((s // 3600 % 24)::VARCHAR, 2, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') || CASE WHEN r > 0 THEN '.' || lpad(r::VARCHAR, 7, '0') ELSE '' END AS span FROM a""")
+def span_text(spark, sf_dir):
+    k = F.col("o_orderkey") * 123456789 % 3_000_000_000_000 - 1_000_000_000_000
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.span_text(k).alias("span"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.jpg' WHEN 1 THEN '' WHEN 2 THEN '.tar.gz' WHEN 3 THEN '.p' || p_size ELSE '.x y' END AS extension FROM part")
+def normal_extension(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    typed = F.when(k == 0, " *.JPG ").when(k == 1, "  ** ").when(k == 2, "Tar.GZ").when(k == 3, F.concat(F.lit("*P"), F.col("p_size").cast("string"))).otherwise("* .X y")
+    return table(spark, sf_dir, "part").select("p_partkey", paths.normal_extension(typed).alias("extension"))
+
+
+@query("""WITH s AS (SELECT p_partkey, (p_partkey * 7 % 3000 + 1)::INT AS w, (p_partkey * 13 % 2000 + 1)::INT AS h FROM part) SELECT p_partkey, CASE WHEN w <= 512 AND h <= 512 THEN w WHEN w >= h THEN 512 ELSE greatest(1, round(w::DOUBLE * 512 / h)::INT) END AS preview_width,
+ CASE WHEN w <= 512 AND h <= 512 THEN h WHEN w >= h THEN greatest(1, round(h::DOUBLE * 512 / w)::INT) ELSE 512 END AS preview_height FROM s""")
+def preview_size(spark, sf_dir):
+    width, height = (F.col("p_partkey") * 7 % 3000 + 1).cast("int"), (F.col("p_partkey") * 13 % 2000 + 1).cast("int")
+    wide, high = media_policy.preview_size(width, height, 512)
+    return table(spark, sf_dir, "part").select("p_partkey", wide.alias("preview_width"), high.alias("preview_height"))
