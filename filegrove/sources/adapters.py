@@ -109,10 +109,10 @@ def _tracks(day: str) -> dict[str, str]:
 
 def tracks(events: DataFrame) -> DataFrame:
     """A track of each event: by user, as long as its time of day in 100 s steps of ticks."""
-    return events.selectExpr(*_select(_tracks("CAST(10000000 AS BIGINT) * (1 + unix_seconds(cast(ts as timestamp)) % 86400 div 100)")))
+    return events.selectExpr(*_select(_tracks("CAST(10000000 AS BIGINT) * (1 + (unix_seconds(cast(ts as timestamp)) % 86400) div 100)")))
 
 
-TRACKS_SQL = "tracks AS (SELECT " + ", ".join(_select(_tracks("CAST(10000000 AS BIGINT) * (1 + (epoch(ts)::BIGINT % 86400) // 100)"))) + " FROM events)"
+TRACKS_SQL = "tracks AS (SELECT " + ", ".join(_select(_tracks("CAST(10000000 AS BIGINT) * (1 + (floor(epoch(ts))::BIGINT % 86400) // 100)"))) + " FROM events)"
 
 #: First bytes (hex) and names that headers() deals out, by p_partkey.
 HEADERS = (

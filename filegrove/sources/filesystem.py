@@ -189,7 +189,13 @@ def inventory(spark: SparkSession, roots: list[str], files: list[str] = (), excl
     spark.dataSource.register(Inventory)
     options = {"roots": json.dumps(list(roots)), "files": json.dumps(list(files)), "excluded": json.dumps(list(excluded)), "subfolders": str(subfolders), "hidden": str(hidden)}
     rows = spark.read.format("inventory").options(**options).load()
-    once = lambda kind: rows.where(F.col("kind") == kind).withColumn("_u", F.upper("full_path")).dropDuplicates(["_u"]).drop("_u")
+
+    def once(kind: str) -> DataFrame:
+        """Each path once, from the root that is nearest above it."""
+        own = F.struct(F.col("depth"), *[F.col(c).alias(f"v_{c}") for c in COLUMNS if c != "depth"])
+        best = rows.where(F.col("kind") == kind).groupBy(F.upper("full_path")).agg(F.min(own).alias("r"))
+        return best.select(*[F.col("r.depth") if c == "depth" else F.col(f"r.v_{c}").alias(c) for c in COLUMNS])
+
     link = once("link")
     return {
         "files": once("file").select(*COLUMNS[1:10]),
