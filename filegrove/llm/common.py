@@ -166,3 +166,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def text_key(column: str = "text"):
     """128 bits that stand for a whole text; null for null."""
     return F.unhex(F.md5(F.col(f"`{column}`").cast("string")))
+
+
+def let(value, body):
+    """body(value), with value computed once. What stands within a function over an array's elements is otherwise computed
+    again for each element, even if it doesn't depend on them."""
+    return F.element_at(F.transform(F.array(value), body), 1)

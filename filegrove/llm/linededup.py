@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filegrove.llm.common import fresh, text_key, written
+from filegrove.llm.common import fresh, let, text_key, written
 
 WILDCARD = "<*>"
 #: Distinct lines of which the hashes are broadcast for the second look at texts; more are joined by a shuffle.
@@ -30,22 +30,19 @@ class Tree:
     own_share: float = 0.5
 
 
-def spaced(line: Column) -> Column:
-    """A line's tokens with one blank between them."""
+def masked(line: Column) -> Column:
+    """A line's tokens, one blank between them, those with a digit as wildcards. One look tells whether there is anything
+    to do but to trim."""
     plain = F.trim(line)
-    return F.when(plain.contains("  ") | plain.rlike("[\\t\\x0B\\f\\r]"), F.trim(F.regexp_replace(plain, r"\s+", " "))).otherwise(plain)
+    spaced = F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.when(line.rlike(r"[0-9\t\x0B\f\r]|  "), F.regexp_replace(spaced, "[^ 0-9]*+[0-9][^ ]*", WILDCARD)).otherwise(plain)
 
 
-def masked(plain: Column) -> Column:
-    """A spaced line in which tokens with a digit are wildcards."""
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ 0-9]*+[0-9][^ ]*", WILDCARD)).otherwise(plain)
-
-
-def _lines(df: DataFrame, text: str, tree: Tree) -> DataFrame:
+def _lines(df: DataFrame, key: Column, text: str, tree: Tree) -> DataFrame:
     """(key, place, line, tokens, leaf, template) of each line with tokens; key stands for the text."""
-    keyed = df.select(text_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))  # once a text, not once a line
-    rows = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("place", "raw")).where(F.col("raw").rlike(r"\S"))
-    rows = rows.select("key", "place", spaced(F.col("raw")).alias("plain")).select("key", "place", masked(F.col("plain")).alias("line"))
+    keyed = df.select(key.alias("key"), F.col(f"`{text}`").cast("string").alias("text"))  # once a text, not once a line
+    rows = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("place", "raw")).where((F.trim("raw") >= "!") | F.col("raw").rlike(r"\S"))
+    rows = rows.select("key", "place", masked(F.col("raw")).alias("line"))
     tokens = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
     leaf = F.xxhash64(tokens, F.substring_index("line", " ", tree.depth))
     return rows.select("key", "place", "line", tokens.alias("tokens"), leaf.alias("leaf"), F.xxhash64("line").alias("template"))
@@ -58,10 +55,9 @@ def _recurring(rows: DataFrame, by: list[str], least: int) -> DataFrame:
 
 def _blocks(line: Column, tokens: Column, leaf: Column, tree: Tree) -> Column:
     """Hashes of a line's tokens in one block more than it may have variable fields: one block has none of them."""
-    words = F.split(line, " ")
     n = tokens - F.ceil(tokens * tree.constant_share).cast("int") + 1
     edge = lambda i: F.floor(i * tokens / n).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(leaf, i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")))
+    return let(F.split(line, " "), lambda words: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(leaf, i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " "))))
 
 
 def _generalised(df: DataFrame, text: str, lines: DataFrame, exact: DataFrame, tree: Tree) -> DataFrame:
@@ -71,7 +67,8 @@ def _generalised(df: DataFrame, text: str, lines: DataFrame, exact: DataFrame, t
     few = rest.select("template").distinct()
     if few.count() <= BROADCAST_LINES:
         few = F.broadcast(few)
-    seen = written(_lines(df, text, tree).join(few, "template", "left_semi").select(F.xxhash64("key").alias("key"), "template", "leaf", "tokens", "line").distinct(), "line-seen")
+    key = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    seen = written(_lines(df, key, text, tree).join(few, "template", "left_semi").select("key", "template", "leaf", "tokens", "line").distinct(), "line-seen")
     # a template's lines agree in a whole block: few lines of running text share one with others of their leaf
     blocks = written(seen.select("key", "template", F.explode(_blocks(F.col("line"), F.col("tokens"), F.col("leaf"), tree)).alias("block")).distinct(), "line-blocks")
     likely = blocks.join(_recurring(blocks, ["block"], tree.min_docs), "block", "left_semi").select("template").distinct()
@@ -92,7 +89,7 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(),
     neither lost nor merged, and repeated rows get the same text. A column of df with the name of dropped is replaced.
     """
     df = df.drop(dropped)
-    lines = _lines(df, text, tree)
+    lines = _lines(df, text_key(text), text, tree)
     lines = written(lines.drop("line").distinct(), "lines")  # one row per line of a different text
     exact = _recurring(lines, ["template"], tree.min_docs)
     gone = written(exact.unionByName(_generalised(df, text, lines, exact, tree)).distinct(), "line-templates").withColumn("gone", F.lit(True))
@@ -112,8 +109,9 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(),
 
 def _without(text: Column, places: Column) -> Column:
     """A text without the lines at these sorted places: what stands between each two of them, so about linear work."""
-    lines = F.split(text, "\n")
     starts = F.concat(F.array(F.lit(-1)), places)
-    ends = F.concat(places, F.array(F.size(lines)))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
-    return F.array_join(kept, "\n")
+
+    def kept(lines: Column) -> Column:
+        return F.flatten(F.zip_with(starts, F.concat(places, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+
+    return F.array_join(let(F.split(text, "\n"), kept), "\n")
