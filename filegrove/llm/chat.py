@@ -131,3 +131,25 @@ def with_probe(turns: DataFrame) -> DataFrame:
     turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
     return turns.unionByName(turns.sparkSession.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema))
+
+
+#: DuckDB SQL for chat_digests(with_probe(conversations)) with LLAMA_LIKE.
+ORACLE = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), o AS (
+  SELECT *, row_number() OVER w - 1 AS i, coalesce(lag(role) OVER w, '') AS before, lead(role) OVER w AS after,
+         length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '[', '\k')) AS n, length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '[', '\k')) AS rn
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), s AS (
+  SELECT *, CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 16 + rn END + n AS whole,
+         CASE WHEN i = 0 THEN role IN ('system', 'user') ELSE (before IN ('system', 'assistant') AND role = 'user') OR (before = 'user' AND role = 'assistant') END AS allowed
+  FROM o
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss,
+         sum(whole)::BIGINT AS formatted_chars, coalesce(min(i) FILTER (NOT allowed), CASE WHEN max(CASE WHEN after IS NULL THEN role END) = 'assistant' THEN NULL ELSE count(*) END) AS first_bad_turn
+  FROM s GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, first_bad_turn IS NULL AS valid, first_bad_turn FROM g
+"""

@@ -115,3 +115,29 @@ def _without(text: Column, places: Column) -> Column:
         return F.flatten(F.zip_with(starts, F.concat(places, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1)))
 
     return F.array_join(let(F.split(text, "\n"), kept), "\n")
+
+
+#: DuckDB SQL for drop_recurring_lines(documents) with the usual Tree: doc_id, n_lines, dropped_lines, text.
+ORACLE = r"""
+WITH txt AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT text, i AS place, string_split(text, chr(10))[i] AS line FROM txt, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
+ln AS (SELECT text, place, regexp_replace(trim(regexp_replace(line, '[\t\n\x0b\f\r ]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM raw),
+l AS (SELECT text, place, m, string_split(m, ' ') AS w, len(string_split(m, ' ')) AS n FROM ln WHERE m <> ''),
+ex AS (SELECT m FROM l GROUP BY m HAVING count(DISTINCT text) >= 3),
+r0 AS (SELECT DISTINCT text, m, w, n, n || ' ' || array_to_string(w[1:2], ' ') AS leaf FROM l WHERE n >= 6 AND m NOT IN (SELECT m FROM ex)),
+lf AS (SELECT leaf FROM r0 GROUP BY leaf HAVING count(DISTINCT text) >= 3),
+r1 AS (SELECT *, n - ceil(n * 0.7::DOUBLE)::INT + 1 AS k FROM r0 WHERE leaf IN (SELECT leaf FROM lf)),
+bl AS (SELECT text, m, leaf, i, array_to_string(w[i * n // k + 1 : (i + 1) * n // k], ' ') AS b FROM r1, LATERAL (SELECT unnest(range(k)) AS i)),
+bk AS (SELECT leaf, i, b FROM bl GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+r2 AS (SELECT * FROM r1 WHERE m IN (SELECT m FROM bl JOIN bk USING (leaf, i, b))),
+pl AS (SELECT text, m, leaf, n, i, w[i] AS t FROM r2, LATERAL (SELECT unnest(range(1, n + 1)) AS i)),
+cs AS (SELECT leaf, i, t FROM pl GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+ge AS (SELECT m, leaf || chr(10) || string_agg(i || ' ' || t, chr(10) ORDER BY i) AS g FROM (SELECT DISTINCT m, leaf, n, i, t FROM pl) JOIN cs USING (leaf, i, t) GROUP BY m, leaf, n HAVING count(*) >= ceil(n * 0.7::DOUBLE)),
+gw AS (SELECT g FROM ge JOIN r1 USING (m) GROUP BY g HAVING count(DISTINCT text) >= 3),
+gone AS (SELECT m FROM ex UNION SELECT m FROM ge WHERE g IN (SELECT g FROM gw)),
+dc AS (SELECT text, list(place) FILTER (m IN (SELECT m FROM gone)) AS places FROM l GROUP BY text
+       HAVING sum(CASE WHEN m IN (SELECT m FROM gone) THEN n ELSE 0 END) BETWEEN 1 AND sum(n) * 0.5)
+SELECT doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(len(places), 0)::INT AS dropped_lines,
+  CASE WHEN places IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(places, i)), chr(10)) END AS text
+FROM documents d LEFT JOIN dc ON d.text = dc.text
+"""
