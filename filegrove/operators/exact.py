@@ -98,7 +98,8 @@ def _rank(rule: str, folder: str | None) -> Column:
 
 
 def keep_one(members: DataFrame, rule: str = "newest", folder: str | None = None, by: list[str] = ("digest", "size_bytes")) -> DataFrame:
-    """members with survivor_path of their group and selected: all but the survivor."""
+    """members with survivor_path of their group and selected (all but the survivor), in the place of older ones."""
+    members = members.drop("survivor_path", "selected")
     best = members.groupBy(*by).agg(F.min(_rank(rule, folder)).alias("r")).select(*by, F.col("r.p").alias("survivor_path"))
     return members.join(best, list(by)).withColumn("selected", F.col("full_path") != F.col("survivor_path"))
 

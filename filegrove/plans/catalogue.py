@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filegrove.functions import paths, perceptual, signatures, text
-from filegrove.operators import actions, evidence, exact, export, findings, media_policy, similarity
+from filegrove.functions import hashes, paths, perceptual, signatures, text
+from filegrove.operators import actions, evidence, exact, export, findings, media_policy, review, similarity
 from filegrove.session import table
 from filegrove.sources import adapters
 from filegrove.sources.adapters import BASE, DAY
@@ -685,3 +685,97 @@ def preview_size(spark, sf_dir):
     width, height = (F.col("p_partkey") * 7 % 3000 + 1).cast("int"), (F.col("p_partkey") * 13 % 2000 + 1).cast("int")
     wide, high = media_policy.preview_size(width, height, 512)
     return table(spark, sf_dir, "part").select("p_partkey", wide.alias("preview_width"), high.alias("preview_height"))
+
+
+# --- around results --------------------------------------------------------------------------------------------------
+
+
+@query(_SELECTED + f""", old AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY length(full_path), upper(full_path)) > 1 AS was0 FROM sel), snap AS (SELECT *, coalesce(CASE WHEN doc_id % 5 = 0 THEN false WHEN size_bytes % 3 = 0 THEN true ELSE was0 END, false) AS was FROM old)
+ SELECT full_path, CASE WHEN bool_and(was) OVER (PARTITION BY content) THEN selected ELSE was END AS selected FROM snap""")
+def undo_selection(spark, sf_dir):
+    """Back to a snapshot that lacks every fifth file and has whole groups selected."""
+    members = exact.keep_one(_members(spark, sf_dir))
+    before = exact.keep_one(members.drop("selected", "survivor_path"), "shortest")
+    snapshot = before.where("doc_id % 5 <> 0").select("full_path", F.when(F.col("size_bytes") % 3 == 0, True).otherwise(F.col("selected")).alias("selected"))
+    return review.undone(members, snapshot).select("full_path", "selected")
+
+
+@query(_W + " SELECT count(*) AS n_items, count(*) FILTER (doc_id % 3 = 0) AS n_selected, (sum(size_bytes) FILTER (doc_id % 3 = 0))::BIGINT AS selected_bytes, sum(size_bytes)::BIGINT AS total_bytes FROM files")
+def findings_totals(spark, sf_dir):
+    return review.findings_totals(_files(spark, sf_dir).withColumn("selected", F.col("doc_id") % 3 == 0))
+
+
+_NAMES_OF_OUTCOMES = "[" + ", ".join(f"'{o}'" for o in media_policy.VIDEO_OUTCOMES) + "]"
+
+
+@query(f"WITH o AS (SELECT unnest({_NAMES_OF_OUTCOMES}) AS outcome), r AS (SELECT {_NAMES_OF_OUTCOMES}[(p_partkey * p_partkey % 9 + 1)::INT] AS outcome FROM part) SELECT outcome, (SELECT count(*) FROM r WHERE r.outcome = o.outcome) AS n FROM o")
+def outcome_counts(spark, sf_dir):
+    names = F.array(*map(F.lit, media_policy.VIDEO_OUTCOMES))
+    results = table(spark, sf_dir, "part").select(F.element_at(names, (F.col("p_partkey") * F.col("p_partkey") % 9 + 1).cast("int")).alias("outcome"))
+    return review.outcome_counts(results, media_policy.VIDEO_OUTCOMES)
+
+
+@query("SELECT concat('/s/', s_suppkey) AS path, 'Access denied' AS reason, 0 AS source FROM supplier UNION ALL SELECT concat('/n/', n_nationkey), 'File changed since scan.', 1 FROM nation")
+def all_skipped(spark, sf_dir):
+    first = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/s/"), F.col("s_suppkey").cast("string")).alias("path"), F.lit("Access denied").alias("reason"))
+    second = table(spark, sf_dir, "nation").select(F.concat(F.lit("/n/"), F.col("n_nationkey").cast("string")).alias("path"), F.lit(review.CHANGED).alias("reason"))
+    return review.all_skipped(first, second)
+
+
+@query(_W + " SELECT full_path, doc_id % 11 <> 3 AND doc_id % 5 <> 1 AND doc_id % 7 <> 2 AND attributes & 1024 = 0 AS current FROM files WHERE extension = '.mp4'")
+def queue_recheck(spark, sf_dir):
+    files, k = _files(spark, sf_dir), F.col("doc_id")
+    now = files.where("doc_id % 11 <> 3").withColumns({"size_bytes": F.col("size_bytes") + (k % 5 == 1).cast("long"), "modified_ticks": F.col("modified_ticks") + (k % 7 == 2).cast("long")})
+    return review.still_same(files.where("extension = '.mp4'"), now).select("full_path", "current")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 IN (1, 2, 3) THEN 'Video optimization requires fully qualified source and output paths and a valid source snapshot.' WHEN p_partkey % 7 IN (4, 5, 6) THEN 'The output must be a different sibling .mp4 path.' END AS fault FROM part""")
+def request_checks(spark, sf_dir):
+    k = F.col("p_partkey") % 7
+    source = F.when(k == 1, "relative.mov").when(k == 2, F.lit(None).cast("string")).otherwise("/a/b.mov")
+    target = F.when(k == 4, "/a/B.MOV").when(k == 5, "/c/b.mp4").when(k == 6, "/a/b.mkv").otherwise("/A/x.MP4")
+    return table(spark, sf_dir, "part").select("p_partkey", review.request_fault(source, target, F.when(k == 3, -1).otherwise(5)).alias("fault"))
+
+
+@query("""SELECT concat('/i/', p_partkey) AS path, CASE WHEN p_partkey % 5 = 0 THEN 'File changed since scan.' ELSE 'Could not decode image.' END AS reason FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 3 = 0 OR p_partkey % 7 = 1""")
+def image_samples_skipped(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("/i/"), k.cast("string")).alias("full_path"), F.lit(9).alias("size_bytes"), F.lit(9).alias("modified_ticks"), F.lit(9).alias("before_size"), F.lit(9).alias("before_ticks"), F.lit(9).alias("after_size"), (F.lit(9) + (k % 5 == 0).cast("int")).alias("after_ticks"), F.when(k % 3 == 0, 0).otherwise(32).alias("width"), F.lit(32).alias("height"), F.when(k % 7 == 1, F.lit("x")).otherwise(F.lit("x" * 1024)).cast("binary").alias("luminance"))
+    return review.sampled(rows, review.sound_image(), review.FAILED_IMAGE)[1]
+
+
+_CODES = [c for codes in (*review.IMAGE_ERRORS.values(), *review.MEDIA_ERRORS.values()) for c in codes]
+_KINDS = ["data", "argument", "unsupported", "platform", "other"]
+
+
+def _verdict_sql(i: int) -> str:
+    rules = [f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN '{v[i]}'" for v, codes in review.MEDIA_ERRORS.items()]
+    last = (("Invalid", "MediaOpenFailure"), ("UnsupportedOrProtected", "UnsupportedContainer"))
+    return "CASE " + " ".join(rules) + f" WHEN kind IN ('data', 'argument') THEN '{last[0][i]}' WHEN kind IN ('unsupported', 'platform') THEN '{last[1][i]}' END"
+
+
+@query(f"WITH p AS (SELECT p_partkey, [{', '.join(repr(c) for c in _CODES)}][(p_partkey % {len(_CODES)} + 1)::INT] AS code, {_KINDS}[(p_partkey % 5 + 1)::INT] AS kind FROM part) SELECT p_partkey, {_verdict_sql(0)} AS status, {_verdict_sql(1)} AS error_type FROM p")
+def media_verdicts(spark, sf_dir):
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    verdict = review.probe_verdict(pick(_CODES), pick(_KINDS), image=False)
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in verdict.items()])
+
+
+@query("""WITH v AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 1 THEN 1440 ELSE 720 END AS w, 576 AS h, p_partkey % 4 = 2 AS turned, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 16 END AS pn, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 15 END AS pd FROM part)
+ SELECT k AS p_partkey, (CASE WHEN turned THEN h ELSE w END)::INT AS width, (CASE WHEN turned THEN h::DOUBLE ELSE w * (pn::DOUBLE / pd) END) AS display_width, pn::BIGINT AS par_n, CASE k % 3 WHEN 0 THEN 'H.264' WHEN 1 THEN 'HEVC' ELSE 'AV1' END AS video_codec,
+ CASE WHEN k % 2 = 0 THEN 'AAC ADTS' END AS audio_codec, k % 11 <> 0 AND k % 13 <> 0 AS valid FROM v""")
+def video_info(spark, sf_dir):
+    k = F.col("p_partkey")
+    zero = k % 5 == 0
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(k % 3 == 1, 1440).otherwise(720).alias("coded_width"), F.lit(576).alias("coded_height"), F.when(k % 4 == 2, "Rotate270").otherwise("Rotate180").alias("orientation"), F.when(zero, 0).otherwise(16).cast("long").alias("par_n"), F.when(zero, 0).otherwise(15).cast("long").alias("par_d"),
+        F.when(k % 11 == 0, 0).otherwise(5).alias("duration_ticks"), F.lit(30).alias("fps_n"), F.lit(1).alias("fps_d"), F.when(k % 3 == 0, " h264 ").when(k % 3 == 1, "hevces").otherwise("AV1 ").alias("video_codec"), F.lit("mpeg4").alias("container"), F.lit("aac adts").alias("audio_codec"), F.lit(64000).alias("audio_bitrate"),
+        F.lit(1).alias("video_tracks"), F.when(k % 2 == 0, 1).otherwise(0).alias("audio_tracks"), F.when(k % 13 == 0, 1).otherwise(0).alias("metadata_tracks"),
+    )
+    return review.video_info(rows).select("p_partkey", "width", "display_width", "par_n", "video_codec", "audio_codec", "valid")
+
+
+@query()
+def content_hash(spark, sf_dir):
+    """XXH3-64 of contents, as 16 hex digits (no SQL function has it)."""
+    return _files(spark, sf_dir).select("full_path", hashes.hex16(hashes.xxh3(F.col("content").cast("binary"))).alias("hash"))

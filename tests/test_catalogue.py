@@ -11,7 +11,7 @@ def db():
     return database(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_agrees_with_its_sql(spark, db, name):
     got, want = both(spark, db, catalogue.QUERIES[name], catalogue.ORACLES[name], SMALL)
     assert got[0] == want[0]

@@ -196,3 +196,37 @@ def test_components_of_a_path(spark):
 def test_plans_that_overlap(spark):
     pairs = spark.createDataFrame([("/a", "/b"), ("/a", "/c"), ("/d", "/B")], "survivor_path string, duplicate_path string")
     assert [r["path_key"] for r in actions.repeated_paths(pairs).collect()] == ["/B"]
+
+
+def test_options_settings_scope_and_progress():
+    from filegrove.operators import review
+
+    review.check_options("SimilarImages", {"distance": 12}, 4)
+    review.check_options("EmptyFiles", {})
+    for tool, options, workers in (("SimilarImages", {"distance": 13}, 1), ("SimilarVideos", {"mean": 14}, 1), ("EmptyFiles", {"distance": 1}, 1), ("BigFiles", {}, 1), ("BigFiles", {"minimum_bytes": -1}, 1), ("EmptyFiles", {}, 3), ("Nothing", {}, 1)):
+        with pytest.raises(ValueError):
+            review.check_options(tool, options, workers)
+    read = review.Settings(min_bytes=-5, temporary_days=0, image_preset="x", media_workers=3, hashing_workers=8).normal()
+    assert (read.min_bytes, read.temporary_days, read.image_preset, read.media_workers, read.hashing_workers) == (0, 1, "balanced", None, 8)
+    scope = review.Scope().include("/a").include("/A/").include(" ").exclude("/b").include("/B").exclude("/a/")
+    assert (scope.included, scope.excluded) == (("/B",), ("/a/",))
+    assert [review.eta_text(*x) for x in ((0, 5, 1), (5, 0, 1), (9, 10, 1), (1, 3, 2.2))] == ["-", "-", "<1s", "5s"]
+    assert review.whole_progress(1, 4, 0.5) == 37.5 and review.whole_progress(1, 4, 0.1, 30.0) == 30.0 and review.whole_progress(3, 4, 7) == 100
+
+
+def test_xxh3(spark):
+    import xxhash
+
+    from filegrove.functions import hashes
+
+    rows = spark.createDataFrame([(b"",), (b"abc",), (b"x" * 5000,), (None,)], "b binary").select("b", hashes.hex16(hashes.xxh3(F.col("b"))).alias("h")).collect()
+    assert all(r["h"] == (None if r["b"] is None else f"{xxhash.xxh3_64_intdigest(bytes(r['b'])):016X}") for r in rows)
+
+
+def test_video_samples_need_five_frames(spark):
+    from filegrove.operators import review
+
+    frame = b"f" * 1024
+    rows = [(1, [frame] * 5, 1.0, "c"), (2, [frame] * 4, 1.0, "c"), (3, [frame] * 4 + [None], 1.0, "c"), (4, None, 1.0, "c"), (5, [frame] * 5, float("inf"), "c"), (6, [frame] * 5, 1.0, " "), (7, [frame] * 4 + [b"short"], 1.0, "c")]
+    df = spark.createDataFrame(rows, "i int, frames array<binary>, fps double, codec string").withColumns({c: F.lit(2.0) for c in ("width", "height", "display_aspect", "duration_ticks")})
+    assert [r["i"] for r in df.where(review.sound_video()).collect()] == [1]
