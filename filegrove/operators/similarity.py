@@ -25,9 +25,8 @@ def image_pairs(images: DataFrame, distance: int) -> DataFrame:
     """(a_path, b_path, distance) of images (full_path, hash, width, height) whose hashes differ in at most distance bits
     and whose aspect ratios differ by at most a twentieth. a_path < b_path.
 
-    Equal hashes meet once: pairs are found between distinct (hash, width, height), so many copies of one picture cost one
-    row each in the join on bands, which the pigeonhole rule makes complete: two hashes with d differing bits agree in at
-    least one of distance + 1 > d pieces."""
+    The join is on bands, which the pigeonhole rule makes complete: two hashes with d differing bits agree in at least one of
+    distance + 1 > d pieces. All pairs of equal hashes are among the result; image_groups needs no such pairs."""
     if not 0 <= distance <= 12:
         raise ValueError("the distance must lie between 0 and 12")
     columns = ["full_path", "hash", "width", "height"]
@@ -73,6 +72,14 @@ def video_pairs(videos: DataFrame, mean: int) -> DataFrame:
     return a.join(b, close).select(F.col("a_full_path").alias("a_path"), F.col("b_full_path").alias("b_path"), total.alias("total")).distinct()
 
 
+def _alike(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one row of each distinct evidence, edges (a, b) from it to the others that share it): copies cost a row each, not
+    a pair for each two."""
+    first = rows.groupBy(*keys).agg(F.min("full_path").alias("first"))
+    same = rows.select("full_path", *keys).join(first, keys).where("full_path <> first").select(F.col("first").alias("a"), F.col("full_path").alias("b"))
+    return first.withColumnRenamed("first", "full_path"), same
+
+
 def _numbered(refs: DataFrame, prefix: str) -> DataFrame:
     """refs (label, ref_path) with group_id by the order of reference paths. One row a group: small beside the items."""
     order = Window.orderBy(F.upper("ref_path"), "ref_path")
@@ -92,7 +99,8 @@ def _grouped(items: DataFrame, labels: DataFrame, best: list[Column], prefix: st
 def image_groups(images: DataFrame, distance: int) -> DataFrame:
     """Items of groups of similar images: components of image_pairs, so a member may be farther from the reference than the
     distance. The reference is the largest picture, then the largest file, then first by path; ids follow its path."""
-    edges = image_pairs(images, distance).select(F.col("a_path").alias("a"), F.col("b_path").alias("b"))
+    ones, same = _alike(images, ["hash", "width", "height"])
+    edges = image_pairs(ones, distance).select(F.col("a_path").alias("a"), F.col("b_path").alias("b")).unionByName(same)
     best = [-(F.col("width").cast("long") * F.col("height")), -F.col("size_bytes")]
     rows = _grouped(images, connected(edges), best, "image", lambda: hamming(F.col("hash"), F.col("ref_hash")))
     return rows.withColumn("similarity_percent", percent(F.col("distance"))).orderBy("group_id", F.desc("is_reference"), "distance", *path_order("full_path"))
@@ -100,7 +108,8 @@ def image_groups(images: DataFrame, distance: int) -> DataFrame:
 
 def video_groups(videos: DataFrame, mean: int) -> DataFrame:
     """Items of groups of similar videos; the reference is the largest picture, then bitrate, file and path."""
-    edges = video_pairs(videos, mean).select(F.col("a_path").alias("a"), F.col("b_path").alias("b"))
+    ones, same = _alike(videos, ["hashes", "display_aspect", "duration_ticks"])
+    edges = video_pairs(ones, mean).select(F.col("a_path").alias("a"), F.col("b_path").alias("b")).unionByName(same)
     best = [-(F.col("width").cast("long") * F.col("height")), -F.col("bitrate"), -F.col("size_bytes")]
     rows = _grouped(videos, connected(edges), best, "video", lambda: total_distance(F.col("hashes"), F.col("ref_hashes")) / F.lit(float(FRAMES)))
     return rows.withColumn("similarity_percent", percent(F.col("distance"))).orderBy("group_id", F.desc("is_reference"), "distance", *path_order("full_path"))

@@ -80,6 +80,13 @@ def test_image_thresholds_and_components(spark):
     assert [(r["group_id"], r["full_path"], r["distance"], r["similarity_percent"]) for r in got] == [("image-0001", "/0", 0, 100.0), ("image-0001", "/1", 8, 87.5), ("image-0001", "/2", 16, 75.0)]
 
 
+def test_many_copies_of_one_picture(spark):
+    schema = "full_path string, hash long, width int, height int, size_bytes long, modified_ticks long"
+    rows = [(f"/{i:04}", 5, 10, 10, 1, 1) for i in range(3000)] + [("/z", 4, 10, 10, 9, 1), ("/far", -1, 10, 10, 1, 1)]
+    got = similarity.image_groups(spark.createDataFrame(rows, schema), 4).collect()
+    assert len(got) == 3001 and {r["group_id"] for r in got} == {"image-0001"} and got[0]["full_path"] == "/z"
+
+
 def test_video_durations(spark):
     s = 10_000_000
     schema = "full_path string, hashes array<long>, display_aspect double, duration_ticks long"
