@@ -17,8 +17,8 @@ from filegrove.llm.common import fresh, gram_hashes, map_arrow, mix, text_key, w
 class Plan:
     """Shingles of so many words; the least Jaccard similarity of the shingle sets as a fraction; bands of rows registers.
 
-    32 bands of 5 miss a pair of similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6. The sketch has one bit a register;
-    unlike_bits lets pairs of 0.8 pass but for 6 standard deviations. Candidates go through so many sieves (see _linkable;
+    32 bands of 5 miss a pair of similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6. Candidates have a sketch of fine
+    bits; unlike_bits lets pairs of 0.8 pass but for 5 standard deviations (102 + 5 x 9.6), a chance of 3e-7. Candidates go through so many sieves (see _linkable;
     what one drops makes the next finer). In rounds many rounds each bucket's members meet one
     of them; what is still apart then meets all members of the bucket that belong to other classes.
     """
@@ -27,7 +27,8 @@ class Plan:
     similar: tuple[int, int] = (4, 5)
     bands: int = 32
     rows: int = 5
-    unlike_bits: int = 40
+    fine: int = 1024
+    unlike_bits: int = 150
     sieves: int = 2
     rounds: int = 3
 
@@ -103,40 +104,58 @@ def set_weights(times: np.ndarray) -> np.ndarray:
     return 2 - 1 / times
 
 
-SKETCH = "node binary, doc_id long, n int, bits array<long>, bands array<long>"
+SKETCH = "node binary, doc_id long, bands array<long>"
+#: Rows up to which a table of ids (8 bytes a row, 32 with the text's key and document) is broadcast.
+BROADCAST_IDS = 500_000
+#: Sets of which fine sketches are made at once, which bounds the arrivals in memory.
+FINE_BLOCK = 64
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """Rows of 64-bit numbers as a list column."""
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(rows).reshape(-1).view(np.int64)))
+
+
+def fine_sketch(owner: np.ndarray, found: np.ndarray, n: int, registers: int) -> np.ndarray:
+    """One bit a register, packed: sets of similarity s differ in (1 - s) / 2 of the bits."""
+    out = np.zeros((n, registers // 64), np.int64)
+    for at in range(0, n, FINE_BLOCK):
+        stop = min(n, at + FINE_BLOCK)
+        low, high = np.searchsorted(owner, (at, stop))
+        signature = prob_min_hash(owner[low:high] - at, found[low:high], np.ones(high - low), stop - at, registers)
+        out[at:stop] = np.packbits((mix(signature) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+    return out
 
 
 def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(node, doc_id, n shingles, bits, bands) of each row of docs (doc_id, text) that has words."""
+    """(node, doc_id, bands) of each row of docs (doc_id, text) that has words."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.lower().encode() for t in batch.column("text").to_pylist()]
         owner, found, times = shingles(texts, plan.words)
         signature = prob_min_hash(owner, found, set_weights(times), len(texts), plan.registers)
-        n = np.bincount(owner, minlength=len(texts))
-        some = np.flatnonzero(n > 0)
+        some = np.flatnonzero(np.bincount(owner, minlength=len(texts)) > 0)
         signature = signature[some]
         bands = np.zeros((len(some), plan.bands), np.uint64) + np.arange(plan.bands, dtype=np.uint64)
         for r in range(plan.rows):
             bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + signature[:, r :: plan.rows])
-        bit = (mix(signature) & np.uint64(1)).astype(np.uint8)
-        packed = np.packbits(np.pad(bit, ((0, 0), (0, -plan.registers % 64))), axis=1).view(np.int64)
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64)))
         take = pa.array(some)
-        return pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("doc_id").take(take), pa.array(n[some], pa.int32()), lists(packed), lists(bands)], names=["node", "doc_id", "n", "bits", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("doc_id").take(take), _lists(bands)], names=["node", "doc_id", "bands"])
 
     return map_arrow(docs, kernel, SKETCH)
 
 
 def shingle_sets(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(id, shingles) of each row of docs (id, text)."""
+    """(id, n, bits, shingles) of each row of docs (id, text): the number of shingles, the fine sketch, and their hashes."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, found, _ = shingles([t.lower().encode() for t in batch.column("text").to_pylist()], plan.words)
         offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))], names=["id", "shingles"])
+        bits = fine_sketch(owner, found, batch.num_rows, plan.fine)
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), _lists(bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))], names=["id", "n", "bits", "shingles"])
 
-    return map_arrow(docs, kernel, "id long, shingles array<long>")
+    return map_arrow(docs, kernel, "id long, n int, bits array<long>, shingles array<long>")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -166,24 +185,36 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return written(current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots), name)
 
 
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of sets with one of these ids (distinct). Up to BROADCAST_IDS they go to all tasks, so that no set is
+    shuffled only to be dropped."""
+    few = ids.count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough: sizes and bits first, then the sets themselves."""
-    side = lambda x: sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "rest", "bits")))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may(plan, "a_", "b_")).select("a", "b")
+    """The pairs (a, b) whose shingle sets are similar enough."""
+    sets = _only(sets, written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "neardup-ids"))
     whole = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set"))
-    both = near.join(whole("a"), "a").join(whole("b"), "b")
+    both = pairs.join(whole("a"), "a").join(whole("b"), "b")
     shared, sizes = F.size(F.array_intersect("a_set", "b_set")), F.col("a_n") + F.col("b_n")
     top, bottom = plan.similar
     return both.where(shared * (top + bottom) >= sizes * top).select("a", "b")  # shared / (sizes - shared) >= top / bottom
 
 
+def _likely(pairs: DataFrame, live: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave a chance."""
+    side = lambda x: live.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "rest", "bits")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may(plan, "a_", "b_")).select("a", "b")
+
+
 def _may(plan: Plan, a: str, b: str) -> Column:
     """Whether sizes and one-bit sketches leave a pair a chance: the columns n, rest and bits with prefixes a and b. rest
     shingles of a set occur in other sets as well, so no pair shares more than the lesser rest."""
     top, bottom = plan.similar
     of = lambda c: (F.col(f"{a}{c}"), F.col(f"{b}{c}"))
     (n, m), (bits, other) = of("n"), of("bits")
-    unlike = sum((F.bit_count(bits[i].bitwiseXOR(other[i])) for i in range(-(-plan.registers // 64))), F.lit(0))
+    unlike = sum((F.bit_count(bits[i].bitwiseXOR(other[i])) for i in range(plan.fine // 64)), F.lit(0))
     return (F.least(n, m) * bottom >= F.greatest(n, m) * top) & (F.least(*of("rest")) * (top + bottom) >= (n + m) * top) & (unlike <= plan.unlike_bits)
 
 
@@ -192,15 +223,16 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def _linkable(sets: DataFrame, plan: Plan) -> DataFrame:
-    """sets (id, n, bits, shingles) that may have a link, with only the shingles that occur in several sets (rest many).
+    """(id, n, rest, bits) of the sets (id, n, bits, shingles) that may have a link.
 
-    A shingle that no other candidate has is lost to every pair. Where more than a fifth are such, no other set can be
-    similar enough. This settles texts that share a passage, and copies with many changes, without a look at any pair."""
+    A shingle that no other candidate has is lost to every pair; rest many are left. Where more than a fifth are lost, no
+    other set can be similar enough. This settles texts that share a passage, and copies with many changes, without a look
+    at any pair."""
     single = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("texts"), F.max("id").alias("id")).where("texts = 1")
-    own = single.groupBy("id").agg(F.collect_set("shingle").alias("own"))
+    own = single.groupBy("id").agg(F.count("*").cast("int").alias("own"))
     top, bottom = plan.similar
-    left = sets.drop("rest").join(own, "id", "left").withColumn("shingles", F.when(F.col("own").isNull(), F.col("shingles")).otherwise(F.array_except("shingles", "own")))
-    return left.withColumn("rest", F.size("shingles")).where(F.col("rest") * bottom >= F.col("n") * top).drop("own")
+    left = sets.select("id", "n", "bits").join(own, "id", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
+    return left.where(F.col("rest") * bottom >= F.col("n") * top).drop("own")
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
@@ -219,13 +251,16 @@ def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
     hits = written(bands.join(several, "band").distinct(), "neardup-hits")
     # candidate texts get whole numbers, which later aggregates take without sorting
     nodes = written(hits.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "neardup-nodes")
-    rows = table.join(nodes, "node").groupBy("id", "node").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    rows = table.join(nodes, "node").groupBy("id", "node").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))
     chosen = written(rows, "neardup-chosen")
-    text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(chosen.select("node", "doc_id", "id"), ["node", "doc_id"]).select("id", "text")
-    sets = written(shingle_sets(text, plan).dropDuplicates(["id"]).join(chosen.select("id", "n", "bits"), "id"), "neardup-sets")
-    for _ in range(plan.sieves):
-        sets = written(_linkable(sets, plan), "neardup-linkable")
-    buckets = hits.join(nodes, "node").select("band", "id").join(sets.select("id"), "id", "left_semi")
+    wanted = chosen.select("node", "doc_id", "id")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"]).select("id", "text")
+    sets = written(shingle_sets(text, plan), "neardup-sets")
+    live = written(_linkable(sets, plan), "neardup-linkable")
+    for _ in range(1, plan.sieves):
+        live = written(_linkable(_only(sets, live.select("id")), plan), "neardup-linkable")
+    buckets = hits.join(nodes, "node").select("band", "id").join(live.select("id"), "id", "left_semi")
     buckets = written(_shared(buckets), "neardup-buckets")
     # a text that meets many others in its buckets is near the middle of a group: it leads first
     sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))
@@ -257,9 +292,9 @@ def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
         lead = rows.groupBy("band").agg(F.max_by("id", order).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "lead")
         own = rows.select(F.col("id").alias("lead"), F.col("label").alias("lead_label")).distinct()
         met = rows.join(lead.join(own, "lead"), "band").where("label <> lead_label")
-        if not add(met.select(*_ordered(F.col("id"), F.col("lead"))).distinct()):
+        if not add(_likely(met.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), live, plan)):
             break
-    add(_across(labelled().select("band", "id", "label"), sets, plan))
+    add(_across(labelled().select("band", "id", "label"), live, plan))
     if labels is None:
         return table, None
     names = nodes.select("id", "node")
@@ -267,13 +302,13 @@ def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
     return table, named.select("node", "label")
 
 
-def _across(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _across(rows: DataFrame, live: DataFrame, plan: Plan) -> DataFrame:
     """All pairs of different classes that share a bucket and that sizes and bits leave a chance.
 
     In each bucket, members outside its largest class meet all members of other classes."""
     sizes = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max_by("label", "n").alias("home"), F.count("*").alias("classes")).where("classes > 1").select("band", "home")
-    rows = written(rows.join(mixed, "band").join(sets.select("id", "n", "rest", "bits"), "id"), "neardup-mixed")
+    rows = written(rows.join(mixed, "band").join(live, "id"), "neardup-mixed")
     left = rows.where("label <> home").select("band", *(F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "rest", "bits")))
     near = left.join(rows, "band").where((F.col("x_label") != F.col("label")) & _may(plan, "x_", ""))
     return near.select(*_ordered(F.col("x_id"), F.col("id"))).distinct()
