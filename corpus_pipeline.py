@@ -43,9 +43,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether the ids decode to the text's bytes."""
     vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode_ids(bpe.encode_texts(docs, vocabulary, pattern), vocabulary, pattern)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    out = bpe.encode_texts(docs.select("doc_id", "text", "lang", "source", "n_chars"), vocabulary, pattern, round_trip="round_trip")
+    return out.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [("quality", keep_quality), ("line_dedup", drop_lines), ("near_dedup", keep_first_copies), ("decontamination", drop_contaminated), ("byte_bpe", encode)]

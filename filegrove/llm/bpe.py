@@ -6,6 +6,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ BYTE_TO_CHAR = {b: chr(b) for b in _PRINTS} | {b: chr(0x100 + i) for i, b in enu
 #: latin-1 text to mapped text.
 _TO_PIECE = {b: c for b, c in BYTE_TO_CHAR.items()}
 _FROM_PIECE = {ord(c): b for b, c in BYTE_TO_CHAR.items()}
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 200_000
+#: Pre-tokens that a worker remembers in a task (about 200 bytes each), and texts that it looks through at once.
+REMEMBERED, BLOCK = 250_000, 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -91,8 +92,8 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.find = regex.compile(rust_pattern(pattern)).findall
         self.tokens = tokens
-        self.whole = {t.decode(): i for i, t in enumerate(tokens) if _is_utf8(t)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.whole = {t.decode(): (i,) for i, t in enumerate(tokens) if _is_utf8(t)}
+        self.known = dict(self.whole)
 
     @classmethod
     def of(cls, key: str, tokens: list[bytes], model: bytes, pattern: str) -> Codec:
@@ -102,23 +103,22 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text. A pre-token that is a token as a whole is that token; others go through the model."""
-        whole, known = self.whole, self.known
-        for text in texts:
-            parts = self.find(text)
-            new = [p for p in {*parts} if p not in whole and p not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = [p for p in {*parts} if p not in whole]
+        for at in range(0, len(texts), BLOCK):
+            parts = [self.find(t) for t in texts[at : at + BLOCK]]
+            found = set().union(*parts)
+            new = found.difference(self.known)
+            if len(self.known) + len(new) > len(self.whole) + REMEMBERED:
+                self.known = dict(self.whole)
+                new = found.difference(self.known)
             if new:
-                known.update(zip(new, map(tuple, self.model.encode([to_piece(p.encode()) for p in new], out_type=int, num_threads=1)), strict=True))
-            out: list[int] = []
-            for p in parts:
-                i = whole.get(p)
-                if i is None:
-                    out += known[p]
-                else:
-                    out.append(i)
-            yield out
+                made = self.model.encode([to_piece(p.encode()) for p in new], out_type=int, num_threads=1)
+                self.known.update(zip(new, map(tuple, made), strict=True))
+            for part in parts:
+                yield list(chain.from_iterable(map(self.known.__getitem__, part)))
+
+    def forget(self) -> None:
+        """Gives the memory of pre-tokens back: idle workers live on."""
+        self.known = dict(self.whole)
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes behind ids, by the inverse mapping of the model's pieces."""
@@ -149,22 +149,27 @@ def _codec(df: DataFrame, vocabulary: str, pattern: str):
     return make
 
 
-def encode_texts(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """df and an array column of token ids of the whole texts, as the tiktoken library gives them without special tokens.
+def encode_texts(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", round_trip: str | None = None) -> DataFrame:
+    """df and an array column of token ids of the whole texts, as the tiktoken library gives them without special tokens;
+    with round_trip also a boolean column of that name: whether the ids decode to the text's bytes.
 
-    A null or empty text has no ids. A column of df that has the name of the new one is replaced; rows stay as they are.
+    A null or empty text has no ids. Columns of df that have the name of a new one are replaced; rows stay as they are.
     """
     make = _codec(df, vocabulary, pattern)
-    keep = [c for c in df.columns if c != ids]
+    keep = [c for c in df.columns if c not in (ids, round_trip)]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = list(make().encode([t or "" for t in batch.column(text).to_pylist()]))
+        codec, texts = make(), [t or "" for t in batch.column(text).to_pylist()]
+        rows = list(codec.encode(texts))
         offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-        flat = np.fromiter((i for r in rows for i in r), np.int32, int(offsets[-1]))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*keep, ids])
+        flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
+        new = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        if round_trip:
+            new.append(pa.array([codec.decode(r) == t.encode() for r, t in zip(rows, texts, strict=True)], pa.bool_()))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], names=[*keep, ids, *[round_trip] * bool(round_trip)])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
-    return map_arrow(df.select(*[F.col(f"`{c}`") for c in keep]), kernel, f"{schema}, `{ids}` array<int>")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep), f"`{ids}` array<int>", *[f"`{round_trip}` boolean"] * bool(round_trip)])
+    return map_arrow(df.select(*[F.col(f"`{c}`") for c in keep]), kernel, schema, lambda: make().forget())
 
 
 def decode_ids(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -198,4 +203,4 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         return arrow(DIGEST, batch.column("doc_id"), n, ids_sha, text_sha)
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(docs, kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs, kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: make().forget())

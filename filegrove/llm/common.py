@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 BATCH_ROWS, CHUNK_BYTES = 1000, 2 << 20
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """df.mapInArrow with a kernel on record batches, in batches small enough for long texts."""
+def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, finish: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow with a kernel on record batches, in batches small enough for long texts. finish is called at the end
+    of each task."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 yield kernel(piece)
+        if finish:
+            finish()
 
     return df.mapInArrow(run, schema)
 
