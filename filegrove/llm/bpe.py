@@ -116,9 +116,10 @@ class Codec:
             for part in parts:
                 yield list(chain.from_iterable(map(self.known.__getitem__, part)))
 
-    def forget(self) -> None:
-        """Gives the memory of pre-tokens back: idle workers live on."""
-        self.known = dict(self.whole)
+    @classmethod
+    def forget(cls) -> None:
+        """Gives the memory back at a task's end: idle workers live on, beside those of other operators."""
+        cls.made.clear()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes behind ids, by the inverse mapping of the model's pieces."""
@@ -169,7 +170,7 @@ def encode_texts(df: DataFrame, vocabulary: str, pattern: str, text: str = "text
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], names=[*keep, ids, *[round_trip] * bool(round_trip)])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep), f"`{ids}` array<int>", *[f"`{round_trip}` boolean"] * bool(round_trip)])
-    return map_arrow(df.select(*[F.col(f"`{c}`") for c in keep]), kernel, schema, lambda: make().forget())
+    return map_arrow(df.select(*[F.col(f"`{c}`") for c in keep]), kernel, schema, Codec.forget)
 
 
 def decode_ids(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -203,4 +204,4 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         return arrow(DIGEST, batch.column("doc_id"), n, ids_sha, text_sha)
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(docs, kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: make().forget())
+    return map_arrow(docs, kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", Codec.forget)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Spark puts into one Arrow batch at most, and bytes of text that a kernel takes at once (or one row).
-BATCH_ROWS, CHUNK_BYTES = 1000, 2 << 20
+BATCH_ROWS, CHUNK_BYTES = 1000, 1 << 20
 
 
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, finish: Callable[[], None] | None = None) -> DataFrame:

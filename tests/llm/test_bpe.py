@@ -39,10 +39,9 @@ def test_ids_are_those_of_the_library(codec, plain):
     assert all(codec.decode(ids) == t.encode() for ids, t in zip(got, texts, strict=True))
 
 
-def test_forgetting_changes_nothing(codec, monkeypatch):
+def test_a_short_memory_changes_nothing(codec, monkeypatch):
     texts = [f"word{i} Überraschung{i}" for i in range(500)]
     want = list(codec.encode(texts))
-    codec.forget()
     monkeypatch.setattr(bpe, "REMEMBERED", 10)
     assert list(codec.encode(texts)) == want
 
