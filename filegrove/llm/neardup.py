@@ -251,8 +251,8 @@ def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
     hits = written(bands.join(several, "band").distinct(), "neardup-hits")
     # candidate texts get whole numbers, which later aggregates take without sorting
     nodes = written(hits.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "neardup-nodes")
-    rows = table.join(nodes, "node").groupBy("id", "node").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))
-    chosen = written(rows, "neardup-chosen")
+    rows = table.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))  # copies meet before the join
+    chosen = written(rows.join(nodes, "node"), "neardup-chosen")
     wanted = chosen.select("node", "doc_id", "id")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"]).select("id", "text")
