@@ -49,8 +49,10 @@ def _lines(df: DataFrame, key: Column, text: str, tree: Tree) -> DataFrame:
 
 
 def _recurring(rows: DataFrame, by: list[str], least: int) -> DataFrame:
-    """The groups that occur in at least so many different texts."""
-    return rows.select(*by, F.xxhash64("key").alias("text")).distinct().groupBy(*by).agg(F.count("*").alias("texts")).where(F.col("texts") >= least).drop("texts")
+    """The groups that occur in at least so many different texts, as a table: a join with it can be split where one group
+    has very many rows, which a join with the aggregate itself can't."""
+    groups = rows.select(*by, F.xxhash64("key").alias("text")).distinct().groupBy(*by).agg(F.count("*").alias("texts"))
+    return written(groups.where(F.col("texts") >= least).drop("texts"), "line-recurring")
 
 
 def _blocks(line: Column, tokens: Column, leaf: Column, tree: Tree) -> Column:
