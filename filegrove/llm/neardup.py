@@ -18,9 +18,10 @@ class Plan:
     """Shingles of so many words; the least Jaccard similarity of the shingle sets as a fraction; bands of rows registers.
 
     32 bands of 5 miss a pair of similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6. Candidates have a sketch of fine
-    bits; unlike_bits lets pairs of 0.8 pass but for 5 standard deviations (102 + 5 x 9.6), a chance of 3e-7. Candidates go through so many sieves (see _linkable;
-    what one drops makes the next finer). In rounds many rounds each bucket's members meet one
-    of them; what is still apart then meets all members of the bucket that belong to other classes.
+    bits, which differ independently of each other: a pair of 0.8 has over unlike_bits unlike ones (102 on average, 9.6 the
+    standard deviation) with probability 1.1e-6. Candidates go through so many sieves (see _linkable; what one drops makes
+    the next finer). In rounds many rounds each bucket's members meet one of them; what is still apart then meets all
+    members of the bucket that belong to other classes.
     """
 
     words: int = 5
@@ -118,13 +119,15 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def fine_sketch(owner: np.ndarray, found: np.ndarray, n: int, registers: int) -> np.ndarray:
-    """One bit a register, packed: sets of similarity s differ in (1 - s) / 2 of the bits."""
+    """One bit a register, packed: sets of similarity s differ in (1 - s) / 2 of the bits. The bit is of the element and the
+    register's number together: of the element alone, the bits of a small set would be the same few over and over."""
     out = np.zeros((n, registers // 64), np.int64)
+    place = np.arange(1, registers + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, n, FINE_BLOCK):
         stop = min(n, at + FINE_BLOCK)
         low, high = np.searchsorted(owner, (at, stop))
         signature = prob_min_hash(owner[low:high] - at, found[low:high], np.ones(high - low), stop - at, registers)
-        out[at:stop] = np.packbits((mix(signature) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+        out[at:stop] = np.packbits((mix(signature + place) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
     return out
 
 

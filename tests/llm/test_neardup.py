@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from filegrove.llm.neardup import Plan, classes, components, keep_first, prob_min_hash
+from filegrove.llm.neardup import Plan, classes, components, fine_sketch, keep_first, prob_min_hash
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -108,6 +108,34 @@ def test_signatures_estimate_probability_jaccard():
     assert not signature[2].any()
 
 
+def test_sketches_of_small_sets_leave_similar_pairs():
+    rng = np.random.default_rng(11)
+    for shared, a, b in ((4, 4, 5), (5, 5, 6), (8, 8, 10), (8, 9, 9), (12, 13, 14), (20, 20, 25)):
+        sets = []
+        for _ in range(100):
+            every = rng.integers(0, 1 << 63, a + b - shared, dtype=np.uint64)
+            sets += [every[:a], np.concatenate((every[:shared], every[a:]))]
+        owner = np.repeat(np.arange(200), [len(x) for x in sets])
+        bits = fine_sketch(owner, np.concatenate(sets), 200, Plan().fine).view(np.uint64)
+        unlike = np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1)
+        assert unlike.max() <= Plan().unlike_bits, (shared, a, b, unlike.max())
+
+
+def test_short_texts_are_those_of_brute_force(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(5, 30))]
+        rows += [" ".join(words), " ".join(words + [f"v{i}" for _ in range(rng.randint(1, 2))]), " ".join([f"u{i}", *words])]
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    close = [(i, j) for i in range(0, len(rows), 3) for j in (i + 1, i + 2) if 0.8 <= len(shingle_set(rows[i][1]) & shingle_set(rows[j][1])) / len(shingle_set(rows[i][1]) | shingle_set(rows[j][1])) <= 0.85]
+    assert len(close) > 50
+    found = {r["doc_id"]: r["class_id"] for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    least = {label: i for i, label in reversed(list(enumerate(want)))}
+    assert found == {i: least[label] for i, label in enumerate(want)}
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1050)]
