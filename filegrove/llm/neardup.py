@@ -38,8 +38,8 @@ class Plan:
         return self.bands * self.rows
 
 
-def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of lower-cased texts: the text's place, the hash, how often it occurs; sorted by text, then hash.
+def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of lower-cased texts: the text's place and the hash; sorted by text, then hash.
 
     A text of 1 to k - 1 words has one shingle, all its words; one without words has none.
     """
@@ -58,7 +58,7 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.nda
     order = np.lexsort((found, owner))
     owner, found = owner[order], found[order]
     first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])))) if len(found) else np.zeros(0, np.int64)
-    return owner[first], found[first], np.diff(np.append(first, len(found)))
+    return owner[first], found[first]
 
 
 def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -100,11 +100,6 @@ def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
     return out
 
 
-def set_weights(times: np.ndarray) -> np.ndarray:
-    """From 1 for a shingle that occurs once towards 2: a repeated passage counts more, yet can't hide the rest."""
-    return 2 - 1 / times
-
-
 SKETCH = "node binary, doc_id long, bands array<long>"
 #: Rows up to which a table of ids (8 bytes a row, 32 with the text's key and document) is broadcast.
 BROADCAST_IDS = 500_000
@@ -136,8 +131,8 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.lower().encode() for t in batch.column("text").to_pylist()]
-        owner, found, times = shingles(texts, plan.words)
-        signature = prob_min_hash(owner, found, set_weights(times), len(texts), plan.registers)
+        owner, found = shingles(texts, plan.words)
+        signature = prob_min_hash(owner, found, np.ones(len(found)), len(texts), plan.registers)  # equal weights, as links are by sets
         some = np.flatnonzero(np.bincount(owner, minlength=len(texts)) > 0)
         signature = signature[some]
         bands = np.zeros((len(some), plan.bands), np.uint64) + np.arange(plan.bands, dtype=np.uint64)
@@ -153,7 +148,7 @@ def shingle_sets(docs: DataFrame, plan: Plan) -> DataFrame:
     """(id, n, bits, shingles) of each row of docs (id, text): the number of shingles, the fine sketch, and their hashes."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owner, found, _ = shingles([t.lower().encode() for t in batch.column("text").to_pylist()], plan.words)
+        owner, found = shingles([t.lower().encode() for t in batch.column("text").to_pylist()], plan.words)
         offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
         bits = fine_sketch(owner, found, batch.num_rows, plan.fine)
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), _lists(bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))], names=["id", "n", "bits", "shingles"])

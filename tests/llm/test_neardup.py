@@ -136,6 +136,19 @@ def test_short_texts_are_those_of_brute_force(spark):
     assert found == {i: least[label] for i, label in enumerate(want)}
 
 
+def test_repeated_passages_do_not_hide_links(spark):
+    rng = random.Random(17)
+    rows = []
+    for _ in range(150):  # the halves and the ends that differ are repeated in one text each
+        x, y, p, q = ([f"w{rng.randrange(10**9)}" for _ in range(n)] for n in (50, 50, 9, 9))
+        rows += [" ".join(x * 30 + x[:4] + y + y[:4] + p * 30), " ".join(x + x[:4] + y * 30 + y[:4] + q * 30)]
+    rows = list(enumerate(rows))
+    a, b = shingle_set(rows[0][1]), shingle_set(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+    found = classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in found)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1050)]
