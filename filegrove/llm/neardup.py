@@ -317,15 +317,18 @@ def classes(df: DataFrame, text: str = "text", id_column: str = "doc_id", plan:
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles (A-Z and other capitals lowered) is at
     least 0.8, and equal texts always; a class is what links join. class_id is the class's least id; class_size counts rows;
-    first marks rows that have that id. Null and wordless texts, the empty one among them, are classes of one row each: they
-    have the id of their row, a class_key of null and first = true. Rows with a null id are members like others.
+    first marks rows that have that id. Texts without words are linked to equal ones only. Null and empty texts are classes
+    of one row each: they have the id of their row, a class_key of null and first = true. Rows with a null id are members
+    like others.
     """
     docs = df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     table, labels = links(docs, plan)
     rows = docs.select("doc_id", text_key().alias("node"))
     wordy = table.groupBy("node").agg(F.count("*").alias("n"))  # texts with words
     label = wordy.select("node", F.col("node").alias("class_key")) if labels is None else wordy.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class_key"))
-    members = written(table.select("node", "doc_id").join(written(label, "neardup-labels"), "node"), "neardup-members")
+    members = table.select("node", "doc_id").join(written(label, "neardup-labels"), "node")
+    wordless = docs.where((F.col("text") != "") & ~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]")).select(text_key().alias("node"), "doc_id")
+    members = written(members.unionByName(wordless.withColumn("class_key", F.col("node"))), "neardup-members")
     sizes = members.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     by_text = members.select("node", "class_key").distinct().join(sizes, "class_key")
     out = rows.join(written(by_text, "neardup-classes"), "node", "left")
@@ -349,7 +352,7 @@ def keep_first(df: DataFrame, text: str = "text", id_column: str = "doc_id", pla
     best = found.groupBy(key).agg(F.min(own).alias(own))
     rows = written(found.join(best, [key, own]).groupBy(key, own, best_id).agg(F.count("*").alias(count)), "neardup-kept")
     marked = df.withColumn(own, text_key(text)).join(rows, own, "left")
-    wordy = F.coalesce(F.lower(F.col(f"`{text}`").cast("string")).rlike(r"[0-9a-z]|[^\x00-\x7f]"), F.lit(False))
-    plain = marked.where(~wordy | (F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(best_id)) & (F.col(count) == 1)))
-    repeated = marked.where(wordy & F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(best_id)) & (F.col(count) > 1)).dropDuplicates([key])
+    some = F.coalesce(F.col(f"`{text}`").cast("string") != "", F.lit(False))
+    plain = marked.where(~some | (F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(best_id)) & (F.col(count) == 1)))
+    repeated = marked.where(some & F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(best_id)) & (F.col(count) > 1)).dropDuplicates([key])
     return plain.unionByName(repeated).select(*df.columns)

@@ -149,6 +149,15 @@ def test_repeated_passages_do_not_hide_links(spark):
     assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in found)
 
 
+def test_equal_texts_without_words_are_one_class(spark):
+    rows = [(1, "!!"), (2, "!!"), (3, "! !"), (4, " "), (5, " "), (6, ""), (7, ""), (8, None), (9, None), (10, "hello"), (None, "!!"), (11, "\u00e9"), (12, "K"), (13, "k"), (14, "--"), (14, "--")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r["doc_id"], r["class_id"], r["class_size"], r["first"]) for r in classes(df).collect()]
+    want = {1: (1, 3), 2: (1, 3), None: (1, 3), 3: (3, 1), 4: (4, 2), 5: (4, 2), 12: (12, 2), 13: (12, 2), 14: (14, 2)}
+    assert sorted(found, key=str) == sorted(((i, *want.get(i, (i, 1)), i == want.get(i, (i, 1))[0]) for i, _ in rows), key=str)
+    assert sorted(r["doc_id"] for r in keep_first(df).collect()) == [1, 3, 4, 6, 7, 8, 9, 10, 11, 12, 14]
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1050)]
