@@ -196,9 +196,10 @@ EPOCH, LATER = 1_700_000_000, 40
 
 
 def crawl(pages: DataFrame) -> DataFrame:
-    """content: for each page a WARC file of two records. A full response, at EPOCH + 2 x page_id; and a revisit, LATER
-    pages and a second on, under another spelling of the URL. Of the revisits, each fifth has another ETag, others only a
-    date or no validator at all, and each thirteenth asks for a page that was never there. Null url and html: empty."""
+    """content: for each page with an id a WARC file of two records; pages with a null page_id have none, as in ORACLE. A full
+    response, at EPOCH + 2 x page_id; and a revisit, LATER pages and a second on, under another spelling of the URL. Of the
+    revisits, each fifth has another ETag, others only a date or no validator at all, and each thirteenth asks for a page that
+    was never there. Null url and html: empty."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
