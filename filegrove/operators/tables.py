@@ -2,23 +2,77 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one file where the number of rows is known: small tables go to few files.
+FILE_ROWS = 200_000
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session gets a folder of its own; on a cluster
+    that would lose data, so there it is an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='filegrove-')}"
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table's folder; a session that has ended leaves it to the folder's owner."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session is gone
+        pass
+
+
+def _write(df: DataFrame, name: str, rows: int | None) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df, written as Parquet and read again; removed when the program ends. rows: at most so many, if known."""
+    out, path = _write(df, name, rows)
+    atexit.register(removed, df.sparkSession, path)
+    return out
+
+
+class Scratch:
+    """Tables of one computation: with Scratch("name") as keep: table = keep(df). All are removed at the end of the block,
+    so what leaves it must have been stored() from them."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.paths = name, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+        out, path = _write(df, f"{self.name}-{what}", rows)
+        self.paths.append((df.sparkSession, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Removes tables that nothing reads any more."""
+        files = {f.rsplit("/", 1)[0] for frame in frames for f in frame.inputFiles()}
+        for spark, path in [p for p in self.paths if any(f.endswith(p[1].rsplit("/", 1)[1]) for f in files)]:
+            removed(spark, path)
+            self.paths.remove((spark, path))
+
+    def __exit__(self, *error) -> None:
+        for spark, path in self.paths:
+            removed(spark, path)
+        self.paths.clear()
