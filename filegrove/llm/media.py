@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zlib
 
@@ -40,6 +41,18 @@ def _header(data: bytes, at: int, n: int) -> tuple[list[int], int]:
     return out, at
 
 
+def _plain_samples(raster: bytes, count: int, top: int) -> np.ndarray:
+    """The first count decimal numbers of a raster, which may hold comments; none over top."""
+    raster = re.sub(rb"#[^\r\n]*", b" ", raster)
+    found = raster.split(None, count)[:count]
+    if not all(map(bytes.isdigit, found)) or max(map(len, found), default=0) > 9:
+        raise ImageError("a sample that is no number")
+    out = np.array(found, dtype="S9").astype(np.int64)
+    if len(out) and out.max() > top:
+        raise ImageError("a sample over the maximum")
+    return out
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
     """P1 to P6 as an array (height, width, channels) of uint8, or uint16 where the maximum is over 255.
 
@@ -55,10 +68,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not (width and height and 0 < top < 65536):
         raise ImageError("empty image or a maximum out of range")
     if kind == 1:
-        bits = [x - 0x30 for x in data[at:] if x in b"01"][:count]
-        flat = 1 - np.array(bits, np.uint8)
+        signs = np.frombuffer(data, np.uint8, offset=at)
+        flat = 0x31 - signs[(signs == 0x30) | (signs == 0x31)][:count]
     elif kind in (2, 3):
-        flat = np.array(_header(data, at, count)[0], np.uint16 if top > 255 else np.uint8)
+        flat = _plain_samples(data[at:], count, top).astype(np.uint16 if top > 255 else np.uint8)
     elif kind == 4:
         row = (width + 7) // 8
         raw = np.frombuffer(data, np.uint8, offset=at + 1)[: row * height]
@@ -70,6 +83,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         flat = flat.astype(np.uint16) if top > 255 else flat
     if len(flat) < count:
         raise ImageError("too few samples")
+    if flat.max() > top:
+        raise ImageError("a sample over the maximum")
     return flat.reshape(height, width, channels)
 
 
@@ -109,8 +124,6 @@ def encode_pgm(samples: bytes, width: int) -> bytes:
 def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Box averages by an integral image, with shares of the samples that a box edge cuts; also enlarges."""
     h, w, c = image.shape
-    total = np.zeros((h + 1, w + 1, c))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
 
     def cuts(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         whole, rest = np.divmod(np.arange(parts + 1) * n, parts)
@@ -118,7 +131,12 @@ def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
     y, fy = cuts(h, height)
     x, fx = cuts(w, width)
-    rows = total[y] + fy[:, None, None] * (total[np.minimum(y + 1, h)] - total[y])
+    # of the integral image only the rows at the cuts are made: it would be eight times the picture
+    edges = np.unique(np.concatenate((y, np.minimum(y + 1, h))))
+    total = np.zeros((len(edges), w + 1, c))
+    np.cumsum(np.cumsum(np.add.reduceat(image, edges[:-1], axis=0, dtype=np.float64), axis=0), axis=1, out=total[1:, 1:])
+    low, high = total[np.searchsorted(edges, y)], total[np.searchsorted(edges, np.minimum(y + 1, h))]
+    rows = low + fy[:, None, None] * (high - low)
     at = rows[:, x] + fx[None, :, None] * (rows[:, np.minimum(x + 1, w)] - rows[:, x])
     return np.diff(np.diff(at, axis=0), axis=1) * (height * width / (h * w))
 
@@ -147,7 +165,7 @@ def read_image(data: bytes | None, tile: int) -> tuple:
         image = decode(data)
     except (ImageError, struct.error, ValueError) as e:
         return (None,) * 6 + (str(e),)
-    small = np.clip(np.rint(resize_area(image, tile, tile)), 0, np.iinfo(image.dtype).max).astype(image.dtype)
+    small = np.clip(np.rint(np.round(resize_area(image, tile, tile), 6)), 0, np.iinfo(image.dtype).max).astype(image.dtype)
     return (*image.shape, image.tobytes(), npy(small), difference_hash(image), None)
 
 

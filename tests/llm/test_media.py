@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from filegrove.llm.media import decode, decode_images, difference_hash, encode_pgm, npy, resize_area, text_image_features
+from filegrove.llm.media import decode, decode_images, difference_hash, encode_pgm, npy, read_image, resize_area, text_image_features, text_payload
 
 
 def bmp(image, bits=24, up=True, palette=b""):
@@ -42,6 +42,31 @@ def test_area_means():
     assert difference_hash(np.tile(np.arange(90, dtype=np.uint8), (8, 1))[..., None]) == "f" * 16
 
 
+def box_means(image, height, width):
+    """Area means by shares of rows and columns, without an integral image."""
+    share = lambda n, parts: np.array([[max(0.0, min((i + 1) * n / parts, r + 1) - max(i * n / parts, r)) * parts / n for r in range(n)] for i in range(parts)])
+    return np.einsum("yr,rxc,ux->yuc", share(image.shape[0], height), image.astype(float), share(image.shape[1], width))
+
+
+def test_features_are_those_of_plain_box_means(spark, docs):
+    rng = np.random.default_rng(9)
+    texts = ["a", "plain words " * 40, "".join(map(chr, rng.integers(32, 0x2FF, 5000))), "x" * 64 * 33, None]
+    for r, text in zip(text_image_features(docs(*texts)).orderBy("doc_id").collect(), texts, strict=True):
+        payload = text_payload(text)[1]
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64, 1)
+        boxes = np.round(box_means(image, 8, 9)[..., 0], 6)
+        bits = "".join("1" if a < b else "0" for row in boxes for a, b in zip(row, row[1:]))
+        tile = np.rint(np.round(box_means(image, 32, 32), 6)).astype(np.uint8)
+        assert r["feature"] == f"{int(bits, 2):016x}:{hashlib.sha256(npy(tile)).hexdigest()[:16]}"
+
+
+def test_samples_over_the_maximum_are_errors():
+    bad = [b"P2 1 1 255 999999999", b"P3 1 1 255 0 0 300", b"P2 1 1 65535 70000", b"P2 1 1 99999 1", b"P5 1 1 100\n\xff", b"P6 1 1 9\n\x01\x02\x10", b"P5 1 1 1000\n\xff\xff", b"P2 1 1 255 -1", b"P2 1 1 255 1_0", b"P2 1 1 255 x", b"P2 1 1 255 99999999999999999999999", b"P1 9 9 01", b"P1"]
+    for data in bad:
+        assert read_image(data, 4)[:6] == (None,) * 6 and read_image(data, 4)[6]
+    assert read_image(b"P2 2 1 255 # c\n7 # seven\n 255", 4)[3] == b"\x07\xff"
+
+
 def test_columns_and_broken_images(spark):
     good = encode_pgm(bytes(range(128)), 64)
     rows = [(1, good), (2, None), (3, b""), (4, good[:-1]), (5, b"P9"), (6, b"BM"), (7, good), (8, b"P5 0 1 255\n"), (9, b"P2 2 2 255 1 2")]
