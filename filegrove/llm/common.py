@@ -1,43 +1,70 @@
-"""What several operators share: Arrow batches of bounded size, the shared folder, and words as hashes."""
+"""What several operators share: Arrow batches of bounded size and words as hashes."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that Spark puts into one Arrow batch at most, and bytes of text that a kernel takes at once (or one row).
-BATCH_ROWS, CHUNK_BYTES = 1000, 1 << 20
+from filegrove.operators.tables import stored as written  # noqa: F401 - the operators' tables
 
+#: Rows and bytes that Spark puts into one Arrow batch at most, and bytes that a kernel takes at once (or one row).
+BATCH_ROWS, BATCH_BYTES, CHUNK_BYTES = 1000, 16 << 20, 1 << 20
 
-def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, finish: Callable[[], None] | None = None) -> DataFrame:
-    """df.mapInArrow with a kernel on record batches, in batches small enough for long texts. finish is called at the end
-    of each task."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+def bounded(df: DataFrame) -> None:
+    """Lowers the session's limits of Arrow batches to ours. Python workers read these settings when a plan runs, so they
+    can't be given to one plan alone; what is lower already stays."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(key)).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+
+
+def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, finish: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow with a kernel from a record batch to one or several, in batches small enough for long texts. At the end of each task finish
+    is called and what the worker holds is given back: idle workers live on beside those of other operators."""
+    bounded(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                yield kernel(piece)
+                made = kernel(piece)
+                if isinstance(made, pa.RecordBatch):
+                    yield made
+                else:
+                    yield from made
         if finish:
             finish()
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives scratch tables and unused Arrow memory back to the system."""
+    global _UP, _DOWN
+    if len(_UP) > SHORT:
+        _UP, _DOWN = _UP[:SHORT].copy(), _DOWN[:SHORT].copy()
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of which the column text (if any) holds about CHUNK_BYTES, or a single row."""
-    if "text" not in batch.schema.names or batch.num_rows < 2 or batch.nbytes <= CHUNK_BYTES:
+    """Slices whose texts and binaries hold about CHUNK_BYTES together, or a single row."""
+    if batch.num_rows < 2 or batch.nbytes <= CHUNK_BYTES:
         if batch.num_rows:
             yield batch
         return
-    ends = np.cumsum([len(x) if x is not None else 0 for x in batch.column("text").to_pylist()])
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
@@ -52,32 +79,6 @@ def arrow(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in schema])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, which driver and executors share; one of our own where none is set (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='filegrove-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it survives lost executors and is read column by column. Removed at exit."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def remove(jvm=spark.sparkContext._jvm, conf=spark.sparkContext._jsc.hadoopConfiguration()):
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session is gone already
-            pass
-
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucket(column: str, modulus: int):
     """crc32 of an id as text, modulo: how the contracts hold rows out. A null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -107,7 +108,9 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_UP, _DOWN = _powers(_BASE, 1 << 16), _powers(_BASE_INVERSE, 1 << 16)
+#: Bytes of text for which powers are kept between tasks.
+SHORT = 1 << 16
+_UP, _DOWN = _powers(_BASE, SHORT), _powers(_BASE_INVERSE, SHORT)
 
 
 def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -11,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filegrove.llm.common import map_arrow, written
+from filegrove.llm.common import CHUNK_BYTES, map_arrow, written
 
 #: Fields of a 304 answer that replace those of the stored response (lower case).
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that tell nothing about the page.
 NOISE = r"^(?:utm_[a-z_]+|gclid|fbclid|msclkid|ref|phpsessid|jsessionid|sid|sessionid)(?:=.*)?$"
+DIGITS = re.compile("[0-9]{1,18}")
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 
 RECORD = "record_id string, warc_type string, uri string, ts long, profile string, status int, headers array<struct<name:string,value:string>>, payload binary, error string"
@@ -52,42 +54,53 @@ def _fields(head: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def unzipped(data: bytes) -> bytes:
-    """Concatenated gzip members as plain bytes; other bytes as they are."""
+def unzipped(data: bytes) -> tuple[bytes, str | None]:
+    """Concatenated gzip members as plain bytes, and what is wrong with them; other bytes as they are."""
     out = []
     while data[:2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
+        try:
+            out.append(member.decompress(data))
+        except zlib.error as e:
+            return b"".join(out), f"gzip: {e}"
+        if not member.eof:
+            return b"".join(out), "gzip: a member is cut"
         data = member.unused_data
-    return b"".join(out) if out else data
+    return (b"".join(out), "gzip: no member" if data.strip(b"\0") else None) if out else (data, None)
+
+
+def _next_record(data: bytes, at: int) -> int:
+    """Where the next line that begins a record stands, or the end."""
+    while (at := data.find(b"WARC/1.", at)) > 0 and data[at - 1] not in b"\r\n":
+        at += 1
+    return at if at >= 0 else len(data)
 
 
 def parse_warc(data: bytes | None) -> Iterator[tuple]:
-    """The records of a WARC file as rows of RECORD. What can't be read yields one row with an error, and ends the file."""
+    """The records of a WARC file as rows of RECORD. Whatever can't be read yields one row with an error; what follows it is
+    read from the next line that begins a record."""
     broken = lambda why: (None,) * 8 + (why,)
-    try:
-        data = unzipped(data or b"")
-    except zlib.error as e:
-        yield broken(f"gzip: {e}")
-        return
+    data, fault = unzipped(data or b"")
     at = 0
     while True:
         while data[at : at + 1] in (b"\r", b"\n"):
             at += 1
         if at >= len(data):
-            return
+            break
         end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/1.", at) or end < 0:
-            yield broken("no record header")
-            return
+        if not data.startswith(b"WARC/1.", at) or end < 0 or data.find(b"\nWARC/1.", at, end) >= 0:
+            yield broken("no record header, or cut")
+            at = _next_record(data, at + 1)
+            continue
         line, _, head = data[at:end].partition(b"\r\n")
         fields = {k.lower(): v for k, v in _fields(head)}
         length = fields.get("content-length", "")
-        if not length.isdigit() or end + 4 + int(length) > len(data):
+        # a block is followed by line ends or by nothing
+        if not DIGITS.fullmatch(length) or (after := end + 4 + int(length)) > len(data) or data[after : after + 1] not in (b"\r", b"\n", b""):
             yield broken("no content length, or cut")
-            return
-        block = data[end + 4 : end + 4 + int(length)]
-        at = end + 4 + int(length)
+            at = _next_record(data, at + 1)
+            continue
+        block, at = data[end + 4 : after], after
         status, headers, payload = None, [], block
         if fields.get("content-type", "").startswith("application/http"):
             top, _, payload = block.partition(b"\r\n\r\n")
@@ -96,6 +109,8 @@ def parse_warc(data: bytes | None) -> Iterator[tuple]:
             status = int(words[1]) if len(words) > 1 and words[1].isdigit() and len(words[1]) == 3 else None
             headers = _fields(rest)
         yield fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri", "").strip("<>") or None, _seconds(fields.get("warc-date")), fields.get("warc-profile"), status, [{"name": k, "value": v} for k, v in headers], payload, None
+    if fault:
+        yield broken(fault)
 
 
 def format_record(kind: str, record_id: str, uri: str, ts: int, status: str, headers: list[tuple[str, str]], payload: bytes, profile: str = "") -> bytes:
@@ -107,11 +122,21 @@ def format_record(kind: str, record_id: str, uri: str, ts: int, status: str, hea
 
 
 def read_warc(files: DataFrame, content: str = "content") -> DataFrame:
-    """The records of all files (a binary column): columns of RECORD. Null and empty files have no records."""
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [r for data in batch.column("content").to_pylist() for r in parse_warc(data)]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_FIELDS)
+    """The records of all files (a binary column): columns of RECORD. Null and empty files have no records. Records leave
+    the worker as soon as about CHUNK_BYTES of them are read."""
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_FIELDS)
+
+    def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for data in batch.column("content"):
+            for row in parse_warc(data.as_py()):
+                rows.append(row)
+                held += len(row[7] or b"") + 500
+                if held > CHUNK_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
 
     return map_arrow(files.select(F.col(f"`{content}`").alias("content")), kernel, RECORD)
 
@@ -165,16 +190,23 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     validator on both sides), mismatch (they differ), missing (no earlier response, or the revisit has no URL or time).
     Resolved and unverified rows have the response's payload and its headers, in which those PERMITTED of the revisit take
     the place of the old; others have nulls. Other records and other profiles play no part. Ids of responses are expected to
-    be distinct; of equal ones any counts. Repeated revisits are all answered.
+    be distinct; of equal ones any counts. Repeated revisits are all answered. A response that very many revisits name is
+    joined by as many tasks as its revisits need.
     """
     records = records.select(*_FIELDS)
     url = canonical_url(F.col("uri"))
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
     revisit = (F.col("warc_type") == "revisit") & F.col("profile").contains("server-not-modified")
     rows = records.where(full | revisit).select(url.alias("key"), "ts", F.coalesce(full, F.lit(False)).alias("full"), F.col("record_id").alias("id"), "uri", F.when(revisit, F.col("headers")).alias("own"))
-    found = latest_earlier(rows).where(~F.col("full")).drop("full")
-    response = records.where(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("old"), "payload").dropDuplicates(["response_id"])
-    both = found.select(F.col("id").alias("record_id"), "uri", F.col("key").alias("url"), "ts", "own", F.col("before.id").alias("response_id"), F.col("before.ts").alias("response_ts")).join(response, "response_id", "left")
+    found = latest_earlier(rows).where(~F.col("full")).select(F.col("id").alias("record_id"), "uri", F.col("key").alias("url"), "ts", "own", F.col("before.id").alias("response_id"), F.col("before.ts").alias("response_ts"))
+    response = records.where(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("old"), "payload")
+    # an aggregate right below the join would keep Spark from splitting a response with many revisits, so only ids that
+    # do occur several times go through one
+    again = written(response.groupBy("response_id").agg(F.count("*").alias("n")).where("n > 1").select("response_id"), "warc-repeated")
+    if not again.isEmpty():
+        response = response.join(again, "response_id", "left_anti").unionByName(response.join(again, "response_id", "left_semi").dropDuplicates(["response_id"]))
+    missing = found.where("response_id IS NULL").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in response.schema.fields[1:]])
+    both = found.where("response_id IS NOT NULL").join(response, "response_id", "left").select(*missing.columns).unionByName(missing)
     tag = lambda h: F.regexp_replace(_header(h, "etag"), "^W/", "")
     own, old = F.col("own"), F.col("old")
     agree = F.coalesce(tag(own) == tag(old), _header(own, "last-modified") == _header(old, "last-modified"))

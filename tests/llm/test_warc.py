@@ -19,6 +19,26 @@ def test_records_round_trip_and_broken_files():
         assert list(parse_warc(bad))[-1][8]
 
 
+def test_reading_goes_on_behind_what_is_broken():
+    one = format_record("response", "<a>", "http://x/", 100, "200 OK", [], b"body")
+    two = format_record("response", "<b>", "http://x/", 101, "200 OK", [], b"more")
+    ids = lambda data: [r[0] for r in parse_warc(data)]
+    for bad in (b"junk", one[:-30], one.replace(b"Content-Length: ", b"Content-Length: x"), one.replace(b"Content-Length: ", "Content-Length: ²".encode()), b"WARC/1.1\r\nx\r\n\r\n", one.replace(b"Length: ", b"Length: 9999999999999999999")):
+        assert ids(bad + b"\r\n" + two) == [None, "<b>"] and ids(two + bad)[0] == "<b>" and ids(two + bad)[-1] is None
+    assert [r[5] for r in parse_warc(one.replace(b"1.1 200", "1.1 ²00".encode()).replace(b"Content-Length: 2", b"Content-Length: 2"))][0] is None
+    packed = gzip.compress(one) + gzip.compress(two)
+    assert ids(packed[:-20]) == ["<a>", None] or ids(packed[:-20]) == ["<a>", None, None]
+    assert list(parse_warc(packed[:-20]))[-1][8].startswith("gzip") and list(parse_warc(gzip.compress(one)[:-3]))[-1][8]
+    assert ids(gzip.compress(one) + b"tail") == ["<a>", None] and ids(gzip.compress(one) + b"\x1f\x8bbad bad bad") == ["<a>", None]
+
+
+def test_long_records_and_repeated_ids(spark):
+    body = bytes(range(256)) * 20_000
+    files = [format_record("response", "<1>", "http://h/p", 10, "200 OK", [], body) * 3, b"".join(format_record("revisit", f"<v{i}>", "http://h/p", 20 + i, "304 Not Modified", [], b"", NOT_MODIFIED) for i in range(40))]
+    rows = resolve_revisits(read_warc(spark.createDataFrame([(f,) for f in files], "content binary"))).collect()
+    assert len(rows) == 40 and all(r["outcome"] == "unverified" and r["payload"] == body for r in rows)
+
+
 def test_canonical_urls(spark):
     cases = {
         "HTTP://user:p@WWW2.Example.com:80/a/b/?b=2&utm_source=x&a=1#f": "example.com/a/b?a=1&b=2", "https://example.com": "example.com", "https://example.com:8080/?": "example.com:8080",
