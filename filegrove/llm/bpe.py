@@ -92,8 +92,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.find = regex.compile(rust_pattern(pattern)).findall
         self.tokens = tokens
-        self.whole = {t.decode(): (i,) for i, t in enumerate(tokens) if _is_utf8(t)}
-        self.known = dict(self.whole)
+        self.known: dict[str, tuple[int, ...]] = {}  # what the model said
 
     @classmethod
     def of(cls, key: str, tokens: list[bytes], model: bytes, pattern: str) -> Codec:
@@ -102,14 +101,13 @@ class Codec:
         return cls.made[key]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text. A pre-token that is a token as a whole is that token; others go through the model."""
+        """Ids of each text: the model's ids of each pre-token. Those of up to REMEMBERED pre-tokens are kept."""
         for at in range(0, len(texts), BLOCK):
             parts = [self.find(t) for t in texts[at : at + BLOCK]]
             found = set().union(*parts)
             new = found.difference(self.known)
-            if len(self.known) + len(new) > len(self.whole) + REMEMBERED:
-                self.known = dict(self.whole)
-                new = found.difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known, new = {}, found
             if new:
                 made = self.model.encode([to_piece(p.encode()) for p in new], out_type=int, num_threads=1)
                 self.known.update(zip(new, map(tuple, made), strict=True))
@@ -126,14 +124,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _is_utf8(token: bytes) -> bool:
-    try:
-        token.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
 def _codec(df: DataFrame, vocabulary: str, pattern: str):
     """What a worker needs to make its codec: a broadcast of the tokens and the model (about 2 MB for 50,000 tokens)."""
     tokens = read_ranks(vocabulary)

@@ -1,5 +1,7 @@
 import base64
+import hashlib
 import random
+import struct
 
 import public_tokenizers
 import pytest
@@ -60,3 +62,28 @@ def test_ranks_with_a_gap(tmp_path):
     (tmp_path / "r").write_bytes(b"YQ== 0\nYg== 2\n")
     with pytest.raises(ValueError):
         bpe.read_ranks(str(tmp_path / "r"))
+
+
+def test_digests_are_those_of_the_library(spark, plain):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    rows = [(None, "x"), (7, None), (7, ""), (8, "z" * 200_000), *map(tuple, spark.read.parquet(path).select("doc_id", "text").collect())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids_sha256", F.lit(1))
+    ids = [plain.encode_ordinary(t or "") for _, t in rows]
+    want = [(i, len(x), hashlib.sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for (i, t), x in zip(rows, ids, strict=True)]
+    assert sorted(map(str, bpe.token_digests(df, PATH, PATTERN).collect())) == sorted(str(r) for r in spark.createDataFrame(want, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").collect())
+    assert bpe.token_digests(df.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_every_pretoken_goes_through_the_model(codec, monkeypatch):
+    seen = []
+    model = codec.model
+
+    class Spy:
+        def encode(self, pieces, **more):
+            seen.extend(pieces)
+            return model.encode(pieces, **more)
+
+    monkeypatch.setattr(codec, "model", Spy())
+    monkeypatch.setattr(codec, "known", {})
+    list(codec.encode(["the word the", "the end"]))
+    assert sorted(seen) == sorted(bpe.to_piece(x.encode()) for x in ("the", " word", " the", " end"))
