@@ -127,10 +127,11 @@ def chat_digests(turns: DataFrame, template: Template = LLAMA_LIKE) -> DataFrame
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
-    """turns and conversation -1, whose two texts look like marks."""
+    """turns and conversation -1, whose two texts look like marks. Rows of turns with that id belong to it."""
     turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    probe = "</s>[INST] ok [/INST]"
-    return turns.unionByName(turns.sparkSession.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema))
+    turn = F.col("id")
+    probe = turns.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return turns.unionByName(probe)
 
 
 #: DuckDB SQL for chat_digests(with_probe(conversations)) with LLAMA_LIKE.

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filegrove.llm.common import map_arrow, pieces
+from filegrove.llm.common import bounded, map_arrow, pieces, release
 
 #: Hashed letter pairs and triples: the width of every vector, and documents that are made dense at once.
 WIDTH, BLOCK = 1 << 13, 128
@@ -82,7 +82,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """The number of texts, and in how many each hashed gram occurs: over all rows; each task sends one sum."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bounded(docs)
 
     def run(batches):
         n, total = 0, np.zeros(WIDTH, np.int64)
@@ -95,6 +95,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(used, WIDTH).astype(np.int32)), pa.array(np.append(total[used], n))], names=["gram", "n"])
+        release()
 
     sums = docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # WIDTH + 1 rows at most
     out = np.zeros(WIDTH + 1, np.int64)
@@ -107,7 +108,7 @@ def fit(docs: DataFrame, per_language: int = 400, centroids: int = 4, reject_sha
     """Learns from the columns text and lang of docs; rows where either is null teach nothing.
 
     IDF comes from every row. The centroids come from a sample of at most per_language rows a language (all rows of a
-    language with fewer), the ones with the smallest hashes of their texts. A centroid rejects what is less similar than
+    language with fewer, equal texts once), the ones with the smallest hashes of their texts. A centroid rejects what is less similar than
     reject_share of the similarity that 99 in 100 of its own rows reach. Without rows the model knows no language.
     """
     docs = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, per_language: int = 400, centroids: int = 4, reject_sha
     if sizes:
         place = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 40))
         below = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1 << 40, int((1 << 40) * 1.3 * per_language / v) + 1)))])
-        chosen = docs.withColumn("place", place).where(F.col("place") < below[F.col("lang")])
+        chosen = docs.withColumn("place", place).where(F.col("place") < below[F.col("lang")]).dropDuplicates(["lang", "place"])
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             grams, counts = [], []
@@ -130,12 +131,13 @@ def fit(docs: DataFrame, per_language: int = 400, centroids: int = 4, reject_sha
                     counts.append(row[used].astype(np.int32))
             return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(grams, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["lang", "place", "grams", "counts"])
 
-        for r in map_arrow(chosen, kernel, "lang string, place long, grams array<int>, counts array<int>").collect():  # bounded by per_language
-            if r["grams"]:
-                sample.setdefault(r["lang"], []).append((r["place"], r["grams"], r["counts"]))
+        counted = map_arrow(chosen, kernel, "lang string, place long, grams array<int>, counts array<int>").where(F.size("grams") > 0)
+        first = Window.partitionBy("lang").orderBy("place")
+        for r in counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).collect():  # per_language a language
+            sample.setdefault(r["lang"], []).append((r["place"], r["grams"], r["counts"]))
     parts, languages, least = [], [], []
     for lang in sorted(sample):
-        rows = sorted(sample[lang])[:per_language]
+        rows = sorted(sample[lang])
         dense = np.zeros((len(rows), WIDTH), np.float32)
         for i, (_, grams, counts) in enumerate(rows):
             dense[i, grams] = counts
