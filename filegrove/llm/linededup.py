@@ -8,26 +8,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filegrove.llm.common import fresh, let, text_key, written
+from filegrove.llm.common import fresh, let, text_key
+from filegrove.operators.tables import Scratch, stored
 
 WILDCARD = "<*>"
-#: Distinct lines of which the hashes are broadcast for the second look at texts; more are joined by a shuffle.
-BROADCAST_LINES = 500_000
+#: Lines of which the numbers (8 bytes each) are broadcast to fetch their words; more are joined by a shuffle.
+BROADCAST_LINES = 2_000_000
 
 
 @dataclass(frozen=True)
 class Tree:
-    """depth: leading tokens that choose a leaf beside the token count. min_docs: different texts in which a template
-    recurs. A token is constant at its place of a leaf if it stands there in min_docs texts; a line of min_tokens tokens or
-    more of which constant_share are constant has the template of those constants, with wildcards in between; of its tokens
-    in blocks, one more than it may have variable fields, one at least must recur as a whole. A document of
-    which more than own_share of the tokens would go is a copy rather than a carrier of boilerplate and stays whole."""
+    """depth: leading tokens that choose a leaf beside the token count. min_docs: different texts in which a template recurs,
+    copies of one text counting once: a text is a copy of another if at least copy_share of its characters stand in lines
+    whose templates that one has as well. Lines of min_tokens tokens or more have variable fields: two lines of a leaf have
+    one template if at least constant_share of their tokens agree."""
 
     depth: int = 2
     min_docs: int = 3
-    min_tokens: int = 6
+    min_tokens: int = 4
     constant_share: float = 0.7
-    own_share: float = 0.5
+    copy_share: float = 0.5
 
 
 def masked(line: Column) -> Column:
@@ -38,73 +38,93 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike(r"[0-9\t\x0B\f\r]|  "), F.regexp_replace(spaced, "[^ 0-9]*+[0-9][^ ]*", WILDCARD)).otherwise(plain)
 
 
-def _lines(df: DataFrame, key: Column, text: str, tree: Tree) -> DataFrame:
-    """(key, place, line, tokens, leaf, template) of each line with tokens; key stands for the text."""
-    keyed = df.select(key.alias("key"), F.col(f"`{text}`").cast("string").alias("text"))  # once a text, not once a line
-    rows = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("place", "raw")).where((F.trim("raw") >= "!") | F.col("raw").rlike(r"\S"))
-    rows = rows.select("key", "place", masked(F.col("raw")).alias("line"))
+def _lines(df: DataFrame, text: str, tree: Tree) -> DataFrame:
+    """(id, key, whole, place, chars, tokens, leaf, template, line) of each line with tokens: key stands for its text, whole
+    and chars are the lengths of text and line, template is the hash of the line with wildcards in the place of numbers."""
+    keyed = df.select(text_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = keyed.select("key", F.length("text").alias("whole"), F.posexplode(F.split("text", "\n")).alias("place", "raw")).where((F.trim("raw") >= "!") | F.col("raw").rlike(r"\S"))
+    rows = rows.select("key", "whole", "place", F.length("raw").alias("chars"), masked(F.col("raw")).alias("line"))
     tokens = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
     leaf = F.xxhash64(tokens, F.substring_index("line", " ", tree.depth))
-    return rows.select("key", "place", "line", tokens.alias("tokens"), leaf.alias("leaf"), F.xxhash64("line").alias("template"))
-
-
-def _recurring(rows: DataFrame, by: list[str], least: int) -> DataFrame:
-    """The groups that occur in at least so many different texts, as a table: a join with it can be split where one group
-    has very many rows, which a join with the aggregate itself can't."""
-    groups = rows.select(*by, F.xxhash64("key").alias("text")).distinct().groupBy(*by).agg(F.count("*").alias("texts"))
-    return written(groups.where(F.col("texts") >= least).drop("texts"), "line-recurring")
-
-
-def _blocks(line: Column, tokens: Column, leaf: Column, tree: Tree) -> Column:
-    """Hashes of a line's tokens in one block more than it may have variable fields: one block has none of them."""
-    n = tokens - F.ceil(tokens * tree.constant_share).cast("int") + 1
-    edge = lambda i: F.floor(i * tokens / n).cast("int")
-    return let(F.split(line, " "), lambda words: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(leaf, i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " "))))
-
-
-def _generalised(df: DataFrame, text: str, lines: DataFrame, exact: DataFrame, tree: Tree) -> DataFrame:
-    """Templates of lines that don't recur themselves but whose constants, with wildcards between them, do."""
-    rest = lines.where(F.col("tokens") >= tree.min_tokens).join(exact, "template", "left_anti")
-    rest = written(rest.join(_recurring(rest, ["leaf"], tree.min_docs), "leaf", "left_semi").select("key", "template").distinct(), "line-rest")
-    few = rest.select("template").distinct()
-    if few.count() <= BROADCAST_LINES:
-        few = F.broadcast(few)
-    key = F.xxhash64(F.col(f"`{text}`").cast("string"))
-    seen = written(_lines(df, key, text, tree).join(few, "template", "left_semi").select("key", "template", "leaf", "tokens", "line").distinct(), "line-seen")
-    # a template's lines agree in a whole block: few lines of running text share one with others of their leaf
-    blocks = written(seen.select("key", "template", F.explode(_blocks(F.col("line"), F.col("tokens"), F.col("leaf"), tree)).alias("block")).distinct(), "line-blocks")
-    likely = blocks.join(_recurring(blocks, ["block"], tree.min_docs), "block", "left_semi").select("template").distinct()
-    places = seen.join(likely, "template", "left_semi").select("key", "template", "leaf", "tokens", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    places = written(places.withColumn("token", F.xxhash64("token")).distinct(), "line-tokens")
-    constant = _recurring(places, ["leaf", "at", "token"], tree.min_docs)
-    found = places.drop("key").distinct().join(constant, ["leaf", "at", "token"]).groupBy("template", "leaf", "tokens").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("constants"))
-    found = found.where(F.size("constants") >= F.ceil(F.col("tokens") * tree.constant_share)).select("template", F.xxhash64("leaf", F.to_json("constants")).alias("general"))
-    members = rest.join(found, "template")
-    return members.join(_recurring(members, ["general"], tree.min_docs), "general", "left_semi").select("template").distinct()
+    return rows.select(F.monotonically_increasing_id().alias("id"), "key", "whole", "place", "chars", tokens.alias("tokens"), leaf.alias("leaf"), F.xxhash64("line").alias("template"), "line")
+
+
+def _constant(tokens: Column, tree: Tree) -> Column:
+    """How many of a line's tokens must agree with its template's."""
+    return F.ceil(tokens * tree.constant_share).cast("int")
+
+
+def _blocks(words: Column, tokens: Column, leaf: Column, tree: Tree) -> Column:
+    """Hashes of a line's tokens behind the leading ones in one block more than there may be variable fields: two lines of a
+    leaf that have one template agree in a whole block."""
+    n = tokens - _constant(tokens, tree) + 1
+    edge = lambda i: F.floor(i * (tokens - tree.depth) / n).cast("int") + tree.depth
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(leaf, i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")))
+
+
+def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
+    """(template, family): which templates agree with another one, the family's name, in enough tokens.
+
+    Lines of a leaf that agree in a whole block meet the block's leader, a recurring one if there is any. So each line is
+    compared with a few others, however many there are."""
+    wide = templates.where(F.col("tokens") >= tree.min_tokens)
+    # a leaf with a single template, or with too few texts, has nothing to generalise
+    leaves = keep(wide.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= tree.min_docs)).select("leaf"), "leaves")
+    some = keep(wide.join(leaves, "leaf", "left_semi"), "some")
+    ids = some.select("id")
+    ids = F.broadcast(ids) if some.count() <= BROADCAST_LINES else ids
+    words = lines.select("id", "line").join(ids, "id", "left_semi").join(some, "id")
+    rank = F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long") + F.when(F.col("texts") >= tree.min_docs, 1 << 60).otherwise(0)
+    words = keep(words.select("template", "tokens", rank.alias("rank"), F.split("line", " ").alias("words"), "leaf"), "words")
+    blocks = keep(words.select("template", "rank", F.explode(_blocks(F.col("words"), F.col("tokens"), F.col("leaf"), tree)).alias("block")), "blocks")
+    lead = keep(blocks.groupBy("block").agg(F.max_by("template", "rank").alias("family"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders")
+    pairs = blocks.join(lead, "block").where("template <> family").select("template", "family").distinct()
+    side = lambda name, column: words.select(F.col("template").alias(name), F.col("words").alias(column))
+    met = keep(pairs, "met").join(words.select("template", "tokens", "words"), "template").join(side("family", "others"), "family")
+    agree = F.size(F.filter(F.zip_with("words", "others", lambda a, b: a == b), lambda same: same))
+    return met.where(agree >= _constant(F.col("tokens"), tree)).select("template", "family")
+
+
+def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
+    """The templates (hashes) of lines that recur, each once.
+
+    Each template and each family of templates is a set of lines. A set recurs if its lines stand in min_docs different
+    texts that aren't copies: of each set the text with the least key leads, and a text of which copy_share is shared with
+    one leader counts as that leader."""
+    seen = lines.select("template", "leaf", "tokens", "key", "id").groupBy("template", "leaf", "tokens", "key").agg(F.min("id").alias("id"))
+    templates = keep(seen.groupBy("template", "leaf", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("texts")), "templates")
+    other = keep(_generalised(lines, templates, tree, keep), "families")
+    alone = templates.where(F.col("texts") >= tree.min_docs).select("template", F.col("template").alias("family"))
+    # a family is named by one of its templates, which belongs to it even where it doesn't recur by itself
+    member = keep(other.unionByName(alone).unionByName(other.select(F.col("family").alias("template"), "family")).distinct(), "members")
+    places = keep(lines.join(member.select("template").distinct(), "template", "left_semi").groupBy("template", "key", "place", "whole").agg(F.max("chars").alias("chars")), "places")
+    found = places.join(member, "template")
+    sets = found.select("family", "key").distinct().groupBy("family").agg(F.min("key").alias("leader"), F.count("*").alias("texts"))
+    sets = keep(sets.where(F.col("texts") >= tree.min_docs).drop("texts"), "sets")
+    held = keep(found.join(sets, "family").groupBy("key", "leader", "place", "whole").agg(F.max("chars").alias("chars")), "held")
+    shared = held.groupBy("key", "leader").agg(F.sum("chars").alias("shared"), F.max("whole").alias("whole"))
+    copies = shared.groupBy("key").agg(F.max(F.struct("shared", "leader", "whole")).alias("most"))
+    copies = keep(copies.where(F.col("most.shared") >= F.col("most.whole") * tree.copy_share).select("key", F.col("most.leader").alias("copy_of")), "copies")
+    units = found.join(sets.select("family"), "family", "left_semi").select("family", "key").distinct().join(copies, "key", "left")
+    counted = units.select("family", F.coalesce("copy_of", "key").alias("unit")).distinct().groupBy("family").agg(F.count("*").alias("units"))
+    return member.join(counted.where(F.col("units") >= tree.min_docs), "family", "left_semi").select("template").distinct()
 
 
 def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(), dropped: str = "dropped_lines") -> DataFrame:
     """df with its texts without the lines of recurring templates, and the number of lines that went.
 
-    Templates are counted over different texts, so exact copies count once; every line of a recurring template goes, in
-    every document that has own_share of other tokens. Blank lines stay. Null and empty texts stay as they are, rows are
-    neither lost nor merged, and repeated rows get the same text. A column of df with the name of dropped is replaced.
+    Every line of a recurring template goes, in every text. Templates are counted over different texts, so exact copies count
+    once, and so do copies with changes (see Tree): what only the copies of one text share doesn't recur. Blank lines stay.
+    Null and empty texts stay as they are, rows are neither lost nor merged, and repeated rows get the same text. A column
+    of df with the name of dropped is replaced.
     """
     df = df.drop(dropped)
-    lines = _lines(df, text_key(text), text, tree)
-    lines = written(lines.drop("line").distinct(), "lines")  # one row per line of a different text
-    exact = _recurring(lines, ["template"], tree.min_docs)
-    gone = written(exact.unionByName(_generalised(df, text, lines, exact, tree)).distinct(), "line-templates").withColumn("gone", F.lit(True))
-    judged = lines.join(gone, "template", "left").select("key", "place", "tokens", F.coalesce("gone", F.lit(False)).alias("gone"))
-    key, flags = fresh(df, "line_key", "line_places")
-    per_text = judged.groupBy("key").agg(
-        F.sum("tokens").alias("tokens"),
-        F.coalesce(F.sum(F.when(F.col("gone"), F.col("tokens"))), F.lit(0)).alias("less"),
-        F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("place")))).alias("places"),
-        F.max("place").alias("last"),
-    )
-    per_text = per_text.where((F.col("less") > 0) & (F.col("less") <= F.col("tokens") * (1 - tree.own_share)))
-    decided = written(per_text.select(F.col("key").alias(key), F.col("places").alias(flags)), "line-decisions")
+    with Scratch("lines") as keep:
+        lines = keep(_lines(df, text, tree), "parsed")
+        gone = keep(recurring_templates(lines, tree, keep), "gone")
+        key, flags = fresh(df, "line_key", "line_places")
+        places = lines.join(gone, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(flags))
+        decided = stored(places.withColumnRenamed("key", key), "line-decisions")
     both = df.withColumn(key, text_key(text)).join(decided, key, "left")
     return both.withColumns({text: F.when(F.col(flags).isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col(flags))), dropped: F.coalesce(F.size(flags), F.lit(0))}).select(*df.columns, dropped)
 
@@ -121,25 +141,27 @@ def _without(text: Column, places: Column) -> Column:
 
 #: DuckDB SQL for drop_recurring_lines(documents) with the usual Tree: doc_id, n_lines, dropped_lines, text.
 ORACLE = r"""
-WITH txt AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
-raw AS (SELECT text, i AS place, string_split(text, chr(10))[i] AS line FROM txt, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
-ln AS (SELECT text, place, regexp_replace(trim(regexp_replace(line, '[\t\n\x0b\f\r ]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM raw),
-l AS (SELECT text, place, m, string_split(m, ' ') AS w, len(string_split(m, ' ')) AS n FROM ln WHERE m <> ''),
-ex AS (SELECT m FROM l GROUP BY m HAVING count(DISTINCT text) >= 3),
-r0 AS (SELECT DISTINCT text, m, w, n, n || ' ' || array_to_string(w[1:2], ' ') AS leaf FROM l WHERE n >= 6 AND m NOT IN (SELECT m FROM ex)),
-lf AS (SELECT leaf FROM r0 GROUP BY leaf HAVING count(DISTINCT text) >= 3),
-r1 AS (SELECT *, n - ceil(n * 0.7::DOUBLE)::INT + 1 AS k FROM r0 WHERE leaf IN (SELECT leaf FROM lf)),
-bl AS (SELECT text, m, leaf, i, array_to_string(w[i * n // k + 1 : (i + 1) * n // k], ' ') AS b FROM r1, LATERAL (SELECT unnest(range(k)) AS i)),
-bk AS (SELECT leaf, i, b FROM bl GROUP BY ALL HAVING count(DISTINCT text) >= 3),
-r2 AS (SELECT * FROM r1 WHERE m IN (SELECT m FROM bl JOIN bk USING (leaf, i, b))),
-pl AS (SELECT text, m, leaf, n, i, w[i] AS t FROM r2, LATERAL (SELECT unnest(range(1, n + 1)) AS i)),
-cs AS (SELECT leaf, i, t FROM pl GROUP BY ALL HAVING count(DISTINCT text) >= 3),
-ge AS (SELECT m, leaf || chr(10) || string_agg(i || ' ' || t, chr(10) ORDER BY i) AS g FROM (SELECT DISTINCT m, leaf, n, i, t FROM pl) JOIN cs USING (leaf, i, t) GROUP BY m, leaf, n HAVING count(*) >= ceil(n * 0.7::DOUBLE)),
-gw AS (SELECT g FROM ge JOIN r1 USING (m) GROUP BY g HAVING count(DISTINCT text) >= 3),
-gone AS (SELECT m FROM ex UNION SELECT m FROM ge WHERE g IN (SELECT g FROM gw)),
-dc AS (SELECT text, list(place) FILTER (m IN (SELECT m FROM gone)) AS places FROM l GROUP BY text
-       HAVING sum(CASE WHEN m IN (SELECT m FROM gone) THEN n ELSE 0 END) BETWEEN 1 AND sum(n) * 0.5)
+WITH txt AS (SELECT DISTINCT text, md5(text) AS key FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT key, length(text) AS whole, i AS place, string_split(text, chr(10))[i] AS line FROM txt, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
+ln AS (SELECT key, whole, place, length(line) AS chars, regexp_replace(trim(regexp_replace(line, '[\t\n\x0b\f\r ]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM raw),
+l AS (SELECT *, string_split(m, ' ') AS w, len(string_split(m, ' ')) AS n FROM ln WHERE m <> ''),
+tm AS (SELECT m, any_value(w) AS w, any_value(n) AS n, any_value(n || ' ' || array_to_string(w[1:2], ' ')) AS leaf, count(DISTINCT key) AS texts FROM l GROUP BY m),
+wd AS (SELECT *, ceil(n * 0.7::DOUBLE)::INT AS need, ('0x' || substr(md5(m), 1, 15))::BIGINT + CASE WHEN texts >= 3 THEN 1152921504606846976 ELSE 0 END AS rank
+       FROM tm WHERE n >= 4 AND leaf IN (SELECT leaf FROM tm WHERE n >= 4 GROUP BY leaf HAVING count(*) > 1)),
+bl AS (SELECT m, rank, leaf, i, array_to_string(w[i * (n - 2) // (n - need + 1) + 3 : (i + 1) * (n - 2) // (n - need + 1) + 2], ' ') AS b FROM wd, LATERAL (SELECT unnest(range(n - need + 1)) AS i)),
+ld AS (SELECT leaf, i, b, arg_max(m, rank) AS family FROM bl GROUP BY ALL HAVING count(*) > 1),
+jn AS (SELECT DISTINCT m, family FROM bl JOIN ld USING (leaf, i, b) WHERE m <> family),
+fm AS (SELECT m, family FROM jn JOIN wd a USING (m) JOIN (SELECT m AS family, w AS v FROM wd) USING (family)
+       WHERE len(list_filter(range(1, a.n + 1), lambda i: a.w[i] = v[i])) >= a.need),
+mb AS (SELECT m, family FROM fm UNION SELECT family, family FROM fm UNION SELECT m, m FROM tm WHERE texts >= 3),
+fd AS (SELECT family, key, place, chars, whole FROM l JOIN mb USING (m)),
+st AS (SELECT family, min(key) AS leader FROM fd GROUP BY family HAVING count(DISTINCT key) >= 3),
+sh AS (SELECT key, leader, sum(chars) AS shared, any_value(whole) AS whole FROM (SELECT DISTINCT key, leader, place, chars, whole FROM fd JOIN st USING (family)) GROUP BY key, leader),
+cp AS (SELECT key, leader AS copy_of FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shared DESC, leader DESC) AS r FROM sh) WHERE r = 1 AND shared >= whole * 0.5),
+un AS (SELECT family FROM fd JOIN st USING (family) LEFT JOIN cp USING (key) GROUP BY family HAVING count(DISTINCT coalesce(copy_of, key)) >= 3),
+gone AS (SELECT DISTINCT m FROM mb JOIN un USING (family)),
+dc AS (SELECT key, list(place) AS places FROM l JOIN gone USING (m) GROUP BY key)
 SELECT doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(len(places), 0)::INT AS dropped_lines,
   CASE WHEN places IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(places, i)), chr(10)) END AS text
-FROM documents d LEFT JOIN dc ON d.text = dc.text
+FROM documents d LEFT JOIN dc ON md5(d.text) = dc.key
 """
