@@ -55,8 +55,29 @@ class Index:
                 item.append(np.full(len(at), i))
                 place.append(at)
             prints, item, place = np.concatenate(prints), np.concatenate(item), np.concatenate(place)
-            order = np.argsort(prints, kind="stable")
+            order = np.lexsort((place, item, prints))
+            order = order[self._needed(prints[order], item[order], place[order], min(GRAM, span), window)]
             self.spans.append((span, prints[order], item[order], place[order]))
+        self.word_of = {h: w for hs, ws in zip(self.hashes, self.plain, strict=True) for h, w in zip(hs.tolist(), ws, strict=True)}
+
+    def _needed(self, prints: np.ndarray, item: np.ndarray, place: np.ndarray, k: int, window: int) -> np.ndarray:
+        """Which places of sorted fingerprints texts must meet. Where an item repeats itself with a period, each window that
+        a text may share also stands around one of the first or last window places or the middle one of the repetition, so
+        the others add nothing; an item of one word said n times would else meet each place of a text n times."""
+        keep = np.ones(len(prints), bool)
+        same = np.flatnonzero((prints[2:] == prints[:-2]) & (item[2:] == item[:-2]) & (place[2:] - place[1:-1] == place[1:-1] - place[:-2]))
+        if not len(same):
+            return keep
+        periodic = np.zeros(len(prints), bool)  # whether a place, the one before and the one after are a period apart
+        for at in same.tolist():
+            a, b, words = int(place[at]), int(place[at + 1]), self.hashes[item[at]]
+            periodic[at + 1] = (words[a : b + k] == words[b : 2 * b - a + k]).all()
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], periodic.view(np.int8), [0]))))
+        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if last - first > 2 * window:
+                keep[first + window : last - window] = False
+                keep[(first + last) // 2] = True
+        return keep
 
     def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """(words, hit spans of words, ids of items with a window in the text) of each text; null has no words."""
@@ -84,10 +105,15 @@ class Index:
             spans, ids = [], set()
             if d in hits:
                 first, words = int(ends[d]) - n, WORDS.findall(lowered[d])
-                for start, stop, i, q in hits[d]:
-                    if words[start - first : stop - first] == self.plain[i][q : q + stop - start]:  # the words themselves
-                        spans.append((start - first, stop - first))
-                        ids.add(self.ids[i])
+                spans = merged([(start - first, stop - first) for start, stop, _, _ in hits[d]])
+                if all(self.word_of.get(h) == w for a, b in spans for h, w in zip(hashes[first + a : first + b].tolist(), words[a:b], strict=True)):
+                    ids = {self.ids[i] for _, _, i, _ in hits[d]}  # the words themselves are equal
+                else:  # two words share a hash
+                    spans = []
+                    for start, stop, i, q in hits[d]:
+                        if words[start - first : stop - first] == self.plain[i][q : q + stop - start]:
+                            spans.append((start - first, stop - first))
+                            ids.add(self.ids[i])
             out.append((n, merged(spans), sorted(ids)))
         return out
 

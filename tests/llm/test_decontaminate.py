@@ -1,12 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from filegrove.llm.decontaminate import ORACLE, contamination_digests, find_contamination
+from filegrove.llm.decontaminate import ORACLE, Index, contamination_digests, find_contamination
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -77,3 +78,22 @@ def test_empty_tables_clashing_columns_and_repeats(spark, docs):
     for size in (8 << 20, -1):
         rows = find_contamination(clash, none, broadcast_bytes=size).collect()
         assert [r["contamination"]["n_words"] for r in rows] == [2, 2] and rows[0]["text_key"] == 2
+
+
+def test_repeated_words_are_brute_force_and_quick():
+    rng = random.Random(5)
+    for turn in range(150):
+        unit = lambda: [rng.choice("abcd") for _ in range(rng.randint(1, 20))]
+        piece = lambda u: " ".join((u * 60)[rng.randint(0, 5) :][: rng.randint(1, 60 if len(u) < 4 else 20 * len(u))])
+        u, v = unit(), unit()
+        items = [(i, " ".join(rng.choice([piece(u), piece(v), " ".join(unit())]) for _ in range(rng.randint(1, 4)))) for i in range(2)]
+        text = " x ".join(rng.choice([piece(u), piece(v), " ".join(unit())]) for _ in range(rng.randint(1, 4)))
+        index = Index([(str(i), t.encode()) for i, t in items])
+        ((n, spans, ids),) = index.scan([text.encode()])
+        want = brute(text, items)
+        assert (n, sum(b - a for a, b in spans), len(ids)) == want[:3], (turn, items, text)
+    index = Index([("a", b"w " * 2000), ("b", b"u v " * 5000)])
+    began = time.perf_counter()
+    found = index.scan([b"w " * 20_000, b"v u " * 20_000, b"w u " * 20_000])
+    assert [(n, spans, ids) for n, spans, ids in found] == [(20_000, [(0, 20_000)], ["a"]), (40_000, [(0, 40_000)], ["b"]), (40_000, [], [])]
+    assert time.perf_counter() - began < 5
