@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filegrove.operators.tables import stored
+from filegrove.operators.tables import Scratch, stored
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node of edges (a, b) has one b and no b is an a: then every b is its component's least node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, label) of edges (a, b): label is the least node that can be reached. Nodes without another are left out.
+def connected(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, label) of edges (a, b), a table: label is the least node that can be reached. Nodes without another are left out.
 
-    Large-star and small-star steps in turn, each an aggregate to the least neighbour and a join, until the edges stay the
-    same. Every step is written to the shared folder; no list of neighbours is gathered anywhere.
+    Large-star and small-star steps in turn, each an aggregate to the least neighbour and a join, until all components are
+    stars. Every step is written to the shared folder, so no plan grows and a lost executor costs one step; no list of
+    neighbours is gathered anywhere, and the neighbours of one node may spread over tasks.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = _fingerprint(now)
-    while True:
-        ways = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stored(ways.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        mark = _fingerprint(now)
-        if mark == seen:
-            break
-        seen = mark
-    roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label")))
+    with Scratch(name) as keep:
+        now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        rows = now.count()
+        while not _stars(now):
+            # nodes without a lesser neighbour stay as they are, so a hub's edges only wait for those of others
+            lesser = keep(now.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "lesser", rows)
+            large = keep(now.withColumnRenamed("b", "u").join(lesser, "u", "left").select("a", F.coalesce("m", "u").alias("b")).distinct(), "large", rows)
+            least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least", rows)
+            moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            small = keep(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small", 2 * rows)
+            keep.drop(now, lesser, large, least)
+            now, rows = small, small.count()
+        roots = now.select(F.col("b").alias("node")).distinct()
+        found = now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label")))
+        return stored(found, name, 2 * rows)

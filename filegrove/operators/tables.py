@@ -51,28 +51,25 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 class Scratch:
-    """Tables of one computation: with Scratch("name") as keep: table = keep(df). All are removed at the end of the block,
-    so what leaves it must have been stored() from them."""
+    """Tables of one computation: with Scratch("name") as keep: table = keep(df, "what"). All are removed at the end of the
+    block, so what leaves it must have been stored() from them."""
 
     def __init__(self, name: str) -> None:
-        self.name, self.paths = name, []
+        self.name, self.tables = name, []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __call__(self, df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
         out, path = _write(df, f"{self.name}-{what}", rows)
-        self.paths.append((df.sparkSession, path))
+        self.tables.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
-        files = {f.rsplit("/", 1)[0] for frame in frames for f in frame.inputFiles()}
-        for spark, path in [p for p in self.paths if any(f.endswith(p[1].rsplit("/", 1)[1]) for f in files)]:
-            removed(spark, path)
-            self.paths.remove((spark, path))
+        for table, path in [x for x in self.tables if any(x[0] is f for f in frames)]:
+            removed(table.sparkSession, path)
+            self.tables = [x for x in self.tables if x[0] is not table]
 
     def __exit__(self, *error) -> None:
-        for spark, path in self.paths:
-            removed(spark, path)
-        self.paths.clear()
+        self.drop(*[table for table, _ in self.tables])
