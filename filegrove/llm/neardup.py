@@ -10,13 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filegrove.llm.common import fresh, gram_hashes, map_arrow, mix, text_key, word_hashes, written
+from filegrove.llm.common import fresh, gram_hashes, map_arrow, mix, text_key, word_hashes
+from filegrove.operators.graph import connected
+from filegrove.operators.tables import Scratch, stored
 
 
 @dataclass(frozen=True)
 class Plan:
     """Shingles of so many words; the least Jaccard similarity of the shingle sets as a fraction; bands of rows registers.
 
+    counted: shingles weigh as often as they occur, in signatures and in links, which then are of multisets (the sum of the
+    lesser counts over that of the greater ones; probability Jaccard is never below it). Else all weigh the same.
+
     32 bands of 5 miss a pair of similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6. Candidates have a sketch of fine
     bits, which differ independently of each other: a pair of 0.8 has over unlike_bits unlike ones (102 on average, 9.6 the
     standard deviation) with probability 1.1e-6. Candidates go through so many sieves (see _linkable; what one drops makes
@@ -32,14 +37,15 @@ class Plan:
     unlike_bits: int = 150
     sieves: int = 2
     rounds: int = 3
+    counted: bool = False
 
     @property
     def registers(self) -> int:
         return self.bands * self.rows
 
 
-def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of lower-cased texts: the text's place and the hash; sorted by text, then hash.
+def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of lower-cased texts: the text's place, the hash and how often it occurs; sorted by text and hash.
 
     A text of 1 to k - 1 words has one shingle, all its words; one without words has none.
     """
@@ -58,7 +64,13 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((found, owner))
     owner, found = owner[order], found[order]
     first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])))) if len(found) else np.zeros(0, np.int64)
-    return owner[first], found[first]
+    return owner[first], found[first], np.diff(np.append(first, len(found)))
+
+
+def occurrences(owner: np.ndarray, found: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counted shingles as a set of single ones, the n-th occurrence of each: sets that share as much as the multisets do."""
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(owner, count), mix(np.repeat(found, count) + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -131,8 +143,8 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.lower().encode() for t in batch.column("text").to_pylist()]
-        owner, found = shingles(texts, plan.words)
-        signature = prob_min_hash(owner, found, np.ones(len(found)), len(texts), plan.registers)  # equal weights, as links are by sets
+        owner, found, count = shingles(texts, plan.words)
+        signature = prob_min_hash(owner, found, count.astype(float) if plan.counted else np.ones(len(found)), len(texts), plan.registers)
         some = np.flatnonzero(np.bincount(owner, minlength=len(texts)) > 0)
         signature = signature[some]
         bands = np.zeros((len(some), plan.bands), np.uint64) + np.arange(plan.bands, dtype=np.uint64)
@@ -148,7 +160,9 @@ def shingle_sets(docs: DataFrame, plan: Plan) -> DataFrame:
     """(id, n, bits, shingles) of each row of docs (id, text): the number of shingles, the fine sketch, and their hashes."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owner, found = shingles([t.lower().encode() for t in batch.column("text").to_pylist()], plan.words)
+        owner, found, count = shingles([t.lower().encode() for t in batch.column("text").to_pylist()], plan.words)
+        if plan.counted:
+            owner, found = occurrences(owner, found, count)
         offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
         bits = fine_sketch(owner, found, batch.num_rows, plan.fine)
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), _lists(bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))], names=["id", "n", "bits", "shingles"])
@@ -156,33 +170,6 @@ def shingle_sets(docs: DataFrame, plan: Plan) -> DataFrame:
     return map_arrow(docs, kernel, "id long, n int, bits array<long>, shingles array<long>")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label): the least node of each connected component of edges (a, b); nodes without an edge are left out.
-
-    Alternates large-star and small-star steps; each shuffles the edges and writes the new ones to the shared folder, until
-    nothing changes. No node's neighbours are gathered: only the least one is, by an aggregate.
-    """
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    current = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    before = mark(current)
-    while True:
-        all_ways = both(current)
-        least = all_ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = all_ways.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, name)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        current = written(small, name)
-        after = mark(current)
-        if after == before:
-            break
-        before = after
-    roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
-    return written(current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots), name)
-
-
 def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of sets with one of these ids (distinct). Up to BROADCAST_IDS they go to all tasks, so that no set is
     shuffled only to be dropped."""
@@ -190,10 +177,11 @@ def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan, keep: Scratch, rows: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
-    sets = _only(sets, written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "neardup-ids"))
-    whole = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set"))
+    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", 2 * rows)
+    some = _only(sets, ids)
+    whole = lambda x: some.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set"))
     both = pairs.join(whole("a"), "a").join(whole("b"), "b")
     shared, sizes = F.size(F.array_intersect("a_set", "b_set")), F.col("a_n") + F.col("b_n")
     top, bottom = plan.similar
@@ -238,33 +226,33 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return buckets.join(buckets.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band"), "band")
 
 
-def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
+def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Of docs (doc_id, text): a table (node, doc_id, ...) of the rows with words, and (node, label) of the classes of
     different texts that near-duplicate links join (None: there are no candidates at all)."""
     docs = docs.where("text IS NOT NULL").select("doc_id", "text", text_key().alias("node"))
-    table = written(sketches(docs, plan), "neardup-sketches")
+    table = keep(sketches(docs, plan), "sketches")
     bands = table.select("node", F.explode("bands").alias("band"))
     mark = F.xxhash64("node")
     several = bands.groupBy("band").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("band")
-    hits = written(bands.join(several, "band").distinct(), "neardup-hits")
+    hits = keep(bands.join(several, "band").distinct(), "hits")
+    n_hits = hits.count()
     # candidate texts get whole numbers, which later aggregates take without sorting
-    nodes = written(hits.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "neardup-nodes")
+    nodes = keep(hits.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "nodes", n_hits)
+    n = nodes.count()
     rows = table.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))  # copies meet before the join
-    chosen = written(rows.join(nodes, "node"), "neardup-chosen")
-    wanted = chosen.select("node", "doc_id", "id")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = keep(rows.join(nodes, "node").select("node", "doc_id", "id"), "chosen", n)
+    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
     text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"]).select("id", "text")
-    sets = written(shingle_sets(text, plan), "neardup-sets")
-    live = written(_linkable(sets, plan), "neardup-linkable")
+    sets = keep(shingle_sets(text, plan), "sets")
+    live = keep(_linkable(sets, plan), "linkable", n)
     for _ in range(1, plan.sieves):
-        live = written(_linkable(_only(sets, live.select("id")), plan), "neardup-linkable")
-    buckets = hits.join(nodes, "node").select("band", "id").join(live.select("id"), "id", "left_semi")
-    buckets = written(_shared(buckets), "neardup-buckets")
+        live = keep(_linkable(_only(sets, live.select("id")), plan), "linkable", n)
+    buckets = keep(_shared(hits.join(nodes, "node").select("band", "id").join(live.select("id"), "id", "left_semi")), "shared", n_hits)
     # a text that meets many others in its buckets is near the middle of a group: it leads first
     sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))
     middle = buckets.join(sizes, "band").groupBy("id").agg(F.sum("members").alias("middle"))
-    buckets = written(buckets.join(middle, "id"), "neardup-buckets")
-    labels, edges, tested = None, None, None
+    buckets = keep(buckets.join(middle, "id"), "buckets", buckets.count())
+    labels, tested = None, None
 
     def labelled() -> DataFrame:
         if labels is None:
@@ -272,16 +260,15 @@ def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
         return buckets.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
     def add(pairs: DataFrame) -> bool:
-        nonlocal labels, edges, tested
+        nonlocal labels, tested
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "neardup-pairs")
-        if pairs.isEmpty():
+        pairs = keep(pairs, "pairs")
+        if not (met := pairs.count()):
             return False
-        found = written(_verified(pairs, sets, plan), "neardup-links")
+        found = keep(_verified(pairs, sets, plan, keep, met), "links", met)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "neardup-components")
+        if not found.isEmpty():  # what was joined before is in the labels
+            labels = connected(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "neardup-components")
         return True
 
     for turn in range(plan.rounds):
@@ -292,7 +279,7 @@ def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
         met = rows.join(lead.join(own, "lead"), "band").where("label <> lead_label")
         if not add(_likely(met.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), live, plan)):
             break
-    add(_across(labelled().select("band", "id", "label"), live, plan))
+    add(_across(labelled().select("band", "id", "label"), live, plan, keep))
     if labels is None:
         return table, None
     names = nodes.select("id", "node")
@@ -300,13 +287,13 @@ def links(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
     return table, named.select("node", "label")
 
 
-def _across(rows: DataFrame, live: DataFrame, plan: Plan) -> DataFrame:
+def _across(rows: DataFrame, live: DataFrame, plan: Plan, keep: Scratch) -> DataFrame:
     """All pairs of different classes that share a bucket and that sizes and bits leave a chance.
 
     In each bucket, members outside its largest class meet all members of other classes."""
     sizes = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max_by("label", "n").alias("home"), F.count("*").alias("classes")).where("classes > 1").select("band", "home")
-    rows = written(rows.join(mixed, "band").join(live, "id"), "neardup-mixed")
+    rows = keep(rows.join(mixed, "band").join(live, "id"), "mixed")
     left = rows.where("label <> home").select("band", *(F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "rest", "bits")))
     near = left.join(rows, "band").where((F.col("x_label") != F.col("label")) & _may(plan, "x_", ""))
     return near.select(*_ordered(F.col("x_id"), F.col("id"))).distinct()
@@ -322,16 +309,17 @@ def classes(df: DataFrame, text: str = "text", id_column: str = "doc_id", plan:
     like others.
     """
     docs = df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    table, labels = links(docs, plan)
     rows = docs.select("doc_id", text_key().alias("node"))
-    wordy = table.groupBy("node").agg(F.count("*").alias("n"))  # texts with words
-    label = wordy.select("node", F.col("node").alias("class_key")) if labels is None else wordy.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class_key"))
-    members = table.select("node", "doc_id").join(written(label, "neardup-labels"), "node")
-    wordless = docs.where((F.col("text") != "") & ~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]")).select(text_key().alias("node"), "doc_id")
-    members = written(members.unionByName(wordless.withColumn("class_key", F.col("node"))), "neardup-members")
-    sizes = members.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    by_text = members.select("node", "class_key").distinct().join(sizes, "class_key")
-    out = rows.join(written(by_text, "neardup-classes"), "node", "left")
+    with Scratch("neardup") as keep:
+        table, labels = links(docs, plan, keep)
+        wordy = table.groupBy("node").agg(F.count("*").alias("n"))  # texts with words
+        label = wordy.select("node", F.col("node").alias("class_key")) if labels is None else wordy.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class_key"))
+        members = table.select("node", "doc_id").join(keep(label, "labels"), "node")
+        wordless = docs.where((F.col("text") != "") & ~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]")).select(text_key().alias("node"), "doc_id")
+        members = keep(members.unionByName(wordless.withColumn("class_key", F.col("node"))), "members")
+        sizes = members.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+        by_text = stored(members.select("node", "class_key").distinct().join(sizes, "class_key"), "neardup-classes")
+    out = rows.join(by_text, "node", "left")
     alone = F.col("class_key").isNull()
     return out.select(
         "doc_id",
@@ -348,9 +336,9 @@ def keep_first(df: DataFrame, text: str = "text", id_column: str = "doc_id", pla
     key, own, count, best_id = fresh(df, "class_key", "text_node", "rows_like_it", "best_id")
     found = classes(df, text, id_column, plan).where("first AND class_key IS NOT NULL").select(F.col("class_key").alias(key), F.col("node").alias(own), F.col("doc_id").alias(best_id))
     # a class's row is known by its id and text; repeated ids or rows leave several, of which one stays
-    found = written(found, "neardup-first")
+    found = stored(found, "neardup-first")
     best = found.groupBy(key).agg(F.min(own).alias(own))
-    rows = written(found.join(best, [key, own]).groupBy(key, own, best_id).agg(F.count("*").alias(count)), "neardup-kept")
+    rows = stored(found.join(best, [key, own]).groupBy(key, own, best_id).agg(F.count("*").alias(count)), "neardup-kept")
     marked = df.withColumn(own, text_key(text)).join(rows, own, "left")
     some = F.coalesce(F.col(f"`{text}`").cast("string") != "", F.lit(False))
     plain = marked.where(~some | (F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(best_id)) & (F.col(count) == 1)))

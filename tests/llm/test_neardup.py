@@ -1,11 +1,13 @@
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from filegrove.llm.neardup import Plan, classes, components, fine_sketch, keep_first, prob_min_hash
+from filegrove.llm.neardup import Plan, classes, fine_sketch, keep_first, prob_min_hash
+from filegrove.operators.graph import connected as components
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -174,3 +176,57 @@ def test_components(spark):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     assert got == {x: root(x) for x in parent}
+
+
+def multisets(text):
+    w = WORDS.findall((text or "").lower().encode())
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+
+def test_counted_shingles_link_multisets(spark):
+    rng = random.Random(23)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(120):  # the same shingles, said more or less often
+        x, y = some(40), some(10)
+        rows += [" ".join(x + y * rng.randint(1, 6)), " ".join(x + y * rng.randint(1, 6))]
+    rows = list(enumerate(rows))
+    want = []
+    for i in range(0, len(rows), 2):
+        a, b = multisets(rows[i][1]), multisets(rows[i + 1][1])
+        want.append(5 * sum((a & b).values()) >= 4 * sum((a | b).values()))
+    assert 20 < sum(want) < 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in classes(df, plan=Plan(counted=True)).collect()}
+    assert [found[i] == found[i + 1] for i in range(0, len(rows), 2)] == want
+    plain = {r["doc_id"]: r["class_id"] for r in classes(df).collect()}
+    assert sum(plain[i] == plain[i + 1] for i in range(0, len(rows), 2)) > sum(want)
+
+
+def test_the_sieve_of_sketches_loses_next_to_nothing():
+    """Registers are independent, so unlike bits of a pair are a binomial of half its distance."""
+    plan = Plan()
+    p = 0.5 * (1 - plan.similar[0] / plan.similar[1])
+    tail = sum(math.exp(math.lgamma(plan.fine + 1) - math.lgamma(k + 1) - math.lgamma(plan.fine - k + 1) + k * math.log(p) + (plan.fine - k) * math.log(1 - p)) for k in range(plan.unlike_bits + 1, plan.fine + 1))
+    assert tail < 1.2e-6
+    assert (1 - (plan.similar[0] / plan.similar[1]) ** plan.rows) ** plan.bands < 4e-6
+
+
+def test_a_large_group_and_a_long_text(spark):
+    """A group of near copies whose links need no common middle, texts just under the threshold beside it, and a long text."""
+    rng = random.Random(29)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    base = some(150)
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 8])):
+            copy[at] = f"x{i}y{at}"
+        rows.append(" ".join(copy))
+    long = some(30_000)
+    rows += [" ".join(long), " ".join(["other", *long[: len(long) - 5]]), " ".join(some(30_000))]
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    found = {r["doc_id"]: r["class_id"] for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    least = {label: i for i, label in reversed(list(enumerate(want)))}
+    assert found == {i: least[label] for i, label in enumerate(want)}
