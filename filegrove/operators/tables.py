@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows of one file where the number of rows is known: small tables go to few files.
 FILE_ROWS = 200_000
@@ -34,17 +35,18 @@ def removed(spark: SparkSession, path: str) -> None:
         pass
 
 
-def _write(df: DataFrame, name: str, rows: int | None) -> tuple[DataFrame, str]:
+def _write(df: DataFrame, name: str, rows: int | None, compression: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """df, written as Parquet and read again; removed when the program ends. rows: at most so many, if known."""
+    """df, written as Parquet and read again; removed when the program ends. rows: at most so many, and no more than about as
+    many are read to make them, if known."""
     out, path = _write(df, name, rows)
     atexit.register(removed, df.sparkSession, path)
     return out
@@ -60,8 +62,8 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def __call__(self, df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
-        out, path = _write(df, f"{self.name}-{what}", rows)
+    def __call__(self, df: DataFrame, what: str, rows: int | None = None, compression: str | None = None) -> DataFrame:
+        out, path = _write(df, f"{self.name}-{what}", rows, compression)
         self.tables.append((out, path))
         return out
 
@@ -73,3 +75,20 @@ class Scratch:
 
     def __exit__(self, *error) -> None:
         self.drop(*[table for table, _ in self.tables])
+
+
+def placed(ordered: DataFrame, place: str = "place") -> DataFrame:
+    """The rows of a sorted table with their places from 1. A sort leaves ranges, which are counted one by one, so no task
+    sees all rows; what is broadcast is one number a range."""
+    dealt = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    at = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return dealt.join(F.broadcast(starts), part == F.col("_part")).withColumn(place, at.cast("long")).drop("_at", "_part", "_before")
+
+
+def numbered(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """df with the place (from 1) of each row in this order."""
+    return placed(df.orderBy(*order), place)
