@@ -120,7 +120,7 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(),
     """
     df = df.drop(dropped)
     with Scratch("lines") as keep:
-        lines = keep(_lines(df, text, tree), "parsed")
+        lines = keep(_lines(df, text, tree), "parsed", compression="zstd")  # the texts again
         gone = keep(recurring_templates(lines, tree, keep), "gone")
         key, flags = fresh(df, "line_key", "line_places")
         places = lines.join(gone, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(flags))

@@ -240,13 +240,13 @@ def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFr
     nodes = keep(hits.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "nodes", n_hits)
     n = nodes.count()
     rows = table.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))  # copies meet before the join
-    wanted = keep(rows.join(nodes, "node").select("node", "doc_id", "id"), "chosen", n)
+    wanted = keep(rows.join(nodes, "node").select("node", "doc_id", "id"), "chosen")
     wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
     text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"]).select("id", "text")
     sets = keep(shingle_sets(text, plan), "sets")
-    live = keep(_linkable(sets, plan), "linkable", n)
+    live = keep(_linkable(sets, plan), "linkable")
     for _ in range(1, plan.sieves):
-        live = keep(_linkable(_only(sets, live.select("id")), plan), "linkable", n)
+        live = keep(_linkable(_only(sets, live.select("id")), plan), "linkable")
     buckets = keep(_shared(hits.join(nodes, "node").select("band", "id").join(live.select("id"), "id", "left_semi")), "shared", n_hits)
     # a text that meets many others in its buckets is near the middle of a group: it leads first
     sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))
@@ -265,7 +265,7 @@ def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFr
         pairs = keep(pairs, "pairs")
         if not (met := pairs.count()):
             return False
-        found = keep(_verified(pairs, sets, plan, keep, met), "links", met)
+        found = keep(_verified(pairs, sets, plan, keep, met), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():  # what was joined before is in the labels
             labels = connected(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "neardup-components")
