@@ -27,7 +27,7 @@ class Tree:
     min_docs: int = 3
     min_tokens: int = 4
     constant_share: float = 0.7
-    copy_share: float = 0.5
+    copy_share: float = 0.3
 
 
 def masked(line: Column) -> Column:
@@ -90,7 +90,7 @@ def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFram
 
     Each template and each family of templates is a set of lines. A set recurs if its lines stand in min_docs different
     texts that aren't copies: of each set the text with the least key leads, and a text of which copy_share is shared with
-    one leader counts as that leader."""
+    leaders counts as the one of them with the least key."""
     seen = lines.select("template", "leaf", "tokens", "key", "id").groupBy("template", "leaf", "tokens", "key").agg(F.min("id").alias("id"))
     templates = keep(seen.groupBy("template", "leaf", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("texts")), "templates")
     other = keep(_generalised(lines, templates, tree, keep), "families")
@@ -103,8 +103,7 @@ def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFram
     sets = keep(sets.where(F.col("texts") >= tree.min_docs).drop("texts"), "sets")
     held = keep(found.join(sets, "family").groupBy("key", "leader", "place", "whole").agg(F.max("chars").alias("chars")), "held")
     shared = held.groupBy("key", "leader").agg(F.sum("chars").alias("shared"), F.max("whole").alias("whole"))
-    copies = shared.groupBy("key").agg(F.max(F.struct("shared", "leader", "whole")).alias("most"))
-    copies = keep(copies.where(F.col("most.shared") >= F.col("most.whole") * tree.copy_share).select("key", F.col("most.leader").alias("copy_of")), "copies")
+    copies = keep(shared.where(F.col("shared") >= F.col("whole") * tree.copy_share).groupBy("key").agg(F.min("leader").alias("copy_of")), "copies")
     units = found.join(sets.select("family"), "family", "left_semi").select("family", "key").distinct().join(copies, "key", "left")
     counted = units.select("family", F.coalesce("copy_of", "key").alias("unit")).distinct().groupBy("family").agg(F.count("*").alias("units"))
     return member.join(counted.where(F.col("units") >= tree.min_docs), "family", "left_semi").select("template").distinct()
@@ -157,7 +156,7 @@ mb AS (SELECT m, family FROM fm UNION SELECT family, family FROM fm UNION SELECT
 fd AS (SELECT family, key, place, chars, whole FROM l JOIN mb USING (m)),
 st AS (SELECT family, min(key) AS leader FROM fd GROUP BY family HAVING count(DISTINCT key) >= 3),
 sh AS (SELECT key, leader, sum(chars) AS shared, any_value(whole) AS whole FROM (SELECT DISTINCT key, leader, place, chars, whole FROM fd JOIN st USING (family)) GROUP BY key, leader),
-cp AS (SELECT key, leader AS copy_of FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shared DESC, leader DESC) AS r FROM sh) WHERE r = 1 AND shared >= whole * 0.5),
+cp AS (SELECT key, min(leader) AS copy_of FROM sh WHERE shared >= whole * 0.3::DOUBLE GROUP BY key),
 un AS (SELECT family FROM fd JOIN st USING (family) LEFT JOIN cp USING (key) GROUP BY family HAVING count(DISTINCT coalesce(copy_of, key)) >= 3),
 gone AS (SELECT DISTINCT m FROM mb JOIN un USING (family)),
 dc AS (SELECT key, list(place) AS places FROM l JOIN gone USING (m) GROUP BY key)

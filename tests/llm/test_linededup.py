@@ -48,10 +48,11 @@ def brute(texts, tree=Tree()):
         for lead in {leader[name] for name in family[m] if name in leader}:
             shared[t, lead] += n
     unit = {t: t for t in key}
-    for t in key:
-        n, _, lead = max(((n, key[lead], lead) for (s, lead), n in shared.items() if s == t), default=(0, "", t)) if len(key) < 400 else max(((shared[t, x], key[x], x) for x in set(leader.values()) if (t, x) in shared), default=(0, "", t))
-        if n >= tree.copy_share * len(t) and n:
+    for (t, lead), n in shared.items():
+        if n >= tree.copy_share * len(t) and (unit[t] is t or key[lead] < key[unit[t]]):
             unit[t] = lead
+    copied = {t for (t, lead), n in shared.items() if lead == t and n >= tree.copy_share * len(t)}  # may lead themselves
+    unit = {t: min([u, t], key=key.get) if t in copied else u for t, u in unit.items()}
     recurs = {name for name, ts in where.items() if len({unit[t] for t in ts}) >= tree.min_docs}
     gone = {m for m, names in family.items() if names & recurs}
     out = []
