@@ -10,12 +10,12 @@ READ_ONLY, HIDDEN, SYSTEM, DIRECTORY, DEVICE, REPARSE_POINT = 1, 2, 4, 16, 64, 1
 SEPARATOR = "/"
 #: Extensions of each category of files (fixed values).
 CATEGORIES = {
-    "Images": "jpg jpeg png gif bmp tiff tif webp heic heif raw cr2 nef arw dng svg ico psd",
-    "Video": "mp4 mkv mov avi wmv flv webm m4v mpg mpeg 3gp ts",
-    "Audio": "mp3 flac wav aac ogg m4a wma opus aiff alac",
-    "Documents": "pdf doc docx xls xlsx ppt pptx txt rtf odt ods odp epub md csv",
-    "Archives": "zip rar 7z tar gz bz2 xz iso cab",
-    "Code": "cs js ts py java kt cpp h html css json xml yml sql",
+    "Images": ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif", "webp", "heic", "heif", "raw", "cr2", "nef", "arw", "dng", "svg", "ico", "psd"),
+    "Video": ("mp4", "mkv", "mov", "avi", "wmv", "flv", "webm", "m4v", "mpg", "mpeg", "3gp", "ts"),
+    "Audio": ("mp3", "flac", "wav", "aac", "ogg", "m4a", "wma", "opus", "aiff", "alac"),
+    "Documents": ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "rtf", "odt", "ods", "odp", "epub", "md", "csv"),
+    "Archives": ("zip", "rar", "7z", "tar", "gz", "bz2", "xz", "iso", "cab"),
+    "Code": ("cs", "js", "ts", "py", "java", "kt", "cpp", "h", "html", "css", "json", "xml", "yml", "sql"),
 }
 
 
@@ -66,7 +66,7 @@ def under(path: Column, folder: Column) -> Column:
 
 
 def category_extensions(categories: list[str]) -> list[str]:
-    return sorted({f".{x}" for c in categories for x in CATEGORIES[c].split()})
+    return sorted({f".{x}" for c in categories for x in CATEGORIES[c]})
 
 
 def keep_both_name(name: Column, n: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIDE, LOW = 32, 8
+#: Keys of one row up to which a search plan is considered.
+MOST_KEYS = 2000
 _BASIS = np.cos(np.pi * (2 * np.arange(SIDE)[:, None] + 1) * np.arange(LOW) / (2 * SIDE)) * np.where(np.arange(LOW) == 0, np.sqrt(1 / SIDE), np.sqrt(2 / SIDE))
 
 
@@ -48,17 +52,41 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(hash_: Column, distance: int) -> Column:
-    """distance + 1 pieces of a hash as array<struct<band,value>>: two hashes that differ in at most distance bits agree in
-    one of them, so a join on pieces loses no pair. The first pieces are a bit wider where 64 doesn't divide."""
-    k = distance + 1
+def search_plan(rows: int, distance: int, share: float = 1.0) -> tuple[int, int, int]:
+    """(pieces, flips, other flips): how to look for hashes that differ in at most distance bits among so many rows.
+
+    Of k pieces of two such hashes one differs in at most r = distance // k bits, so the one side's piece with up to flips bits
+    changed and the other side's with up to the rest of r meet in a value: no pair is lost. Few wide pieces have many changed
+    values and rare meetings, many narrow ones the reverse; the plan is the one with the least rows and meetings in all. share:
+    of the pairs of rows that other keys let meet."""
+
+    def cost(k: int) -> tuple[float, int, int, int]:
+        width, r = 64 // k, distance // k
+        near = lambda flips, w: sum(math.comb(w, i) for i in range(flips + 1))
+        one, other = (r + 1) // 2, r // 2
+        made = k * (near(one, width + 1) + near(other, width + 1))
+        meetings = share * rows * rows / 2 * k * near(r, width) / 2.0**width
+        return (3.0 * rows * made + meetings if made <= MOST_KEYS else math.inf), k, one, other
+
+    return min(map(cost, range(1, distance + 2)))[1:]
+
+
+def _keyed(number: Column, piece: Column, more: tuple[Column, ...]) -> Callable[[Column], Column]:
+    return lambda bits: F.xxhash64(number, piece.bitwiseXOR(bits), *more)
+
+
+def search_keys(hash_: Column, pieces: int, flips: int, *more: Column) -> Column:
+    """The keys of a hash, as an array of 64-bit numbers: each piece's values with up to flips bits changed, with its number
+    and more columns. The first pieces are a bit wider where 64 doesn't divide."""
     out, at = [], 0
-    for i in range(k):
-        width = 64 // k + (i < 64 % k)
+    for i in range(pieces):
+        width = 64 // pieces + (i < 64 % pieces)
         piece = hash_ if width == 64 else F.shiftrightunsigned(hash_, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        out.append(F.struct(F.lit(i).alias("band"), piece.alias("value")))
+        signed = lambda m: m - (1 << 64) if m >> 63 else m
+        changed = [signed(sum(1 << b for b in bits)) for n in range(flips + 1) for bits in combinations(range(width), n)]
+        out.append(F.transform(F.lit(changed).cast("array<bigint>"), _keyed(F.lit(i), piece, more)))
         at += width
-    return F.array(*out)
+    return F.concat(*out)
 
 
 def aspect_close(a: Column, b: Column, share: float = 0.05) -> Column:

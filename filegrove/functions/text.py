@@ -48,6 +48,27 @@ def span_text(ticks: Column) -> Column:
     return F.concat(F.when(ticks < 0, "-").otherwise(""), F.when(days > 0, F.concat(days.cast("string"), F.lit("."))).otherwise(""), clock, F.when(rest > 0, F.format_string(".%07d", rest)).otherwise(""))
 
 
+def span(ticks: int) -> str:
+    """span_text() of one number."""
+    seconds, rest = divmod(abs(ticks), TICKS_PER_SECOND)
+    days, clock = divmod(seconds, 86400)
+    out = f"{clock // 3600:02d}:{clock // 60 % 60:02d}:{clock % 60:02d}"
+    return f"{'-' if ticks < 0 else ''}{f'{days}.' if days else ''}{out}{f'.{rest:07d}' if rest else ''}"
+
+
+def number_text(value: Column) -> Column:
+    """A number without a needless .0"""
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+
+
+def editor_unit(bytes_: Column) -> Column:
+    """The largest unit (a place in UNITS) of which a number of bytes is a whole multiple; 0 for none, NaN and null."""
+    out = F.lit(0)
+    for i in range(1, len(UNITS)):
+        out = F.when((bytes_ > 0) & ~F.isnan(bytes_.cast("double")) & (bytes_ % 1024**i == 0), i).otherwise(out)
+    return out
+
+
 def utc_text(ticks: Column) -> Column:
     """2024-01-02T03:04:05.0000006Z: seven decimals."""
     rest = ticks % TICKS_PER_SECOND

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from filegrove.functions.paths import path_order
 CHANGED = "The source changed since the scan."
 #: Which tools may change files in bulk, and which may rename (fixed values).
 MUTATING = ("EmptyFiles", "EmptyFolders", "BigFiles", "TemporaryFiles", "InvalidLinks", "BrokenFiles", "SimilarImages", "SimilarVideos", "MusicDuplicates")
-RENAMING = (*(t for t in MUTATING if t != "BrokenFiles"), "BadExtensions", "BadNames")
+RENAMING = ("EmptyFiles", "EmptyFolders", "BigFiles", "TemporaryFiles", "InvalidLinks", "SimilarImages", "SimilarVideos", "MusicDuplicates", "BadExtensions", "BadNames")
 #: Attributes that both files of a link must share, and that neither may have.
 EQUAL_ATTRIBUTES = paths.READ_ONLY | paths.HIDDEN | paths.SYSTEM
 MOST_LINKS = 1024
@@ -22,6 +25,11 @@ def kind_of(attributes: Column) -> Column:
     return F.when(directory & link, "DirectoryLink").when(link, "FileLink").when(directory, "Directory").otherwise("File")
 
 
+def authority(sessions: DataFrame) -> DataFrame:
+    """sessions (tool) with may_change and may_rename: what a result's tool allows in bulk."""
+    return sessions.withColumns({"may_change": F.col("tool").isin(*MUTATING), "may_rename": F.col("tool").isin(*RENAMING)})
+
+
 def revalidated(targets: DataFrame, inventory: DataFrame) -> DataFrame:
     """targets (full_path, kind, size_bytes, modified_ticks or null, survivors: array of paths or null) with failure: null
     where the action may go on. inventory: the files and folders as they are now, with physical_child_count of folders.
@@ -45,42 +53,67 @@ def action_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count_if(ok).alias("n_done"), F.coalesce(F.sum(F.when(ok, F.col("size_bytes"))), F.lit(0)).alias("bytes_done"), F.count_if(~ok).alias("n_failed"))
 
 
-def free_names(rows: DataFrame, taken: DataFrame, folder: str, candidate, first: int = 1) -> DataFrame:
-    """rows with new_name: for each, in path order within its folder, the first candidate(n) for n = first, first + 1, ...
-    that is neither taken (folder, name; without regard to case) nor given to an earlier row.
-
-    Rows compete only with those of the same folder and stem, and the fold runs over those alone: candidate(name column, n)
-    must differ for different stems. Names in use come as a set of that stem's candidates."""
-    rows = rows.withColumn("_stem", F.upper(paths.stem(F.col("file_name")))).withColumn("_folder", F.upper(F.col(folder)))
-    used = taken.select(F.upper(F.col("folder")).alias("_folder"), F.upper("name").alias("_name"))
-    # a folder's taken names that begin with the stem are all that can be in the way
-    per = rows.select("_folder", "_stem").distinct().join(used, "_folder").where(F.col("_name").startswith(F.col("_stem"))).groupBy("_folder", "_stem").agg(F.collect_set("_name").alias("_used"))
-    queue = rows.groupBy("_folder", "_stem").agg(F.sort_array(F.collect_list(F.struct(F.upper("full_path").alias("u"), F.col("full_path").alias("p"), F.col("file_name").alias("n")))).alias("_queue"))
-    joined = queue.join(per, ["_folder", "_stem"], "left").withColumn("_used", F.coalesce("_used", F.expr("cast(array() as array<string>)")))
-    start = F.struct(F.col("_used").alias("used"), F.expr("cast(array() as array<struct<p:string,name:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(first), F.size(acc["used"]) + first + 1), lambda n: candidate(x["n"], n))
-        name = F.element_at(F.filter(tries, lambda t: ~F.array_contains(acc["used"], F.upper(t))), 1)
-        return F.struct(F.array_append(acc["used"], F.upper(name)).alias("used"), F.array_append(acc["out"], F.struct(x["p"].alias("p"), name.alias("name"))).alias("out"))
-
-    named = joined.select(F.explode(F.aggregate("_queue", start, step, lambda acc: acc["out"])).alias("x")).select(F.col("x.p").alias("full_path"), F.col("x.name").alias("new_name"))
-    return rows.drop("_stem", "_folder").join(named, "full_path")
-
-
-def optimized_name(name: Column, n: Column) -> Column:
-    """stem.optimized.mp4, then stem.optimized (2).mp4 and so on."""
-    return F.concat(paths.stem(name), F.lit(".optimized"), F.when(n > 1, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(""), F.lit(".mp4"))
-
-
-def cleaned_name(name: Column, n: Column) -> Column:
-    """stem.clean.ext, then stem.clean (2).ext and so on."""
-    return F.concat(paths.stem(name), F.lit(".clean"), F.when(n > 1, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(""), F.regexp_extract(name, r"(\.[^.]*)$", 1))
-
-
-def moved_name(name: Column, n: Column) -> Column:
-    """The name itself, then stem (2).ext and so on."""
-    return F.when(n == 1, name).otherwise(paths.keep_both_name(name, n))
+@dataclass(frozen=True)
+class Naming:
+    """How a plan names outputs: stem, middle, " (n)" from the second try on, and an ending (None: the name's own)."""
+
+    middle: str = ""
+    ending: str | None = None
+
+    def first(self, name: Column) -> Column:
+        """The first try as a column."""
+        own = F.regexp_extract(name, r"(\.[^.]*)$", 1) if self.ending is None else F.lit(self.ending)
+        return F.concat(paths.stem(name), F.lit(self.middle), own)
+
+    def parts(self, name: str) -> tuple[str, str]:
+        """What stands before and behind the number."""
+        dot = name.rfind(".")
+        stem, own = (name, "") if dot < 0 else (name[:dot], name[dot:])
+        return stem + self.middle, own if self.ending is None else self.ending
+
+    def base(self, name: Column) -> Column:
+        """What all names have in common that could ever meet: the stem without numbers and middle, in capitals."""
+        plain = F.regexp_replace(F.upper(paths.stem(name)), NUMBERS, "")
+        middle = self.middle.upper()
+        cut = F.when(plain.endswith(middle), F.substring(plain, F.lit(1), F.length(plain) - len(middle))).otherwise(plain) if middle else plain
+        return F.regexp_replace(cut, NUMBERS, "")
+
+
+NUMBERS = r"( \([0-9]+\))+$"
+#: stem (2).ext; stem.optimized.mp4, stem.optimized (2).mp4; stem.clean.ext, stem.clean (2).ext
+MOVED, OPTIMIZED, CLEANED = Naming(), Naming(".optimized", ".mp4"), Naming(".clean")
+
+
+def free_names(rows: DataFrame, taken: DataFrame, folder: str, naming: Naming) -> DataFrame:
+    """rows with new_name: for each, in path order within its folder, the first try of naming that is neither taken (folder,
+    name; without regard to case) nor given to an earlier row.
+
+    Names can meet only if they have the folder and the base in common ("a.txt" and "a (2).txt" have), so each such pair is
+    settled by itself, in a task and in time linear in its rows; a row that is alone with its base needs no Python."""
+    keyed = rows.select("full_path", "file_name", F.upper(F.col(folder)).alias("_folder"), naming.base(F.col("file_name")).alias("_base"))
+    used = taken.select(F.upper(F.col("folder")).alias("_folder"), naming.base(F.col("name")).alias("_base"), F.col("name").alias("file_name"))
+    counts = keyed.select("_folder", "_base", F.lit(1).alias("_rows")).unionByName(used.select("_folder", "_base", F.lit(0).alias("_rows")))
+    contested = counts.groupBy("_folder", "_base").agg(F.sum("_rows").alias("_rows"), F.count("*").alias("_all")).where("_rows > 0 AND _all > 1").select("_folder", "_base")
+    alone = keyed.join(contested, ["_folder", "_base"], "left_anti").select("full_path", naming.first(F.col("file_name")).alias("new_name"))
+    both = keyed.withColumn("_order", F.upper("full_path")).unionByName(used, allowMissingColumns=True).join(contested, ["_folder", "_base"], "left_semi")
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        given = set(group.loc[group["full_path"].isna(), "file_name"].str.upper())
+        tries: dict[tuple[str, str], int] = {}
+        out = []
+        for path, name in group.dropna(subset=["full_path"]).sort_values(["_order", "full_path"])[["full_path", "file_name"]].itertuples(index=False):
+            head, tail = naming.parts(name)
+            key = head.upper(), tail.upper()
+            n = tries.get(key, 1)
+            while (new := f"{head}{f' ({n})' if n > 1 else ''}{tail}").upper() in given:
+                n += 1
+            given.add(new.upper())
+            tries[key] = n + 1
+            out.append((path, new))
+        return pd.DataFrame(out, columns=["full_path", "new_name"])
+
+    settled = both.select("_folder", "_base", "full_path", "file_name", "_order").groupBy("_folder", "_base").applyInPandas(settle, "full_path string, new_name string")
+    return rows.join(alone.unionByName(settled), "full_path")
 
 
 def move_plan(targets: DataFrame, destination_names: DataFrame, destination: str, collision: str = "KeepBoth") -> DataFrame:
@@ -90,7 +123,7 @@ def move_plan(targets: DataFrame, destination_names: DataFrame, destination: str
     them from 2, Cancel stops all as soon as one is in the way."""
     if collision not in ("Skip", "KeepBoth", "Cancel"):
         raise ValueError(f"no collision behaviour {collision!r}")
-    named = free_names(targets.withColumn("_to", F.lit(destination)), destination_names.select(F.lit(destination).alias("folder"), "name"), "_to", moved_name).drop("_to")
+    named = free_names(targets.withColumn("_to", F.lit(destination)), destination_names.select(F.lit(destination).alias("folder"), "name"), "_to", MOVED).drop("_to")
     clash = F.upper("new_name") != F.upper("file_name")
     if collision == "KeepBoth":
         return named.withColumn("action", F.lit("move"))
@@ -100,6 +133,28 @@ def move_plan(targets: DataFrame, destination_names: DataFrame, destination: str
     return named.crossJoin(any_clash).withColumn("action", F.when(F.col("_any"), "cancel").otherwise("move")).drop("_any")  # one row
 
 
+def clean_plan(sources: DataFrame, siblings: DataFrame) -> DataFrame:
+    """sources (full_path, file_name, directory_path) with output_path for copies without metadata, beside them; names in use:
+    siblings (folder, name)."""
+    named = free_names(sources, siblings, "directory_path", CLEANED)
+    return named.withColumn("output_path", F.concat("directory_path", F.lit(paths.SEPARATOR), "new_name")).drop("new_name")
+
+
+def link_plan(members: DataFrame, survivors: DataFrame, by: list[str] = ("digest", "size_bytes")) -> tuple[DataFrame, DataFrame]:
+    """(pairs, faults) of a selection (members with selected) and the survivors that a user named (by, survivor_path).
+
+    pairs: survivor_path and duplicate_path for each selected file of a group whose survivor is one of its files that isn't
+    selected. faults: groups with a selection but no such survivor, or more than one."""
+    acted = members.groupBy(*by).agg(F.max(F.col("selected").cast("int")).alias("_any")).where("_any = 1").select(*by)
+    named = survivors.select(*by, F.col("survivor_path").alias("full_path")).distinct()
+    free = members.where("NOT selected").join(named, [*by, "full_path"]).groupBy(*by).agg(F.min("full_path").alias("survivor_path"), F.count("*").alias("_n"))
+    named = named.groupBy(*by).agg(F.count("*").alias("_named"))
+    judged = acted.join(free, list(by), "left").join(named, list(by), "left")
+    sound = F.coalesce((F.col("_n") == 1) & (F.col("_named") == 1), F.lit(False))
+    pairs = members.where("selected").join(judged.where(sound).select(*by, "survivor_path"), list(by)).select("survivor_path", F.col("full_path").alias("duplicate_path"))
+    return pairs, judged.where(~sound).select(*by)
+
+
 def rename_checks(candidates: DataFrame, siblings: DataFrame, recommended_only: bool = False) -> DataFrame:
     """candidates (full_path, new_name, suggestion) with message: null where the rename may go on; the first that holds of:
     not current (no current row), no parent, invalid name, same name, not the recommended one, name in use by a sibling

@@ -4,25 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("full_path", "size_bytes", "modified_ticks")
 
 
-def known(files: DataFrame, cache: DataFrame, version: int) -> DataFrame:
+def accepted(cache: DataFrame, version: int, sound: Column | None = None) -> DataFrame:
+    """The cache's entries of this version whose evidence is sound (a boolean over its columns), one a snapshot: of several
+    the one whose evidence is the least."""
+    rows = cache.where(F.col("version") == version).drop("version")
+    rows = rows if sound is None else rows.where(sound)
+    rest = [c for c in rows.columns if c not in KEY]
+    if not rest:
+        return rows.distinct()
+    best = rows.groupBy(*KEY).agg(F.min(F.struct(*rest)).alias("_best"))
+    return best.select(*KEY, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
+def known(files: DataFrame, cache: DataFrame, version: int, sound: Column | None = None) -> DataFrame:
     """files with what the cache (KEY, version, evidence columns) has of their present snapshot, nulls where nothing."""
-    fresh = cache.where(F.col("version") == version).drop("version").dropDuplicates(list(KEY))
-    return files.join(fresh, list(KEY), "left")
+    return files.join(accepted(cache, version, sound), list(KEY), "left")
 
 
-def missing(files: DataFrame, cache: DataFrame, version: int) -> DataFrame:
+def missing(files: DataFrame, cache: DataFrame, version: int, sound: Column | None = None) -> DataFrame:
     """files whose present snapshot the cache doesn't have."""
-    return files.join(cache.where(F.col("version") == version).select(*KEY), list(KEY), "left_anti")
+    return files.join(accepted(cache, version, sound).select(*KEY), list(KEY), "left_anti")
 
 
-def refreshed(files: DataFrame, cache: DataFrame, version: int, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def refreshed(files: DataFrame, cache: DataFrame, version: int, compute: Callable[[DataFrame], DataFrame], sound: Column | None = None) -> DataFrame:
     """The cache for files: entries that still hold, and compute(files without one). Entries of files that changed or are
-    gone are dropped."""
-    held = cache.where(F.col("version") == version).join(files.select(*KEY), list(KEY), "left_semi")
-    return held.unionByName(compute(missing(files, cache, version)).withColumn("version", F.lit(version)))
+    gone, of other versions and of unsound evidence are dropped."""
+    held = accepted(cache, version, sound).join(files.select(*KEY), list(KEY), "left_semi")
+    return held.unionByName(compute(missing(files, cache, version, sound))).withColumn("version", F.lit(version))

@@ -6,10 +6,13 @@ content (or a digest of it). No stage gathers a group: each is an aggregate and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filegrove.functions import paths
+from filegrove.operators.tables import numbered, stored
 
 PREFIX_BYTES = 65_536
 RULES = ("newest", "oldest", "shortest", "preferred")
@@ -50,21 +53,34 @@ def several(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.join(groups, keys, "left_semi")
 
 
-def funnel(files: DataFrame, staged: bool = False) -> DataFrame:
+def funnel(files: DataFrame, staged: bool = False, read: Callable[[DataFrame, int | None], DataFrame] | None = None) -> DataFrame:
     """Members of groups of identical content, one of each physical identity (the first by path), with digest.
 
-    staged: size, then a hash of the first PREFIX_BYTES, then of all, dropping singles at each step, which spares reads
-    where content is read late. A column that is at hand is hashed once. Equal content is decided by SHA-256 and size.
+    Equal content is decided by SHA-256 and size. Digests are made where the content is read and stored once; no content is
+    shuffled. staged: sizes that occur once are dropped, then what no other file's first PREFIX_BYTES match. With read(files,
+    most), which adds the content (its first most bytes, or all), each step reads no more than what the one before has left;
+    without it, files have a column content.
     """
-    files = files.where("content IS NOT NULL")
-    if staged:
-        files = several(files, ["size_bytes"])
-        files = several(files.withColumn("_prefix", F.xxhash64(F.substring(F.col("content").cast("binary"), 1, PREFIX_BYTES))), ["size_bytes", "_prefix"]).drop("_prefix")
-    hashed = files.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256)).drop("content")
+    if read is None:
+        files = files.where("content IS NOT NULL")
+        prefix = {"_prefix": F.xxhash64(F.substring(F.col("content").cast("binary"), 1, PREFIX_BYTES))} if staged else {}
+        files = stored(files.withColumns({**prefix, "digest": _digest()}).drop("content"), "digests")
+        if staged:
+            files = several(several(files, ["size_bytes"]), ["size_bytes", "_prefix"]).drop("_prefix")
+    else:
+        if staged:
+            files = read(several(files, ["size_bytes"]), PREFIX_BYTES).where("content IS NOT NULL")
+            files = stored(files.withColumn("_prefix", F.xxhash64(F.col("content").cast("binary"))).drop("content"), "prefixes")
+            files = several(files, ["size_bytes", "_prefix"]).drop("_prefix")
+        files = stored(read(files, None).where("content IS NOT NULL").withColumn("digest", _digest()).drop("content"), "digests")
     keys = ["size_bytes", "digest"]
     first = F.min(F.struct(F.upper("full_path").alias("u"), F.col("full_path").alias("p")))
-    unique = hashed.groupBy(*keys, "identity").agg(first.alias("f")).select(*keys, F.col("f.p").alias("full_path"))
-    return several(unique, keys).join(hashed, [*keys, "full_path"])
+    unique = files.groupBy(*keys, "identity").agg(first.alias("f")).select(*keys, F.col("f.p").alias("full_path"))
+    return several(unique, keys).join(files, [*keys, "full_path"])
+
+
+def _digest() -> Column:
+    return F.sha2(F.col("content").cast("binary"), 256)
 
 
 def groups(members: DataFrame) -> DataFrame:
@@ -77,8 +93,8 @@ def groups(members: DataFrame) -> DataFrame:
 
 
 def summary(files: DataFrame, members: DataFrame) -> DataFrame:
-    """One row: scanned files, groups, duplicate files beyond the first, reclaimable bytes."""
-    per = members.groupBy("digest", "size_bytes").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"), F.coalesce(F.sum((F.col("n") - 1) * F.col("size_bytes")), F.lit(0)).alias("reclaimable_bytes"))
+    """One row: scanned files, groups, copies beyond the first file, reclaimable bytes."""
+    per = members.groupBy("digest", "size_bytes").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_copies"), F.coalesce(F.sum((F.col("n") - 1) * F.col("size_bytes")), F.lit(0)).alias("reclaimable_bytes"))
     return files.agg(F.count("*").alias("n_scanned")).crossJoin(per)  # one row each
 
 
@@ -139,22 +155,22 @@ SORTS = (
 
 
 def sort_groups(result: DataFrame, option: int) -> DataFrame:
-    """groups() in another order; ties by name and path."""
+    """groups() in another order, with the place of each; ties by name and path."""
     direction, column = SORTS[option]
     with_ext = result.withColumn("first_extension", paths.extension(F.col("first_name")))
     key = F.upper(F.col(column)) if column.startswith("first") else F.col(column)
-    return with_ext.orderBy(direction(key), F.upper("first_name"), F.upper("first_path"), "first_path")
+    return numbered(with_ext, [direction(key), F.upper("first_name"), F.upper("first_path"), F.col("first_path")]).orderBy("place")
 
 
 def totals(members: DataFrame, by: list[str] = ("digest", "size_bytes")) -> DataFrame:
-    """One row: groups, duplicates, reclaimable bytes, and of the selection groups, files and bytes."""
+    """One row: groups, copies beyond the first, reclaimable bytes, and of the selection groups, files and bytes."""
     chosen = F.col("selected").cast("long")
     per = members.groupBy(*by).agg(F.count("*").alias("n"), F.sum(chosen).alias("s"))
     size = F.col("size_bytes")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return per.agg(
         F.count("*").alias("n_groups"),
-        zero(F.sum(F.col("n") - 1)).alias("n_duplicates"),
+        zero(F.sum(F.col("n") - 1)).alias("n_copies"),
         zero(F.sum((F.col("n") - 1) * size)).alias("reclaimable_bytes"),
         F.count_if(F.col("s") > 0).alias("selected_groups"),
         zero(F.sum("s")).alias("selected_files"),

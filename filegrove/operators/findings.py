@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from filegrove.functions import paths, signatures, text
 from filegrove.functions.paths import ordinary, path_order
+from filegrove.sources.archives import zip_status
 
 #: Ends of names of temporary files (fixed values).
 TEMPORARY = (".tmp", ".temp", ".partial", ".part", ".crdownload", ".download", ".dmp", ".chk")
@@ -125,6 +126,15 @@ def broken_files(files: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFr
     return found, rows.where("_skip IS NOT NULL").select(F.col("full_path").alias("path"), F.col("_skip").alias("reason")).orderBy(*path_order("path"))
 
 
+def probed(files: DataFrame) -> DataFrame:
+    """Probes, as broken_files() takes them, of files with content: their types by first bytes, and of ZIP files what the
+    directory says. Other types count as valid here; their decoders are not part of Spark."""
+    content = F.col("content").cast("binary")
+    rows = files.select(F.col("full_path").alias("path"), *[F.col(c).alias(f"{w}_{n}") for w in ("before", "after") for c, n in (("size_bytes", "size"), ("modified_ticks", "ticks"))], signatures.detect(content).alias("detected_type"), content.alias("content"))
+    rows = rows.withColumn("zip", F.when(F.col("detected_type") == "ZIP", zip_status("content")))
+    return rows.select(*[c for c in rows.columns if c not in ("content", "zip")], F.coalesce("zip.status", F.lit("Valid")).alias("status"), F.col("zip.error_type").alias("error_type"))
+
+
 # --- names -----------------------------------------------------------------------------------------------------------
 
 INVALID = '"<>|:*?\\/'

@@ -142,6 +142,14 @@ RANGES = {"BigFiles": ("minimum_bytes", 0, None), "TemporaryFiles": ("age_ticks"
 PLAIN_TOOLS = ("EmptyFolders", "EmptyFiles", "InvalidLinks", "BrokenFiles", "BadExtensions", "BadNames")
 
 
+def check_scan(min_size: int, max_size: int | None = None, workers: int | None = None) -> None:
+    """Raises ValueError for sizes or a number of hashing workers (none: chosen automatically) out of range."""
+    if min_size < 0 or (max_size is not None and max_size < min_size):
+        raise ValueError("sizes must be 0 <= min_size <= max_size")
+    if workers not in (None, 1, 2, 4, 8):
+        raise ValueError("hashing workers must be 1, 2, 4, 8 or chosen automatically")
+
+
 def check_options(tool: str, options: dict[str, int], media_workers: int = 1) -> None:
     """Raises ValueError for options that a tool doesn't take or that are out of range."""
     if media_workers not in (1, 2, 4):

@@ -1,14 +1,17 @@
-"""Similar images and videos, and music by tags: lossless band joins, components, references and ordinal group ids."""
+"""Similar images and videos, and music by tags: lossless joins on pieces of hashes, components, references and ordinal group ids."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filegrove.functions import text
 from filegrove.functions.paths import path_order
-from filegrove.functions.perceptual import aspect_close, bands, hamming, percent
+from filegrove.functions.perceptual import aspect_close, hamming, percent, search_keys, search_plan
 from filegrove.operators.graph import connected
+from filegrove.operators.tables import Scratch, numbered, stored
 
 FRAMES = 5
 #: What a user's choice of closeness means (fixed values).
@@ -17,26 +20,45 @@ VIDEO_PRESETS = {"strict": 5, "balanced": 9, "loose": 13}
 MUSIC_TICKS = 2 * text.TICKS_PER_SECOND
 
 
-def _side(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+def _near(rows: DataFrame, keep: Scratch, keys, other_keys, payload: list[str], close: Callable[[str, str], Column]) -> DataFrame:
+    """Distinct pairs (a, b) of ids, a < b, of rows that share a key and are close. Only the id, the key and the payload that
+    close() needs are shuffled."""
+    side = lambda x, of: rows.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in payload], F.explode(of).alias("key"))
+    met = side("a", keys).join(side("b", other_keys), "key").where((F.col("a") < F.col("b")) & close("a", "b"))
+    return keep(met.select("a", "b").distinct(), "pairs")
+
+
+def _ratio(x: str) -> Column:
+    return F.col(f"{x}_width").cast("double") / F.col(f"{x}_height")
+
+
+def _image_edges(rows: DataFrame, distance: int, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) of ids of rows (id, hash, width, height), a table, that are similar."""
+    if not 0 <= distance <= 12:
+        raise ValueError("the distance must lie between 0 and 12")
+    pieces, flips, other = search_plan(rows.count(), distance)
+    close = lambda a, b: (hamming(F.col(f"{a}_hash"), F.col(f"{b}_hash")) <= distance) & aspect_close(_ratio(a), _ratio(b))
+    return _near(rows, keep, search_keys(F.col("hash"), pieces, flips), search_keys(F.col("hash"), pieces, other), ["hash", "width", "height"], close)
+
+
+def _named(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs of ids with full_path and columns of both, the lesser path as a."""
+    side = lambda x: rows.select(F.col("id").alias(x), F.struct("full_path", *columns).alias(f"{x}_row"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    ordered = F.when(F.col("a_row.full_path") < F.col("b_row.full_path"), F.struct(F.col("a_row").alias("a"), F.col("b_row").alias("b"))).otherwise(F.struct(F.col("b_row").alias("a"), F.col("a_row").alias("b")))
+    return both.select(ordered.alias("p")).select("p.a", "p.b")
 
 
 def image_pairs(images: DataFrame, distance: int) -> DataFrame:
     """(a_path, b_path, distance) of images (full_path, hash, width, height) whose hashes differ in at most distance bits
     and whose aspect ratios differ by at most a twentieth. a_path < b_path.
 
-    The join is on bands, which the pigeonhole rule makes complete: two hashes with d differing bits agree in at least one of
-    distance + 1 > d pieces. All pairs of equal hashes are among the result; image_groups needs no such pairs."""
-    if not 0 <= distance <= 12:
-        raise ValueError("the distance must lie between 0 and 12")
-    columns = ["full_path", "hash", "width", "height"]
-    rows = images.select(*columns)
-    keyed = rows.withColumn("k", F.explode(bands(F.col("hash"), distance))).select("*", F.col("k.band").alias("band"), F.col("k.value").alias("value"))
-    a, b = _side(keyed, [*columns, "band", "value"], "a"), _side(keyed, [*columns, "band", "value"], "b")
-    far = hamming(F.col("a_hash"), F.col("b_hash"))
-    ratio = lambda x: F.col(f"{x}_width").cast("double") / F.col(f"{x}_height")
-    close = (F.col("a_band") == F.col("b_band")) & (F.col("a_value") == F.col("b_value")) & (F.col("a_full_path") < F.col("b_full_path")) & (far <= distance) & aspect_close(ratio("a"), ratio("b"))
-    return a.join(b, close).select(F.col("a_full_path").alias("a_path"), F.col("b_full_path").alias("b_path"), far.alias("distance")).distinct()
+    The join is on pieces of the hash with a few bits changed (see search_plan), which loses no pair. All pairs of equal
+    hashes are among the result; image_groups needs no such pairs."""
+    with Scratch("images") as keep:
+        rows = keep(images.select("full_path", "hash", "width", "height").withColumn("id", F.monotonically_increasing_id()), "rows")
+        named = _named(_image_edges(rows, distance, keep), rows, ["hash"])
+        return stored(named.select(F.col("a.full_path").alias("a_path"), F.col("b.full_path").alias("b_path"), hamming(F.col("a.hash"), F.col("b.hash")).alias("distance")), "image-pairs")
 
 
 def duration_close(a: Column, b: Column) -> Column:
@@ -49,48 +71,53 @@ def total_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, hamming), F.lit(0), lambda s, d: s + d)
 
 
-def video_pairs(videos: DataFrame, mean: int) -> DataFrame:
-    """(a_path, b_path, total) of videos (full_path, hashes, display_aspect, duration_ticks) whose five hashes differ in at
-    most 5 x mean bits in sum, with close durations and aspect ratios. a_path < b_path.
-
-    In a sum of at most 5 x mean some frame differs in at most mean bits, so bands of each frame with mean + 1 pieces lose
-    none. Durations join by steps on a logarithmic scale, each row in its own and the next, so far lengths never meet."""
+def _video_edges(rows: DataFrame, mean: int, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) of ids of rows (id, hashes, display_aspect, duration_ticks), a table, that are similar."""
     if not 0 <= mean <= 13:
         raise ValueError("the mean distance must lie between 0 and 13")
-    columns = ["full_path", "hashes", "display_aspect", "duration_ticks"]
     # two rows that are close lie within 2 s or 2 %: on this scale less than one step apart
     step = F.floor(F.log(F.col("duration_ticks") / (100.0 * text.TICKS_PER_SECOND) + 1) / 0.0203).cast("int")
-    keyed = videos.select(*columns, step.alias("step")).withColumn("k", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(FRAMES - 1)), lambda i: F.transform(bands(F.element_at("hashes", i + 1), mean), lambda p: F.struct(i.alias("frame"), p["band"].alias("band"), p["value"].alias("value")))))))
-    keyed = keyed.select(*columns, "step", "k.*")
-    a = _side(keyed, [*columns, "step", "frame", "band", "value"], "a")
-    b = _side(keyed.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))), [*columns, "step", "frame", "band", "value"], "b")
-    total = total_distance(F.col("a_hashes"), F.col("b_hashes"))
-    same = F.lit(True)
-    for c in ("step", "frame", "band", "value"):
-        same &= F.col(f"a_{c}") == F.col(f"b_{c}")
-    close = same & (F.col("a_full_path") < F.col("b_full_path")) & duration_close(F.col("a_duration_ticks"), F.col("b_duration_ticks")) & aspect_close(F.col("a_display_aspect"), F.col("b_display_aspect")) & (total <= FRAMES * mean)
-    return a.join(b, close).select(F.col("a_full_path").alias("a_path"), F.col("b_full_path").alias("b_path"), total.alias("total")).distinct()
-
-
-def _alike(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(one row of each distinct evidence, edges (a, b) from it to the others that share it): copies cost a row each, not
-    a pair for each two."""
-    first = rows.groupBy(*keys).agg(F.min("full_path").alias("first"))
-    same = rows.select("full_path", *keys).join(first, keys).where("full_path <> first").select(F.col("first").alias("a"), F.col("full_path").alias("b"))
-    return first.withColumnRenamed("first", "full_path"), same
+    spread = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(step).alias("steps")).first()
+    pieces, flips, other = search_plan(spread["n"], mean, min(1.0, 3 / max(1, spread["steps"])))
+    frame = lambda n, i, at: search_keys(F.element_at("hashes", i + 1), pieces, n, F.lit(i), at)
+    keys = F.concat(*[frame(flips, i, step) for i in range(FRAMES)])
+    others = F.concat(*[frame(other, i, at) for i in range(FRAMES) for at in (step - 1, step, step + 1)])
+    close = lambda a, b: duration_close(F.col(f"{a}_duration_ticks"), F.col(f"{b}_duration_ticks")) & aspect_close(F.col(f"{a}_display_aspect"), F.col(f"{b}_display_aspect"))
+    pairs = _near(rows, keep, keys, others, ["duration_ticks", "display_aspect"], close)
+    side = lambda x: rows.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+    return keep(pairs.join(side("a"), "a").join(side("b"), "b").where(total_distance(F.col("a_hashes"), F.col("b_hashes")) <= FRAMES * mean).select("a", "b"), "edges")
+
+
+def video_pairs(videos: DataFrame, mean: int) -> DataFrame:
+    """(a_path, b_path, total) of videos (full_path, hashes, display_aspect, duration_ticks) whose five hashes differ in at
+    most 5 x mean bits in sum, with close durations and aspect ratios. a_path < b_path.
+
+    In a sum of at most 5 x mean some frame differs in at most mean bits, so pieces of each frame (see search_plan) lose no
+    pair. Durations join by steps on a logarithmic scale, each row in its own and the next, so far lengths never meet."""
+    with Scratch("videos") as keep:
+        rows = keep(videos.select("full_path", "hashes", "display_aspect", "duration_ticks").withColumn("id", F.monotonically_increasing_id()), "rows")
+        named = _named(_video_edges(rows, mean, keep), rows, ["hashes"])
+        return stored(named.select(F.col("a.full_path").alias("a_path"), F.col("b.full_path").alias("b_path"), total_distance(F.col("a.hashes"), F.col("b.hashes")).alias("total")), "video-pairs")
 
 
 def _numbered(refs: DataFrame, prefix: str) -> DataFrame:
-    """refs (label, ref_path) with group_id by the order of reference paths. One row a group: small beside the items."""
-    order = Window.orderBy(F.upper("ref_path"), "ref_path")
-    return refs.withColumn("group_id", F.format_string(f"{prefix}-%04d", F.row_number().over(order)))
+    """refs (ref_path, ...) with group_id by the order of reference paths."""
+    return numbered(refs, [F.upper("ref_path"), F.col("ref_path")], "_number").withColumn("group_id", F.format_string(f"{prefix}-%04d", "_number")).drop("_number")
+
 
+def _labelled(items: DataFrame, keys: list[str], edges, keep: Scratch) -> DataFrame:
+    """items with the label of their group, those without a group left out. Items of equal evidence (keys) are one node, so
+    copies cost a row each, not a pair for each two; edges(rows, keep) gives the pairs of ids."""
+    ones = keep(items.select(*keys).distinct().withColumn("id", F.monotonically_increasing_id()), "ones")
+    labels = connected(edges(ones, keep)).select(F.col("node").alias("id"), "label")
+    members = items.join(ones, keys).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id")
+    return members.join(members.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1").select("label"), "label")
 
-def _grouped(items: DataFrame, labels: DataFrame, best: list[Column], prefix: str, distance) -> DataFrame:
-    """items with group_id, is_reference, distance to the reference and place in the group."""
-    members = items.join(labels.select(F.col("node").alias("full_path"), "label"), "full_path")
-    pick = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*best, *path_order("full_path")])], *[F.col(c).alias(f"v_{c}") for c in items.columns])).alias("r")
-    refs = members.groupBy("label").agg(pick).select("label", *[F.col(f"r.v_{c}").alias(f"ref_{c}") for c in items.columns])
+
+def _grouped(members: DataFrame, columns: list[str], best: list[Column], prefix: str, distance) -> DataFrame:
+    """Labelled items with group_id, is_reference, distance to the reference and place in the group."""
+    pick = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*best, *path_order("full_path")])], *[F.col(c).alias(f"v_{c}") for c in columns])).alias("r")
+    refs = members.groupBy("label").agg(pick).select("label", *[F.col(f"r.v_{c}").alias(f"ref_{c}") for c in columns])
     refs = _numbered(refs.withColumnRenamed("ref_full_path", "ref_path"), prefix)
     rows = members.join(refs, "label").withColumn("is_reference", F.col("full_path") == F.col("ref_path"))
     return rows.withColumn("distance", distance()).drop("label")
@@ -98,21 +125,33 @@ def _grouped(items: DataFrame, labels: DataFrame, best: list[Column], prefix: st
 
 def image_groups(images: DataFrame, distance: int) -> DataFrame:
     """Items of groups of similar images: components of image_pairs, so a member may be farther from the reference than the
-    distance. The reference is the largest picture, then the largest file, then first by path; ids follow its path."""
-    ones, same = _alike(images, ["hash", "width", "height"])
-    edges = image_pairs(ones, distance).select(F.col("a_path").alias("a"), F.col("b_path").alias("b")).unionByName(same)
+    distance. The reference is the largest picture, then the largest file, then first by path; ids follow its path. An item's
+    metadata and its group's say what they are."""
+    with Scratch("images") as keep:
+        members = stored(_labelled(images, ["hash", "width", "height"], lambda rows, keep: _image_edges(rows, distance, keep), keep), "image-members")
     best = [-(F.col("width").cast("long") * F.col("height")), -F.col("size_bytes")]
-    rows = _grouped(images, connected(edges), best, "image", lambda: hamming(F.col("hash"), F.col("ref_hash")))
-    return rows.withColumn("similarity_percent", percent(F.col("distance"))).orderBy("group_id", F.desc("is_reference"), "distance", *path_order("full_path"))
+    rows = _grouped(members, images.columns, best, "image", lambda: hamming(F.col("hash"), F.col("ref_hash")))
+    said = {"Width": "width", "Height": "height", "Format": "format", "HammingDistance": "distance"}
+    rows = _described(rows.withColumn("similarity_percent", percent(F.col("distance"))), said, {"Type": "Image", "MaximumHammingDistance": str(distance)})
+    return rows.orderBy("group_id", F.desc("is_reference"), "distance", *path_order("full_path"))
 
 
 def video_groups(videos: DataFrame, mean: int) -> DataFrame:
     """Items of groups of similar videos; the reference is the largest picture, then bitrate, file and path."""
-    ones, same = _alike(videos, ["hashes", "display_aspect", "duration_ticks"])
-    edges = video_pairs(ones, mean).select(F.col("a_path").alias("a"), F.col("b_path").alias("b")).unionByName(same)
+    with Scratch("videos") as keep:
+        members = stored(_labelled(videos, ["hashes", "display_aspect", "duration_ticks"], lambda rows, keep: _video_edges(rows, mean, keep), keep), "video-members")
     best = [-(F.col("width").cast("long") * F.col("height")), -F.col("bitrate"), -F.col("size_bytes")]
-    rows = _grouped(videos, connected(edges), best, "video", lambda: total_distance(F.col("hashes"), F.col("ref_hashes")) / F.lit(float(FRAMES)))
-    return rows.withColumn("similarity_percent", percent(F.col("distance"))).orderBy("group_id", F.desc("is_reference"), "distance", *path_order("full_path"))
+    rows = _grouped(members, videos.columns, best, "video", lambda: total_distance(F.col("hashes"), F.col("ref_hashes")) / F.lit(float(FRAMES)))
+    said = {"Width": "width", "Height": "height", "Duration": text.span_text(F.col("duration_ticks")), "Bitrate": "bitrate", "FramesPerSecond": text.number_text(F.col("fps")) if "fps" in rows.columns else "fps", "Codec": "codec", "MeanFrameDistance": text.number_text(F.col("distance"))}
+    rows = _described(rows.withColumn("similarity_percent", percent(F.col("distance"))), said, {"Type": "Video", "MaximumMeanFrameDistance": str(mean)})
+    return rows.orderBy("group_id", F.desc("is_reference"), "distance", *path_order("full_path"))
+
+
+def _described(rows: DataFrame, said: dict[str, str | Column], group: dict[str, str]) -> DataFrame:
+    """rows with metadata and group_metadata, maps of texts. What a table has no column for is left out."""
+    there = {k: F.col(c) if isinstance(c, str) else c for k, c in said.items() if not isinstance(c, str) or c in rows.columns}
+    own = F.create_map(*[x for k, c in there.items() for x in (F.lit(k), F.coalesce(c.cast("string"), F.lit("")))])
+    return rows.withColumns({"metadata": own, "group_metadata": F.create_map(*[F.lit(x) for pair in group.items() for x in pair])})
 
 
 def music_keys(tracks: DataFrame, ready: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -152,6 +191,9 @@ def music_groups(candidates: DataFrame, most: int = MUSIC_TICKS) -> DataFrame:
     refs = rows.groupBy(*by).agg(F.count("*").alias("n"), pick.alias("r")).where("n > 1").select(*by, F.col("r.ref_path").alias("ref_path"), F.col("r.ref_ticks").alias("ref_ticks"))
     out = rows.join(_numbered(refs, "music"), by).withColumn("is_reference", F.col("full_path") == F.col("ref_path"))
     out = out.withColumn("difference_ticks", F.abs(F.col("duration_ticks") - F.col("ref_ticks"))).withColumn("similarity_percent", F.lit(100.0))
+    genres = F.array_join("genres", ", ") if "genres" in out.columns else "genres"
+    said = {"Confidence": F.lit("High"), "Title": "title", "Artist": "artist", "AlbumArtist": "album_artist", "Album": "album", "TrackNumber": "track", "Year": "year", "Genres": genres, "Bitrate": "bitrate", "Duration": text.span_text(F.col("duration_ticks")), "DurationDifference": text.span_text(F.col("difference_ticks"))}
+    out = _described(out, said, {"Type": "Music metadata", "Confidence": "High", "MaximumDurationDifference": text.span(most)})
     return out.orderBy("group_id", F.desc("is_reference"), "difference_ticks", *path_order("full_path"))
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filegrove.functions import hashes, paths, perceptual, signatures, text
-from filegrove.operators import actions, evidence, exact, export, findings, media_policy, review, similarity
+from filegrove.operators import actions, evidence, exact, export, findings, media_policy, results, review, similarity
+from filegrove.operators.tables import numbered, placed
 from filegrove.session import table
-from filegrove.sources import adapters
+from filegrove.sources import adapters, archives
 from filegrove.sources.adapters import BASE, DAY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +63,7 @@ def exact_members(spark, sf_dir):
     return members.join(exact.groups(members).select("digest", "first_path"), "digest").select("full_path", "first_path", "size_bytes", "modified_ticks")
 
 
-@query(_MEMBERS + " SELECT (SELECT count(*) FROM adm) AS n_scanned, count(*) AS n_groups, sum(n_files - 1)::BIGINT AS n_duplicates, sum(size_bytes * (n_files - 1))::BIGINT AS reclaimable_bytes FROM grp")
+@query(_MEMBERS + " SELECT (SELECT count(*) FROM adm) AS n_scanned, count(*) AS n_groups, sum(n_files - 1)::BIGINT AS n_copies, sum(size_bytes * (n_files - 1))::BIGINT AS reclaimable_bytes FROM grp")
 def exact_summary(spark, sf_dir):
     return exact.summary(exact.admitted(_files(spark, sf_dir), hidden=True, system=True), _members(spark, sf_dir))
 
@@ -154,17 +156,28 @@ def search_groups(spark, sf_dir):
     return exact.search(_members(spark, sf_dir), "/en/doc_1").select("full_path")
 
 
-@query(_MEMBERS + " SELECT first_path, row_number() OVER (ORDER BY n_files DESC, upper(first_name), upper(first_path)) AS place FROM grp")
+_GROUP_ORDERS = ("size_bytes * (n_files - 1) DESC", "size_bytes DESC", "n_files DESC", "upper(first_name)", "upper(lower(regexp_extract(first_name, '[.][^.]+$')))")
+
+
+def _union(orders: tuple[str, ...], select: str) -> str:
+    return " UNION ALL ".join(" " + select.format(i=i, order=order) for i, order in enumerate(orders))
+
+
+@query(_MEMBERS + _union(_GROUP_ORDERS, "SELECT {i} AS sort_option, first_path, row_number() OVER (ORDER BY {order}, upper(first_name), upper(first_path), first_path) AS place FROM grp"))
 def sort_groups(spark, sf_dir):
-    """Groups by the number of files, with their places."""
-    from pyspark.sql import Window
+    """Groups in each of the five orders, with their places."""
+    result = exact.groups(_members(spark, sf_dir))
+    out = [exact.sort_groups(result, i).select(F.lit(i).alias("sort_option"), "first_path", "place") for i in range(len(exact.SORTS))]
+    return reduce(DataFrame.unionByName, out)
 
-    result = exact.sort_groups(exact.groups(_members(spark, sf_dir)), 2)
-    order = Window.orderBy(F.desc("n_files"), F.upper("first_name"), F.upper("first_path"))
-    return result.select("first_path", F.row_number().over(order).cast("long").alias("place"))
 
+@query(_MEMBERS + " SELECT first_path, row_number() OVER (ORDER BY size_bytes * (n_files - 1) DESC, upper(first_name), upper(first_path), first_path) AS place FROM grp")
+def exact_order(spark, sf_dir):
+    """The order in which groups are listed."""
+    return placed(exact.groups(_members(spark, sf_dir))).select("first_path", "place")
 
-@query(_SELECTED + """ SELECT count(DISTINCT content) AS n_groups, (count(*) - count(DISTINCT content))::BIGINT AS n_duplicates, (SELECT sum(size_bytes * (n_files - 1)) FROM grp)::BIGINT AS reclaimable_bytes,
+
+@query(_SELECTED + """ SELECT count(DISTINCT content) AS n_groups, (count(*) - count(DISTINCT content))::BIGINT AS n_copies, (SELECT sum(size_bytes * (n_files - 1)) FROM grp)::BIGINT AS reclaimable_bytes,
  count(DISTINCT CASE WHEN selected THEN content END) AS selected_groups, count(*) FILTER (selected) AS selected_files, (sum(size_bytes) FILTER (selected))::BIGINT AS selected_bytes FROM sel""")
 def result_totals(spark, sf_dir):
     return exact.totals(exact.keep_one(_members(spark, sf_dir)))
@@ -213,13 +226,16 @@ _DIRS = "dirs AS (SELECT concat('/top/', c_custkey % 20, '/', c_custkey) AS full
 
 @query(f"WITH {_DIRS} SELECT full_path, 'Directory' AS kind, 'Folder is empty' AS reason, 0::BIGINT AS size_bytes, depth::VARCHAR AS depth FROM dirs WHERE physical_child_count = 0 AND attributes & 1024 = 0 AND c_custkey NOT IN (5, 9) AND c_custkey % 100 <> 13")
 def empty_folders(spark, sf_dir):
+    return _empty_folders(spark, sf_dir).select("full_path", "kind", "reason", "size_bytes", F.col("metadata")["Depth"].alias("depth"))
+
+
+def _empty_folders(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     path = F.concat_ws("/", F.lit("/top"), (F.col("c_custkey") % 20).cast("string"), F.col("c_custkey").cast("string"))
     folders = c.select(path.alias("full_path"), ((F.col("c_custkey") % 4).cast("int") - 1).alias("physical_child_count"), (F.col("c_custkey") % 3 + 2).cast("int").alias("depth"), F.when(F.col("c_custkey") % 25 == 1, 1040).otherwise(16).alias("attributes"))
     roots = c.where("c_custkey IN (5, 9)").select(F.upper(path).alias("path"))
     links = c.where("c_custkey % 100 = 13").select(path.alias("path"))
-    found = actions.deepest_first(findings.empty_folders(folders, roots, links))
-    return found.select("full_path", "kind", "reason", "size_bytes", F.col("metadata")["Depth"].alias("depth"))
+    return actions.deepest_first(findings.empty_folders(folders, roots, links))
 
 
 @query("""WITH l AS (SELECT concat('/ln/', s_suppkey) AS full_path, s_suppkey % 3 = 0 AS is_directory, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE concat('../', s_suppkey + 1) END AS target, s_suppkey % 5 AS k FROM supplier)
@@ -473,7 +489,7 @@ def output_names(spark, sf_dir):
     """Output names beside the sources; each folder has f5.optimized.mp4 already."""
     files = _leaves(spark, sf_dir).withColumn("folder", paths.parent(F.col("full_path")))
     taken = files.select("folder").distinct().withColumn("name", F.lit("F5.Optimized.mp4"))
-    return actions.free_names(files, taken, "folder", actions.optimized_name).select("full_path", "new_name")
+    return actions.free_names(files, taken, "folder", actions.OPTIMIZED).select("full_path", "new_name")
 
 
 @query(_LEAVES + """, c AS (SELECT *, CASE p_partkey % 6 WHEN 0 THEN 'new' || p_partkey || '.txt' WHEN 1 THEN 'a/b' WHEN 2 THEN upper(file_name) WHEN 3 THEN 'nul.txt' WHEN 4 THEN 'F' || (p_partkey + 1) % 40 || '.txt' ELSE 'x.' END AS new_name FROM l)
@@ -529,15 +545,36 @@ def export_exact(spark, sf_dir):
     return export.exact_items(_members(spark, sf_dir)).select("path", "reason", "group_id", "size_bytes")
 
 
-@query(_W + """, fd AS (SELECT full_path, size_bytes, 'At least 10,000 bytes' AS reason FROM files WHERE size_bytes >= 10000 AND attributes & 1024 = 0 UNION ALL SELECT full_path, size_bytes, 'File is empty' FROM files WHERE size_bytes = 0 AND attributes & 1024 = 0)
- SELECT full_path, reason, row_number() OVER (ORDER BY size_bytes DESC, upper(full_path), full_path) AS place FROM fd WHERE contains(upper(full_path), 'EN') OR contains(upper(reason), 'EMPTY')""")
+_LISTED = adapters.FILES_SQL + """, fd AS (SELECT full_path, 'At least 10,000 bytes' AS reason, size_bytes, modified_ticks, extension FROM files WHERE size_bytes >= 10000 AND attributes & 1024 = 0
+  UNION ALL SELECT full_path, 'File is empty', size_bytes, modified_ticks, extension FROM files WHERE size_bytes = 0 AND attributes & 1024 = 0)"""
+
+
+@query(f"WITH {_LISTED} SELECT full_path, reason, row_number() OVER (ORDER BY size_bytes DESC, upper(full_path), full_path) AS place FROM fd WHERE contains(upper(full_path), '/EN/D') OR contains(upper(reason), '/EN/D')")
 def findings_search_sort(spark, sf_dir):
-    from pyspark.sql import Window
+    """Findings with a text, largest first."""
+    files = _files(spark, sf_dir)
+    both = results.search_findings(findings.large_files(files, 10_000).unionByName(findings.empty_files(files)), " /en/d ")
+    return numbered(both, [F.desc("size_bytes"), *paths.path_order("full_path")]).select("full_path", "reason", "place")
+
+
+_LIST_ORDERS = ("upper(full_path)", "size_bytes DESC", "modified_ticks DESC NULLS LAST")
+
 
+@query(
+    _IMAGE_GROUPS.replace("WITH RECURSIVE ", f"WITH RECURSIVE {_LISTED}, ").replace(" SELECT group_id, full_path, full_path = ref_path", ", gi AS (SELECT *, full_path = ref_path").replace(" AS is_reference,", " AS own,").replace("FROM it JOIN rf USING (label)", "FROM it JOIN rf USING (label))")
+    + """, hit AS (SELECT DISTINCT group_id FROM gi WHERE contains(group_id, '16') OR contains(full_path, '16') OR contains('Width: ' || width || chr(10) || 'Height: ' || height || chr(10) || 'HammingDistance: ' || distance, '16')),
+ ls AS (SELECT 'finding' AS row_type, NULL::VARCHAR AS group_id, full_path, size_bytes::HUGEINT AS size_bytes, NULL::BIGINT AS modified_ticks FROM fd WHERE contains(full_path, '16') OR contains('Extension: ' || extension, '16')
+  UNION ALL SELECT 'group', group_id, max(full_path) FILTER (own), sum(size_bytes), max(modified_ticks) FILTER (own) FROM gi WHERE group_id IN (SELECT group_id FROM hit) GROUP BY group_id)"""
+    + _union(_LIST_ORDERS, "SELECT {i} AS sort_option, row_type, group_id, full_path, size_bytes::BIGINT AS size_bytes, row_number() OVER (ORDER BY {order}, upper(full_path), full_path, row_type, group_id) AS place FROM ls")
+)
+def results_list(spark, sf_dir):
+    """Findings and groups of pictures that hold a text, in one list, in each of the three orders."""
     files = _files(spark, sf_dir)
-    both = findings.large_files(files, 10_000).unionByName(findings.empty_files(files))
-    hit = F.upper("full_path").contains("EN") | F.upper("reason").contains("EMPTY")
-    return both.where(hit).select("full_path", "reason", F.row_number().over(Window.orderBy(F.desc("size_bytes"), *paths.path_order("full_path"))).cast("long").alias("place"))
+    found = results.search_findings(findings.large_files(files, 10_000).unionByName(findings.empty_files(files)).withColumn("modified_ticks", F.lit(None).cast("long")), "16")
+    items = results.search_items(similarity.image_groups(adapters.images(table(spark, sf_dir, "part")), 12), "16")
+    rows = results.listed(found, items)
+    out = [results.ordered(rows, i).select(F.lit(i).alias("sort_option"), "row_type", "group_id", "full_path", "size_bytes", "place") for i in range(3)]
+    return reduce(DataFrame.unionByName, out)
 
 
 # --- media decisions -------------------------------------------------------------------------------------------------
@@ -779,3 +816,239 @@ def video_info(spark, sf_dir):
 def content_hash(spark, sf_dir):
     """XXH3-64 of contents, as 16 hex digits (no SQL function has it)."""
     return _files(spark, sf_dir).select("full_path", hashes.hex16(hashes.xxh3(F.col("content").cast("binary"))).alias("hash"))
+
+
+# --- rules of selections, plans and lists ----------------------------------------------------------------------------
+
+
+@query(_SELECTED + " SELECT sha256(content) AS digest, size_bytes FROM sel GROUP BY content, size_bytes HAVING bool_and(selected OR size_bytes % 2 = 1)")
+def survivor_rule(spark, sf_dir):
+    """Groups without a survivor, of a selection that takes all files of an odd size."""
+    members = exact.keep_one(_members(spark, sf_dir))
+    return exact.unsafe(members.withColumn("selected", F.col("selected") | (F.col("size_bytes") % 2 == 1))).select("digest", "size_bytes")
+
+
+_NAMED = _SELECTED + """, nm AS (SELECT content, full_path AS survivor_path FROM sel WHERE (size_bytes % 3 <> 0 AND NOT selected) OR (size_bytes % 3 = 0 AND selected AND doc_id % 2 = 0)),
+ sound AS (SELECT s.content, any_value(survivor_path) AS survivor_path FROM sel s JOIN nm ON s.content = nm.content AND s.full_path = nm.survivor_path GROUP BY s.content HAVING count(*) = 1 AND bool_and(NOT selected))"""
+
+
+def _link_plan(spark, sf_dir):
+    """Groups whose size 3 divides name selected files as survivors, or none."""
+    members = exact.keep_one(_members(spark, sf_dir)).drop("survivor_path")
+    three = F.col("size_bytes") % 3 == 0
+    named = members.where((~three & ~F.col("selected")) | (three & F.col("selected") & (F.col("doc_id") % 2 == 0)))
+    return actions.link_plan(members, named.select("digest", "size_bytes", F.col("full_path").alias("survivor_path")))
+
+
+@query(_NAMED + " SELECT survivor_path, full_path AS duplicate_path FROM sel JOIN sound USING (content) WHERE selected")
+def link_pairs(spark, sf_dir):
+    return _link_plan(spark, sf_dir)[0]
+
+
+@query(_NAMED + " SELECT DISTINCT sha256(content) AS digest, size_bytes FROM sel WHERE selected AND content NOT IN (SELECT content FROM sound)")
+def link_faults(spark, sf_dir):
+    return _link_plan(spark, sf_dir)[1]
+
+
+_TOOL_NAMES = ["ExactScan", "EmptyFiles", "EmptyFolders", "BigFiles", "TemporaryFiles", "InvalidLinks", "BrokenFiles", "SimilarImages", "SimilarVideos", "MusicDuplicates", "BadExtensions", "BadNames"]
+
+
+@query(f"WITH t AS (SELECT p_partkey, {_TOOL_NAMES}[(p_partkey % 12 + 1)::INT] AS tool FROM part) SELECT p_partkey, tool, p_partkey % 12 BETWEEN 1 AND 9 AS may_change, p_partkey % 12 BETWEEN 1 AND 11 AND p_partkey % 12 <> 6 AS may_rename FROM t")
+def tool_authority(spark, sf_dir):
+    tool = F.element_at(F.array(*map(F.lit, _TOOL_NAMES)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return actions.authority(table(spark, sf_dir, "part").select("p_partkey", tool.alias("tool")))
+
+
+@query(ORACLES["video_groups"].replace(" FROM part)", " FROM part WHERE p_partkey % 4 <> 1)").replace("<= 45", "<= 25"))
+def video_regroup(spark, sf_dir):
+    """Groups from what is left of the stored evidence after some videos went, at another distance."""
+    return similarity.video_groups(adapters.videos(table(spark, sf_dir, "part").where("p_partkey % 4 <> 1")), 5).select(*_G)
+
+
+@query(ORACLES["music_groups"].replace(" FROM events)", " FROM events WHERE event_id % 3 <> 1)").replace("300000000", "9000000000"))
+def music_regroup(spark, sf_dir):
+    left = table(spark, sf_dir, "events").where("event_id % 3 <> 1")
+    good, _ = similarity.music_keys(adapters.tracks(left), ready=True)
+    return similarity.music_groups(good, 9_000_000_000).select("group_id", "full_path", "is_reference", "difference_ticks")
+
+
+_ITEM = " SELECT group_id, full_path, full_path = ref_path AS is_reference, "
+
+
+def _described(sql: str, columns: str) -> str:
+    """A query of groups with other columns of its items."""
+    return sql[: sql.rindex(_ITEM)] + f", gi AS (SELECT *, {sql[sql.rindex(_ITEM) + len(_ITEM) :].replace(' FROM it JOIN', ' FROM it JOIN')}) SELECT {columns} FROM gi"
+
+
+_IMAGE_TEXT = """'{"HammingDistance":"' || distance || '","Height":"' || height || '","Width":"' || width || '"}'"""
+
+
+@query(_described(_IMAGE_GROUPS, f"""full_path, {_IMAGE_TEXT} AS metadata, '{{"MaximumHammingDistance":"12","Type":"Image"}}' AS group_metadata"""))
+def image_metadata(spark, sf_dir):
+    rows = similarity.image_groups(adapters.images(table(spark, sf_dir, "part")), 12)
+    return rows.select("full_path", text.map_json(F.col("metadata")).alias("metadata"), text.map_json(F.col("group_metadata")).alias("group_metadata"))
+
+
+def _span_sql(ticks: str) -> str:
+    return f"CASE WHEN {ticks} >= 864000000000 THEN ({ticks} // 864000000000) || '.' ELSE '' END || lpad(({ticks} // 36000000000 % 24)::VARCHAR, 2, '0') || ':' || lpad(({ticks} // 600000000 % 60)::VARCHAR, 2, '0') || ':' || lpad(({ticks} // 10000000 % 60)::VARCHAR, 2, '0') || CASE WHEN {ticks} % 10000000 > 0 THEN '.' || lpad(({ticks} % 10000000)::VARCHAR, 7, '0') ELSE '' END"
+
+
+@query(_described(ORACLES["video_groups"], f"""full_path, '{{"Bitrate":"' || bitrate || '","Duration":"' || {_span_sql("duration_ticks")} || '","Height":"' || height || '","MeanFrameDistance":"' || regexp_replace(distance::VARCHAR, '[.]0$', '') || '","Width":"' || width || '"}}' AS metadata"""))
+def video_metadata(spark, sf_dir):
+    rows = similarity.video_groups(adapters.videos(table(spark, sf_dir, "part")), 9)
+    return rows.select("full_path", text.map_json(F.col("metadata")).alias("metadata"))
+
+
+@query(ORACLES["music_groups"].rsplit(" SELECT group_id", 1)[0].replace("SELECT w.*, g.bitrate,", "SELECT w.*, g.title, g.artist, g.album_artist, g.bitrate,") + f""" SELECT full_path, '{{"AlbumArtist":"' || coalesce(album_artist, '') || '","Artist":"' || artist || '","Bitrate":"' || bitrate || '","Confidence":"High","Duration":"' || {_span_sql("duration_ticks")} || '","DurationDifference":"' || {_span_sql("abs(duration_ticks - rt)")} || '","Title":"' || title || '"}}' AS metadata FROM it JOIN rf USING (title_key, artist_key, anchor)""")
+def music_metadata(spark, sf_dir):
+    good, _ = similarity.music_keys(adapters.tracks(table(spark, sf_dir, "events")), ready=True)
+    return similarity.music_groups(good, 300_000_000).select("full_path", text.map_json(F.col("metadata")).alias("metadata"))
+
+
+@query(_described(_IMAGE_GROUPS, """full_path AS path, 'Similarity match' AS reason, group_id, similarity_percent, '{"HammingDistance":"' || distance || '","Height":"' || height || '","MaximumHammingDistance":"12","Type":"Image","Width":"' || width || '"}' AS metadata"""))
+def export_similarity(spark, sf_dir):
+    """Items of similarity groups as an export has them: an item's metadata and its group's."""
+    items = similarity.image_groups(adapters.images(table(spark, sf_dir, "part")), 12)
+    rows = export.group_items(items, F.col("metadata"), F.col("group_metadata"))
+    return rows.select("path", "reason", "group_id", "similarity_percent", text.map_json(F.col("metadata")).alias("metadata"))
+
+
+@query(_W + " SELECT full_path, row_number() OVER (ORDER BY size_bytes DESC, upper(full_path), full_path) AS place FROM files WHERE size_bytes >= 10000 AND attributes & 1024 = 0")
+def large_files_order(spark, sf_dir):
+    return placed(findings.large_files(_files(spark, sf_dir), 10_000)).select("full_path", "place")
+
+
+@query(ORACLES["bad_names"].replace("SELECT * FROM r WHERE", "SELECT full_path, row_number() OVER (ORDER BY upper(full_path), full_path) AS place FROM r WHERE"))
+def bad_names_order(spark, sf_dir):
+    return placed(findings.bad_names(_named(spark, sf_dir))).select("full_path", "place")
+
+
+@query(f"WITH {_DIRS} SELECT full_path, row_number() OVER (ORDER BY depth DESC, upper(full_path), full_path) AS place FROM dirs WHERE physical_child_count = 0 AND attributes & 1024 = 0 AND c_custkey NOT IN (5, 9) AND c_custkey % 100 <> 13")
+def folder_order(spark, sf_dir):
+    """Empty folders in the order in which they can be deleted."""
+    return placed(_empty_folders(spark, sf_dir)).select("full_path", "place")
+
+
+@query(_LARGE + """, xr AS (SELECT 'item' AS record_type, full_path AS path FROM lg UNION ALL SELECT 'skipped_path', path FROM sk) SELECT record_type, path, row_number() OVER (ORDER BY upper(path), path, record_type) AS place FROM xr""")
+def export_order(spark, sf_dir):
+    return placed(_export(spark, sf_dir)).select("record_type", "path", "place")
+
+
+_NUMBERED = "WITH RECURSIVE f AS (SELECT p_partkey, concat('f', p_partkey % 25, CASE p_partkey // 25 % 4 WHEN 1 THEN ' (2)' WHEN 2 THEN ' (2) (3)' WHEN 3 THEN ' (4)' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN '.TXT' ELSE '.txt' END) AS name FROM part), l AS (SELECT *, concat('/d', lpad((p_partkey * 7919 % 100000)::VARCHAR, 6, '0'), '/', p_partkey, '/', name) AS full_path, p_partkey % 25 AS base FROM f)"
+
+
+@query(_NUMBERED + """, o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY upper(full_path), full_path) AS i, regexp_replace(name, '[.][^.]*$', '') AS stem, regexp_extract(name, '[.][^.]*$') AS ext FROM l),
+ walk AS (SELECT base, 0::BIGINT AS i, CASE base WHEN 7 THEN ['F7 (2).TXT', 'F7 (2) (2).TXT'] ELSE []::VARCHAR[] END AS used, NULL::VARCHAR AS full_path, NULL::VARCHAR AS new_name FROM (SELECT DISTINCT base FROM o)
+  UNION ALL SELECT o.base, o.i, list_append(w.used, upper(x.new)), o.full_path, x.new FROM walk w JOIN o ON o.base = w.base AND o.i = w.i + 1,
+   LATERAL (SELECT list_filter(list_transform(range(1, len(w.used) + 2), lambda n: CASE WHEN n = 1 THEN o.name ELSE o.stem || ' (' || n || ')' || o.ext END), lambda t: NOT list_contains(w.used, upper(t)))[1] AS new) AS x)
+ SELECT full_path, new_name FROM walk WHERE i > 0""")
+def move_plan_numbered(spark, sf_dir):
+    """A move of files whose names look numbered already, into a folder that has some of them."""
+    k = F.col("p_partkey")
+    turn = F.floor(k / 25) % 4
+    name = F.concat(F.lit("f"), (k % 25).cast("string"), F.when(turn == 1, " (2)").when(turn == 2, " (2) (3)").when(turn == 3, " (4)").otherwise(""), F.when(k % 3 == 0, ".TXT").otherwise(".txt"))
+    files = table(spark, sf_dir, "part").select(name.alias("file_name"), F.concat(F.lit("/d"), F.lpad((k * 7919 % 100000).cast("string"), 6, "0"), F.lit("/"), k.cast("string"), F.lit("/"), name).alias("full_path"))
+    used = spark.createDataFrame([("F7 (2).txt",), ("f7 (2) (2).TXT",), ("else.txt",)], "name string")
+    return actions.move_plan(files, used, "/to").select("full_path", "new_name")
+
+
+@query(_LEAVES + " SELECT full_path, regexp_replace(full_path, '/[^/]*$', '') || '/' || regexp_replace(file_name, '[.][^.]*$', '') || '.clean' || CASE WHEN p_partkey % 40 = 5 THEN ' (2)' ELSE '' END || regexp_extract(file_name, '[.][^.]*$') AS output_path FROM l")
+def clean_plan(spark, sf_dir):
+    """Outputs beside the sources; each folder has f5.clean.txt already."""
+    files = _leaves(spark, sf_dir).withColumn("directory_path", paths.parent(F.col("full_path")))
+    taken = files.select(F.col("directory_path").alias("folder")).distinct().withColumn("name", F.lit("F5.Clean.TXT"))
+    return actions.clean_plan(files, taken).select("full_path", "output_path")
+
+
+_EXIF_NAMES = "[" + ", ".join(f"'{o}'" for o in media_policy.EXIF_OUTCOMES) + "]"
+
+
+@query(f"WITH o AS (SELECT unnest({_EXIF_NAMES}) AS outcome), r AS (SELECT {_EXIF_NAMES}[(p_size * p_size % 7 + 1)::INT] AS outcome FROM part) SELECT outcome, (SELECT count(*) FROM r WHERE r.outcome = o.outcome) AS n FROM o")
+def exif_outcomes(spark, sf_dir):
+    names = F.array(*map(F.lit, media_policy.EXIF_OUTCOMES))
+    found = table(spark, sf_dir, "part").select(F.element_at(names, (F.col("p_size") * F.col("p_size") % 7 + 1).cast("int")).alias("outcome"))
+    return review.outcome_counts(found, media_policy.EXIF_OUTCOMES)
+
+
+def _image_verdict_sql(i: int) -> str:
+    rules = [f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN '{v[i]}'" for v, codes in review.IMAGE_ERRORS.items()]
+    last = (("Invalid", "ImageDecodeFailure"), ("UnsupportedOrProtected", "UnsupportedContainer"))
+    return "CASE " + " ".join(rules) + f" WHEN kind IN ('data', 'argument') THEN '{last[0][i]}' WHEN kind IN ('unsupported', 'platform') THEN '{last[1][i]}' END"
+
+
+@query(f"WITH p AS (SELECT p_partkey, [{', '.join(repr(c) for c in _CODES)}][(p_partkey % {len(_CODES)} + 1)::INT] AS code, {_KINDS}[(p_partkey % 5 + 1)::INT] AS kind FROM part) SELECT p_partkey, {_image_verdict_sql(0)} AS status, {_image_verdict_sql(1)} AS error_type FROM p")
+def image_verdicts(spark, sf_dir):
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    verdict = review.probe_verdict(pick(_CODES), pick(_KINDS), image=True)
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in verdict.items()])
+
+
+@query("SELECT concat('/v/', p_partkey) AS path, CASE WHEN p_partkey % 5 = 0 THEN 'File changed since scan.' ELSE 'Could not decode video.' END AS reason FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 1 OR p_partkey % 3 = 0 OR p_partkey % 11 = 2 OR p_size % 6 <> 5")
+def video_samples_skipped(spark, sf_dir):
+    """Samples with too few frames, a blank codec, no rate or no end are skipped; so are files that changed meanwhile."""
+    k = F.col("p_partkey")
+    nine = F.lit(9).cast("long")
+    rows = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("/v/"), k.cast("string")).alias("full_path"), nine.alias("size_bytes"), nine.alias("modified_ticks"), nine.alias("before_size"), nine.alias("before_ticks"), (nine + (k % 5 == 0).cast("int")).alias("after_size"), nine.alias("after_ticks"),
+        F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(1.3).alias("display_aspect"), F.when(k % 11 == 2, float("inf")).otherwise(5.0).alias("duration_ticks"), F.when(k % 7 == 1, 0.0).otherwise(25.0).alias("fps"), F.when(k % 3 == 0, " ").otherwise("hevc").alias("codec"),
+        F.array_repeat(F.repeat(F.lit("x"), F.lit(1024)).cast("binary"), F.col("p_size") % 6).alias("frames"),
+    )
+    return review.sampled(rows, review.sound_video(), review.FAILED_VIDEO)[1]
+
+
+@query(_W + " SELECT full_path, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1 END AS print FROM files WHERE doc_id % 7 <> 0 AND doc_id % 9 <> 4")
+def cache_accepted(spark, sf_dir):
+    """What of a cache counts: this version, sound evidence, one entry a snapshot."""
+    files, k = _files(spark, sf_dir), F.col("doc_id")
+    rows = files.select("full_path", "size_bytes", "modified_ticks", F.when(k % 7 == 0, 1).otherwise(2).alias("version"), F.explode(F.array(k + 1, k + 2, k + (k % 2))).alias("print"), F.when(k % 9 == 4, 0.0).otherwise(1.5).alias("width"))
+    return evidence.accepted(rows, 2, F.col("width") > 0).select("full_path", "print")
+
+
+@query(_W + " SELECT count(*) FILTER (doc_id % 3 = 0) + (SELECT count(*) FROM supplier) AS n_done, coalesce(sum(size_bytes) FILTER (doc_id % 3 = 0), 0)::BIGINT AS bytes_done, count(*) AS n_files, sum(size_bytes)::BIGINT AS bytes_total FROM files")
+def progress_bytes(spark, sf_dir):
+    """Files that were looked at so far, in other capitals, and paths that the inventory doesn't know."""
+    files = _files(spark, sf_dir)
+    unknown = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/none/"), F.col("s_suppkey").cast("string")).alias("path"))
+    return results.bytes_done(files.where("doc_id % 3 = 0").select(F.lower("full_path").alias("path")).unionByName(unknown), files)
+
+
+@query("""WITH b AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN o_orderkey WHEN 2 THEN o_orderkey * 1024 WHEN 3 THEN o_orderkey * 1048576 WHEN 4 THEN 1099511627776 * 3 ELSE -1024 END AS n FROM orders)
+ SELECT o_orderkey, CASE WHEN n <= 0 THEN 0 WHEN n % 1099511627776 = 0 THEN 4 WHEN n % 1073741824 = 0 THEN 3 WHEN n % 1048576 = 0 THEN 2 WHEN n % 1024 = 0 THEN 1 ELSE 0 END AS unit FROM b""")
+def editor_units(spark, sf_dir):
+    k = F.col("o_orderkey").cast("long")
+    n = F.when(k % 6 == 0, 0).when(k % 6 == 1, k).when(k % 6 == 2, k * 1024).when(k % 6 == 3, k * 1048576).when(k % 6 == 4, 3 * 1024**4).otherwise(-1024)
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.editor_unit(n).alias("unit"))
+
+
+_ZIP = """WITH z AS (SELECT p_partkey, p_partkey % 3 AS c, p_partkey % 2 AS flags, CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS disk, CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS off, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS more, p_partkey % 13 = 0 AS cut FROM part),
+ st AS (SELECT *, CASE WHEN cut THEN 'Invalid' WHEN disk <> 0 OR off <> 0 THEN 'UnsupportedOrProtected' WHEN more <> 0 THEN 'Invalid' WHEN c > 0 AND flags = 1 THEN 'UnsupportedOrProtected' ELSE 'Valid' END AS status,
+  CASE WHEN cut THEN 'ZipCentralDirectoryFailure' WHEN disk <> 0 OR off <> 0 THEN 'UnsupportedContainer' WHEN more <> 0 THEN 'ZipCentralDirectoryFailure' WHEN c > 0 AND flags = 1 THEN 'PasswordProtected' END AS error_type FROM z)"""
+
+
+def _zips(spark, sf_dir):
+    """A ZIP file of each part: so many entries of one name each, and an end record that may say otherwise."""
+    k = F.col("p_partkey")
+    word = lambda n: F.concat(F.lpad(F.hex(n), 2, "0"), F.lit("00"))
+    flag = lambda c: c.cast("int")
+    entries = (k % 3).cast("int")
+    entry = F.concat(F.lit("504B010200000000"), word(k % 2), F.lit("00" * 18), F.lit("0100"), F.lit("00" * 16), F.lit("61"))
+    said = entries + flag(k % 5 == 0)
+    end = F.concat(F.lit("504B0506"), word(flag(k % 7 == 0)), F.lit("0000"), word(said + flag(k % 11 == 0)), word(said), word(entries * 47), F.lit("0000"), F.lit("04000000"), F.lit("0000"))
+    digits = F.concat(F.lit("504B0304"), F.repeat(entry, entries), end)
+    content = F.unhex(F.when(k % 13 == 0, F.substring(digits, F.lit(1), F.length(digits) - 2)).otherwise(digits))
+    path = F.concat(F.lit("/zip/"), k.cast("string"), F.lit(".zip"))
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("full_path"), F.lit(".zip").alias("extension"), F.octet_length(content).cast("long").alias("size_bytes"), k.alias("created_ticks"), k.alias("modified_ticks"), F.lit(0).alias("attributes"), content.alias("content"))
+
+
+@query(_ZIP + " SELECT p_partkey, status, error_type FROM st")
+def zip_probe(spark, sf_dir):
+    status = archives.zip_status("content")
+    return _zips(spark, sf_dir).select("p_partkey", status.alias("z")).select("p_partkey", "z.status", "z.error_type")
+
+
+@query(_ZIP + " SELECT concat('/zip/', p_partkey, '.zip') AS full_path, CASE status WHEN 'Invalid' THEN 'Unreadable or malformed file.' ELSE 'Unsupported or protected.' END AS reason, 'Zip' AS validator, error_type FROM st WHERE status <> 'Valid'")
+def broken_archives(spark, sf_dir):
+    """ZIP files that their own directories show to be broken or locked."""
+    files = _zips(spark, sf_dir)
+    m = F.col("metadata")
+    return findings.broken_files(files, findings.probed(files))[0].select("full_path", "reason", m["Validator"].alias("validator"), m["ErrorType"].alias("error_type"))

@@ -3,8 +3,9 @@
     spark.dataSource.register(Inventory)
     spark.read.format("inventory").option("roots", json.dumps(["/data"])).load()
 
-One partition reads each folder right below a root (and one the root's own entries), so a listing spreads over executors that
-see the same file system. Rows have a kind: root, directory, file, link or skipped.
+The driver opens folders level by level until it has enough for all tasks, so a deep or lopsided tree spreads as well over
+executors that see the same file system. Rows have a kind: root, directory, file, link or skipped. In the mode "scan" only
+files are listed, filtered as they are read, and folders that can't be opened are passed over in silence.
 """
 
 from __future__ import annotations
@@ -39,6 +40,17 @@ class Part(InputPartition):
         self.path, self.depth, self.deep, self.root = path, depth, deep, root
 
 
+#: What a partition without a folder is for.
+ONE_FILE, NOTHING, CHECK_EXCLUSIONS = -1, -2, -3
+UNREADABLE = "Name is not valid text."
+
+
+def readable(path: str) -> tuple[str, bool]:
+    """A path as text that a table can hold, and whether it is the path itself: names may hold bytes that are no text."""
+    plain = path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return plain, plain == path
+
+
 def _ticks(ns: int) -> int:
     return UNIX_TICKS + ns // 100
 
@@ -72,19 +84,44 @@ class _Reader(DataSourceReader):
         self.roots = [os.path.abspath(p) for p in json.loads(options.get("roots", "[]")) if p.strip()]
         self.files = [os.path.abspath(p) for p in json.loads(options.get("files", "[]")) if p.strip()]
         self.excluded = [os.path.abspath(p) for p in json.loads(options.get("excluded", "[]")) if p.strip()]
-        self.subfolders = options.get("subfolders", "true").lower() == "true"
-        self.skip = (paths.HIDDEN if options.get("hidden", "true").lower() != "true" else 0) | paths.DEVICE
+        flag = lambda name, usual: options.get(name, usual).lower() == "true"
+        self.subfolders, self.scan, self.follow = flag("subfolders", "true"), flag("scan", "false"), flag("follow", "false")
+        self.skip = (0 if flag("hidden", "true") else paths.HIDDEN) | (0 if flag("system", "true") else paths.SYSTEM) | paths.DEVICE
+        self.least, self.most = int(options.get("min_size", "0")), int(options.get("max_size", str((1 << 63) - 1)))
+        self.extensions = set(json.loads(options["extensions"])) if "extensions" in options else None
+        self.parts = int(options.get("parts", "64"))
 
     def partitions(self) -> list[Part]:
-        out = [Part(p, -1, False) for p in self.files]
-        for root in dict.fromkeys(self.roots):
-            out.append(Part(root, 0, False, True))
-            if self.subfolders and not os.path.islink(root):
-                try:
-                    out += [Part(e.path, 1, True) for e in os.scandir(root) if e.is_dir(follow_symlinks=False)]
-                except OSError:
-                    pass  # the root's own partition reports it
-        return out or [Part("", -2, False)]
+        out = [Part("", CHECK_EXCLUSIONS, False)] if self.excluded and not self.scan else []
+        ready = [Part(root, 0, True, True) for root in dict.fromkeys(self.roots)]
+        while self.subfolders and ready and len(ready) < self.parts:  # a level deeper
+            below = []
+            for part in ready:
+                out.append(Part(part.path, part.depth, False, part.root))
+                if not os.path.islink(part.path) or self.scan and self.follow:
+                    below += [Part(path, part.depth + 1, True) for path in self._folders(part)]
+            ready = below
+        return [*out, *ready, *(Part(p, ONE_FILE, False) for p in self.files)] or [Part("", NOTHING, False)]
+
+    def _folders(self, part: Part) -> list[str]:
+        """The folders below one that its own partition doesn't descend into."""
+        try:
+            found = [e.path for e in os.scandir(part.path) if e.is_dir(follow_symlinks=self.scan and self.follow)]
+            return [p for p in found if not self._out(p) and self._descends(p)]
+        except OSError:
+            return []  # the folder's own partition reports it
+
+    def _descends(self, folder: str) -> bool:
+        """Whether a folder below a root is looked into: not skipped by its attributes, no link (unless links are followed,
+        and then not to a folder above it)."""
+        try:
+            status = os.lstat(folder)
+        except OSError:
+            return True
+        if stat.S_ISLNK(status.st_mode):
+            real = os.path.realpath(folder)
+            return self.scan and self.follow and not f"{os.path.realpath(os.path.dirname(folder))}/".startswith(f"{real}/")
+        return not attributes_of(os.path.basename(folder), status) & self.skip
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -105,11 +142,40 @@ class _Reader(DataSourceReader):
         return any(upper == x.upper() or upper.startswith(x.upper().rstrip("/") + "/") for x in self.excluded)
 
     def _rows(self, part: Part) -> Iterator[dict]:
-        if part.depth == -2 or self._out(part.path):
+        if part.depth == CHECK_EXCLUSIONS:
+            for path in dict.fromkeys(self.excluded):
+                try:
+                    os.lstat(path)
+                except (OSError, ValueError) as e:
+                    yield {"kind": "skipped", "full_path": readable(path)[0], "reason": getattr(e, "strerror", None) or str(e)}
             return
-        if part.depth == -1:
-            yield from self._entry(part.path, 0)
+        if part.depth == NOTHING or self._out(part.path):
             return
+        if part.depth == ONE_FILE:
+            yield from self._entry(part.path, 0)
+        elif self.scan:
+            yield from self._scanned(part)
+        else:
+            yield from self._listed(part)
+
+    def _scanned(self, part: Part) -> Iterator[dict]:
+        pending = [part.path]
+        while pending:
+            folder = pending.pop()
+            try:
+                entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            except OSError:
+                continue
+            for entry in entries:
+                if self._out(entry.path):
+                    continue
+                if entry.is_dir(follow_symlinks=self.follow):
+                    if part.deep and self.subfolders and self._descends(entry.path):
+                        pending.append(entry.path)
+                else:
+                    yield from self._entry(entry.path, 0)
+
+    def _listed(self, part: Part) -> Iterator[dict]:
         if part.root:
             yield {"kind": "root", "full_path": part.path}
             try:
@@ -126,7 +192,15 @@ class _Reader(DataSourceReader):
         pending = [(part.path, part.depth)]
         while pending:
             folder, depth = pending.pop()
-            status = os.lstat(folder)
+            plain, sound = readable(folder)
+            if not sound:
+                yield {"kind": "skipped", "full_path": plain, "reason": UNREADABLE}
+                continue
+            try:
+                status = os.lstat(folder)
+            except OSError as e:  # gone since its parent was listed
+                yield {"kind": "skipped", "full_path": folder, "reason": e.strerror}
+                continue
             if attributes_of(os.path.basename(folder), status) & self.skip and not part.root:
                 continue
             try:
@@ -157,21 +231,31 @@ class _Reader(DataSourceReader):
         }
 
     def _entry(self, path: str, depth: int) -> Iterator[dict]:
+        plain, sound = readable(path)
+        if not sound:
+            yield {"kind": "skipped", "full_path": plain, "reason": UNREADABLE}
+            return
         try:
             status = os.lstat(path)
+            linked = stat.S_ISLNK(status.st_mode)
+            if self.scan and self.follow and linked:
+                status = os.stat(path)
         except OSError as e:
-            yield {"kind": "skipped", "full_path": path, "reason": e.strerror}
+            if not self.scan or not isinstance(e, FileNotFoundError):  # a scan passes over what isn't there
+                yield {"kind": "skipped", "full_path": path, "reason": e.strerror}
             return
         row = self._plain(path, status, depth)
-        if stat.S_ISLNK(status.st_mode):
+        if linked and not self.scan:
             target, state, folder = link_state(path)
             yield {**row, "kind": "link", "immediate_target": target, "resolve_state": state, "is_directory": folder}
-        elif not row["attributes"] & self.skip and not stat.S_ISDIR(status.st_mode):
-            yield {**row, "kind": "file"}
+        elif not row["attributes"] & self.skip and not stat.S_ISDIR(status.st_mode) and not stat.S_ISLNK(status.st_mode):
+            if not self.scan or self.least <= status.st_size <= self.most and (self.extensions is None or row["extension"] in self.extensions):
+                yield {**row, "kind": "file"}
 
 
 class Inventory(DataSource):
-    """Options, as JSON lists: roots, files, excluded; and subfolders, hidden (true or false)."""
+    """Options, as JSON lists: roots, files, excluded, extensions; true or false: subfolders, hidden, system (whether such
+    files are listed), scan, follow (links, of a scan); and min_size, max_size (of a scan), parts (folders to begin with)."""
 
     @classmethod
     def name(cls) -> str:
@@ -207,9 +291,23 @@ def inventory(spark: SparkSession, roots: list[str], files: list[str] = (), excl
     }
 
 
+def scan(spark: SparkSession, roots: list[str], files: list[str] = (), excluded: list[str] = (), min_size: int = 1, max_size: int | None = None, hidden: bool = False, system: bool = False, follow: bool = False, extensions: list[str] | None = None, subfolders: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(files, skipped) of an exact scan: sizes, attributes and extensions are checked where files are listed, links are
+    followed only on request, folders that can't be opened count for nothing. Each path once, without regard to case."""
+    if min_size < 0 or (max_size is not None and max_size < min_size):
+        raise ValueError("sizes must be 0 <= min_size <= max_size")
+    spark.dataSource.register(Inventory)
+    options = {"roots": json.dumps(list(roots)), "files": json.dumps(list(files)), "excluded": json.dumps(list(excluded)), "subfolders": str(subfolders), "hidden": str(hidden), "system": str(system), "scan": "true", "follow": str(follow), "min_size": str(min_size)}
+    options |= {"max_size": str(max_size)} if max_size is not None else {}
+    options |= {"extensions": json.dumps([e.lower() for e in extensions])} if extensions is not None else {}
+    rows = spark.read.format("inventory").options(**options).load()
+    found = rows.where("kind = 'file'").groupBy(F.upper("full_path")).agg(F.min(F.struct(*COLUMNS[1:10])).alias("r")).select("r.*")
+    return found, rows.where("kind = 'skipped'").select(F.col("full_path").alias("path"), "reason")
+
+
 def with_content(files: DataFrame, most: int | None = None) -> DataFrame:
-    """files and their content (or the first most bytes), read on the executors; null where the file can't be read or no
-    longer has its size."""
+    """files and their content (or the first most bytes), read on the executors; null where the file can't be read, or has
+    another size before or after."""
     names = files.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +317,7 @@ def with_content(files: DataFrame, most: int | None = None) -> DataFrame:
                 path, size = row.column("full_path")[0].as_py(), row.column("size_bytes")[0].as_py()
                 try:
                     with open(path, "rb") as f:
-                        content = f.read(-1 if most is None else most)
+                        content = f.read(size if most is None else min(most, size)) if os.fstat(f.fileno()).st_size == size else None
                         content = content if os.fstat(f.fileno()).st_size == size else None
                 except OSError:
                     content = None

@@ -20,18 +20,34 @@ def test_perceptual_hashes():
         assert got == want, hex(got)
 
 
-def test_hamming_and_bands(spark):
-    big = (1 << 63) - 1
+def test_hamming(spark):
     assert values(spark, [(0xA5, 0xA5), (0, 1 << 47), (0, -1)], "a long, b long", perceptual.hamming(F.col("a"), F.col("b"))) == [(0,), (1,), (64,)]
+
+
+def test_keys_of_close_hashes_meet(spark):
+    big = (1 << 63) - 1
     rng = np.random.default_rng(1)
-    pairs = []
-    for _ in range(200):
-        a = int(rng.integers(-big, big))
-        flip = sum(1 << int(i) for i in rng.choice(64, 8, replace=False))
-        b = (a ^ flip) & ((1 << 64) - 1)
-        pairs.append((a, b - (1 << 64) if b >> 63 else b))
-    share = F.arrays_overlap(perceptual.bands(F.col("a"), 8), perceptual.bands(F.col("b"), 8))
-    assert all(r[0] for r in values(spark, pairs, "a long, b long", share))
+    for rows, distance in ((100, 0), (10_000, 4), (20_000, 8), (10**9, 8), (20_000, 12), (10**9, 12), (20_000, 13)):
+        pieces, flips, other = perceptual.search_plan(rows, distance)
+        assert pieces * (flips + other + 1) > distance  # else a pair might be lost
+        pairs = []
+        for i in range(100):
+            a = int(rng.integers(-big, big))
+            low = i % 2 * int(rng.integers(0, 64 - distance)) if distance else 0  # bits in a row and bits all over
+            bits = range(low, low + distance) if i % 2 else rng.choice(64, distance, replace=False)
+            b = (a ^ sum(1 << int(x) for x in bits)) & ((1 << 64) - 1)
+            pairs.append((a, b - (1 << 64) if b >> 63 else b))
+        share = F.arrays_overlap(perceptual.search_keys(F.col("a"), pieces, flips), perceptual.search_keys(F.col("b"), pieces, other))
+        assert all(r[0] for r in values(spark, pairs, "a long, b long", share)), (rows, distance)
+    made = [k * 2 for k, _, _ in (perceptual.search_plan(n, 8) for n in (100, 10**5, 10**9))]
+    assert made == sorted(made, reverse=True)  # more rows, wider pieces
+
+
+def test_spans_and_numbers(spark):
+    ticks = [0, 1, -15_000_000, 864_000_000_000, 36_610_000_001]
+    rows = values(spark, [(t,) for t in ticks], "t long", text.span_text(F.col("t")))
+    assert [r[0] for r in rows] == [text.span(t) for t in ticks] == ["00:00:00", "00:00:00.0000001", "-00:00:01.5000000", "1.00:00:00", "01:01:01.0000001"]
+    assert [r[0] for r in values(spark, [(3.0,), (1.4,), (10.0,)], "d double", text.number_text(F.col("d")))] == ["3", "1.4", "10"]
 
 
 def test_luminance():

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import struct
 import zipfile
 
 import pytest
@@ -10,9 +11,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from filegrove.operators import actions, evidence, exact, export, findings, graph, media_policy, similarity
+from filegrove.operators import actions, evidence, exact, export, findings, graph, media_policy, review, similarity, tables
+from filegrove.operators.providers import attempted, with_skips
+from filegrove.operators.tables import numbered
+from filegrove.session import Busy, Operations
 from filegrove.sources.archives import probe_zip
-from filegrove.sources.filesystem import inventory, with_content
+from filegrove.sources.filesystem import inventory, scan, with_content
 
 FILE = "full_path string, file_name string, extension string, size_bytes long, created_ticks long, modified_ticks long, attributes int, identity string, content binary"
 
@@ -121,6 +125,17 @@ def test_zip_directories():
     end = good.rindex(b"PK\x05\x06")
     assert probe_zip(good[: end + 4] + b"\x01" + good[end + 5 :]) == ("UnsupportedOrProtected", "UnsupportedContainer")
     assert probe_zip(None)[0] == probe_zip(b"PK")[0] == "Invalid"
+    empty = good[end : end + 8] + bytes(14)
+    assert probe_zip(empty) == ("Valid", None) and probe_zip(empty[:-2] + b"\x02\0hi") == ("Valid", None) and probe_zip(empty[:-2] + b"\x03\0hi")[0] == "Invalid"
+    assert all(probe_zip(good[:n])[0] == "Invalid" for n in range(len(good)))
+    size, offset = struct.unpack_from("<II", good, end + 12)
+    wide = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, 2, 2, size, offset)
+    locator = struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1)
+    marks = struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    assert probe_zip(good[:end] + wide + locator + marks) == ("Valid", None)
+    assert probe_zip(good[:end] + wide + marks)[0] == "Invalid" and probe_zip(good[:end] + wide[:-1] + locator + marks)[0] == "Invalid"
+    assert probe_zip(good[:end] + wide + locator[:16] + b"\x02\0\0\0" + marks)[1] == "UnsupportedContainer"
+    assert probe_zip(good[:end] + struct.pack("<4sQ", b"PK\x06\x06", 45) + wide[12:] + locator + marks)[0] == "Invalid"
 
 
 def test_file_system(spark, tmp_path):
@@ -147,6 +162,120 @@ def test_file_system(spark, tmp_path):
     assert with_content(found["files"], 2).where("content = 'sa'").count() == 5
 
 
+def test_names_and_folders_that_are_no_text_or_gone(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    at = tmp_path / "deep"
+    for i in range(12):
+        at = at / f"d{i}"
+        at.mkdir()
+        (at / f"f{i}").write_bytes(b"x")
+    open(os.fsencode(tmp_path) + b"/bad\xff", "w").close()
+    os.mkdir(os.fsencode(tmp_path) + b"/folder\xfe")
+    found = inventory(spark, [str(tmp_path)], excluded=[str(tmp_path / "missing"), "/no/such/exclusion"])
+    assert found["files"].count() == 12 and found["directories"].count() == 14
+    skipped = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in found["skipped"].collect()}
+    assert skipped["bad\ufffd"] == skipped["folder\ufffe".replace("\ufffe", "\ufffd")] == "Name is not valid text." and "missing" in skipped and "exclusion" in skipped
+
+
+def test_an_exact_scan(spark, tmp_path):
+    for name in ("a.txt", "sub/b.TXT", "sub/deep/c", ".hid", ".dir/x", "skip/x", "zero", "big"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "zero" else b"x" * (5000 if name == "big" else 4))
+    os.symlink(tmp_path / "sub", tmp_path / "way")
+    os.symlink(tmp_path, tmp_path / "sub" / "up")  # a circle
+    os.symlink("a.txt", tmp_path / "sound")
+    os.symlink("nowhere", tmp_path / "dangling")
+    short = lambda rows: sorted(r[0].removeprefix(str(tmp_path)).lstrip("/") for r in rows)
+    roots = [str(tmp_path), str(tmp_path / "sub"), str(tmp_path / "none")]
+    look = lambda **more: short(scan(spark, roots, [str(tmp_path / "a.txt"), str(tmp_path / "gone")], [str(tmp_path / "skip")], **more)[0].select("full_path").collect())
+    assert look() == ["a.txt", "big", "sub/b.TXT", "sub/deep/c"]
+    assert look(min_size=0, max_size=10, hidden=True) == [".dir/x", ".hid", "a.txt", "sub/b.TXT", "sub/deep/c", "zero"]
+    assert look(extensions=[".TXT"]) == ["a.txt", "sub/b.TXT"] and look(subfolders=False) == ["a.txt", "big", "sub/b.TXT"]
+    followed = look(follow=True)
+    assert {"a.txt", "big", "sound", "sub/b.TXT", "way/b.TXT", "way/deep/c"} <= set(followed) and "dangling" not in followed
+    assert scan(spark, roots)[1].count() == 0
+    with pytest.raises(ValueError):
+        scan(spark, roots, min_size=5, max_size=4)
+    files = inventory(spark, [str(tmp_path)])["files"]
+    seen = []
+
+    def read(rows, most):
+        seen.append(most)
+        return with_content(rows, most)
+
+    assert short(exact.funnel(files.where("size_bytes > 0"), True, read).select("full_path").collect()) == [".dir/x", ".hid", "a.txt", "skip/x", "sub/b.TXT", "sub/deep/c"]
+    assert seen == [exact.PREFIX_BYTES, None] and exact.funnel(files, False, with_content).count() == 6
+
+
+def test_providers(spark, tmp_path):
+    (tmp_path / "good").write_bytes(b"12345")
+    (tmp_path / "bad").write_bytes(b"x")
+
+    def provider(path):
+        with open(path, "rb") as f:
+            data = f.read()
+        if data == b"x":
+            return False, None, "odd"
+        return True, {"width": len(data), "height": 1, "luminance": data * 200 + bytes(24)}, None
+
+    files = inventory(spark, [str(tmp_path)], [str(tmp_path / "bad")])["files"].unionByName(inventory(spark, [], [str(tmp_path / "good")])["files"].withColumn("full_path", F.lit(str(tmp_path / "gone")))).distinct()
+    rows = attempted(files, provider, "width int, height int, luminance binary")
+    got = {r["full_path"].rsplit("/", 1)[1]: (r["ok"], r["width"], r["error"]) for r in rows.collect()}
+    assert got["good"] == (True, 5, None) and got["bad"] == (False, None, "odd") and got["gone"][:2] == (False, None) and got["gone"][2]
+    good, skipped = review.sampled(rows, review.sound_image(), review.FAILED_IMAGE)
+    assert [r["full_path"][-4:] for r in good.collect()] == ["good"] and {r["reason"] for r in skipped.collect()} == {review.CHANGED, review.FAILED_IMAGE}
+    assert with_skips(rows, "no")[1].count() == 2
+
+
+def test_one_operation_at_a_time(spark):
+    operations = Operations(spark)
+    assert not operations.cancel()
+    with operations.run("scan") as tag:
+        assert tag in spark.sparkContext.getJobTags()
+        with pytest.raises(Busy), operations.run("other"):
+            pass
+        assert operations.cancel() and operations.cancelled and operations.active == "scan"
+    assert operations.active is None and tag not in spark.sparkContext.getJobTags()
+    with operations.run("next"):
+        assert spark.range(3).count() == 3 and not operations.cancelled
+
+
+def test_moves_of_numbered_names(spark):
+    rows = spark.createDataFrame([("/x/a.txt", "a.txt"), ("/y/a.txt", "a.txt"), ("/z/a (2).txt", "a (2).txt"), ("/z/b (2).txt", "b (2).txt"), ("/z/(2)", "(2)")], "full_path string, file_name string")
+    got = {r["full_path"]: r["new_name"] for r in actions.move_plan(rows, spark.createDataFrame([("A (3).txt",)], "name string"), "/to").collect()}
+    assert got == {"/x/a.txt": "a.txt", "/y/a.txt": "a (2).txt", "/z/a (2).txt": "a (2) (2).txt", "/z/b (2).txt": "b (2).txt", "/z/(2)": "(2)"}
+    many = spark.range(3000).select(F.format_string("/%05d/n.txt", "id").alias("full_path"), F.lit("n.txt").alias("file_name"))
+    names = [r[0] for r in actions.move_plan(many, rows.select(F.col("file_name").alias("name")), "/to").orderBy("full_path").select("new_name").collect()]
+    assert names == ["n.txt", *(f"n ({i}).txt" for i in range(2, 3001))]
+    assert actions.move_plan(rows.limit(0), rows.select(F.col("file_name").alias("name")), "/to").count() == 0
+
+
+def test_places_of_rows(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), (F.col("id") % 3).alias("k")).repartition(9)
+    got = numbered(rows, [F.desc("k"), F.col("v")]).collect()
+    want = sorted(((r["k"], r["v"]) for r in got), key=lambda x: (-x[0], x[1]))
+    assert [(r["k"], r["v"]) for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(1, 1001))
+    assert numbered(rows.limit(0), [F.col("v")]).count() == 0
+
+
+def test_a_shared_folder_is_required_on_a_cluster(tmp_path):
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(ValueError):
+        tables.shared_folder(type("Session", (), {"sparkContext": Context()})())
+
+
 def test_exports(spark, tmp_path):
     items = spark.createDataFrame([("/b", "File", "r,1", None, None, None, 5, None, 638_081_280_000_000_000, {"b": "1", "a": "2"}), ("/A", "File", "r", "s", "g", 87.5, None, None, None, {})], "path string, kind string, reason string, suggestion string, group_id string, similarity_percent double, size_bytes long, created_ticks long, modified_ticks long, metadata map<string,string>")
     skipped = spark.createDataFrame([("/a", 'no "way"')], "path string, reason string")
@@ -210,6 +339,10 @@ def test_options_settings_scope_and_progress():
 
     review.check_options("SimilarImages", {"distance": 12}, 4)
     review.check_options("EmptyFiles", {})
+    review.check_scan(0, None, 8)
+    for bad in ((-1,), (5, 4), (0, None, 3)):
+        with pytest.raises(ValueError):
+            review.check_scan(*bad)
     for tool, options, workers in (("SimilarImages", {"distance": 13}, 1), ("SimilarVideos", {"mean": 14}, 1), ("EmptyFiles", {"distance": 1}, 1), ("BigFiles", {}, 1), ("BigFiles", {"minimum_bytes": -1}, 1), ("EmptyFiles", {}, 3), ("Nothing", {}, 1)):
         with pytest.raises(ValueError):
             review.check_options(tool, options, workers)
