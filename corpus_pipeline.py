@@ -23,14 +23,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines of recurring templates; n_chars as the texts now are."""
+    """Texts without the lines of recurring templates; n_chars as the texts now are. What only the copies of one text share
+    doesn't recur (see linededup.Tree), so the next stage still finds copies as they were."""
     (dropped,) = fresh(docs, "dropped")
     out = linededup.drop_recurring_lines(docs, dropped=dropped)
     return out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
+    """One document of each group of near copies: the one with the least doc_id."""
     return neardup.keep_first(docs)
 
 
