@@ -332,7 +332,7 @@ def classes(df: DataFrame, text: str = "text", id_column: str = "doc_id", plan:
 
 
 def keep_first(df: DataFrame, text: str = "text", id_column: str = "doc_id", plan: Plan = Plan()) -> DataFrame:
-    """df with one row of each class of near duplicates: the one with the least id (any of rows that share it)."""
+    """df with one row of each class of near copies: the one with the least id (any of rows that share it)."""
     key, own, count, best_id = fresh(df, "class_key", "text_node", "rows_like_it", "best_id")
     found = classes(df, text, id_column, plan).where("first AND class_key IS NOT NULL").select(F.col("class_key").alias(key), F.col("node").alias(own), F.col("doc_id").alias(best_id))
     # a class's row is known by its id and text; repeated ids or rows leave several, of which one stays
