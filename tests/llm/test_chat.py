@@ -53,3 +53,27 @@ def test_empty_table_and_extra_columns(spark):
     assert [r["conv_id"] for r in chat_digests(with_probe(empty)).collect()] == [-1]
     extra = spark.createDataFrame(ROWS, SCHEMA).withColumn("turns", F.lit("x")).withColumn("formatted", F.lit(0)).withColumn("segments", F.lit(1))
     assert chat_digests(extra).count() == 7
+
+
+def test_the_mask_and_the_marks_say_the_same(spark):
+    """Segments in a row are the formatted text; what the loss mask covers in it is what the marks call an assistant's."""
+    turns = with_probe(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    for r in format_chats(turns).select("*", read_chats(F.col("formatted")).alias("back")).collect():
+        at, masked = 0, []
+        for s in r["segments"]:
+            assert r["formatted"][at : at + len(s["text"])] == s["text"]
+            masked += [s["text"]] * s["learned"]
+            at += len(s["text"])
+        assert at == len(r["formatted"])
+        plain = [m.replace("\\k", "[").replace("\\l", "<").replace("\\b", "\\") for m in masked]
+        assert plain == [t["text"] for t in r["back"] if t["role"] == "assistant"]
+
+
+def test_a_very_long_conversation(spark):
+    n = 3000
+    turns = spark.range(n).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<s>[x] "), F.col("id").cast("string"), F.repeat(F.lit("y"), (F.col("id") % 50 * 10).cast("int"))).alias("text"))
+    (row,) = chat_digests(turns).collect()
+    texts = [f"<s>[x] {i}{'y' * (i % 50 * 10)}" for i in range(n)]
+    assert row["n_turns"] == n and row["valid"] and row["loss_chars"] == sum(map(len, texts[1::2]))
+    assert row["loss_sha256"] == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+    assert row["turns_sha256"] == hashlib.sha256("".join(f"{('user', 'assistant')[i % 2]}\n{t}\n" for i, t in enumerate(texts)).encode()).hexdigest()
