@@ -80,9 +80,9 @@ def size_buckets(spark, sf_dir):
     return exact.admitted(_files(spark, sf_dir), hidden=True, system=True).groupBy("size_bytes").agg(F.count("*").alias("n_files")).where("n_files > 1")
 
 
-@query(_W + " SELECT full_path FROM (SELECT full_path, count(*) OVER (PARTITION BY size_bytes, substr(content, 1, 64)) AS n FROM adm) WHERE n > 1")
+@query(_W + " SELECT full_path FROM (SELECT full_path, count(*) OVER (PARTITION BY size_bytes, substr(hex(encode(content)), 1, 131072)) AS n FROM adm) WHERE n > 1")
 def prefix_buckets(spark, sf_dir):
-    files = exact.admitted(_files(spark, sf_dir), hidden=True, system=True).withColumn("prefix", F.xxhash64(F.substring("content", 1, 64)))
+    files = exact.admitted(_files(spark, sf_dir), hidden=True, system=True).withColumn("prefix", F.xxhash64(F.substring(F.col("content").cast("binary"), 1, exact.PREFIX_BYTES)))
     return exact.several(files, ["size_bytes", "prefix"]).select("full_path")
 
 
@@ -258,6 +258,32 @@ def signature_detect(spark, sf_dir):
     return adapters.headers(table(spark, sf_dir, "part")).select("full_path", signatures.detect(F.col("content")).alias("detected"))
 
 
+_BYTE = "('0x' || substr(digits, {at}, 2))::INT"
+_RULED = f"""WITH h0 AS (SELECT p_partkey, {adapters._HEAD} || md5(p_partkey::VARCHAR) AS whole FROM part), h AS (SELECT p_partkey, upper(substr(whole, 1, (2 * (p_partkey * 7 % 41))::INT)) AS digits FROM h0),
+ n AS (SELECT *, length(digits) // 2 AS n, CASE WHEN length(digits) >= 8 THEN {_BYTE.format(at=3)} END AS b1, CASE WHEN length(digits) >= 8 THEN {_BYTE.format(at=5)} END AS b2, CASE WHEN length(digits) >= 8 THEN {_BYTE.format(at=7)} END AS b3,
+  CASE WHEN length(digits) >= 32 AND substr(digits, 9, 8) = '66747970' THEN ('0x' || substr(digits, 1, 8))::BIGINT END AS box, CASE WHEN starts_with(digits, '1A45DFA3') AND length(digits) >= 10 THEN {_BYTE.format(at=9)} - 128 END AS head FROM h),
+ br AS (SELECT *, CASE WHEN box >= 16 AND box <= n AND box % 4 = 0 THEN [substr(digits, 17, 8)] || list_transform(range((box - 16) // 4), lambda i: substr(digits, (33 + 8 * i)::INT, 8)) END AS brands,
+  CASE WHEN head BETWEEN 0 AND n - 5 THEN CASE WHEN substr(digits, 11, 4) = '4282' AND head >= 3 AND {_BYTE.format(at=15)} - 128 BETWEEN 0 AND head - 3 THEN substr(digits, 17, (2 * ({_BYTE.format(at=15)} - 128))::INT) END END AS doctype FROM n)"""
+_MP4_HEX = "[" + ", ".join(f"'{b.encode().hex().upper()}'" for b in signatures.MP4_BRANDS) + "]"
+
+
+@query(
+    _RULED
+    + " SELECT p_partkey, CASE "
+    + " ".join(f"WHEN starts_with(digits, '{d}') THEN '{t}'" for t, d in signatures.PREFIXES)
+    + f""" WHEN starts_with(digits, '494433') THEN 'MP3' WHEN n >= 4 AND starts_with(digits, 'FF') AND b1 & 224 = 224 AND (b1 >> 3) & 3 <> 1 AND (b1 >> 1) & 3 <> 0 AND b2 >> 4 NOT IN (0, 15) AND (b2 >> 2) & 3 <> 3 AND b3 & 3 <> 2 THEN 'MP3'
+ WHEN starts_with(digits, '664C6143') THEN 'FLAC' WHEN starts_with(digits, '4F676753') THEN 'Ogg' WHEN n >= 12 AND starts_with(digits, '52494646') AND substr(digits, 17, 8) = '57454250' THEN 'WebP' WHEN n >= 12 AND starts_with(digits, '52494646') AND substr(digits, 17, 8) = '57415645' THEN 'WAV'
+ WHEN n >= 12 AND starts_with(digits, '52494646') AND substr(digits, 17, 8) = '41564920' THEN 'AVI' WHEN doctype = '7765626D' THEN 'WebM' WHEN doctype IS NOT NULL THEN 'EBML'
+ WHEN brands IS NOT NULL THEN CASE WHEN len(list_filter(brands, lambda b: NOT list_contains({_MP4_HEX}, b))) = 0 THEN 'MP4' WHEN len(list_filter(brands, lambda b: b <> '71742020')) = 0 THEN 'QuickTime' ELSE 'ISO BMFF' END END AS detected FROM br"""
+)
+def signature_rules(spark, sf_dir):
+    """Types of headers that are cut anywhere or go on with any bytes."""
+    k = F.col("p_partkey")
+    digits = F.concat(F.expr(adapters._HEAD), F.md5(k.cast("string")))
+    heads = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.substring(digits, F.lit(1), (k * 7 % 41 * 2).cast("int"))).alias("content"))
+    return heads.select("p_partkey", signatures.detect(F.col("content")).alias("detected"))
+
+
 def _case(values: dict, name: str = "detected") -> str:
     return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
 
@@ -336,20 +362,23 @@ def name_suggestions(spark, sf_dir):
 
 # --- similar pictures, videos and tracks -----------------------------------------------------------------------------
 
-_PHASH = """WITH d AS (SELECT doc_id, substr(hex(encode(text)), 1, 2048) AS h FROM documents WHERE octet_length(encode(text)) >= 1024),
- px AS (SELECT doc_id, i // 32 AS y, i % 32 AS x, ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS v FROM d, range(1024) AS t(i)),
+_PHASH = """WITH t AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, k AS piece, rpad(substr(h, (2048 * k + 1)::INT, 2048), 2048, '0') AS h FROM t, LATERAL (SELECT unnest(range(greatest(1, (length(h) + 2047) // 2048))) AS k)),
+ px AS (SELECT doc_id, piece, i // 32 AS y, i % 32 AS x, ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS v FROM d, range(1024) AS t(i)),
  c AS (SELECT p, f, cos(pi() * (2 * p + 1) * f / 64) * CASE WHEN f = 0 THEN sqrt(1.0 / 32) ELSE sqrt(2.0 / 32) END AS w FROM range(32) AS a(p), range(8) AS b(f)),
- hz AS (SELECT doc_id, y, f AS u, sum(v * w) AS s FROM px JOIN c ON x = p GROUP BY ALL),
- co AS (SELECT doc_id, f * 8 + u AS i, round(sum(s * w), 9) AS q FROM hz JOIN c ON y = p GROUP BY doc_id, f, u),
- md AS (SELECT doc_id, list_sort(list(q))[32] AS m FROM co WHERE i > 0 GROUP BY doc_id)"""
+ hz AS (SELECT doc_id, piece, y, f AS u, sum(v * w) AS s FROM px JOIN c ON x = p GROUP BY ALL),
+ co AS (SELECT doc_id, piece, f * 8 + u AS i, round(sum(s * w), 9) AS q FROM hz JOIN c ON y = p GROUP BY doc_id, piece, f, u),
+ md AS (SELECT doc_id, piece, list_sort(list(q))[32] AS m FROM co WHERE i > 0 GROUP BY doc_id, piece)"""
 
 
-@query(_PHASH + " SELECT doc_id, lpad(hex(sum(CASE WHEN q > m THEN 1::HUGEINT << i::INT ELSE 0 END)::UBIGINT), 16, '0') AS phash FROM co JOIN md USING (doc_id) GROUP BY doc_id")
+@query(_PHASH + " SELECT doc_id, piece, lpad(hex(sum(CASE WHEN q > m THEN 1::HUGEINT << i::INT ELSE 0 END)::UBIGINT), 16, '0') AS phash FROM co JOIN md USING (doc_id, piece) GROUP BY doc_id, piece")
 def phash(spark, sf_dir):
-    """Hashes of the first 1024 bytes of texts, as grey pictures."""
+    """Hashes of whole texts as grey pictures: one for each 1024 bytes, the last filled up with zeros."""
     content = F.col("text").cast("binary")
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 1024)
-    return docs.select("doc_id", F.lpad(F.hex(perceptual.phash(F.substring(content, 1, 1024))), 16, "0").alias("phash"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    last = F.greatest(F.ceil(F.octet_length("text") / 1024) - 1, F.lit(0)).cast("long")
+    pieces = docs.select("doc_id", content.alias("content"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    sample = F.rpad(F.substring("content", (F.col("piece") * 1024 + 1).cast("int"), F.lit(1024)), F.lit(1024), F.lit(bytes(1)))
+    return pieces.select("doc_id", "piece", F.lpad(F.hex(perceptual.phash(sample)), 16, "0").alias("phash"))
 
 
 _PAIR_SQL = " SELECT a.full_path AS a_path, b.full_path AS b_path, bit_count(xor(a.hash, b.hash))::INT AS distance FROM images a JOIN images b ON a.full_path < b.full_path AND bit_count(xor(a.hash, b.hash)) <= {d} AND abs(a.width / a.height::DOUBLE - b.width / b.height::DOUBLE) / greatest(a.width / a.height::DOUBLE, b.width / b.height::DOUBLE) <= 0.05"
