@@ -111,7 +111,9 @@ def _labelled(items: DataFrame, keys: list[str], edges, keep: Scratch) -> DataFr
     ones = keep(items.select(*keys).distinct().withColumn("id", F.monotonically_increasing_id()), "ones")
     labels = connected(edges(ones, keep)).select(F.col("node").alias("id"), "label")
     members = items.join(ones, keys).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id")
-    return members.join(members.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1").select("label"), "label")
+    # as a table: Spark can split the join where one group has very many items
+    several = keep(members.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1").select("label"), "several")
+    return members.join(several, "label")
 
 
 def _grouped(members: DataFrame, columns: list[str], best: list[Column], prefix: str, distance) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='filegrove-')}"
+        own = tempfile.mkdtemp(prefix="filegrove-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         context.setCheckpointDir(found)
     return found
 
