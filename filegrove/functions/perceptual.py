@@ -48,6 +48,13 @@ def luminance(pixels: bytes) -> bytes:
     return ((54 * on_white[:, 2] + 183 * on_white[:, 1] + 19 * on_white[:, 0]) >> 8).astype(np.uint8).tobytes()
 
 
+@F.pandas_udf(T.BinaryType())
+def luminances(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """luminance() of a binary of whole BGRA pixels; null for others."""
+    for part in parts:
+        yield part.map(lambda x: None if x is None or len(x) % 4 else luminance(bytes(x)))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -1081,3 +1081,20 @@ def broken_archives(spark, sf_dir):
     files = _zips(spark, sf_dir)
     m = F.col("metadata")
     return findings.broken_files(files, findings.probed(files))[0].select("full_path", "reason", m["Validator"].alias("validator"), m["ErrorType"].alias("error_type"))
+
+
+@query("""WITH t AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, rpad(h, ((length(h) + 7) // 8 * 8)::INT, '0') AS h FROM t),
+ px AS (SELECT doc_id, i, ('0x' || substr(h, (8 * i + 1)::INT, 2))::INT AS b, ('0x' || substr(h, (8 * i + 3)::INT, 2))::INT AS g, ('0x' || substr(h, (8 * i + 5)::INT, 2))::INT AS r, ('0x' || substr(h, (8 * i + 7)::INT, 2))::INT AS a FROM d, LATERAL (SELECT unnest(range(length(h) // 8)) AS i)),
+ w AS (SELECT doc_id, i, (b * a + 255 * (255 - a) + 127) // 255 AS b, (g * a + 255 * (255 - a) + 127) // 255 AS g, (r * a + 255 * (255 - a) + 127) // 255 AS r FROM px)
+ SELECT doc_id, string_agg(lpad(hex((54 * r + 183 * g + 19 * b) >> 8), 2, '0'), '' ORDER BY i) AS luminances FROM w GROUP BY doc_id""")
+def pixel_luminance(spark, sf_dir):
+    """Whole texts as BGRA pixels, on white."""
+    content = F.col("text").cast("binary")
+    whole = F.rpad(content, (F.ceil(F.octet_length("text") / 4) * 4).cast("int"), F.lit(bytes(1)))
+    return table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", F.hex(perceptual.luminances(whole)).alias("luminances"))
+
+
+@query(_LARGE + f""" SELECT '{{"record_type":"item","tool":"BigFiles","generated_utc":"2023-01-01T00:00:00.0000007Z","scope_summary":"1 folder, 0 files, 2 excluded; subfolders included","path":"' || full_path || '","kind":"File","reason":"At least 10,000 bytes","size_bytes":' || size_bytes || ',"modified_utc":"' || {_UTC.format(t="modified_ticks")} || '","metadata":"{{\\"Extension\\":\\"' || extension || '\\"}}"}}' AS line FROM lg
+ UNION ALL SELECT '{{"record_type":"skipped_path","tool":"BigFiles","generated_utc":"2023-01-01T00:00:00.0000007Z","scope_summary":"1 folder, 0 files, 2 excluded; subfolders included","path":"' || path || '","metadata":"{{}}","skipped_reason":"Access \\"denied\\""}}' FROM sk""")
+def export_json(spark, sf_dir):
+    return export.json_items(_export(spark, sf_dir))
