@@ -1098,3 +1098,28 @@ def pixel_luminance(spark, sf_dir):
  UNION ALL SELECT '{{"record_type":"skipped_path","tool":"BigFiles","generated_utc":"2023-01-01T00:00:00.0000007Z","scope_summary":"1 folder, 0 files, 2 excluded; subfolders included","path":"' || path || '","metadata":"{{}}","skipped_reason":"Access \\"denied\\""}}' FROM sk""")
 def export_json(spark, sf_dir):
     return export.json_items(_export(spark, sf_dir))
+
+
+_HEADS = ["", " ", ".", "con", "a:", "\t", "LPT1", "..", "AUX.", "x\x01y"]
+_BODIES = ["", "x", "nul", "b?d", " ", ".c", "é", "com1 "]
+_TAILS = ["", ".", " ", ".txt", ". .", ".tar.gz", "\x7f"]
+
+
+def _sql_text(value: str) -> str:
+    return " || ".join(f"chr({ord(c)})" if not c.isprintable() else f"'{c}'" for c in value) or "''"
+
+
+_PIECED = f"""WITH n AS (SELECT p_partkey, [{", ".join(map(_sql_text, _HEADS))}][(p_partkey % 10 + 1)::INT] || [{", ".join(map(_sql_text, _BODIES))}][(p_partkey // 10 % 8 + 1)::INT] || [{", ".join(map(_sql_text, _TAILS))}][(p_partkey // 80 % 7 + 1)::INT] AS name FROM part),
+ r AS (SELECT *, {_REASONS} AS reasons FROM n), e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '[\\x00-\\x1F\\x7F]', '', 'g'), '["<>|:*?\\\\/]', '_', 'g'), '^\\s+', ''), '[\\s.]+$', '') AS e FROM r),
+ f AS (SELECT *, CASE WHEN regexp_matches(e, '^([.][^.]*)?$') THEN 'file' || e ELSE e END AS f FROM e),
+ d AS (SELECT *, CASE WHEN regexp_matches(upper(f), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])[ .]*([.].*)?$') THEN regexp_replace(f, '^([^.]*)', '\\1_file') ELSE f END AS suggestion FROM f)"""
+
+
+@query(_PIECED + " SELECT p_partkey, reasons, suggestion FROM d WHERE reasons <> ''")
+def name_rules(spark, sf_dir):
+    """Reasons and suggestions for names of all sorts of pieces."""
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / n) % len(values) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(pick(_HEADS, 1), pick(_BODIES, 10), pick(_TAILS, 80)).alias("file_name"), F.lit(0).alias("attributes"), *[F.lit(1).cast("long").alias(c) for c in ("size_bytes", "created_ticks", "modified_ticks")])
+    found = findings.bad_names(rows.withColumn("full_path", k.cast("string")))
+    return found.select(F.col("full_path").cast("long").alias("p_partkey"), F.col("reason").alias("reasons"), "suggestion")
