@@ -55,7 +55,7 @@ def release() -> None:
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices whose texts and binaries hold about CHUNK_BYTES together, or a single row."""
+    """Slices whose texts, binaries and lists hold about CHUNK_BYTES together, or a single row."""
     if batch.num_rows < 2 or batch.nbytes <= CHUNK_BYTES:
         if batch.num_rows:
             yield batch
@@ -64,6 +64,8 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
             sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):  # of numbers
+            sizes += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < batch.num_rows:

@@ -25,8 +25,8 @@ class Plan:
     32 bands of 5 miss a pair of similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6. Candidates have a sketch of fine
     bits, which differ independently of each other: a pair of 0.8 has over unlike_bits unlike ones (102 on average, 9.6 the
     standard deviation) with probability 1.1e-6. Candidates go through so many sieves (see _linkable; what one drops makes
-    the next finer). In rounds many rounds each bucket's members meet one of them; what is still apart then meets all
-    members of the bucket that belong to other classes.
+    the next finer). In rounds many rounds each bucket's members meet one of them, from the second round on one that isn't of
+    the bucket's largest class; what is still apart then meets all members of the bucket that belong to other classes.
     """
 
     words: int = 5
@@ -36,7 +36,7 @@ class Plan:
     fine: int = 1024
     unlike_bits: int = 150
     sieves: int = 2
-    rounds: int = 3
+    rounds: int = 2
     counted: bool = False
 
     @property
@@ -157,17 +157,29 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(id, n, bits, shingles) of each row of docs (id, text): the number of shingles, the fine sketch, and their hashes."""
+    """(id, n, shingles) of each row of docs (id, text): the number of shingles, and their sorted hashes."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, found, count = shingles([t.lower().encode() for t in batch.column("text").to_pylist()], plan.words)
         if plan.counted:
             owner, found = occurrences(owner, found, count)
         offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-        bits = fine_sketch(owner, found, batch.num_rows, plan.fine)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), _lists(bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))], names=["id", "n", "bits", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))], names=["id", "n", "shingles"])
 
-    return map_arrow(docs, kernel, "id long, n int, bits array<long>, shingles array<long>")
+    return map_arrow(docs, kernel, "id long, n int, shingles array<long>")
+
+
+def with_bits(sets: DataFrame, plan: Plan) -> DataFrame:
+    """(id, bits): the fine sketch of each row of sets (id, shingles)."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("shingles")
+        ends = lists.offsets.to_numpy()
+        found = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        return pa.RecordBatch.from_arrays([batch.column("id"), _lists(fine_sketch(owner, found, batch.num_rows, plan.fine))], names=["id", "bits"])
+
+    return map_arrow(sets.select("id", "shingles"), kernel, "id long, bits array<long>")
 
 
 def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -209,7 +221,7 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def _linkable(sets: DataFrame, plan: Plan) -> DataFrame:
-    """(id, n, rest, bits) of the sets (id, n, bits, shingles) that may have a link.
+    """(id, n, rest) of the sets (id, n, shingles) that may have a link.
 
     A shingle that no other candidate has is lost to every pair; rest many are left. Where more than a fifth are lost, no
     other set can be similar enough. This settles texts that share a passage, and copies with many changes, without a look
@@ -217,7 +229,7 @@ def _linkable(sets: DataFrame, plan: Plan) -> DataFrame:
     single = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("texts"), F.max("id").alias("id")).where("texts = 1")
     own = single.groupBy("id").agg(F.count("*").cast("int").alias("own"))
     top, bottom = plan.similar
-    left = sets.select("id", "n", "bits").join(own, "id", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
+    left = sets.select("id", "n").join(own, "id", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
     return left.where(F.col("rest") * bottom >= F.col("n") * top).drop("own")
 
 
@@ -247,6 +259,7 @@ def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFr
     live = keep(_linkable(sets, plan), "linkable")
     for _ in range(1, plan.sieves):
         live = keep(_linkable(_only(sets, live.select("id")), plan), "linkable")
+    live = keep(live.join(with_bits(_only(sets, live.select("id")), plan), "id"), "bits")
     buckets = keep(_shared(hits.join(nodes, "node").select("band", "id").join(live.select("id"), "id", "left_semi")), "shared", n_hits)
     # a text that meets many others in its buckets is near the middle of a group: it leads first
     sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))
@@ -273,8 +286,8 @@ def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFr
 
     for turn in range(plan.rounds):
         rows = labelled()
-        order = F.col("middle") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        lead = rows.groupBy("band").agg(F.max_by("id", order).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "lead")
+        some = rows if turn == 0 else rows.join(_mixed(rows), "band").where("label <> home")
+        lead = some.groupBy("band").agg(F.max_by("id", "middle").alias("lead"))
         own = rows.select(F.col("id").alias("lead"), F.col("label").alias("lead_label")).distinct()
         met = rows.join(lead.join(own, "lead"), "band").where("label <> lead_label")
         if not add(_likely(met.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), live, plan)):
@@ -287,13 +300,17 @@ def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFr
     return table, named.select("node", "label")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(band, home): the buckets that hold several classes, and their largest class."""
+    sizes = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
+    return sizes.groupBy("band").agg(F.max_by("label", "n").alias("home"), F.count("*").alias("classes")).where("classes > 1").select("band", "home")
+
+
 def _across(rows: DataFrame, live: DataFrame, plan: Plan, keep: Scratch) -> DataFrame:
     """All pairs of different classes that share a bucket and that sizes and bits leave a chance.
 
     In each bucket, members outside its largest class meet all members of other classes."""
-    sizes = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("label", "n").alias("home"), F.count("*").alias("classes")).where("classes > 1").select("band", "home")
-    rows = keep(rows.join(mixed, "band").join(live, "id"), "mixed")
+    rows = keep(rows.join(_mixed(rows), "band").join(live, "id"), "mixed")
     left = rows.where("label <> home").select("band", *(F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "rest", "bits")))
     near = left.join(rows, "band").where((F.col("x_label") != F.col("label")) & _may(plan, "x_", ""))
     return near.select(*_ordered(F.col("x_id"), F.col("id"))).distinct()
