@@ -12,8 +12,9 @@ from filegrove.llm.common import fresh, let, text_key
 from filegrove.operators.tables import Scratch, stored
 
 WILDCARD = "<*>"
-#: Lines of which the numbers (8 bytes each) are broadcast to fetch their words; more are joined by a shuffle.
-BROADCAST_LINES = 2_000_000
+#: Lines of which the numbers (8 bytes each) are broadcast to fetch their words, and texts of which the key and the places to
+#: drop are (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_LINES, BROADCAST_TEXTS = 2_000_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def _blocks(words: Column, tokens: Column, leaf: Column, tree: Tree) -> Column:
 
 
 def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
-    """(template, family): which templates agree with another one, the family's name, in enough tokens.
+    """(template, family), a table: which templates agree with another one, the family's name, in enough tokens.
 
     Lines of a leaf that agree in a whole block meet the block's leader, a recurring one if there is any. So each line is
     compared with a few others, however many there are."""
@@ -82,7 +83,9 @@ def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scrat
     side = lambda name, column: words.select(F.col("template").alias(name), F.col("words").alias(column))
     met = keep(pairs, "met").join(words.select("template", "tokens", "words"), "template").join(side("family", "others"), "family")
     agree = F.size(F.filter(F.zip_with("words", "others", lambda a, b: a == b), lambda same: same))
-    return met.where(agree >= _constant(F.col("tokens"), tree)).select("template", "family")
+    found = keep(met.where(agree >= _constant(F.col("tokens"), tree)).select("template", "family"), "families")
+    keep.drop(leaves, some, words, blocks, lead)
+    return found
 
 
 def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
@@ -93,7 +96,7 @@ def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFram
     leaders counts as the one of them with the least key."""
     seen = lines.select("template", "leaf", "tokens", "key", "id").groupBy("template", "leaf", "tokens", "key").agg(F.min("id").alias("id"))
     templates = keep(seen.groupBy("template", "leaf", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("texts")), "templates")
-    other = keep(_generalised(lines, templates, tree, keep), "families")
+    other = _generalised(lines, templates, tree, keep)
     alone = templates.where(F.col("texts") >= tree.min_docs).select("template", F.col("template").alias("family"))
     # a family is named by one of its templates, which belongs to it even where it doesn't recur by itself
     member = keep(other.unionByName(alone).unionByName(other.select(F.col("family").alias("template"), "family")).distinct(), "members")
@@ -124,7 +127,8 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(),
         key, flags = fresh(df, "line_key", "line_places")
         places = lines.join(gone, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(flags))
         decided = stored(places.withColumnRenamed("key", key), "line-decisions")
-    both = df.withColumn(key, text_key(text)).join(decided, key, "left")
+    few = decided.count() <= BROADCAST_TEXTS  # else texts are shuffled
+    both = df.withColumn(key, text_key(text)).join(F.broadcast(decided) if few else decided, key, "left")
     return both.withColumns({text: F.when(F.col(flags).isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col(flags))), dropped: F.coalesce(F.size(flags), F.lit(0))}).select(*df.columns, dropped)
 
 

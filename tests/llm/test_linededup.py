@@ -4,8 +4,10 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from filegrove.llm import linededup
 from filegrove.llm.linededup import Tree, drop_recurring_lines
 
 
@@ -86,7 +88,11 @@ def cases():
     return texts
 
 
-def test_texts_are_those_of_brute_force(spark, docs):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_texts_are_those_of_brute_force(spark, docs, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
+        monkeypatch.setattr(linededup, "BROADCAST_TEXTS", 0)
     texts = cases()
     want = brute(texts)
     got = {r["doc_id"]: (r["text"], r["dropped_lines"]) for r in drop_recurring_lines(docs(*texts)).collect()}

@@ -4,8 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from filegrove.llm import neardup
 from filegrove.llm.neardup import Plan, classes, fine_sketch, keep_first, prob_min_hash
 from filegrove.operators.graph import connected as components
 
@@ -63,7 +65,10 @@ def corpus():
     return [(i, t) for i, t in enumerate(texts)]
 
 
-def test_classes_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_classes_are_those_of_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     rows = corpus()
     want = brute(rows)
     found = classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
