@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one file where the number of rows is known: small tables go to few files.
-FILE_ROWS = 200_000
+#: Rows of one file where the number of rows is known. Small tables go to few files: each costs a task, and on a local file
+#: system also two processes that set its permissions.
+FILE_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,8 +49,8 @@ def _write(df: DataFrame, name: str, rows: int | None, compression: str | None =
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """df, written as Parquet and read again; removed when the program ends. rows: at most so many, and no more than about as
-    many are read to make them, if known."""
+    """df, written as Parquet and read again; removed when the program ends. rows: about so many are read to make it (large or
+    costly ones count several times), if known; there is a file for each FILE_ROWS at most."""
     out, path = _write(df, name, rows)
     atexit.register(removed, df.sparkSession, path)
     return out
