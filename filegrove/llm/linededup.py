@@ -68,22 +68,26 @@ def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scrat
 
     Lines of a leaf that agree in a whole block meet the block's leader, a recurring one if there is any. So each line is
     compared with a few others, however many there are."""
+    n = templates.count()
     wide = templates.where(F.col("tokens") >= tree.min_tokens)
     # a leaf with a single template, or with too few texts, has nothing to generalise
-    leaves = keep(wide.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= tree.min_docs)).select("leaf"), "leaves")
-    some = keep(wide.join(leaves, "leaf", "left_semi"), "some")
-    ids = some.select("id")
-    ids = F.broadcast(ids) if some.count() <= BROADCAST_LINES else ids
+    leaves = keep(wide.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= tree.min_docs)).select("leaf"), "leaves", n)
+    some = keep(wide.join(leaves, "leaf", "left_semi"), "some", n)
+    ids, n = some.select("id"), some.count()
+    ids = F.broadcast(ids) if n <= BROADCAST_LINES else ids
     words = lines.select("id", "line").join(ids, "id", "left_semi").join(some, "id")
     rank = F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long") + F.when(F.col("texts") >= tree.min_docs, 1 << 60).otherwise(0)
-    words = keep(words.select("template", "tokens", rank.alias("rank"), F.split("line", " ").alias("words"), "leaf"), "words")
-    blocks = keep(words.select("template", "rank", F.explode(_blocks(F.col("words"), F.col("tokens"), F.col("leaf"), tree)).alias("block")), "blocks")
-    lead = keep(blocks.groupBy("block").agg(F.max_by("template", "rank").alias("family"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders")
+    words = keep(words.select("template", "tokens", rank.alias("rank"), F.split("line", " ").alias("words"), "leaf"), "words", 10 * n)
+    blocks = keep(words.select("template", "rank", F.explode(_blocks(F.col("words"), F.col("tokens"), F.col("leaf"), tree)).alias("block")), "blocks", 10 * n)
+    n = blocks.count()
+    lead = keep(blocks.groupBy("block").agg(F.max_by("template", "rank").alias("family"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders", n)
     pairs = blocks.join(lead, "block").where("template <> family").select("template", "family").distinct()
     side = lambda name, column: words.select(F.col("template").alias(name), F.col("words").alias(column))
-    met = keep(pairs, "met").join(words.select("template", "tokens", "words"), "template").join(side("family", "others"), "family")
+    met = keep(pairs, "met", n)
+    few = 10 * met.count()
+    met = met.join(words.select("template", "tokens", "words"), "template").join(side("family", "others"), "family")
     agree = F.size(F.filter(F.zip_with("words", "others", lambda a, b: a == b), lambda same: same))
-    found = keep(met.where(agree >= _constant(F.col("tokens"), tree)).select("template", "family"), "families")
+    found = keep(met.where(agree >= _constant(F.col("tokens"), tree)).select("template", "family"), "families", few)
     keep.drop(leaves, some, words, blocks, lead)
     return found
 
@@ -95,18 +99,19 @@ def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFram
     texts that aren't copies: of each set the text with the least key leads, and a text of which copy_share is shared with
     leaders counts as the one of them with the least key."""
     seen = lines.select("template", "leaf", "tokens", "key", "id").groupBy("template", "leaf", "tokens", "key").agg(F.min("id").alias("id"))
-    templates = keep(seen.groupBy("template", "leaf", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("texts")), "templates")
+    templates = keep(seen.groupBy("template", "leaf", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("texts")), "templates", lines.count())
     other = _generalised(lines, templates, tree, keep)
     alone = templates.where(F.col("texts") >= tree.min_docs).select("template", F.col("template").alias("family"))
     # a family is named by one of its templates, which belongs to it even where it doesn't recur by itself
-    member = keep(other.unionByName(alone).unionByName(other.select(F.col("family").alias("template"), "family")).distinct(), "members")
-    places = keep(lines.join(member.select("template").distinct(), "template", "left_semi").groupBy("template", "key", "place", "whole").agg(F.max("chars").alias("chars")), "places")
+    member = keep(other.unionByName(alone).unionByName(other.select(F.col("family").alias("template"), "family")).distinct(), "members", templates.count() + 3 * other.count())
+    places = keep(lines.join(member.select("template").distinct(), "template", "left_semi").groupBy("template", "key", "place", "whole").agg(F.max("chars").alias("chars")), "places", lines.count())
+    n = places.count()
     found = places.join(member, "template")
     sets = found.select("family", "key").distinct().groupBy("family").agg(F.min("key").alias("leader"), F.count("*").alias("texts"))
-    sets = keep(sets.where(F.col("texts") >= tree.min_docs).drop("texts"), "sets")
-    held = keep(found.join(sets, "family").groupBy("key", "leader", "place", "whole").agg(F.max("chars").alias("chars")), "held")
+    sets = keep(sets.where(F.col("texts") >= tree.min_docs).drop("texts"), "sets", 2 * n)
+    held = keep(found.join(sets, "family").groupBy("key", "leader", "place", "whole").agg(F.max("chars").alias("chars")), "held", 2 * n)
     shared = held.groupBy("key", "leader").agg(F.sum("chars").alias("shared"), F.max("whole").alias("whole"))
-    copies = keep(shared.where(F.col("shared") >= F.col("whole") * tree.copy_share).groupBy("key").agg(F.min("leader").alias("copy_of")), "copies")
+    copies = keep(shared.where(F.col("shared") >= F.col("whole") * tree.copy_share).groupBy("key").agg(F.min("leader").alias("copy_of")), "copies", held.count())
     units = found.join(sets.select("family"), "family", "left_semi").select("family", "key").distinct().join(copies, "key", "left")
     counted = units.select("family", F.coalesce("copy_of", "key").alias("unit")).distinct().groupBy("family").agg(F.count("*").alias("units"))
     return member.join(counted.where(F.col("units") >= tree.min_docs), "family", "left_semi").select("template").distinct()
@@ -123,10 +128,11 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(),
     df = df.drop(dropped)
     with Scratch("lines") as keep:
         lines = keep(_lines(df, text, tree), "parsed", compression="zstd")  # the texts again
-        gone = keep(recurring_templates(lines, tree, keep), "gone")
+        n = lines.count()
+        gone = keep(recurring_templates(lines, tree, keep), "gone", n)
         key, flags = fresh(df, "line_key", "line_places")
         places = lines.join(gone, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(flags))
-        decided = stored(places.withColumnRenamed("key", key), "line-decisions")
+        decided = stored(places.withColumnRenamed("key", key), "line-decisions", n)
     few = decided.count() <= BROADCAST_TEXTS  # else texts are shuffled
     both = df.withColumn(key, text_key(text)).join(F.broadcast(decided) if few else decided, key, "left")
     return both.withColumns({text: F.when(F.col(flags).isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col(flags))), dropped: F.coalesce(F.size(flags), F.lit(0))}).select(*df.columns, dropped)

@@ -243,23 +243,25 @@ def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFr
     different texts that near-duplicate links join (None: there are no candidates at all)."""
     docs = docs.where("text IS NOT NULL").select("doc_id", "text", text_key().alias("node"))
     table = keep(sketches(docs, plan), "sketches")
+    n_docs = table.count()
     bands = table.select("node", F.explode("bands").alias("band"))
     mark = F.xxhash64("node")
     several = bands.groupBy("band").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("band")
-    hits = keep(bands.join(several, "band").distinct(), "hits")
+    hits = keep(bands.join(several, "band").distinct(), "hits", plan.bands * n_docs)
     n_hits = hits.count()
     # candidate texts get whole numbers, which later aggregates take without sorting
     nodes = keep(hits.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "nodes", n_hits)
     n = nodes.count()
     rows = table.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))  # copies meet before the join
-    wanted = keep(rows.join(nodes, "node").select("node", "doc_id", "id"), "chosen")
+    wanted = keep(rows.join(nodes, "node").select("node", "doc_id", "id"), "chosen", n_docs)
     wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
     text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"]).select("id", "text")
-    sets = keep(shingle_sets(text, plan), "sets")
-    live = keep(_linkable(sets, plan), "linkable")
+    sets = keep(shingle_sets(text, plan), "sets", 100 * n)
+    n_shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    live = keep(_linkable(sets, plan), "linkable", n_shingles)
     for _ in range(1, plan.sieves):
-        live = keep(_linkable(_only(sets, live.select("id")), plan), "linkable")
-    live = keep(live.join(with_bits(_only(sets, live.select("id")), plan), "id"), "bits")
+        live = keep(_linkable(_only(sets, live.select("id")), plan), "linkable", n_shingles)
+    live = keep(live.join(with_bits(_only(sets, live.select("id")), plan), "id"), "bits", 300 * live.count())
     buckets = keep(_shared(hits.join(nodes, "node").select("band", "id").join(live.select("id"), "id", "left_semi")), "shared", n_hits)
     # a text that meets many others in its buckets is near the middle of a group: it leads first
     sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))
@@ -272,13 +274,13 @@ def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFr
             return buckets.withColumn("label", F.col("id"))
         return buckets.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
-    def add(pairs: DataFrame) -> bool:
+    def add(pairs: DataFrame, rows: int) -> bool:
         nonlocal labels, tested
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
+        pairs = keep(pairs, "pairs", rows)
         if not (met := pairs.count()):
             return False
-        found = keep(_verified(pairs, sets, plan, keep, met), "links")
+        found = keep(_verified(pairs, sets, plan, keep, met), "links", 50 * met)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():  # what was joined before is in the labels
             labels = connected(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "neardup-components")
@@ -290,9 +292,10 @@ def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFr
         lead = some.groupBy("band").agg(F.max_by("id", "middle").alias("lead"))
         own = rows.select(F.col("id").alias("lead"), F.col("label").alias("lead_label")).distinct()
         met = rows.join(lead.join(own, "lead"), "band").where("label <> lead_label")
-        if not add(_likely(met.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), live, plan)):
+        if not add(_likely(met.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), live, plan), n_hits):
             break
-    add(_across(labelled().select("band", "id", "label"), live, plan, keep))
+    mixed = keep(_mixed_rows(labelled().select("band", "id", "label"), live), "mixed", 4 * n_hits)
+    add(_across(mixed, plan), 20 * mixed.count())
     if labels is None:
         return table, None
     names = nodes.select("id", "node")
@@ -306,11 +309,15 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return sizes.groupBy("band").agg(F.max_by("label", "n").alias("home"), F.count("*").alias("classes")).where("classes > 1").select("band", "home")
 
 
-def _across(rows: DataFrame, live: DataFrame, plan: Plan, keep: Scratch) -> DataFrame:
-    """All pairs of different classes that share a bucket and that sizes and bits leave a chance.
+def _mixed_rows(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """rows (band, id, label) of buckets that hold several classes, with their home and what _may() needs."""
+    return rows.join(_mixed(rows), "band").join(live, "id")
+
+
+def _across(rows: DataFrame, plan: Plan) -> DataFrame:
+    """All pairs of different classes that share a bucket and that sizes and bits leave a chance; rows as of _mixed_rows().
 
     In each bucket, members outside its largest class meet all members of other classes."""
-    rows = keep(rows.join(_mixed(rows), "band").join(live, "id"), "mixed")
     left = rows.where("label <> home").select("band", *(F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "rest", "bits")))
     near = left.join(rows, "band").where((F.col("x_label") != F.col("label")) & _may(plan, "x_", ""))
     return near.select(*_ordered(F.col("x_id"), F.col("id"))).distinct()
@@ -329,13 +336,14 @@ def classes(df: DataFrame, text: str = "text", id_column: str = "doc_id", plan:
     rows = docs.select("doc_id", text_key().alias("node"))
     with Scratch("neardup") as keep:
         table, labels = links(docs, plan, keep)
+        n = table.count()
         wordy = table.groupBy("node").agg(F.count("*").alias("n"))  # texts with words
         label = wordy.select("node", F.col("node").alias("class_key")) if labels is None else wordy.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class_key"))
-        members = table.select("node", "doc_id").join(keep(label, "labels"), "node")
+        members = table.select("node", "doc_id").join(keep(label, "labels", n), "node")
         wordless = docs.where((F.col("text") != "") & ~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]")).select(text_key().alias("node"), "doc_id")
-        members = keep(members.unionByName(wordless.withColumn("class_key", F.col("node"))), "members")
+        members = keep(members.unionByName(wordless.withColumn("class_key", F.col("node"))), "members", 2 * n)
         sizes = members.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-        by_text = stored(members.select("node", "class_key").distinct().join(sizes, "class_key"), "neardup-classes")
+        by_text = stored(members.select("node", "class_key").distinct().join(sizes, "class_key"), "neardup-classes", members.count())
     out = rows.join(by_text, "node", "left")
     alone = F.col("class_key").isNull()
     return out.select(
@@ -354,8 +362,9 @@ def keep_first(df: DataFrame, text: str = "text", id_column: str = "doc_id", pla
     found = classes(df, text, id_column, plan).where("first AND class_key IS NOT NULL").select(F.col("class_key").alias(key), F.col("node").alias(own), F.col("doc_id").alias(best_id))
     # a class's row is known by its id and text; repeated ids or rows leave several, of which one stays
     found = stored(found, "neardup-first")
+    n = found.count()
     best = found.groupBy(key).agg(F.min(own).alias(own))
-    rows = stored(found.join(best, [key, own]).groupBy(key, own, best_id).agg(F.count("*").alias(count)), "neardup-kept")
+    rows = stored(found.join(best, [key, own]).groupBy(key, own, best_id).agg(F.count("*").alias(count)), "neardup-kept", n)
     marked = df.withColumn(own, text_key(text)).join(rows, own, "left")
     some = F.coalesce(F.col(f"`{text}`").cast("string") != "", F.lit(False))
     plain = marked.where(~some | (F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(best_id)) & (F.col(count) == 1)))
