@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 SIDE, LOW = 32, 8
 #: Keys of one row up to which a search plan is considered.
 MOST_KEYS = 2000
+#: Work of making, shuffling and sorting a key, in meetings of two rows.
+KEY_WORK = 6
 _BASIS = np.cos(np.pi * (2 * np.arange(SIDE)[:, None] + 1) * np.arange(LOW) / (2 * SIDE)) * np.where(np.arange(LOW) == 0, np.sqrt(1 / SIDE), np.sqrt(2 / SIDE))
 
 
@@ -64,18 +66,28 @@ def search_plan(rows: int, distance: int, share: float = 1.0) -> tuple[int, int,
 
     Of k pieces of two such hashes one differs in at most r = distance // k bits, so the one side's piece with up to flips bits
     changed and the other side's with up to the rest of r meet in a value: no pair is lost. Few wide pieces have many changed
-    values and rare meetings, many narrow ones the reverse; the plan is the one with the least rows and meetings in all. share:
+    values and rare meetings, many narrow ones the reverse; the plan is the one with the least work in keys and meetings. share:
     of the pairs of rows that other keys let meet."""
+    plans = ((k, one, distance // k - one) for k in range(1, distance + 2) for one in range(-(-(distance // k) // 2), distance // k + 1))
 
-    def cost(k: int) -> tuple[float, int, int, int]:
-        width, r = 64 // k, distance // k
-        near = lambda flips, w: sum(math.comb(w, i) for i in range(flips + 1))
-        one, other = (r + 1) // 2, r // 2
-        made = k * (near(one, width + 1) + near(other, width + 1))
-        meetings = share * rows * rows / 2 * k * near(r, width) / 2.0**width
-        return (3.0 * rows * made + meetings if made <= MOST_KEYS else math.inf), k, one, other
+    def cost(k: int, one: int, other: int) -> float:
+        width = 64 // k
+        made = k * (_values(width + 1, one) + _values(width + 1, other))
+        meetings = sum(math.comb(width, d) * _met(width, d, one, other) for d in range(one + other + 1)) * 0.5**width
+        return KEY_WORK * rows * made + share * rows * rows / 2 * k * meetings if made <= MOST_KEYS else math.inf
 
-    return min(map(cost, range(1, distance + 2)))[1:]
+    return min(plans, key=lambda plan: cost(*plan))
+
+
+def _values(width: int, flips: int) -> int:
+    """How many values have up to so many bits changed."""
+    return sum(math.comb(width, i) for i in range(flips + 1))
+
+
+def _met(width: int, differing: int, one: int, other: int) -> int:
+    """In how many values two pieces meet that differ in so many bits: i of those bits are changed on the one side, the rest on
+    the other, and j further bits on both."""
+    return sum(math.comb(differing, i) * math.comb(width - differing, j) for i in range(differing + 1) for j in range(one + 1) if i + j <= one and differing - i + j <= other)
 
 
 def _keyed(number: Column, piece: Column, more: tuple[Column, ...]) -> Callable[[Column], Column]:

@@ -79,11 +79,14 @@ def _video_edges(rows: DataFrame, mean: int, keep: Scratch) -> DataFrame:
     step = F.floor(F.log(F.col("duration_ticks") / (100.0 * text.TICKS_PER_SECOND) + 1) / 0.0203).cast("int")
     spread = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(step).alias("steps")).first()
     pieces, flips, other = search_plan(spread["n"], mean, min(1.0, 3 / max(1, spread["steps"])))
-    frame = lambda n, i, at: search_keys(F.element_at("hashes", i + 1), pieces, n, F.lit(i), at)
-    keys = F.concat(*[frame(flips, i, step) for i in range(FRAMES)])
-    others = F.concat(*[frame(other, i, at) for i in range(FRAMES) for at in (step - 1, step, step + 1)])
-    close = lambda a, b: duration_close(F.col(f"{a}_duration_ticks"), F.col(f"{b}_duration_ticks")) & aspect_close(F.col(f"{a}_display_aspect"), F.col(f"{b}_display_aspect"))
-    pairs = _near(rows, keep, keys, others, ["duration_ticks", "display_aspect"], close)
+    frames = rows.select("id", "duration_ticks", "display_aspect", F.posexplode("hashes").alias("frame", "hash"))
+    keys = lambda n, at: search_keys(F.col("hash"), pieces, n, F.col("frame"), at)
+    close = lambda a, b: (
+        (hamming(F.col(f"{a}_hash"), F.col(f"{b}_hash")) <= mean)
+        & duration_close(F.col(f"{a}_duration_ticks"), F.col(f"{b}_duration_ticks"))
+        & aspect_close(F.col(f"{a}_display_aspect"), F.col(f"{b}_display_aspect"))
+    )
+    pairs = _near(frames, keep, keys(flips, step), F.concat(*[keys(other, at) for at in (step - 1, step, step + 1)]), ["duration_ticks", "display_aspect", "hash"], close)
     side = lambda x: rows.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_hashes"))
     return keep(pairs.join(side("a"), "a").join(side("b"), "b").where(total_distance(F.col("a_hashes"), F.col("b_hashes")) <= FRAMES * mean).select("a", "b"), "edges")
 
@@ -187,8 +190,8 @@ def music_groups(candidates: DataFrame, most: int = MUSIC_TICKS) -> DataFrame:
     if most < 0:
         raise ValueError("the difference must not be negative")
     keys = ["title_key", "artist_key"]
-    rows = anchored_clusters(candidates, keys, "duration_ticks", ["full_path"], most)
     by = [*keys, "cluster"]
+    rows = stored(anchored_clusters(candidates, keys, "duration_ticks", ["full_path"], most), "music-clusters")  # read three times
     pick = F.min(F.struct((-F.col("bitrate")).alias("o0"), (-F.col("size_bytes")).alias("o1"), F.upper("full_path").alias("o2"), F.col("full_path").alias("ref_path"), F.col("duration_ticks").alias("ref_ticks")))
     refs = rows.groupBy(*by).agg(F.count("*").alias("n"), pick.alias("r")).where("n > 1").select(*by, F.col("r.ref_path").alias("ref_path"), F.col("r.ref_ticks").alias("ref_ticks"))
     out = rows.join(_numbered(refs, "music"), by).withColumn("is_reference", F.col("full_path") == F.col("ref_path"))
