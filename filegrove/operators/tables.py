@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, a local session gets a folder of its own; on a cluster
     that would lose data, so there it is an error."""
     context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

@@ -260,8 +260,11 @@ def test_places_of_rows(spark):
 
 def test_a_shared_folder_is_required_on_a_cluster(tmp_path):
     class Conf:
-        def get(self, key):
-            return None
+        def __init__(self, **found):
+            self.found = found
+
+        def get(self, key, default=None):
+            return self.found.get(key, default)
 
     class Context:
         master = "spark://host:7077"
@@ -272,8 +275,11 @@ def test_a_shared_folder_is_required_on_a_cluster(tmp_path):
         def getCheckpointDir(self):
             return None
 
+    session = type("Session", (), {"sparkContext": Context(), "conf": Conf()})()
     with pytest.raises(ValueError):
-        tables.shared_folder(type("Session", (), {"sparkContext": Context()})())
+        tables.shared_folder(session)
+    session.conf = Conf(**{"spark.checkpoint.dir": "hdfs://shared"})
+    assert tables.shared_folder(session) == "hdfs://shared"
 
 
 def test_exports(spark, tmp_path):
