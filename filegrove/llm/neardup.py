@@ -370,3 +370,27 @@ def keep_first(df: DataFrame, text: str = "text", id_column: str = "doc_id", pla
     plain = marked.where(~some | (F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(best_id)) & (F.col(count) == 1)))
     repeated = marked.where(some & F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(best_id)) & (F.col(count) > 1)).dropDuplicates([key])
     return plain.unionByName(repeated).select(*df.columns)
+
+
+#: DuckDB SQL for the query op1: candidates by the rarest shingles of each text, of which two similar texts share one; classes by
+#: a walk over the links. For small tables: the walk makes a row for each two members of a class.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, text, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL
+), u AS (SELECT text, any_value(w) AS w, row_number() OVER () AS id FROM d WHERE len(w) > 0 GROUP BY text),
+sh AS (SELECT DISTINCT id, hash(array_to_string(w[p : p + 4], ' ')) AS s FROM u, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 3))) AS p)),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+f AS (SELECT s, count(*) AS f FROM sh GROUP BY s HAVING count(*) > 1),
+pr AS (SELECT id, s, n FROM (SELECT sh.id, sh.s, n.n, f.f, row_number() OVER (PARTITION BY sh.id ORDER BY coalesce(f.f, 1), sh.s) AS r FROM sh JOIN n USING (id) LEFT JOIN f USING (s)) WHERE f IS NOT NULL AND r <= n - (4 * n + 4) // 5 + 1),
+cd AS (SELECT DISTINCT a.id AS a, b.id AS b FROM pr a JOIN pr b ON a.s = b.s AND a.id < b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+ln AS (SELECT a, b FROM (SELECT cd.a, cd.b, count(*) AS c FROM cd JOIN sh x ON x.id = cd.a JOIN sh y ON y.id = cd.b AND y.s = x.s GROUP BY ALL) JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+ways AS (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln),
+reach AS (SELECT a, a AS b FROM ways UNION SELECT r.a, ways.b FROM reach r JOIN ways ON r.b = ways.a),
+lab AS (SELECT a AS id, min(b) AS label FROM reach GROUP BY a),
+cls AS (
+  SELECT d.doc_id, 'w' || coalesce(label, u.id) AS k FROM d JOIN u ON d.text = u.text LEFT JOIN lab USING (id)
+  UNION ALL SELECT doc_id, 't' || text FROM d WHERE len(w) = 0 AND text <> ''
+), sz AS (SELECT k, min(doc_id) AS class_id, count(*) AS class_size FROM cls GROUP BY k)
+SELECT doc_id, class_id, class_size, doc_id IS DISTINCT FROM class_id AS duplicate FROM cls JOIN sz USING (k)
+UNION ALL SELECT doc_id, doc_id, 1, false FROM documents WHERE text IS NULL OR text = ''
+"""

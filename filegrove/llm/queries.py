@@ -63,6 +63,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_line_dedup, op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op9_warc_revisits, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
+    "op1_minhash_neardup": neardup.ORACLE,
     "op2_decontamination": decontaminate.ORACLE,
     "op3_line_dedup": linededup.ORACLE,
     "op7_chat_format": chat.ORACLE,
