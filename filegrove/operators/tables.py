@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one file where the number of rows is known. Small tables go to few files: each costs a task, and on a local file
 #: system also two processes that set its permissions.
-FILE_ROWS = 100_000
+FILE_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
