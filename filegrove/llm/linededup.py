@@ -114,7 +114,8 @@ def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFram
     copies = keep(shared.where(F.col("shared") >= F.col("whole") * tree.copy_share).groupBy("key").agg(F.min("leader").alias("copy_of")), "copies", held.count())
     units = found.join(sets.select("family"), "family", "left_semi").select("family", "key").distinct().join(copies, "key", "left")
     counted = units.select("family", F.coalesce("copy_of", "key").alias("unit")).distinct().groupBy("family").agg(F.count("*").alias("units"))
-    return member.join(counted.where(F.col("units") >= tree.min_docs), "family", "left_semi").select("template").distinct()
+    recurring = keep(counted.where(F.col("units") >= tree.min_docs).select("family"), "recurring", 2 * n)
+    return member.join(recurring, "family", "left_semi").select("template").distinct()
 
 
 def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(), dropped: str = "dropped_lines") -> DataFrame:
