@@ -12,7 +12,7 @@ from filegrove.llm.common import fresh, let, text_key
 from filegrove.operators.tables import Scratch, stored
 
 WILDCARD = "<*>"
-#: Lines of which the numbers (8 bytes each) are broadcast to fetch their words, and texts of which the key and the places to
+#: Lines or blocks of which one or two numbers (8 bytes each) are broadcast for a join, and texts of which the key and the places to
 #: drop are (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_LINES, BROADCAST_TEXTS = 2_000_000, 500_000
 
@@ -63,6 +63,11 @@ def _blocks(words: Column, tokens: Column, leaf: Column, tree: Tree) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(leaf, i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")))
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A table of one or two numbers a row, for a join: to all tasks up to BROADCAST_LINES rows, by a shuffle beyond."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
+
+
 def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
     """(template, family), a table: which templates agree with another one, the family's name, in enough tokens.
 
@@ -73,19 +78,18 @@ def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scrat
     # a leaf with a single template, or with too few texts, has nothing to generalise
     leaves = keep(wide.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= tree.min_docs)).select("leaf"), "leaves", n)
     some = keep(wide.join(leaves, "leaf", "left_semi"), "some", n)
-    ids, n = some.select("id"), some.count()
-    ids = F.broadcast(ids) if n <= BROADCAST_LINES else ids
-    words = lines.select("id", "line").join(ids, "id", "left_semi").join(some, "id")
+    n = some.count()
+    words = lines.select("id", "line").join(_sent(some.select("id")), "id", "left_semi").join(some, "id")
     rank = F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long") + F.when(F.col("texts") >= tree.min_docs, 1 << 60).otherwise(0)
     words = keep(words.select("template", "tokens", rank.alias("rank"), F.split("line", " ").alias("words"), "leaf"), "words", 10 * n)
     blocks = keep(words.select("template", "rank", F.explode(_blocks(F.col("words"), F.col("tokens"), F.col("leaf"), tree)).alias("block")), "blocks", 10 * n)
     n = blocks.count()
     lead = keep(blocks.groupBy("block").agg(F.max_by("template", "rank").alias("family"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders", n)
-    pairs = blocks.join(lead, "block").where("template <> family").select("template", "family").distinct()
-    side = lambda name, column: words.select(F.col("template").alias(name), F.col("words").alias(column))
+    pairs = blocks.join(_sent(lead), "block").where("template <> family").select("template", "family").distinct()
     met = keep(pairs, "met", n)
     few = 10 * met.count()
-    met = met.join(words.select("template", "tokens", "words"), "template").join(side("family", "others"), "family")
+    side = lambda name, column: words.join(_sent(met.select(F.col(name).alias("template")).distinct()), "template", "left_semi").select(F.col("template").alias(name), "tokens", F.col("words").alias(column))
+    met = met.join(side("template", "words"), "template").join(side("family", "others").drop("tokens"), "family")
     agree = F.size(F.filter(F.zip_with("words", "others", lambda a, b: a == b), lambda same: same))
     found = keep(met.where(agree >= _constant(F.col("tokens"), tree)).select("template", "family"), "families", few)
     keep.drop(leaves, some, words, blocks, lead)
