@@ -12,9 +12,9 @@ from filegrove.llm.common import fresh, let, text_key
 from filegrove.operators.tables import Scratch, stored
 
 WILDCARD = "<*>"
-#: Lines or blocks of which one or two numbers (8 bytes each) are broadcast for a join, and texts of which the key and the places to
-#: drop are (some 50 bytes each); more are joined by a shuffle.
-BROADCAST_LINES, BROADCAST_TEXTS = 2_000_000, 500_000
+#: Lines or blocks of which one or two numbers (8 bytes each) are broadcast for a join; and numbers (4 bytes each) in the keys and
+#: places of texts that are. Beyond, the join is by a shuffle.
+BROADCAST_LINES, BROADCAST_NUMBERS = 2_000_000, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,8 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(),
         key, flags = fresh(df, "line_key", "line_places")
         places = lines.join(gone, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(flags))
         decided = stored(places.withColumnRenamed("key", key), "line-decisions", n)
-    few = decided.count() <= BROADCAST_TEXTS  # else texts are shuffled
+    numbers = decided.agg(F.coalesce(F.sum(F.size(flags) + 8), F.lit(0))).first()[0]
+    few = numbers <= BROADCAST_NUMBERS  # else texts are shuffled
     both = df.withColumn(key, text_key(text)).join(F.broadcast(decided) if few else decided, key, "left")
     return both.withColumns({text: F.when(F.col(flags).isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col(flags))), dropped: F.coalesce(F.size(flags), F.lit(0))}).select(*df.columns, dropped)
 

@@ -92,7 +92,7 @@ def cases():
 def test_texts_are_those_of_brute_force(spark, docs, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
-        monkeypatch.setattr(linededup, "BROADCAST_TEXTS", 0)
+        monkeypatch.setattr(linededup, "BROADCAST_NUMBERS", 0)
     texts = cases()
     want = brute(texts)
     got = {r["doc_id"]: (r["text"], r["dropped_lines"]) for r in drop_recurring_lines(docs(*texts)).collect()}
