@@ -63,9 +63,10 @@ def _blocks(words: Column, tokens: Column, leaf: Column, tree: Tree) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(leaf, i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")))
 
 
-def _sent(ids: DataFrame) -> DataFrame:
-    """A table of one or two numbers a row, for a join: to all tasks up to BROADCAST_LINES rows, by a shuffle beyond."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
+def _sent(rows: DataFrame, width: int = 2) -> DataFrame:
+    """A table of width numbers (8 bytes each) a row, for a join: to all tasks up to BROADCAST_LINES rows of two numbers, by a
+    shuffle beyond."""
+    return F.broadcast(rows) if rows.count() * width <= 2 * BROADCAST_LINES else rows
 
 
 def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
@@ -77,9 +78,9 @@ def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scrat
     wide = templates.where(F.col("tokens") >= tree.min_tokens)
     # a leaf with a single template, or with too few texts, has nothing to generalise
     leaves = keep(wide.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= tree.min_docs)).select("leaf"), "leaves", n)
-    some = keep(wide.join(leaves, "leaf", "left_semi"), "some", n)
+    some = keep(wide.join(_sent(leaves), "leaf", "left_semi"), "some", n)
     n = some.count()
-    words = lines.select("id", "line").join(_sent(some.select("id")), "id", "left_semi").join(some, "id")
+    words = lines.select("id", "line").join(_sent(some, 5), "id")
     rank = F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long") + F.when(F.col("texts") >= tree.min_docs, 1 << 60).otherwise(0)
     words = keep(words.select("template", "tokens", rank.alias("rank"), F.split("line", " ").alias("words"), "leaf"), "words", 10 * n)
     blocks = keep(words.select("template", "rank", F.explode(_blocks(F.col("words"), F.col("tokens"), F.col("leaf"), tree)).alias("block")), "blocks", 10 * n)
@@ -108,18 +109,18 @@ def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFram
     alone = templates.where(F.col("texts") >= tree.min_docs).select("template", F.col("template").alias("family"))
     # a family is named by one of its templates, which belongs to it even where it doesn't recur by itself
     member = keep(other.unionByName(alone).unionByName(other.select(F.col("family").alias("template"), "family")).distinct(), "members", templates.count() + 3 * other.count())
-    places = keep(lines.join(member.select("template").distinct(), "template", "left_semi").groupBy("template", "key", "place", "whole").agg(F.max("chars").alias("chars")), "places", lines.count())
+    places = keep(lines.join(_sent(member.select("template").distinct()), "template", "left_semi").groupBy("template", "key", "place", "whole").agg(F.max("chars").alias("chars")), "places", lines.count())
     n = places.count()
-    found = places.join(member, "template")
+    found = places.join(_sent(member), "template")
     sets = found.select("family", "key").distinct().groupBy("family").agg(F.min("key").alias("leader"), F.count("*").alias("texts"))
     sets = keep(sets.where(F.col("texts") >= tree.min_docs).drop("texts"), "sets", 2 * n)
-    held = keep(found.join(sets, "family").groupBy("key", "leader", "place", "whole").agg(F.max("chars").alias("chars")), "held", 2 * n)
+    held = keep(found.join(_sent(sets, 3), "family").groupBy("key", "leader", "place", "whole").agg(F.max("chars").alias("chars")), "held", 2 * n)
     shared = held.groupBy("key", "leader").agg(F.sum("chars").alias("shared"), F.max("whole").alias("whole"))
     copies = keep(shared.where(F.col("shared") >= F.col("whole") * tree.copy_share).groupBy("key").agg(F.min("leader").alias("copy_of")), "copies", held.count())
-    units = found.join(sets.select("family"), "family", "left_semi").select("family", "key").distinct().join(copies, "key", "left")
+    units = found.join(_sent(sets.select("family")), "family", "left_semi").select("family", "key").distinct().join(_sent(copies, 4), "key", "left")
     counted = units.select("family", F.coalesce("copy_of", "key").alias("unit")).distinct().groupBy("family").agg(F.count("*").alias("units"))
     recurring = keep(counted.where(F.col("units") >= tree.min_docs).select("family"), "recurring", 2 * n)
-    return member.join(recurring, "family", "left_semi").select("template").distinct()
+    return member.join(_sent(recurring), "family", "left_semi").select("template").distinct()
 
 
 def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(), dropped: str = "dropped_lines") -> DataFrame:
@@ -136,12 +137,12 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(),
         n = lines.count()
         gone = keep(recurring_templates(lines, tree, keep), "gone", n)
         key, flags = fresh(df, "line_key", "line_places")
-        places = lines.join(gone, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(flags))
+        places = lines.join(_sent(gone), "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(flags))
         decided = stored(places.withColumnRenamed("key", key), "line-decisions", n)
     numbers = decided.agg(F.coalesce(F.sum(F.size(flags) + 8), F.lit(0))).first()[0]
     few = numbers <= BROADCAST_NUMBERS  # else texts are shuffled
     both = df.withColumn(key, text_key(text)).join(F.broadcast(decided) if few else decided, key, "left")
-    return both.withColumns({text: F.when(F.col(flags).isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col(flags))), dropped: F.coalesce(F.size(flags), F.lit(0))}).select(*df.columns, dropped)
+    return both.withColumns({text: F.when(F.col(flags).isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col(flags))), dropped: F.when(F.col(flags).isNull(), F.lit(0)).otherwise(F.size(flags))}).select(*df.columns, dropped)
 
 
 def _without(text: Column, places: Column) -> Column:
