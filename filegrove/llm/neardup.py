@@ -23,8 +23,8 @@ class Plan:
     lesser counts over that of the greater ones; probability Jaccard is never below it). Else all weigh the same.
 
     32 bands of 5 miss a pair of similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6. Candidates have a sketch of fine
-    bits, which differ independently of each other: a pair of 0.8 has over unlike_bits unlike ones (102 on average, 9.6 the
-    standard deviation) with probability 1.1e-6. Candidates go through so many sieves (see _linkable; what one drops makes
+    bits, which differ independently of each other: a pair of 0.8 has over unlike_bits unlike ones (205 on average, 13.6 the
+    standard deviation) with probability 0.9e-6. Candidates go through so many sieves (see _linkable; what one drops makes
     the next finer). In rounds many rounds each bucket's members meet one of them, from the second round on one that isn't of
     the bucket's largest class; what is still apart then meets all members of the bucket that belong to other classes.
     """
@@ -33,8 +33,8 @@ class Plan:
     similar: tuple[int, int] = (4, 5)
     bands: int = 32
     rows: int = 5
-    fine: int = 1024
-    unlike_bits: int = 150
+    fine: int = 2048
+    unlike_bits: int = 272
     sieves: int = 2
     rounds: int = 2
     counted: bool = False
