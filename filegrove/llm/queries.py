@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from filegrove.llm import bpe, chat, decontaminate, langid, linededup, media, neardup, quality, secrets, warc
+from filegrove.llm import bpe, chat, decontaminate, filteraudit, langid, linededup, media, neardup, quality, secrets, warc
 from filegrove.llm.common import bucket
 
 
@@ -61,7 +61,11 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_line_dedup, op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op9_warc_revisits, op10_byte_bpe)}
+def op11_filter_audit(spark, sf_dir):
+    return filteraudit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_line_dedup, op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op9_warc_revisits, op10_byte_bpe, op11_filter_audit)}
 ORACLES: dict[str, str] = {
     "op1_minhash_neardup": neardup.ORACLE,
     "op2_decontamination": decontaminate.ORACLE,
@@ -69,4 +73,5 @@ ORACLES: dict[str, str] = {
     "op7_chat_format": chat.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
     "op9_warc_revisits": warc.ORACLE,
+    "op11_filter_audit": filteraudit.ORACLE,
 }
