@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from filegrove.llm import bpe, chat, decontaminate, filteraudit, langid, linededup, media, neardup, quality, secrets, urlfilter, warc
+from filegrove.llm import alignment, bpe, chat, decontaminate, filteraudit, langid, linededup, media, neardup, quality, secrets, urlfilter, warc
 from filegrove.llm.common import bucket
 
 
@@ -69,7 +69,11 @@ def op12_url_filter(spark, sf_dir):
     return urlfilter.judged_pages(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_line_dedup, op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op9_warc_revisits, op10_byte_bpe, op11_filter_audit, op12_url_filter)}
+def op13_token_alignment(spark, sf_dir):
+    return alignment.alignment_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_line_dedup, op4_quality, op5_language_id, op6_media_columns, op7_chat_format, op8_secret_scan, op9_warc_revisits, op10_byte_bpe, op11_filter_audit, op12_url_filter, op13_token_alignment)}
 ORACLES: dict[str, str] = {
     "op1_minhash_neardup": neardup.ORACLE,
     "op2_decontamination": decontaminate.ORACLE,
