@@ -39,6 +39,12 @@ def removed(spark: SparkSession, path: str) -> None:
         pass
 
 
+def shuffles_released(spark: SparkSession) -> None:
+    """Lets the cluster delete the shuffle files of queries that have ended. Spark does so once the driver has collected their
+    garbage, which a driver with little to do may put off until long after the disks are full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _write(df: DataFrame, name: str, rows: int | None, compression: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
