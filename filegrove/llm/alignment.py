@@ -20,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from filegrove.llm.bpe import from_piece
 from filegrove.llm.common import bounded, map_arrow, pieces, release
-from filegrove.operators.tables import Scratch, stored
+from filegrove.operators.tables import Scratch, shuffles_released, stored
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of the texts of one block, whose segments are listed together (or one longer text).
@@ -134,23 +134,26 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
-TOKENS = "segment string, n long, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>, same boolean"
+#: ids and bytes: of the tokens of A, which are split ones, and of B behind them.
+TOKENS = "segment string, n long, ids array<int>, bytes array<int>, split int, same boolean"
 
 
 def _tokenised(segments: DataFrame, make) -> DataFrame:
     """(segment, n) with both sides' ids and the bytes of each, and whether both stand for the segment."""
     names = [c.split()[0] for c in TOKENS.split(", ")]
 
-    def lists(rows: list[list[int]], lengths: np.ndarray) -> list[pa.Array]:
-        offsets = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32))
-        flat = np.fromiter(chain.from_iterable(rows), np.int32, offsets[-1].as_py())
-        return [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(lengths[flat]))]
-
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         both, words = make(), batch.column("segment").to_pylist()
         a, b = both.encode(words)
         same = pa.array([both.agree(*x) for x in zip(words, a, b, strict=True)], pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("n"), *lists(a, both.a_lengths), *lists(b, both.b_lengths), same], names=names)
+        split = np.array([len(x) for x in a], np.int32)
+        ends = np.cumsum(split + np.array([len(x) for x in b], np.int32))
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(zip(a, b, strict=True))), np.int32, ends[-1])
+        of_a = np.arange(len(flat)) < np.repeat(np.concatenate(([0], ends[:-1])) + split, np.diff(ends, prepend=0))
+        sizes = np.where(of_a, both.a_lengths[flat * of_a], both.b_lengths[flat * ~of_a])
+        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (flat, sizes)]
+        return pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("n"), *lists, pa.array(split), same], names=names)
 
     return map_arrow(segments, kernel, TOKENS, Tokenizers.made.clear)
 
@@ -167,38 +170,44 @@ def _without(blocks: DataFrame, tokens: DataFrame, keep: Scratch) -> DataFrame:
     return tokens.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
 
 
-def _side(tokens: DataFrame, side: str) -> DataFrame:
+def _side(tokens: DataFrame, side: str, first: Column, n: Column) -> DataFrame:
     """(id, end, token): the tokens of one side with the bytes of the segment up to each one's end."""
-    each = tokens.select("id", F.posexplode(F.arrays_zip(side, f"{side}_bytes")).alias("at", "x"))
+    each = tokens.select("id", F.posexplode(F.arrays_zip(F.slice("ids", first, n).alias("id"), F.slice("bytes", first, n).alias("bytes"))).alias("at", "x"))
     upto = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return each.select("id", F.sum(f"x.{side}_bytes").over(upto).alias("end"), F.col(f"x.{side}").alias(side))
+    return each.select("id", F.sum("x.bytes").over(upto).alias("end"), F.col("x.id").alias(side))
 
 
 def _groups(tokens: DataFrame) -> DataFrame:
-    """(id, groups, n_a, n_b, n_groups, links): groups as text, links as ids (a, b) of tokens that end together."""
-    tokens = tokens.select("id", "a", "a_bytes", "b", "b_bytes").repartition("id")
-    ends = _side(tokens, "a").join(_side(tokens, "b"), ["id", "end"], "full")
+    """(id, groups, n_a, n_b, n_groups, links): groups as text, links as ids (a, b) of tokens that end together. Segments are
+    dealt to tasks once, all else follows them."""
+    tokens = tokens.select("id", "ids", "bytes", "split").repartition("id")
+    behind = F.col("split") + 1
+    ends = _side(tokens, "a", F.lit(1), F.col("split")).join(_side(tokens, "b", behind, F.size("ids") - F.col("split")), ["id", "end"], "full")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     before = Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    cut = ends.withColumns({"group": F.coalesce(F.count(F.when(both, 1)).over(before), F.lit(0)), "cut": both})
+    cut = ends.withColumn("group", F.count(F.when(both, 1)).over(before))
     said = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
-    link = F.max(F.when(F.col("cut"), F.struct("a", "b"))).alias("link")
+    link = F.max(F.when(both, F.struct("a", "b"))).alias("link")
     rows = cut.groupBy("id", "group").agg(F.concat(said("a"), F.lit("|"), said("b")).alias("text"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), link)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "text"))), lambda x: x["text"]), ";")
     return rows.groupBy("id").agg(text.alias("groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.collect_list("link").alias("links"))
 
 
-def _counted(segments: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(a, b, count, best): how many links of the corpus an id pair has, and whether no pair of its b has more; and segments
-    with n_links, n_best and count_sum in place of their links."""
-    links = segments.select("id", "n", F.explode("links").alias("x")).select("id", "n", "x.a", "x.b")
-    counts = keep(links.groupBy("a", "b").agg(F.sum("n").alias("count")).where("count > 0"), "counts")
+def _pairs(segments: DataFrame, keep: Scratch) -> DataFrame:
+    """(a, b, count, best), a table: how many links of the corpus an id pair has, and whether no pair of its b has more."""
+    links = segments.select("n", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum("n").alias("count"))
+    counts = keep(links.where("count > 0"), "counts")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
-    pairs = stored(counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best")), "token-pairs")
+    return stored(counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best")), "token-pairs")
+
+
+def _told(segments: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(segment, NUMBERS, groups), dealt by segment where pairs are few enough to be broadcast."""
+    same = ["segment", "groups", "n_a", "n_b", "n_groups"]
+    links = segments.repartition("segment").select(*same, F.explode("links").alias("x"))
     sent = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    found = links.join(sent, ["a", "b"]).groupBy("id").agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    told = segments.drop("links", "n").join(found, "id", "left").fillna(0, ["n_links", "n_best", "count_sum"])
-    return pairs, told.drop("id")
+    found = links.join(sent, (F.col("x.a") == sent["a"]) & (F.col("x.b") == sent["b"]))
+    return found.groupBy(*same).agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -251,15 +260,21 @@ def aligned(docs: DataFrame, entries_path: str, model_path: str, digest: bool =
     with Scratch("aligned") as keep, _co_partitioned(spark):
         blocks = keep(_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "blocks", compression="zstd")
         listed = blocks.where("segment IS NOT NULL").select(F.col("block").alias("of"), "at", "segment", "n")
-        tokens = keep(_tokenised(listed.groupBy("segment").agg(F.sum("n").alias("n")), make), "tokens")
-        tokens = keep(_without(blocks, tokens, keep).where("same").withColumn("id", F.monotonically_increasing_id()), "valid")
-        groups = keep(_groups(tokens).join(tokens.select("id", "segment", "n"), "id"), "groups")
-        pairs, segments = _counted(groups, keep)
-        values = listed.drop("n").join(segments, "segment", "left").drop("segment")
+        tokens = _tokenised(listed.groupBy("segment").agg(F.sum("n").alias("n")), make)
+        tokens = keep(tokens.withColumn("id", F.monotonically_increasing_id()), "tokens", compression="zstd")
+        shuffles_released(spark)
+        valid = _without(blocks, tokens, keep).where("same")
+        groups = keep(_groups(valid).join(valid.select("id", "segment", "n"), "id"), "groups", compression="zstd")
+        keep.drop(tokens)
+        shuffles_released(spark)
+        pairs = _pairs(groups, keep)
+        values = listed.drop("n").join(_told(groups, pairs), "segment", "left").drop("segment")
         schema = ", ".join(["doc_id long", *(f"{n} long" for n in NUMBERS), "groups string"])
         rows = blocks.where("refs IS NOT NULL").select("block", "doc_id", "refs")
         found = rows.groupBy("block").cogroup(values.groupBy("of")).applyInArrow(lambda left, right: _joined(left, right, digest), schema)
-        return stored(found, "aligned-documents"), pairs
+        found = stored(found, "aligned-documents")
+    shuffles_released(spark)
+    return found, pairs
 
 
 def alignment_digests(docs: DataFrame, entries_path: str, model_path: str) -> DataFrame:
