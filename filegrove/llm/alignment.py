@@ -178,7 +178,7 @@ def _side(tokens: DataFrame, side: str, first: Column, n: Column) -> DataFrame:
 
 
 def _groups(tokens: DataFrame) -> DataFrame:
-    """(id, groups, n_a, n_b, n_groups, links): groups as text, links as ids (a, b) of tokens that end together. Segments are
+    """(id, groups, n_a, n_b, n_groups, links): groups as text, links as ids (a * 2^32 + b) of tokens that end together. Segments are
     dealt to tasks once, all else follows them."""
     tokens = tokens.select("id", "ids", "bytes", "split").repartition("id")
     behind = F.col("split") + 1
@@ -187,26 +187,27 @@ def _groups(tokens: DataFrame) -> DataFrame:
     before = Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     cut = ends.withColumn("group", F.count(F.when(both, 1)).over(before))
     said = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
-    link = F.max(F.when(both, F.struct("a", "b"))).alias("link")
+    link = F.max(F.when(both, F.shiftleft(F.col("a").cast("long"), 32) + F.col("b"))).alias("link")
     rows = cut.groupBy("id", "group").agg(F.concat(said("a"), F.lit("|"), said("b")).alias("text"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), link)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "text"))), lambda x: x["text"]), ";")
     return rows.groupBy("id").agg(text.alias("groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.collect_list("link").alias("links"))
 
 
 def _pairs(segments: DataFrame, keep: Scratch) -> DataFrame:
-    """(a, b, count, best), a table: how many links of the corpus an id pair has, and whether no pair of its b has more."""
-    links = segments.select("n", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum("n").alias("count"))
-    counts = keep(links.where("count > 0"), "counts")
+    """(link, a, b, count, best), a table: how many links of the corpus an id pair has, and whether no pair of its b has more."""
+    links = segments.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
+    a, b = F.shiftright("link", 32).cast("int"), F.col("link").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    counts = keep(links.where("count > 0").select(a.alias("a"), b.alias("b"), "link", "count"), "counts")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
-    return stored(counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best")), "token-pairs")
+    return stored(counts.join(most, "b").select("link", "a", "b", "count", (F.col("count") == F.col("most")).alias("best")), "token-pairs")
 
 
 def _told(segments: DataFrame, pairs: DataFrame) -> DataFrame:
     """(segment, NUMBERS, groups), dealt by segment where pairs are few enough to be broadcast."""
     same = ["segment", "groups", "n_a", "n_b", "n_groups"]
-    links = segments.repartition("segment").select(*same, F.explode("links").alias("x"))
-    sent = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    found = links.join(sent, (F.col("x.a") == sent["a"]) & (F.col("x.b") == sent["b"]))
+    links = segments.repartition("segment").select(*same, F.explode("links").alias("link"))
+    counts = pairs.select("link", "count", "best")
+    found = links.join(F.broadcast(counts) if counts.count() <= BROADCAST_PAIRS else counts, "link")
     return found.groupBy(*same).agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
 
 
@@ -274,7 +275,7 @@ def aligned(docs: DataFrame, entries_path: str, model_path: str, digest: bool =
         found = rows.groupBy("block").cogroup(values.groupBy("of")).applyInArrow(lambda left, right: _joined(left, right, digest), schema)
         found = stored(found, "aligned-documents")
     shuffles_released(spark)
-    return found, pairs
+    return found, pairs.drop("link")
 
 
 def alignment_digests(docs: DataFrame, entries_path: str, model_path: str) -> DataFrame:
