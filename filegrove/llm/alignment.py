@@ -82,13 +82,23 @@ def _co_partitioned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-BLOCKS = "block long, doc_id long, refs array<int>, at int, segment string, n long"
+BLOCKS = "block long, doc_id long, refs binary, at int, segment string, n long"
+
+
+def _stored_refs(refs: np.ndarray) -> bytes:
+    """Places in a block's list, compressed: they are about half of what goes to disk."""
+    return len(refs).to_bytes(8, "little") + (pa.compress(refs.tobytes(), codec="zstd", asbytes=True) if len(refs) else b"")
+
+
+def _read_refs(stored: bytes) -> np.ndarray:
+    n = int.from_bytes(stored[:8], "little")
+    return np.frombuffer(pa.decompress(stored[8:], 4 * n, codec="zstd", asbytes=True) if n else b"", np.int32)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents as places of their segments in a block's list (doc_id, refs), and the lists (at, segment, n: how often)."""
     bounded(docs)
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +113,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
             counts = np.zeros(len(index), np.int64)
             for at in range(0, len(ids), 1000):
                 some = refs[at : at + 1000]
-                flat = np.concatenate(some)
-                counts += np.bincount(flat, minlength=len(index))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in some]))).astype(np.int32)), pa.array(flat))
-                yield batch_of(len(some), doc_id=pa.array(ids[at : at + 1000], pa.int64()), refs=lists)
+                counts += np.bincount(np.concatenate(some), minlength=len(index))
+                yield batch_of(len(some), doc_id=pa.array(ids[at : at + 1000], pa.int64()), refs=pa.array(map(_stored_refs, some), pa.binary()))
             words = list(index)
             for at in range(0, len(words), 10_000):
                 some = words[at : at + 10_000]
@@ -165,7 +173,18 @@ def _without(blocks: DataFrame, tokens: DataFrame, keep: Scratch) -> DataFrame:
         return tokens
     listed = blocks.where("segment IS NOT NULL")
     lists = listed.join(bad, "segment", "left_semi").groupBy("block").agg(F.collect_list("at").alias("bad"))  # a block's list at most
-    refs = blocks.where("refs IS NOT NULL").join(lists, "block").where(F.arrays_overlap("refs", "bad")).select("block", F.explode("refs").alias("at"))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """(block, at) of all segments of the texts that have a bad one."""
+        found, of = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for block, stored_refs, bad in zip(batch.column("block").to_pylist(), batch.column("refs").to_pylist(), batch.column("bad").to_pylist(), strict=True):
+            refs = _read_refs(stored_refs)
+            if np.isin(bad, refs).any():
+                found.append(refs)
+                of.append(np.full(len(refs), block, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(of)), pa.array(np.concatenate(found))], names=["block", "at"])
+
+    refs = map_arrow(blocks.where("refs IS NOT NULL").join(lists, "block").select("block", "refs", "bad"), kernel, "block long, at int")
     less = refs.groupBy("block", "at").agg(F.count("*").alias("less")).join(listed, ["block", "at"]).groupBy("segment").agg(F.sum("less").alias("less"))
     return tokens.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
 
@@ -214,9 +233,48 @@ def _told(segments: DataFrame, pairs: DataFrame) -> DataFrame:
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+#: Bytes of segments that a task packs at once.
+PACKED_BYTES = 64 << 20
+
+
+def _packed(values: DataFrame) -> DataFrame:
+    """(of, packed): the segments of each block that are in one task, compressed together before they are shuffled."""
+    bounded(values)
+    names = ["at", *NUMBERS, "groups"]
+
+    def flush(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        table = table.take(pa.array(np.argsort(table.column("of").to_numpy(), kind="stable")))
+        of = table.column("of").to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        for at, stop in zip(starts, [*starts[1:], len(of)], strict=True):
+            sink = pa.BufferOutputStream()
+            part = table.slice(at, stop - at).select(names).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(part)
+            yield pa.RecordBatch.from_arrays([pa.array([of[at]]), pa.array([sink.getvalue().to_pybytes()])], names=["of", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PACKED_BYTES:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+        release()
+
+    return values.mapInArrow(run, "of long, packed binary")
+
+
 def _joined(left: pa.Table, right: pa.Table, digest: bool) -> pa.Table:
     """Documents of a block from its segments."""
-    places = right.column("at").to_numpy()
+    parts = [pa.ipc.open_stream(x).read_all() for x in right.column("packed").to_pylist()]
+    right = pa.concat_tables(parts) if parts else pa.table({"at": pa.array([], pa.int32()), **{n: pa.array([], pa.int64()) for n in NUMBERS}, "groups": pa.array([], pa.string())})
+    places = right.column("at").to_numpy().astype(np.int64)
     size = int(places.max()) + 1 if len(places) else 0
     values = np.zeros((len(NUMBERS), size), np.int64)
     known, texts = np.zeros(size, bool), np.full(size, "", object)
@@ -225,8 +283,7 @@ def _joined(left: pa.Table, right: pa.Table, digest: bool) -> pa.Table:
     known[places] = right.column("groups").is_valid().to_numpy(zero_copy_only=False)
     texts[places] = right.column("groups").to_numpy(zero_copy_only=False)
     sums, said = [], []
-    for doc in left.column("refs").combine_chunks():
-        refs = doc.values.to_numpy() if doc.is_valid else np.zeros(0, np.int32)
+    for refs in map(_read_refs, left.column("refs").to_pylist()):
         if len(refs) and known[refs].all():
             sums.append(values[:, refs].sum(axis=1))
             text = ";".join(texts[refs].tolist())
@@ -269,10 +326,10 @@ def aligned(docs: DataFrame, entries_path: str, model_path: str, digest: bool =
         keep.drop(tokens)
         shuffles_released(spark)
         pairs = _pairs(groups, keep)
-        values = listed.drop("n").join(_told(groups, pairs), "segment", "left").drop("segment")
+        values = listed.drop("n").join(_told(groups, pairs), "segment", "left").select("of", "at", *NUMBERS, "groups")
         schema = ", ".join(["doc_id long", *(f"{n} long" for n in NUMBERS), "groups string"])
         rows = blocks.where("refs IS NOT NULL").select("block", "doc_id", "refs")
-        found = rows.groupBy("block").cogroup(values.groupBy("of")).applyInArrow(lambda left, right: _joined(left, right, digest), schema)
+        found = rows.groupBy("block").cogroup(_packed(values).groupBy("of")).applyInArrow(lambda left, right: _joined(left, right, digest), schema)
         found = stored(found, "aligned-documents")
     shuffles_released(spark)
     return found, pairs.drop("link")
