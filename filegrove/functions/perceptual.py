@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIDE, LOW = 32, 8
-#: Keys of one row up to which a search plan is considered.
-MOST_KEYS = 2000
 #: Work of making, shuffling and sorting a key, in meetings of two rows.
 KEY_WORK = 6
 _BASIS = np.cos(np.pi * (2 * np.arange(SIDE)[:, None] + 1) * np.arange(LOW) / (2 * SIDE)) * np.where(np.arange(LOW) == 0, np.sqrt(1 / SIDE), np.sqrt(2 / SIDE))
@@ -61,51 +60,104 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def search_plan(rows: int, distance: int, share: float = 1.0) -> tuple[int, int, int]:
-    """(pieces, flips, other flips): how to look for hashes that differ in at most distance bits among so many rows.
-
-    Of k pieces of two such hashes one differs in at most r = distance // k bits, so the one side's piece with up to flips bits
-    changed and the other side's with up to the rest of r meet in a value: no pair is lost. Few wide pieces have many changed
-    values and rare meetings, many narrow ones the reverse; the plan is the one with the least work in keys and meetings. share:
-    of the pairs of rows that other keys let meet."""
-    plans = ((k, one, distance // k - one) for k in range(1, distance + 2) for one in range(-(-(distance // k) // 2), distance // k + 1))
-
-    def cost(k: int, one: int, other: int) -> float:
-        width = 64 // k
-        made = k * (_values(width + 1, one) + _values(width + 1, other))
-        meetings = sum(math.comb(width, d) * _met(width, d, one, other) for d in range(one + other + 1)) * 0.5**width
-        return KEY_WORK * rows * made + share * rows * rows / 2 * k * meetings if made <= MOST_KEYS else math.inf
-
-    return min(plans, key=lambda plan: cost(*plan))
+@dataclass(frozen=True)
+class SearchPlan:
+    """How to look for hashes that differ in at most distance bits. The 64 bits are cut into blocks; a piece is the union of taken
+    blocks. On average a piece differs in taken / blocks of the bits that two hashes differ in, so one piece differs in at most
+    radius bits, and no pair is lost.
+
+    Two hashes meet in a piece at most once: the one changes the bits of the piece's lower part in which they differ, the
+    other those of the upper part, and both give that value, with the number of bits changed in the lower part, as a key.
+    Which of the two changes the lower part is settled too: the one whose lower part is less (the upper part, where those
+    are equal). low: bits of the lower part."""
+
+    distance: int
+    blocks: int
+    taken: int = 1
+    low: int = 0
+
+    @property
+    def radius(self) -> int:
+        return self.taken * self.distance // self.blocks
+
+    def pieces(self) -> list[tuple[list[int], list[int]]]:
+        """The bits of the lower and of the upper part of each piece. The first blocks are a bit wider where 64 doesn't divide."""
+        edges = [i * (64 // self.blocks) + min(i, 64 % self.blocks) for i in range(self.blocks + 1)]
+        unions = [[b for i in some for b in range(edges[i], edges[i + 1])] for some in combinations(range(self.blocks), self.taken)]
+        return [(bits[: self.low], bits[self.low :]) for bits in unions]
+
+    def keys(self) -> tuple[float, float]:
+        """How many keys a row has on the one side and on the other, on average."""
+        one = other = 0.0
+        for low, high in self.pieces():
+            below = [math.comb(len(low), i) for i in range(min(self.radius, len(low)) + 1)]
+            one += (1 + sum(below)) / 2
+            upto = lambda most: sum(math.comb(len(high), i) for i in range(min(most, len(high)) + 1))  # noqa: B023, E731
+            other += (1 + upto(self.radius)) / 2 + sum(upto(self.radius - i) for i in range(1, len(below)))
+        return one, other
+
+    def meetings(self) -> float:
+        """In how many pieces two hashes meet by chance, on average."""
+        return sum(sum(math.comb(len(low + high), d) for d in range(self.radius + 1)) * 0.5 ** len(low + high) for low, high in self.pieces())
+
+
+def search_plan(rows: int, distance: int, share: float = 1.0, times: int = 1) -> SearchPlan:
+    """The plan with the least work in keys and meetings among so many rows. Few wide pieces have many keys and rare meetings,
+    many narrow ones the reverse. share: of the pairs of rows that other keys let meet; times: how often the other side has
+    each key, for them.
+
+    Each row's keys grow with the rows, to the power 0.3 about at distance 12, and so do its meetings (rows : keys, meetings =
+    20,000 : 460, 850; a million : 1,900, 10,800; 100 million : 27,600, 170,000)."""
+
+    def cost(plan: SearchPlan) -> float:
+        one, other = plan.keys()
+        return KEY_WORK * rows * (one + times * other) + share * rows * rows / 2 * plan.meetings()
+
+    shapes = [(k, m) for m in (1, 2, 3) for k in range(m, distance + 2) if (k, m) == (1, 1) or k > m and math.comb(k, m) <= 64]
+    plans = (SearchPlan(distance, k, m, low) for k, m in shapes for low in range(0, m * 64 // k + 1, 2 if m * 64 // k > 8 else 1))
+    return min(plans, key=cost)
+
+
+def _changes(bits: list[int], n: int) -> list[int]:
+    """All choices of n bits, as signed 64-bit masks."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [signed(sum(1 << b for b in some)) for some in combinations(bits, n)]
+
+
+def search_keys(hash_: Column, plan: SearchPlan, other: bool = False, *more: Column) -> Column:
+    """A row's keys on one side or the other, as an array of 64-bit numbers; more: columns that keys depend on as well."""
+    out = []
+    for i, (low, high) in enumerate(plan.pieces()):
+        piece = hash_.bitwiseAND(F.lit(_mask(low + high)))
+        own = high if other else low
+        for n in range(min(plan.radius, len(low)) + 1):  # bits changed in the lower part
+            sizes = range(min(plan.radius - n, len(high)) + 1) if other else (n,)
+            masks = [m for size in sizes for m in _changes(own, size)]
+            values = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")  # folded to a constant
+            if not other or n == 0:  # only changes that make the part greater on the one side, less on the other
+                values = F.filter(values, _upwards(hash_, not other))
+            out.append(F.transform(values, _keyed(F.lit(i * 65 + n), piece, more)))
+    return F.concat(*out)
 
 
-def _values(width: int, flips: int) -> int:
-    """How many values have up to so many bits changed."""
-    return sum(math.comb(width, i) for i in range(flips + 1))
+def _mask(bits: list[int]) -> int:
+    return _changes(bits, len(bits))[0]
 
 
-def _met(width: int, differing: int, one: int, other: int) -> int:
-    """In how many values two pieces meet that differ in so many bits: i of those bits are changed on the one side, the rest on
-    the other, and j further bits on both."""
-    return sum(math.comb(differing, i) * math.comb(width - differing, j) for i in range(differing + 1) for j in range(one + 1) if i + j <= one and differing - i + j <= other)
+def _upwards(hash_: Column, up: bool):
+    """Whether a change of bits makes a hash greater (or less) as an unsigned number; no change does."""
+    least = F.lit(-(1 << 63)).cast("long")
+    before = hash_.bitwiseXOR(least)
 
+    def holds(mask: Column) -> Column:
+        after = before.bitwiseXOR(mask)
+        return (after >= before) if up else (after <= before)
 
-def _keyed(number: Column, piece: Column, more: tuple[Column, ...]) -> Callable[[Column], Column]:
-    return lambda bits: F.xxhash64(number, piece.bitwiseXOR(bits), *more)
+    return holds
 
 
-def search_keys(hash_: Column, pieces: int, flips: int, *more: Column) -> Column:
-    """The keys of a hash, as an array of 64-bit numbers: each piece's values with up to flips bits changed, with its number
-    and more columns. The first pieces are a bit wider where 64 doesn't divide."""
-    out, at = [], 0
-    for i in range(pieces):
-        width = 64 // pieces + (i < 64 % pieces)
-        piece = hash_ if width == 64 else F.shiftrightunsigned(hash_, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        signed = lambda m: m - (1 << 64) if m >> 63 else m
-        changed = [signed(sum(1 << b for b in bits)) for n in range(flips + 1) for bits in combinations(range(width), n)]
-        out.append(F.transform(F.lit(changed).cast("array<bigint>"), _keyed(F.lit(i), piece, more)))
-        at += width
-    return F.concat(*out)
+def _keyed(number: Column, piece: Column, more: tuple[Column, ...]):
+    return lambda mask: F.xxhash64(number, piece.bitwiseXOR(mask), *more)
 
 
 def aspect_close(a: Column, b: Column, share: float = 0.05) -> Column:

@@ -21,11 +21,11 @@ MUSIC_TICKS = 2 * text.TICKS_PER_SECOND
 
 
 def _near(rows: DataFrame, keep: Scratch, keys, other_keys, payload: list[str], close: Callable[[str, str], Column]) -> DataFrame:
-    """Distinct pairs (a, b) of ids, a < b, of rows that share a key and are close. Only the id, the key and the payload that
-    close() needs are shuffled."""
+    """Distinct pairs (a, b) of ids, a < b, of rows of which one has a key that is another one's other key, and that are close.
+    Only the id, the key and the payload that close() needs are shuffled."""
     side = lambda x, of: rows.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in payload], F.explode(of).alias("key"))
-    met = side("a", keys).join(side("b", other_keys), "key").where((F.col("a") < F.col("b")) & close("a", "b"))
-    return keep(met.select("a", "b").distinct(), "pairs")
+    met = side("a", keys).join(side("b", other_keys), "key").where((F.col("a") != F.col("b")) & close("a", "b"))
+    return keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
 def _ratio(x: str) -> Column:
@@ -36,9 +36,9 @@ def _image_edges(rows: DataFrame, distance: int, keep: Scratch) -> DataFrame:
     """The pairs (a, b) of ids of rows (id, hash, width, height), a table, that are similar."""
     if not 0 <= distance <= 12:
         raise ValueError("the distance must lie between 0 and 12")
-    pieces, flips, other = search_plan(rows.count(), distance)
+    plan = search_plan(rows.count(), distance)
     close = lambda a, b: (hamming(F.col(f"{a}_hash"), F.col(f"{b}_hash")) <= distance) & aspect_close(_ratio(a), _ratio(b))
-    return _near(rows, keep, search_keys(F.col("hash"), pieces, flips), search_keys(F.col("hash"), pieces, other), ["hash", "width", "height"], close)
+    return _near(rows, keep, search_keys(F.col("hash"), plan), search_keys(F.col("hash"), plan, True), ["hash", "width", "height"], close)
 
 
 def _named(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,15 +78,15 @@ def _video_edges(rows: DataFrame, mean: int, keep: Scratch) -> DataFrame:
     # two rows that are close lie within 2 s or 2 %: on this scale less than one step apart
     step = F.floor(F.log(F.col("duration_ticks") / (100.0 * text.TICKS_PER_SECOND) + 1) / 0.0203).cast("int")
     spread = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(step).alias("steps")).first()
-    pieces, flips, other = search_plan(spread["n"], mean, min(1.0, 3 / max(1, spread["steps"])))
+    plan = search_plan(FRAMES * spread["n"], mean, min(1.0, 3 / max(1, spread["steps"])) / FRAMES, 3)
     frames = rows.select("id", "duration_ticks", "display_aspect", F.posexplode("hashes").alias("frame", "hash"))
-    keys = lambda n, at: search_keys(F.col("hash"), pieces, n, F.col("frame"), at)
+    keys = lambda other, at: search_keys(F.col("hash"), plan, other, F.col("frame"), at)
     close = lambda a, b: (
         (hamming(F.col(f"{a}_hash"), F.col(f"{b}_hash")) <= mean)
         & duration_close(F.col(f"{a}_duration_ticks"), F.col(f"{b}_duration_ticks"))
         & aspect_close(F.col(f"{a}_display_aspect"), F.col(f"{b}_display_aspect"))
     )
-    pairs = _near(frames, keep, keys(flips, step), F.concat(*[keys(other, at) for at in (step - 1, step, step + 1)]), ["duration_ticks", "display_aspect", "hash"], close)
+    pairs = _near(frames, keep, keys(False, step), F.concat(*[keys(True, at) for at in (step - 1, step, step + 1)]), ["duration_ticks", "display_aspect", "hash"], close)
     side = lambda x: rows.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_hashes"))
     return keep(pairs.join(side("a"), "a").join(side("b"), "b").where(total_distance(F.col("a_hashes"), F.col("b_hashes")) <= FRAMES * mean).select("a", "b"), "edges")
 

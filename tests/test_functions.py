@@ -1,5 +1,7 @@
 """Literal cases of scalar rules."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,23 +26,57 @@ def test_hamming(spark):
     assert values(spark, [(0xA5, 0xA5), (0, 1 << 47), (0, -1)], "a long, b long", perceptual.hamming(F.col("a"), F.col("b"))) == [(0,), (1,), (64,)]
 
 
-def test_keys_of_close_hashes_meet(spark):
-    big = (1 << 63) - 1
+PLANS = [(100, 0), (10_000, 4), (10**6, 4), (10**8, 4), (20_000, 8), (10**6, 8), (2_000, 12), (20_000, 12), (200_000, 12), (10**6, 12), (10**6, 13)]
+
+
+def close_pairs(rng, distance, n=60):
+    """Pairs of hashes at exactly this distance: bits in a row and bits all over."""
+    out = []
+    for i in range(n):
+        a = int(rng.integers(-(1 << 63), (1 << 63) - 1))
+        low = int(rng.integers(0, 64 - distance)) if distance else 0
+        bits = range(low, low + distance) if i % 2 else rng.choice(64, distance, replace=False)
+        b = (a ^ sum(1 << int(x) for x in bits)) & ((1 << 64) - 1)
+        out.append((a, b - (1 << 64) if b >> 63 else b))
+    return out
+
+
+def test_close_hashes_meet_in_each_piece_that_is_close_and_once(spark):
     rng = np.random.default_rng(1)
-    for rows, distance in ((100, 0), (10_000, 4), (20_000, 8), (10**9, 8), (20_000, 12), (10**9, 12), (20_000, 13)):
-        pieces, flips, other = perceptual.search_plan(rows, distance)
-        assert pieces * (flips + other + 1) > distance  # else a pair might be lost
-        pairs = []
-        for i in range(100):
-            a = int(rng.integers(-big, big))
-            low = i % 2 * int(rng.integers(0, 64 - distance)) if distance else 0  # bits in a row and bits all over
-            bits = range(low, low + distance) if i % 2 else rng.choice(64, distance, replace=False)
-            b = (a ^ sum(1 << int(x) for x in bits)) & ((1 << 64) - 1)
-            pairs.append((a, b - (1 << 64) if b >> 63 else b))
-        share = F.arrays_overlap(perceptual.search_keys(F.col("a"), pieces, flips), perceptual.search_keys(F.col("b"), pieces, other))
-        assert all(r[0] for r in values(spark, pairs, "a long, b long", share)), (rows, distance)
-    made = [k * 2 for k, _, _ in (perceptual.search_plan(n, 8) for n in (100, 10**5, 10**9))]
-    assert made == sorted(made, reverse=True)  # more rows, wider pieces
+    for rows, distance in PLANS:
+        plan = perceptual.search_plan(rows, distance)
+        pairs = [p for d in sorted({0, distance // 2, distance}) for p in close_pairs(rng, d, 20)]
+        both = [F.size(F.array_intersect(perceptual.search_keys(F.col(x), plan), perceptual.search_keys(F.col(y), plan, True))).alias(x) for x, y in (("a", "b"), ("b", "a"))]
+        for (a, b), got in zip(pairs, values(spark, pairs, "a long, b long", F.array(*both)), strict=True):
+            differ = (a ^ b) & ((1 << 64) - 1)
+            apart = [sum(differ >> bit & 1 for bit in low + high) for low, high in plan.pieces()]
+            assert min(apart) <= plan.radius  # no pair is lost
+            # equal pieces meet from either side
+            assert sum(got[0]) == sum(2 if n == 0 else n <= plan.radius for n in apart), (plan, a, b)
+            assert sum(sorted(len(low + high) for low, high in plan.pieces())) == 64 * math.comb(plan.blocks, plan.taken) * plan.taken / plan.blocks
+
+
+def test_plans_count_their_keys_and_meetings(spark):
+    rng = np.random.default_rng(2)
+    for rows, distance in ((2_000, 8), (2_000, 12), (20_000, 12)):
+        plan = perceptual.search_plan(rows, distance)
+        some = [(int(x),) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 1500)]
+        made = values(spark, some, "h long", F.array(F.size(perceptual.search_keys(F.col("h"), plan)), F.size(perceptual.search_keys(F.col("h"), plan, True))))
+        assert np.allclose(np.mean([r[0] for r in made], axis=0), plan.keys(), rtol=0.03)
+        hashes = np.array([h for (h,) in some])
+        apart = hashes[:, None] ^ hashes[None, :]
+        upper = np.triu_indices(len(some), 1)
+        met = sum((np.bitwise_count((apart & perceptual._mask(low + high)).view(np.uint64)) <= plan.radius)[upper].mean() for low, high in plan.pieces())
+        assert abs(met - plan.meetings()) < 0.1 * plan.meetings()
+
+
+def test_work_grows_much_slower_than_pairs():
+    for distance in (4, 8, 12, 13):
+        work = []
+        for rows in (10**3, 10**4, 10**5, 10**6, 10**7, 10**8):
+            plan = perceptual.search_plan(rows, distance)
+            work.append(perceptual.KEY_WORK * sum(plan.keys()) + rows / 2 * plan.meetings())
+        assert work == sorted(work) and work[-1] < work[0] * 10**3.2  # a hundred-thousandfold table; all pairs would be 10**5
 
 
 def test_spans_and_numbers(spark):
