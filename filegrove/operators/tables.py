@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,7 +44,10 @@ def removed(spark: SparkSession, path: str) -> None:
 def shuffles_released(spark: SparkSession) -> None:
     """Lets the cluster delete the shuffle files of queries that have ended. Spark does so once the driver has collected their
     garbage, which a driver with little to do may put off until long after the disks are full."""
-    spark.sparkContext._jvm.System.gc()
+    gc.collect()  # what Python refers to in the driver
+    for _ in range(2):  # plans refer to shuffles by way of each other
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _write(df: DataFrame, name: str, rows: int | None, compression: str | None = None) -> tuple[DataFrame, str]:
