@@ -73,14 +73,138 @@ def funnel(files: DataFrame, staged: bool = False, read: Callable[[DataFrame, in
             files = stored(files.withColumn("_prefix", F.xxhash64(F.col("content").cast("binary"))).drop("content"), "prefixes")
             files = several(files, ["size_bytes", "_prefix"]).drop("_prefix")
         files = stored(read(files, None).where("content IS NOT NULL").withColumn("digest", _digest()).drop("content"), "digests")
+    return one_of_each(files)
+
+
+def _digest() -> Column:
+    return F.sha2(F.col("content").cast("binary"), 256)
+
+
+#: Children of a node in a tree of digests, and how much longer each wave of ranges is than all before it together.
+FAN, GROWTH = 1024, 7
+
+
+def tree_digests(parts: DataFrame, first: int = 0, fan: int = FAN, by: str = "full_path") -> DataFrame:
+    """(full_path, digest) of parts (full_path, part from first on, n: parts of the file, digest): the digest of a tree whose
+    leaves are the parts, each node that of its children's digests in order. A single part keeps its digest. A file of which
+    a part is missing or has no digest has null. A level is an aggregate, and no row holds more than fan digests."""
+    rows = parts.select(by, (F.col("part") - first).alias("part"), F.col("n").cast("long").alias("n"), "digest")
+    levels = rows.agg(F.max("n")).first()[0] or 1
+    while True:
+        node = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "")
+        n = F.first("n")
+        whole = (F.count("digest") == F.count("*")) & (F.count("*") == F.least(F.lit(fan), n - F.col("_up") * fan))
+        up = rows.withColumn("_up", F.floor(F.col("part") / fan)).groupBy(by, "_up")
+        rows = up.agg(F.when(whole, F.when(n > 1, F.sha2(node, 256)).otherwise(F.first("digest"))).alias("digest"), F.ceil(n / fan).alias("n")).withColumnRenamed("_up", "part")
+        levels = -(-levels // fan)
+        if levels <= 1:
+            return rows.groupBy(by).agg(F.when(F.count("*") == F.first("n"), F.first("digest")).alias("digest"))
+
+
+Digests = Callable[[DataFrame, int, int], DataFrame]
+Comparisons = Callable[[DataFrame, int, int], DataFrame]
+
+
+def same_contents(files: DataFrame, digests: Digests, parts: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(members, skipped: path, reason): files (full_path, size_bytes, identity, ...) whose contents have the same digest as another
+    one's of the same size, with digest, one of each physical identity.
+
+    Contents are read in waves: the first range of each file that shares its size, then the next GROWTH ranges of those that
+    still have a partner, then more and more. So what differs early is not read on, and no file is read by one task.
+    digests(files, first, last) gives (full_path, part, n, digest, reason) of ranges; parts(size) how many a file has."""
+    left = several(files, ["size_bytes"]).withColumn("digest", F.lit(None).cast("string"))
+    skipped, first, last = None, 0, 1
+    most = left.agg(F.max(parts(F.col("size_bytes")))).first()[0] or 0
+    while first < max(most, 1):
+        open_ = parts(F.col("size_bytes")) > first
+        found = stored(digests(left.where(open_).select("full_path", "size_bytes"), first, last), "range-digests")
+        lost = found.where("digest IS NULL").groupBy(F.col("full_path").alias("path")).agg(F.min(F.struct("part", "reason")).alias("r")).select("path", F.col("r.reason").alias("reason"))
+        skipped = lost if skipped is None else skipped.unionByName(lost)
+        waves = tree_digests(found, first).withColumnRenamed("digest", "_wave")
+        joined = left.join(waves, "full_path", "left").where(~open_ | F.col("_wave").isNotNull())
+        chained = F.when(F.col("_wave").isNull(), F.col("digest")).when(F.col("digest").isNull(), F.col("_wave")).otherwise(F.sha2(F.concat("digest", "_wave"), 256))
+        left = stored(joined.withColumn("digest", chained).drop("_wave"), "wave")
+        left = several(left, ["size_bytes", "digest"])
+        first, last = last, last * (GROWTH + 1)
+    return one_of_each(left), skipped
+
+
+def held_contents(table: DataFrame, range_bytes: int) -> tuple[Digests, Comparisons, Callable[[Column], Column]]:
+    """digests, compare and parts for same_contents and verified where contents are a column of a table (full_path, content)."""
+    parts = lambda size: F.greatest(F.ceil(size / range_bytes), F.lit(1))
+    own = table.select("full_path", F.col("content").cast("binary").alias("content"))
+
+    def part(first: int, last: int) -> Column:
+        return F.explode(F.sequence(F.lit(first).cast("long"), F.least(parts(F.col("size_bytes")), F.lit(last)) - 1)).alias("part")
+
+    def of(content: str) -> Column:
+        return F.substring(F.col(content), (F.col("part") * range_bytes + 1).cast("int"), F.lit(range_bytes))
+
+    def digests(files: DataFrame, first: int, last: int) -> DataFrame:
+        n = F.least(parts(F.col("size_bytes")), F.lit(last)) - first
+        rows = files.join(own, "full_path").select("full_path", "content", n.alias("n"), part(first, last))
+        return rows.select("full_path", "part", "n", F.sha2(of("content"), 256).alias("digest"), F.when(F.col("content").isNull(), "No content.").alias("reason"))
+
+    def compare(pairs: DataFrame, first: int, last: int) -> DataFrame:
+        both = pairs.join(own, "full_path").join(own.toDF("ref_path", "reference"), "ref_path").select("full_path", "content", "reference", part(first, last))
+        state = F.when(F.col("reference").isNull(), 3).when(F.col("content").isNull(), 2).when(of("content") == of("reference"), 0).otherwise(1)
+        return both.select("full_path", "part", state.alias("state"), F.when(state > 1, "No content.").alias("reason"))
+
+    return digests, compare, parts
+
+
+def one_of_each(files: DataFrame) -> DataFrame:
+    """Groups of equal size and digest with one file of each physical identity, the first by path."""
     keys = ["size_bytes", "digest"]
     first = F.min(F.struct(F.upper("full_path").alias("u"), F.col("full_path").alias("p")))
     unique = files.groupBy(*keys, "identity").agg(first.alias("f")).select(*keys, F.col("f.p").alias("full_path"))
     return several(unique, keys).join(files, [*keys, "full_path"])
 
 
-def _digest() -> Column:
-    return F.sha2(F.col("content").cast("binary"), 256)
+def verified(members: DataFrame, compare: Comparisons, parts: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(members, skipped: path, reason): groups of equal size and digest, told apart by their bytes.
+
+    In each group all files are held against the first by path; those that are the same are its group, the others are
+    compared again among themselves. Ranges are compared in waves, as in same_contents, so a file is read no further than
+    a few times to where it differs. A file that can't be read is skipped; if it is the first, the others start anew.
+    compare(pairs, first, last) gives (full_path, part, state, reason) of ranges (see sources.contents). Where a digest
+    stood for several contents, digest of the second and later ones gets a number."""
+    keys = ["size_bytes", "digest"]
+    left, done, skipped, number = stored(members, "unverified"), [], [], 0
+    while not left.isEmpty():
+        lead = F.min(F.struct(F.upper("full_path").alias("u"), F.col("full_path").alias("p"))).alias("f")
+        refs = left.groupBy(*keys).agg(lead, F.count("*").alias("_n")).select(*keys, F.col("f.p").alias("ref_path"), "_n")
+        held = stored(left.join(refs, keys).where("_n > 1").drop("_n"), "held")  # what is alone has no equal
+        pairs = held.where("full_path <> ref_path").select("full_path", "ref_path", "size_bytes")
+        most = pairs.agg(F.max(parts(F.col("size_bytes")))).first()[0] or 0
+        states, open_, first, last = [], pairs, 0, 1
+        while first < most:
+            wave = compare(open_.where(parts(F.col("size_bytes")) > first), first, last)
+            told = stored(wave.groupBy("full_path").agg(F.max(F.struct("state", "part", "reason")).alias("r")).select("full_path", "r.state", "r.reason"), "compared")
+            states.append(told)
+            open_ = open_.join(told.where("state > 0"), "full_path", "left_anti")
+            first, last = last, last * (GROWTH + 1)
+        if not states:
+            break
+        every = states[0]
+        for more in states[1:]:
+            every = every.unionByName(more)
+        state = every.groupBy("full_path").agg(F.max(F.struct("state", "reason")).alias("r")).select("full_path", "r.state", "r.reason")
+        judged = stored(held.join(state, "full_path", "left"), "judged")
+        bad = judged.where("state = 3").groupBy(*keys, "ref_path").agg(F.min("reason").alias("reason"))
+        skipped += [judged.where("state = 2").select(F.col("full_path").alias("path"), "reason"), bad.select(F.col("ref_path").alias("path"), "reason")]
+        sound = judged.join(bad.select(*keys).withColumn("_bad", F.lit(True)), keys, "left")
+        name = F.col("digest") if number == 0 else F.concat("digest", F.lit(f":{number}"))
+        same = sound.where("_bad IS NULL AND coalesce(state, 0) = 0").withColumn("digest", name)
+        done.append(several(stored(same.select(*members.columns), "same"), keys))
+        again = sound.where("full_path <> ref_path AND (state = 1 OR _bad AND state IN (0, 1, 3))")
+        left, number = stored(again.select(*members.columns), "unverified"), number + 1
+    out, lost = (done[0] if done else members.limit(0)), None
+    for more in done[1:]:
+        out = out.unionByName(more)
+    for more in skipped:
+        lost = more if lost is None else lost.unionByName(more)
+    return out, lost if lost is not None else members.limit(0).select(F.col("full_path").alias("path"), F.lit("").alias("reason"))
 
 
 def groups(members: DataFrame) -> DataFrame:

@@ -75,6 +75,43 @@ def exact_staged(spark, sf_dir):
     return exact.groups(members).select("first_path", "n_files")
 
 
+def _held(files):
+    """Files and what reads their contents, 500 bytes at a time."""
+    return files.drop("content"), exact.held_contents(files, 500)
+
+
+@query(_MEMBERS + " SELECT full_path, first_path, mem.size_bytes FROM mem JOIN grp USING (content)")
+def exact_waves(spark, sf_dir):
+    """Contents are read range by range, and no further where they differ."""
+    files, (digests, _, parts) = _held(exact.admitted(_files(spark, sf_dir), hidden=True, system=True))
+    members, _ = exact.same_contents(files, digests, parts)
+    return members.join(exact.groups(members).select("digest", "first_path"), "digest").select("full_path", "first_path", "size_bytes")
+
+
+@query(_MEMBERS + " SELECT full_path, first_path, mem.size_bytes FROM mem JOIN grp USING (content)")
+def exact_verified(spark, sf_dir):
+    """Digests of three bits, which agree by chance; bytes tell contents apart."""
+    admitted = exact.admitted(_files(spark, sf_dir), hidden=True, system=True)
+    files, (_, compare, parts) = _held(admitted)
+    weak = admitted.select("full_path", F.pmod(F.crc32(F.col("content").cast("binary")), F.lit(8)).cast("string").alias("digest"))
+    # identities go by content, so names of one file are told apart afterwards
+    found, _ = exact.verified(exact.several(files.join(weak, "full_path"), ["size_bytes", "digest"]), compare, parts)
+    members = exact.one_of_each(found)
+    return members.join(exact.groups(members).select("size_bytes", "digest", "first_path"), ["size_bytes", "digest"]).select("full_path", "first_path", "size_bytes")
+
+
+_LEAVES = _W + ", p0 AS (SELECT full_path, n, i AS part, sha256(unhex(substr(hex(encode(content)), i * 2000 + 1, 2000))) AS d FROM (SELECT *, greatest(ceil(size_bytes / 1000)::BIGINT, 1) AS n FROM files), LATERAL (SELECT unnest(range(n)) AS i))"
+_TREE = "".join(f", p{i + 1} AS (SELECT full_path, (any_value(n) + 3) // 4 AS n, part // 4 AS part, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY part)) ELSE any_value(d) END AS d FROM p{i} GROUP BY full_path, part // 4)" for i in range(8))
+
+
+@query(_LEAVES + _TREE + " SELECT full_path, d AS digest FROM p8")
+def content_tree(spark, sf_dir):
+    """Digests of contents as trees: leaves of 1000 bytes, nodes of four children."""
+    files = _files(spark, sf_dir)
+    digests, _, _ = exact.held_contents(files, 1000)
+    return exact.tree_digests(digests(files.drop("content"), 0, 1 << 40), fan=4)
+
+
 @query(_W + " SELECT size_bytes, count(*) AS n_files FROM adm GROUP BY 1 HAVING count(*) > 1")
 def size_buckets(spark, sf_dir):
     return exact.admitted(_files(spark, sf_dir), hidden=True, system=True).groupBy("size_bytes").agg(F.count("*").alias("n_files")).where("n_files > 1")

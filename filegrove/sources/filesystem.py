@@ -305,19 +305,25 @@ def scan(spark: SparkSession, roots: list[str], files: list[str] = (), excluded:
     return found, rows.where("kind = 'skipped'").select(F.col("full_path").alias("path"), "reason")
 
 
+#: Bytes that with_content reads of a file at most: one value holds them. Larger files: see sources.contents.
+MOST_CONTENT = 1 << 30
+
+
 def with_content(files: DataFrame, most: int | None = None) -> DataFrame:
-    """files and their content (or the first most bytes), read on the executors; null where the file can't be read, or has
-    another size before or after."""
+    """files and their content (or the first most bytes), read on the executors; null where the file can't be read, has
+    another size before or after, or where there are more than MOST_CONTENT bytes to read."""
     names = files.columns
+    limit = MOST_CONTENT
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):  # one file at a time: contents may be large
                 row = batch.slice(at, 1)
                 path, size = row.column("full_path")[0].as_py(), row.column("size_bytes")[0].as_py()
+                wanted = size if most is None else min(most, size)
                 try:
                     with open(path, "rb") as f:
-                        content = f.read(size if most is None else min(most, size)) if os.fstat(f.fileno()).st_size == size else None
+                        content = f.read(wanted) if wanted <= limit and os.fstat(f.fileno()).st_size == size else None
                         content = content if os.fstat(f.fileno()).st_size == size else None
                 except OSError:
                     content = None
