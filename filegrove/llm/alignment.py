@@ -327,9 +327,12 @@ def aligned(docs: DataFrame, entries_path: str, model_path: str, digest: bool =
         shuffles_released(spark)
         pairs = _pairs(groups, keep)
         values = listed.drop("n").join(_told(groups, pairs), "segment", "left").select("of", "at", *NUMBERS, "groups")
+        packed = keep(_packed(values), "packed", compression="uncompressed")
+        keep.drop(groups)
+        shuffles_released(spark)
         schema = ", ".join(["doc_id long", *(f"{n} long" for n in NUMBERS), "groups string"])
         rows = blocks.where("refs IS NOT NULL").select("block", "doc_id", "refs")
-        found = rows.groupBy("block").cogroup(_packed(values).groupBy("of")).applyInArrow(lambda left, right: _joined(left, right, digest), schema)
+        found = rows.groupBy("block").cogroup(packed.groupBy("of")).applyInArrow(lambda left, right: _joined(left, right, digest), schema)
         found = stored(found, "aligned-documents")
     shuffles_released(spark)
     return found, pairs.drop("link")
