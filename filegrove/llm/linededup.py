@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filegrove.llm.common import fresh, let, text_key
+from filegrove.operators.graph import connected
 from filegrove.operators.tables import Scratch, stored
 
 WILDCARD = "<*>"
@@ -19,16 +20,24 @@ BROADCAST_LINES, BROADCAST_NUMBERS = 2_000_000, 8_000_000
 
 @dataclass(frozen=True)
 class Tree:
-    """depth: leading tokens that choose a leaf beside the token count. min_docs: different texts in which a template recurs,
-    copies of one text counting once: a text is a copy of another if at least copy_share of its characters stand in lines
-    whose templates that one has as well. Lines of min_tokens tokens or more have variable fields: two lines of a leaf have
-    one template if at least constant_share of their tokens agree."""
+    """depth: leading tokens that choose a leaf beside the token count. Lines of min_tokens tokens or more have variable
+    fields: two lines of a leaf agree if at least constant_share of their tokens do.
+
+    Templates of a leaf: in a fixed order (lines in min_docs texts or more first, then by hash) each line that doesn't agree
+    with an earlier template becomes one; all lines of the leaf that agree with a template belong to it. A template recurs
+    if its lines stand in min_docs different texts, copies of one text counting once. Whether two texts are copies is judged
+    by what they share beside the template that makes up most of it: at least link_share of the rest of the one stands in lines
+    whose templates the other has as well, and copy_share of it in lines that recur at all; or they share other lines, and
+    word_share of the rest of its shingles (runs of five words). Copies of copies are copies. Texts that are nothing but the
+    template count as one."""
 
     depth: int = 2
     min_docs: int = 3
     min_tokens: int = 4
     constant_share: float = 0.7
-    copy_share: float = 0.3
+    copy_share: float = 0.6
+    link_share: float = 0.3
+    word_share: float = 0.3
 
 
 def masked(line: Column) -> Column:
@@ -40,10 +49,14 @@ def masked(line: Column) -> Column:
 
 
 def _lines(df: DataFrame, text: str, tree: Tree) -> DataFrame:
-    """(id, key, whole, place, chars, tokens, leaf, template, line) of each line with tokens: key stands for its text, whole
-    and chars are the lengths of text and line, template is the hash of the line with wildcards in the place of numbers."""
-    keyed = df.select(text_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = keyed.select("key", F.length("text").alias("whole"), F.posexplode(F.split("text", "\n")).alias("place", "raw")).where((F.trim("raw") >= "!") | F.col("raw").rlike(r"\S"))
+    """(id, key, whole, place, chars, tokens, leaf, template, line) of each line with tokens: key stands for its text, chars
+    and whole are the lengths of the line and of all such lines of the text, template is the hash of the line with wildcards
+    in the place of numbers."""
+    told = lambda line: (F.trim(line) >= "!") | line.rlike(r"\S")
+    keyed = df.select(text_key(text).alias("key"), F.split(F.col(f"`{text}`").cast("string"), "\n").alias("lines"))
+    whole = F.aggregate(F.filter("lines", told), F.lit(0), lambda n, line: n + F.length(line))
+    keyed = keyed.select("key", "lines", whole.alias("whole"))  # before lines are rows, else each one has them all
+    rows = keyed.select("key", "whole", F.posexplode("lines").alias("place", "raw")).where(told(F.col("raw")))
     rows = rows.select("key", "whole", "place", F.length("raw").alias("chars"), masked(F.col("raw")).alias("line"))
     tokens = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
     leaf = F.xxhash64(tokens, F.substring_index("line", " ", tree.depth))
@@ -55,54 +68,92 @@ def _constant(tokens: Column, tree: Tree) -> Column:
     return F.ceil(tokens * tree.constant_share).cast("int")
 
 
-def _blocks(words: Column, tokens: Column, leaf: Column, tree: Tree) -> Column:
-    """Hashes of a line's tokens behind the leading ones in one block more than there may be variable fields: two lines of a
-    leaf that have one template agree in a whole block."""
-    n = tokens - _constant(tokens, tree) + 1
-    edge = lambda i: F.floor(i * (tokens - tree.depth) / n).cast("int") + tree.depth
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(leaf, i, F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")))
-
-
 def _sent(rows: DataFrame, width: int = 2) -> DataFrame:
     """A table of width numbers (8 bytes each) a row, for a join: to all tasks up to BROADCAST_LINES rows of two numbers, by a
     shuffle beyond."""
     return F.broadcast(rows) if rows.count() * width <= 2 * BROADCAST_LINES else rows
 
 
+def _rarest(words: DataFrame, tree: Tree, keep: Scratch, n: int) -> DataFrame:
+    """(template, rank, key), a table: the tokens of each line, with their places, that are rarest in its leaf, one more than
+    there may be variable fields. Two lines that agree share one of them: of the tokens that they share, one at least
+    is among each one's rarest, and the order is the same for all. What no other line of the leaf has can't be shared."""
+    behind = F.slice("words", tree.depth + 1, F.greatest(F.size("words") - tree.depth, F.lit(1)))
+    each = keep(words.select("template", "rank", "tokens", F.posexplode(behind).alias("at", "token"), "leaf").select("template", "rank", "tokens", F.xxhash64("leaf", "at", "token").alias("key")), "tokens", 10 * n)
+    often = keep(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often", 10 * n)
+    shared = each.join(_sent(often), "key").groupBy("template", "rank", "tokens").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"), F.count("*").alias("shared"))
+    # those without another line's company are the rarest of all
+    most = F.col("tokens") - _constant(F.col("tokens"), tree) + 1 - (F.col("tokens") - tree.depth - F.col("shared"))
+    return keep(shared.select("template", "rank", F.explode(F.slice("keys", 1, F.greatest(most, F.lit(0)).cast("int"))).alias("x")).select("template", "rank", "x.key"), "rarest", 10 * n)
+
+
 def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
-    """(template, family), a table: which templates agree with another one, the family's name, in enough tokens.
+    """(line, template) hashes, a table: which lines agree with which templates of their leaf.
 
-    Lines of a leaf that agree in a whole block meet the block's leader, a recurring one if there is any. So each line is
-    compared with a few others, however many there are."""
+    Lines are compared only where they share one of their rarest tokens. In each round the lines that come before all others
+    that they share such a token with become templates; who agrees with one leaves, the others wait for the next round. So
+    every pair that is compared has a template in it, and no line is left without one."""
     n = templates.count()
-    wide = templates.where(F.col("tokens") >= tree.min_tokens)
-    # a leaf with a single template, or with too few texts, has nothing to generalise
+    wide = templates.where(F.col("tokens") >= max(tree.min_tokens, tree.depth + 1))
+    # a leaf with a single line, or with too few texts, has nothing to generalise
     leaves = keep(wide.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= tree.min_docs)).select("leaf"), "leaves", n)
     some = keep(wide.join(_sent(leaves), "leaf", "left_semi"), "some", n)
     n = some.count()
     words = lines.select("id", "line").join(_sent(some, 5), "id")
     rank = F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long") + F.when(F.col("texts") >= tree.min_docs, 1 << 60).otherwise(0)
     words = keep(words.select("template", "tokens", rank.alias("rank"), F.split("line", " ").alias("words"), "leaf"), "words", 10 * n)
-    blocks = keep(words.select("template", "rank", F.explode(_blocks(F.col("words"), F.col("tokens"), F.col("leaf"), tree)).alias("block")), "blocks", 10 * n)
-    n = blocks.count()
-    lead = keep(blocks.groupBy("block").agg(F.max_by("template", "rank").alias("family"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders", n)
-    pairs = blocks.join(_sent(lead), "block").where("template <> family").select("template", "family").distinct()
-    met = keep(pairs, "met", n)
-    few = 10 * met.count()
-    side = lambda name, column: words.join(_sent(met.select(F.col(name).alias("template")).distinct()), "template", "left_semi").select(F.col("template").alias(name), "tokens", F.col("words").alias(column))
-    met = met.join(side("template", "words"), "template").join(side("family", "others").drop("tokens"), "family")
+    rarest = _rarest(words, tree, keep, n)
+    left, found, total = rarest, [], 0
+    side = lambda pairs, name, column: words.join(_sent(pairs.select(F.col(name).alias("template")).distinct()), "template", "left_semi").select(F.col("template").alias(name), "tokens", F.col("words").alias(column))
     agree = F.size(F.filter(F.zip_with("words", "others", lambda a, b: a == b), lambda same: same))
-    found = keep(met.where(agree >= _constant(F.col("tokens"), tree)).select("template", "family"), "families", few)
-    keep.drop(leaves, some, words, blocks, lead)
-    return found
-
-
-def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
-    """The templates (hashes) of lines that recur, each once.
-
-    Each template and each family of templates is a set of lines. A set recurs if its lines stand in min_docs different
-    texts that aren't copies: of each set the text with the least key leads, and a text of which copy_share is shared with
-    leaders counts as the one of them with the least key."""
+    while (n := left.count()):
+        first = left.groupBy("key").agg(F.max(F.struct("rank", "template")).alias("first"))
+        leads = left.join(_sent(first, 3), "key").groupBy("template").agg(F.min((F.col("template") == F.col("first.template")).cast("int")).alias("leads"))
+        led = keep(leads.where("leads = 1").select(F.col("template").alias("family")), "led", n)
+        met = keep(rarest.join(_sent(rarest.join(_sent(led.withColumnRenamed("family", "template")), "template", "left_semi").select("key", F.col("template").alias("family"))), "key").where("template <> family").select("template", "family").distinct(), "met", n)
+        few = 10 * met.count()
+        total += few
+        pairs = met.join(side(met, "template", "words"), "template").join(side(met, "family", "others").drop("tokens"), "family")
+        agreed = keep(pairs.where(agree >= _constant(F.col("tokens"), tree)).select("template", "family"), "agreed", few)
+        found.append(agreed)
+        settled = led.select(F.col("family").alias("template")).unionByName(agreed.select("template")).distinct()
+        now = keep(left.join(_sent(settled), "template", "left_anti"), "left", n)
+        keep.drop(led, met, *([left] if left is not rarest else []))
+        left = now
+    keep.drop(leaves, some, words)
+    out = found[0] if found else rarest.select("template", F.col("template").alias("family"))
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return keep(out, "families", total)
+
+
+def _shingles(text: Column) -> Column:
+    """Hashes of the runs of five words of a text, each once."""
+    words = F.array_remove(F.split(text, r"\s+"), "")
+    return let(words, lambda w: F.when(F.size(w) > 4, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(5)), " "))))).otherwise(F.array().cast("array<bigint>")))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
+    """The pairs (a, b, whole, most) of which word_share of a's shingles, beside those of the largest template that both have
+    (as many as its share of the text), are b's."""
+    n = pairs.count()
+    some = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    told = keep(texts.join(_sent(keep(some, "compared", n), 3), "key", "left_semi").dropDuplicates(["key"]).select("key", _shingles(F.col("text")).alias("shingles")), "shingles")
+    side = lambda x: told.join(_sent(pairs.select(F.col(x).alias("key")).distinct(), 3), "key", "left_semi")
+    lead = keep(side("b").select(F.col("key").alias("b"), F.col("shingles").alias("others")), "led-shingles", n)
+    few = lead.agg(F.coalesce(F.sum(F.size("others") * 2 + 8), F.lit(0))).first()[0] <= BROADCAST_NUMBERS
+    met = side("a").withColumnRenamed("key", "a").join(_sent(pairs, 5), "a").join(F.broadcast(lead) if few else lead, "b")
+    total = F.size("shingles").cast("long")
+    common = F.size(F.array_intersect("shingles", "others")).cast("long")
+    return met.where((total > 0) & (common * F.col("whole") - total * F.col("most") >= total * (F.col("whole") - F.col("most")) * tree.word_share)).select("a", "b")
+
+
+def recurring_templates(lines: DataFrame, texts: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
+    """The templates (hashes) of lines that recur, each once. texts: (key, text).
+
+    Each line with its numbers as wildcards and each template is a set of lines. A set recurs if its lines stand in min_docs different
+    texts that aren't copies. Of each set the text with the least key leads, and texts are held against the leaders of the
+    sets that they share in; linked texts are one class."""
     seen = lines.select("template", "leaf", "tokens", "key", "id").groupBy("template", "leaf", "tokens", "key").agg(F.min("id").alias("id"))
     templates = keep(seen.groupBy("template", "leaf", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("texts")), "templates", lines.count())
     other = _generalised(lines, templates, tree, keep)
@@ -114,11 +165,22 @@ def recurring_templates(lines: DataFrame, tree: Tree, keep: Scratch) -> DataFram
     found = places.join(_sent(member), "template")
     sets = found.select("family", "key").distinct().groupBy("family").agg(F.min("key").alias("leader"), F.count("*").alias("texts"))
     sets = keep(sets.where(F.col("texts") >= tree.min_docs).drop("texts"), "sets", 2 * n)
-    held = keep(found.join(_sent(sets, 3), "family").groupBy("key", "leader", "place", "whole").agg(F.max("chars").alias("chars")), "held", 2 * n)
-    shared = held.groupBy("key", "leader").agg(F.sum("chars").alias("shared"), F.max("whole").alias("whole"))
-    copies = keep(shared.where(F.col("shared") >= F.col("whole") * tree.copy_share).groupBy("key").agg(F.min("leader").alias("copy_of")), "copies", held.count())
-    units = found.join(_sent(sets.select("family")), "family", "left_semi").select("family", "key").distinct().join(_sent(copies, 4), "key", "left")
-    counted = units.select("family", F.coalesce("copy_of", "key").alias("unit")).distinct().groupBy("family").agg(F.count("*").alias("units"))
+    within = keep(found.join(_sent(sets, 3), "family").select("family", "leader", "key", "place", "whole", "chars"), "within", 2 * n)
+    own = keep(within.groupBy("family", "leader", "key", "whole").agg(F.sum("chars").alias("own")), "own", 2 * n)
+    held = within.groupBy("key", "leader", "place", "whole").agg(F.max("chars").alias("chars")).groupBy("key", "leader", "whole").agg(F.sum("chars").alias("shared"))
+    most = own.groupBy("key", "leader").agg(F.max("own").alias("most"))
+    covered = within.groupBy("key", "place").agg(F.max("chars").alias("chars")).groupBy("key").agg(F.sum("chars").alias("covered"))
+    rest = F.col("whole") - F.col("most")
+    beside = F.col("shared") - F.col("most")
+    linked = (beside >= rest * tree.link_share) & (F.col("covered") - F.col("most") >= rest * tree.copy_share)
+    met = held.join(most, ["key", "leader"]).join(_sent(keep(covered, "covered", n), 3), "key").where((rest > 0) & (beside > 0) & (F.col("key") != F.col("leader")))
+    near = keep(met.select(F.col("key").alias("a"), F.col("leader").alias("b"), "whole", "most", beside.alias("beside"), linked.alias("linked")), "near", 2 * n)
+    best = F.max(F.struct("beside", "b", "whole", "most")).alias("x")
+    open_ = keep(near.groupBy("a").agg(F.max("linked").alias("linked"), best).where("NOT linked").select("a", "x.b", "x.whole", "x.most"), "open", n)
+    links = keep(near.where("linked").select("a", "b").unionByName(_alike(open_, texts, tree, keep)), "links", n)
+    classes = connected(links, "line-copies").select(F.col("node").alias("key"), "label")
+    unit = F.when(F.col("whole") == F.col("own"), F.lit(b"")).otherwise(F.coalesce("label", "key"))
+    counted = own.join(_sent(classes, 4), "key", "left").select("family", unit.alias("unit")).distinct().groupBy("family").agg(F.count("*").alias("units"))
     recurring = keep(counted.where(F.col("units") >= tree.min_docs).select("family"), "recurring", 2 * n)
     return member.join(_sent(recurring), "family", "left_semi").select("template").distinct()
 
@@ -135,7 +197,8 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(),
     with Scratch("lines") as keep:
         lines = keep(_lines(df, text, tree), "parsed")
         n = lines.count()
-        gone = keep(recurring_templates(lines, tree, keep), "gone", n)
+        texts = df.select(text_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
+        gone = keep(recurring_templates(lines, texts, tree, keep), "gone", n)
         key, flags = fresh(df, "line_key", "line_places")
         places = lines.join(_sent(gone), "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(flags))
         decided = stored(places.withColumnRenamed("key", key), "line-decisions", n)
@@ -155,27 +218,40 @@ def _without(text: Column, places: Column) -> Column:
     return F.array_join(let(F.split(text, "\n"), kept), "\n")
 
 
-#: DuckDB SQL for drop_recurring_lines(documents) with the usual Tree: doc_id, n_lines, dropped_lines, text.
+#: DuckDB SQL for drop_recurring_lines(documents) with the usual Tree: doc_id, n_lines, dropped_lines, text. The templates of a
+#: leaf are chosen one by one from all its lines.
 ORACLE = r"""
-WITH txt AS (SELECT DISTINCT text, md5(text) AS key FROM documents WHERE text IS NOT NULL),
-raw AS (SELECT key, length(text) AS whole, i AS place, string_split(text, chr(10))[i] AS line FROM txt, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
-ln AS (SELECT key, whole, place, length(line) AS chars, regexp_replace(trim(regexp_replace(line, '[\t\n\x0b\f\r ]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM raw),
-l AS (SELECT *, string_split(m, ' ') AS w, len(string_split(m, ' ')) AS n FROM ln WHERE m <> ''),
-tm AS (SELECT m, any_value(w) AS w, any_value(n) AS n, any_value(n || ' ' || array_to_string(w[1:2], ' ')) AS leaf, count(DISTINCT key) AS texts FROM l GROUP BY m),
-wd AS (SELECT *, ceil(n * 0.7::DOUBLE)::INT AS need, ('0x' || substr(md5(m), 1, 15))::BIGINT + CASE WHEN texts >= 3 THEN 1152921504606846976 ELSE 0 END AS rank
-       FROM tm WHERE n >= 4 AND leaf IN (SELECT leaf FROM tm WHERE n >= 4 GROUP BY leaf HAVING count(*) > 1)),
-bl AS (SELECT m, rank, leaf, i, array_to_string(w[i * (n - 2) // (n - need + 1) + 3 : (i + 1) * (n - 2) // (n - need + 1) + 2], ' ') AS b FROM wd, LATERAL (SELECT unnest(range(n - need + 1)) AS i)),
-ld AS (SELECT leaf, i, b, arg_max(m, rank) AS family FROM bl GROUP BY ALL HAVING count(*) > 1),
-jn AS (SELECT DISTINCT m, family FROM bl JOIN ld USING (leaf, i, b) WHERE m <> family),
-fm AS (SELECT m, family FROM jn JOIN wd a USING (m) JOIN (SELECT m AS family, w AS v FROM wd) USING (family)
-       WHERE len(list_filter(range(1, a.n + 1), lambda i: a.w[i] = v[i])) >= a.need),
+WITH RECURSIVE txt AS (SELECT DISTINCT text, md5(text) AS key FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT key, i AS place, string_split(text, chr(10))[i] AS line FROM txt, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
+ln AS (SELECT key, place, length(line) AS chars, regexp_replace(trim(regexp_replace(line, '[\t\n\x0b\f\r ]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM raw),
+l AS MATERIALIZED (SELECT *, string_split(m, ' ') AS w, len(string_split(m, ' ')) AS n, sum(chars) OVER (PARTITION BY key) AS whole FROM ln WHERE m <> ''),
+tm AS MATERIALIZED (SELECT m, any_value(w) AS w, any_value(n) AS n, any_value(n || ' ' || array_to_string(w[1:2], ' ')) AS leaf, count(DISTINCT key) AS texts FROM l GROUP BY m),
+wd AS MATERIALIZED (SELECT *, ceil(n * 0.7::DOUBLE)::INT AS need, ('0x' || substr(md5(m), 1, 15))::BIGINT + CASE WHEN texts >= 3 THEN 1152921504606846976 ELSE 0 END AS rank
+       FROM tm WHERE n >= 4 AND leaf IN (SELECT leaf FROM tm WHERE n >= 4 GROUP BY leaf HAVING count(*) > 1 AND sum(texts) >= 3)),
+tr AS (SELECT leaf, any_value(n) AS n, any_value(need) AS need, list({'m': m, 'w': w} ORDER BY rank DESC) AS todo FROM wd GROUP BY leaf
+       UNION ALL SELECT leaf, n, need, list_filter(todo[2:], lambda x: len(list_filter(range(1, n + 1), lambda i: x.w[i] = todo[1].w[i])) < need) FROM tr WHERE len(todo) > 1),
+ld AS (SELECT leaf, todo[1].m AS family, todo[1].w AS v FROM tr WHERE len(todo) > 0),
+fm AS (SELECT m, family FROM wd JOIN ld USING (leaf) WHERE m <> family AND len(list_filter(range(1, n + 1), lambda i: w[i] = v[i])) >= need),
 mb AS (SELECT m, family FROM fm UNION SELECT family, family FROM fm UNION SELECT m, m FROM tm WHERE texts >= 3),
 fd AS (SELECT family, key, place, chars, whole FROM l JOIN mb USING (m)),
 st AS (SELECT family, min(key) AS leader FROM fd GROUP BY family HAVING count(DISTINCT key) >= 3),
-sh AS (SELECT key, leader, sum(chars) AS shared, any_value(whole) AS whole FROM (SELECT DISTINCT key, leader, place, chars, whole FROM fd JOIN st USING (family)) GROUP BY key, leader),
-cp AS (SELECT key, min(leader) AS copy_of FROM sh WHERE shared >= whole * 0.3::DOUBLE GROUP BY key),
-un AS (SELECT family FROM fd JOIN st USING (family) LEFT JOIN cp USING (key) GROUP BY family HAVING count(DISTINCT coalesce(copy_of, key)) >= 3),
-gone AS (SELECT DISTINCT m FROM mb JOIN un USING (family)),
+ow AS (SELECT family, leader, key, any_value(whole) AS whole, sum(chars) AS own FROM fd JOIN st USING (family) GROUP BY family, leader, key),
+sh AS (SELECT key, leader AS near, sum(chars) AS shared FROM (SELECT DISTINCT key, leader, place, chars FROM fd JOIN st USING (family)) GROUP BY key, leader),
+mo AS (SELECT key, leader AS near, max(own) AS most, any_value(whole) AS whole FROM ow GROUP BY key, leader),
+cv AS (SELECT key, sum(chars) AS covered FROM (SELECT DISTINCT key, place, chars FROM fd JOIN st USING (family)) GROUP BY key),
+mt AS (SELECT key AS a, near AS b, whole, most, shared - most AS beside, shared - most >= (whole - most) * 0.3::DOUBLE AND covered - most >= (whole - most) * 0.6::DOUBLE AS linked
+       FROM sh JOIN mo USING (key, near) JOIN cv USING (key) WHERE key <> near AND whole > most AND shared > most),
+op AS (SELECT a, b, whole, most FROM (SELECT *, bool_or(linked) OVER (PARTITION BY a) AS known, row_number() OVER (PARTITION BY a ORDER BY beside DESC, b DESC) AS r FROM mt) WHERE NOT known AND r = 1),
+wo AS (SELECT key, list_filter(regexp_split_to_array(text, '[\t\n\x0b\f\r ]+'), lambda x: x <> '') AS w FROM txt WHERE key IN (SELECT a FROM op UNION SELECT b FROM op)),
+sg AS MATERIALIZED (SELECT key, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM wo),
+al AS (SELECT a, b FROM (SELECT a, b, whole, most, len(x.g) AS total, len(list_intersect(x.g, y.g)) AS common FROM op JOIN sg x ON x.key = a JOIN sg y ON y.key = b)
+       WHERE total > 0 AND common * whole - total * most >= total * (whole - most) * 0.3::DOUBLE),
+ed AS (SELECT a, b FROM mt WHERE linked UNION SELECT a, b FROM al),
+nb AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+rc AS (SELECT a AS key, a AS label FROM nb UNION SELECT nb.b, label FROM rc JOIN nb ON rc.key = nb.a),
+cl AS (SELECT key, min(label) AS label FROM rc GROUP BY key),
+un AS (SELECT family, CASE WHEN whole = own THEN '' ELSE coalesce(label, key) END AS unit FROM ow LEFT JOIN cl USING (key)),
+gone AS (SELECT DISTINCT m FROM mb WHERE family IN (SELECT family FROM un GROUP BY family HAVING count(DISTINCT unit) >= 3)),
 dc AS (SELECT key, list(place) AS places FROM l JOIN gone USING (m) GROUP BY key)
 SELECT doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(len(places), 0)::INT AS dropped_lines,
   CASE WHEN places IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(places, i)), chr(10)) END AS text

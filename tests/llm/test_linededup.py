@@ -17,51 +17,84 @@ def mask(line):
 
 
 def brute(texts, tree=Tree()):
-    """What the method says, with plain loops over all lines."""
+    """What the method says, with plain loops over all lines of a leaf."""
     key = {t: hashlib.md5(t.encode()).hexdigest() for t in texts if t is not None}
     lines = [(t, i, len(line), tuple(mask(line))) for t in key for i, line in enumerate(t.split("\n"))]
     lines = [x for x in lines if x[3]]
-    texts_of = defaultdict(set)
-    for t, _, _, m in lines:
+    texts_of, whole = defaultdict(set), defaultdict(int)
+    for t, _, n, m in lines:
         texts_of[m].add(t)
-    need = lambda m: math.ceil(len(m) * tree.constant_share)
+        whole[t] += n
+    agree = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) >= math.ceil(len(a) * tree.constant_share)
     rank = lambda m: (len(texts_of[m]) >= tree.min_docs, hashlib.md5(" ".join(m).encode()).hexdigest()[:15])
-    blocks = defaultdict(list)
+    leaves = defaultdict(list)
     for m in texts_of:
         if len(m) >= tree.min_tokens:
-            n = len(m) - need(m) + 1
-            edges = [i * (len(m) - tree.depth) // n + tree.depth for i in range(n + 1)]
-            for i, (a, b) in enumerate(zip(edges, edges[1:])):
-                blocks[len(m), m[: tree.depth], i, m[a:b]].append(m)
-    family = {m: {m} for m in texts_of}  # the families of a template
-    for members in blocks.values():
-        lead = max(members, key=rank)
+            leaves[len(m), m[: tree.depth]].append(m)
+    family = {m: {m} for m in texts_of}  # the families of a line
+    for members in leaves.values():
+        if sum(len(texts_of[m]) for m in members) < tree.min_docs:
+            continue
+        leads = []
+        for m in sorted(members, key=rank, reverse=True):
+            if not any(agree(m, lead) for lead in leads):
+                leads.append(m)
         for m in members:
-            if sum(x == y for x, y in zip(m, lead, strict=True)) >= need(m):
-                family[m].add(lead)
+            family[m] |= {lead for lead in leads if agree(m, lead)}
     where = defaultdict(set)
     for m, names in family.items():
         for name in names:
             where[name] |= texts_of[m]
     where = {name: ts for name, ts in where.items() if len(ts) >= tree.min_docs}
     leader = {name: min(ts, key=key.get) for name, ts in where.items()}
-    shared = defaultdict(int)
+    shared, own = defaultdict(int), defaultdict(int)
     for t, i, n, m in lines:
         for lead in {leader[name] for name in family[m] if name in leader}:
             shared[t, lead] += n
-    unit = {t: t for t in key}
+        for name in family[m]:
+            own[t, name] += n
+    most, covered = defaultdict(int), defaultdict(int)
+    for (t, name), n in own.items():
+        if name in leader:
+            most[t, leader[name]] = max(most[t, leader[name]], n)
+    for t, _, n, m in lines:
+        covered[t] += n if family[m] & leader.keys() else 0
+    copy_of = {t: t for t in key}
+
+    def root(t):
+        while copy_of[t] is not t:
+            t = copy_of[t]
+        return t
+
+    def shingles(t):
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t) if x]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    met = defaultdict(list)
     for (t, lead), n in shared.items():
-        if n >= tree.copy_share * len(t) and (unit[t] is t or key[lead] < key[unit[t]]):
-            unit[t] = lead
-    copied = {t for (t, lead), n in shared.items() if lead == t and n >= tree.copy_share * len(t)}  # may lead themselves
-    unit = {t: min([u, t], key=key.get) if t in copied else u for t, u in unit.items()}
-    recurs = {name for name, ts in where.items() if len({unit[t] for t in ts}) >= tree.min_docs}
+        m = most[t, lead]
+        if t is not lead and whole[t] > m and n > m:
+            met[t].append((n - m, key[lead], lead, m))
+    for t, found in met.items():
+        links = [lead for n, _, lead, m in found if n >= (whole[t] - m) * tree.link_share and covered[t] - m >= (whole[t] - m) * tree.copy_share]
+        if not links:
+            _, _, lead, m = max(found, key=lambda x: x[:2])
+            own_, other = shingles(t), shingles(lead)
+            if own_ and len(own_ & other) * whole[t] - len(own_) * m >= len(own_) * (whole[t] - m) * tree.word_share:
+                links = [lead]
+        for lead in links:
+            copy_of[root(t)] = root(lead)
+
+    def unit(t, name):
+        return "" if own[t, name] == whole[t] else root(t)
+
+    recurs = {name for name, ts in where.items() if len({unit(t, name) for t in ts}) >= tree.min_docs}
     gone = {m for m, names in family.items() if names & recurs}
     out = []
     for t in texts:
-        own = [(x, tuple(mask(x))) for x in t.split("\n")] if t is not None else []
-        less = sum(m in gone for _, m in own)
-        out.append(("\n".join(x for x, m in own if m not in gone) if less else t, less))
+        lost = [(x, tuple(mask(x))) for x in t.split("\n")] if t is not None else []
+        less = sum(m in gone for _, m in lost)
+        out.append(("\n".join(x for x, m in lost if m not in gone) if less else t, less))
     return out
 
 
@@ -125,6 +158,32 @@ def test_copies_keep_what_only_they_share(spark, docs):
     assert out[len(copies) : len(copies) + len(single)] == single and not any("Stock" in t for t in out)
 
 
+def words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+
+
+@pytest.mark.parametrize("own", [1, 5, 17, 40])
+def test_a_stock_line_goes_however_much_of_a_text_it_is(spark, docs, own):
+    rng = random.Random(own)
+    stock = "All rights reserved by the publisher and its many licensors worldwide today"
+    texts = [f"{words(rng, own)}\n{stock}" if i % 2 else f"{stock}\n{words(rng, own)}" for i in range(60)]
+    out = [(r["text"], r["dropped_lines"]) for r in drop_recurring_lines(docs(*texts)).orderBy("doc_id").collect()]
+    assert out == brute(texts) and [n for _, n in out] == [1] * 60
+
+
+def test_lines_go_whatever_else_leads(spark, docs):
+    """Templates of one leaf that share words in all places don't hide each other's lines."""
+    rng = random.Random(12)
+    some = [f"{words(rng, 9)}\nPosted by {words(rng, 1)} in the news section of today" for _ in range(50)]
+    some += [f"{words(rng, 9)}\nPosted by editors at the news desk every morning" for _ in range(5)]
+    some += [f"{words(rng, 9)}\nPosted by staff from our own section of today" for _ in range(5)]
+    some += [f"{words(rng, 9)}\nPosted by {a} {b} {c} {d} {e} {f} today" for a, b, c, d, e, f in zip(*[rng.choices(["in", "at", "the", "news", "own", "desk", "of"], k=80) for _ in range(6)], strict=True)]
+    rng.shuffle(some)
+    out = [(r["text"], r["dropped_lines"]) for r in drop_recurring_lines(docs(*some)).orderBy("doc_id").collect()]
+    assert out == brute(some)
+    assert all(n == 1 for t, (_, n) in zip(some, out, strict=True) if "in the news section" in t or "desk every morning" in t or "from our own" in t)
+
+
 def test_rows_columns_and_empty_tables(spark, docs):
     assert drop_recurring_lines(docs()).count() == 0
     clash = docs(*cases()).withColumn("key", F.lit(1)).withColumn("line_key", F.lit(2)).withColumn("template", F.lit(1)).withColumn("family", F.lit(1)).withColumn("dropped_lines", F.lit("x")).withColumn("gone", F.lit(3))
