@@ -118,14 +118,13 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", rules:
     """df and an array of (start, ord, end, kind), sorted: spans in code points, end exclusive; ord counts the kinds.
 
     Null text has none, as has an empty one. Spans of different kinds may overlap; repeated rows are judged alike. A
-    column of df with the name of the new one is replaced. Texts without the letters or digits that a pattern needs are
-    passed over by a plain search before any pattern runs.
+    column of df with the name of the new one is replaced. Texts without the letters that a base pattern needs are
+    passed over by a plain search before it runs.
     """
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,end:int,match:string,group:string>>)")
     low = F.lower(raw)
     named = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api")
-    digits = raw.rlike("[0-9]")
     run = f"(?<!{_CLASS}){_CLASS}{{{rules.window},}}"
 
     def of(kind: str, may: Column, pattern: str, group: int | None, holds) -> Column:
@@ -136,7 +135,7 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", rules:
         of("assign", named, ASSIGN, 2, lambda x: F.length(x["group"]) >= 8),
         of("access", raw.contains("AKIA"), ACCESS, None, lambda x: F.length(x["match"]) >= 16),
         of("hex", raw.rlike("[0-9a-f]{32}"), HEX.replace("+", "{32,}"), None, lambda x: F.length(x["match"]) >= 32),
-        of("entropy", digits, run, None, lambda x: is_secret(x["match"], rules)),
+        of("entropy", F.lit(True), run, None, lambda x: is_secret(x["match"], rules)),
     )
     return df.withColumn(out, F.array_sort(every))
 
