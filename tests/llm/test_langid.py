@@ -110,3 +110,14 @@ def test_repeated_rows_and_a_long_text(spark):
     assert [x[0] for x in predict_texts(again, ["the fox of the land", "le chien de la maison"])] == ["en", "fr"]
     assert identify(hot.where("doc_id < 5"), model).count() == hot.where("doc_id < 5").count()
     assert predict_texts(model, [EN * 40_000])[0][0] == "en"
+
+
+def test_languages_of_few_texts_that_repeat_are_learned(spark):
+    """The sample is of different texts, so how often they occur doesn't matter."""
+    own = {"aa": "zul mor kip tan", "bb": "wex hob dri fas", "cc": "yug nep cil ovo", "dd": "stra blim quor gned"}
+    rows = [(f"{words} {words.split()[i % 4]} {'x' * i}", lang) for lang, words in own.items() for i in range(6 if lang != "dd" else 900)]
+    many = [row for row in rows for _ in range(2000 if row[1] in ("aa", "bb") else 1)]
+    docs = spark.createDataFrame(many, "text string, lang string")
+    model = fit(docs, per_language=40, centroids=2)
+    assert sorted(set(model.languages)) == sorted(own)
+    assert [x[0] for x in predict_texts(model, list(own.values()))] == list(own)
