@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from filegrove.functions import paths
 from filegrove.functions.paths import path_order
+from filegrove.operators.ranges import carried, ranked
+from filegrove.operators.tables import stored
 
 CHANGED = "The source changed since the scan."
 #: Which tools may change files in bulk, and which may rename (fixed values).
@@ -62,8 +64,12 @@ class Naming:
 
     def first(self, name: Column) -> Column:
         """The first try as a column."""
+        return F.concat(*self.columns(name))
+
+    def columns(self, name: Column) -> tuple[Column, Column]:
+        """What stands before and behind the number, as columns."""
         own = F.regexp_extract(name, r"(\.[^.]*)$", 1) if self.ending is None else F.lit(self.ending)
-        return F.concat(paths.stem(name), F.lit(self.middle), own)
+        return F.concat(paths.stem(name), F.lit(self.middle)), own
 
     def parts(self, name: str) -> tuple[str, str]:
         """What stands before and behind the number."""
@@ -71,12 +77,14 @@ class Naming:
         stem, own = (name, "") if dot < 0 else (name[:dot], name[dot:])
         return stem + self.middle, own if self.ending is None else self.ending
 
-    def base(self, name: Column) -> Column:
-        """What all names have in common that could ever meet: the stem without numbers and middle, in capitals."""
+    def base(self, name: Column, made: bool = False) -> Column:
+        """What a source and all names that it may be given have in common: the source's stem without numbers, in capitals. made:
+        the name is one that this naming may have given."""
         plain = F.regexp_replace(F.upper(paths.stem(name)), NUMBERS, "")
         middle = self.middle.upper()
-        cut = F.when(plain.endswith(middle), F.substring(plain, F.lit(1), F.length(plain) - len(middle))).otherwise(plain) if middle else plain
-        return F.regexp_replace(cut, NUMBERS, "")
+        if not made or not middle:
+            return plain
+        return F.regexp_replace(F.when(plain.endswith(middle), F.substring(plain, F.lit(1), F.length(plain) - len(middle))).otherwise(plain), NUMBERS, "")
 
 
 NUMBERS = r"( \([0-9]+\))+$"
@@ -84,18 +92,23 @@ NUMBERS = r"( \([0-9]+\))+$"
 MOVED, OPTIMIZED, CLEANED = Naming(), Naming(".optimized", ".mp4"), Naming(".clean")
 
 
+#: Rows and names in use of a folder that have one base and are settled in one task; more are settled by ranges.
+SETTLED = 10_000
+
+
 def free_names(rows: DataFrame, taken: DataFrame, folder: str, naming: Naming) -> DataFrame:
     """rows with new_name: for each, in path order within its folder, the first try of naming that is neither taken (folder,
     name; without regard to case) nor given to an earlier row.
 
-    Names can meet only if they have the folder and the base in common ("a.txt" and "a (2).txt" have), so each such pair is
-    settled by itself, in a task and in time linear in its rows; a row that is alone with its base needs no Python."""
+    Names can meet only if they have the folder and the base in common ("a.txt" and "a (2).txt" have). A row that is alone
+    with its base gets its first try; up to SETTLED rows and names of one folder and base are settled in a task, in linear
+    time; beyond, no task sees all of them (see _given)."""
     keyed = rows.select("full_path", "file_name", F.upper(F.col(folder)).alias("_folder"), naming.base(F.col("file_name")).alias("_base"))
-    used = taken.select(F.upper(F.col("folder")).alias("_folder"), naming.base(F.col("name")).alias("_base"), F.col("name").alias("file_name"))
+    used = taken.select(F.upper(F.col("folder")).alias("_folder"), naming.base(F.col("name"), True).alias("_base"), F.col("name").alias("file_name"))
     counts = keyed.select("_folder", "_base", F.lit(1).alias("_rows")).unionByName(used.select("_folder", "_base", F.lit(0).alias("_rows")))
-    contested = counts.groupBy("_folder", "_base").agg(F.sum("_rows").alias("_rows"), F.count("*").alias("_all")).where("_rows > 0 AND _all > 1").select("_folder", "_base")
+    contested = stored(counts.groupBy("_folder", "_base").agg(F.sum("_rows").alias("_rows"), F.count("*").alias("_all")).where("_rows > 0 AND _all > 1").select("_folder", "_base", (F.col("_all") > SETTLED).alias("_many")), "contested")
     alone = keyed.join(contested, ["_folder", "_base"], "left_anti").select("full_path", naming.first(F.col("file_name")).alias("new_name"))
-    both = keyed.withColumn("_order", F.upper("full_path")).unionByName(used, allowMissingColumns=True).join(contested, ["_folder", "_base"], "left_semi")
+    both = keyed.withColumn("_order", F.upper("full_path")).unionByName(used, allowMissingColumns=True).join(contested, ["_folder", "_base"])
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         given = set(group.loc[group["full_path"].isna(), "file_name"].str.upper())
@@ -112,10 +125,93 @@ def free_names(rows: DataFrame, taken: DataFrame, folder: str, naming: Naming) -
             out.append((path, new))
         return pd.DataFrame(out, columns=["full_path", "new_name"])
 
-    settled = both.select("_folder", "_base", "full_path", "file_name", "_order").groupBy("_folder", "_base").applyInPandas(settle, "full_path string, new_name string")
+    few = both.where("NOT _many").select("_folder", "_base", "full_path", "file_name", "_order")
+    settled = few.groupBy("_folder", "_base").applyInPandas(settle, "full_path string, new_name string")
+    if not contested.where("_many").isEmpty():
+        settled = settled.unionByName(_given(both.where("_many"), naming))
     return rows.join(alone.unionByName(settled), "full_path")
 
 
+_NUMBER = r" \(([2-9]|[1-9][0-9]{1,8})\)"
+
+
+def _given(both: DataFrame, naming: Naming) -> DataFrame:
+    """(full_path, new_name) of rows (full_path, file_name, _folder, _order) among names in use (full_path null).
+
+    Rows with one head and tail are a family, which asks for the numbers 1, 2, 3 ... of its name in path order. A family
+    "a (5).txt" asks for the number 5 of the family "a.txt" as its number 1, once, when its first row comes. From then on that
+    number isn't to be had for the others, whoever got it; so a number has a deadline, and a family depends only on the one
+    it is named after. Families are settled by how many numbers their heads end with, each such step in sorted ranges: the
+    n-th row of a family gets the n-th number that isn't out of reach."""
+    head, tail = naming.columns(F.col("file_name"))
+    rows = both.where("full_path IS NOT NULL").select("full_path", "_order", "_folder", head.alias("head"), tail.alias("tail"))
+    rows = rows.withColumns({"_head": F.upper("head"), "_tail": F.upper("tail")})
+    family = ["_folder", "_head", "_tail"]
+    rows = stored(ranked(rows, family, [F.col("_order"), F.col("full_path")], "n"), "claims")
+    named = F.regexp_extract("_head", _NUMBER + "$", 1)
+    families = rows.where("n = 1").select(*family, F.col("_order").alias("first"), F.col("full_path").alias("first_path"), named.try_cast("int").alias("as"), F.regexp_replace("_head", _NUMBER + "$", "").alias("after"))
+    families = stored(families.withColumn("depth", F.size(F.regexp_extract_all(F.regexp_extract("_head", f"(?:{_NUMBER})+$", 0), F.lit(_NUMBER), F.lit(1)))), "families")
+    # numbers in use: each name may be the first of a family, or a later one wherever a number stands in it
+    names = both.where("full_path IS NULL").select("_folder", F.upper("file_name").alias("name")).distinct()
+    first = names.join(families.select(*family, F.concat("_head", "_tail").alias("name")), ["_folder", "name"]).select(*family, F.lit(1).alias("number"))
+    cuts = F.explode(F.expr("transform(sequence(1, cast((length(name) - length(replace(name, ' (', ''))) / 2 as int)), i -> substring_index(name, ' (', i))"))
+    later = names.where(F.col("name").contains(" (")).select("_folder", "name", cuts.alias("before")).withColumn("rest", F.expr("substring(name, length(before) + 1)"))
+    later = later.select("_folder", F.col("before").alias("_head"), F.regexp_extract("rest", f"^{_NUMBER}", 1).alias("k"), F.regexp_replace("rest", f"^{_NUMBER}", "").alias("_tail")).where("k <> ''")
+    later = later.join(families.select(*family), family).select(*family, F.col("k").try_cast("int").alias("number"))
+    used = stored(first.unionByName(later).distinct(), "numbers-in-use")
+    # what a family named after another one asks of it, and when
+    parents = families.select("_folder", F.col("_head").alias("after"), "_tail")
+    asked = families.where("as IS NOT NULL").join(parents, ["_folder", "after", "_tail"]).select("_folder", F.col("after").alias("_head"), "_tail", F.col("as").alias("number"), F.col("first").alias("_order"), F.col("first_path").alias("full_path"), F.col("_head").alias("by"))
+    asked = stored(asked.join(used, [*family, "number"], "left_anti"), "asked")
+    out = []
+    for depth in range((families.agg(F.max("depth")).first()[0] or 0) + 1):
+        level = families.where(F.col("depth") == depth).select(*family)
+        claims, closed = rows.join(level, family), used.join(level, family)
+        if out:  # the family above may have given the first name away
+            gone = asked.join(out[-1].select(*family, "number"), [*family, "number"]).select("_folder", F.col("by").alias("_head"), "_tail", F.lit(1).alias("number"))
+            closed = stored(closed.unionByName(gone.join(level, family)).distinct(), "closed")
+        late = _too_late(claims, closed, asked.join(level, family), family)
+        out.append(stored(_nth_open(claims, closed.unionByName(late), family), "given"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.select("full_path", F.concat("head", F.when(F.col("number") > 1, F.concat(F.lit(" ("), F.col("number").cast("string"), F.lit(")"))).otherwise(""), "tail").alias("new_name"))
+
+
+def _too_late(claims: DataFrame, closed: DataFrame, asked: DataFrame, family: list[str]) -> DataFrame:
+    """(family, number): numbers that a family's rows don't reach before their deadlines. In the order of numbers, one is
+    reached if fewer of those before it were than rows come in time; that is settled family by family, in linear time
+    over the numbers that other families ask for."""
+    if asked.isEmpty():
+        return asked.select(*family, "number")
+    times = claims.select(*family, "_order", "full_path", "n").unionByName(asked.select(*family, "_order", "full_path", "number"), allowMissingColumns=True)
+    timed = carried(times, family, [F.col("_order"), F.col("full_path"), F.coalesce("number", F.lit(0))], F.col("n"), "in_time").where("number IS NOT NULL")
+    kinds = timed.select(*family, "number", F.coalesce("in_time", F.lit(0)).alias("in_time")).unionByName(closed.select(*family, "number"), allowMissingColumns=True)
+    placed = ranked(kinds, family, [F.col("number")], "place").where("in_time IS NOT NULL")  # place - 1 numbers before it are closed or asked for
+
+    def reach(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("number")
+        reached, late = 0, []
+        for number, in_time, place in group[["number", "in_time", "place"]].itertuples(index=False):
+            open_ = number - place  # numbers before it that anyone may have
+            if reached < in_time - open_:
+                reached += 1
+            else:
+                late.append(number)
+        return group[group["number"].isin(late)][[*family, "number"]]
+
+    return placed.select(*family, "number", "in_time", "place").groupBy(*family).applyInPandas(reach, "_folder string, _head string, _tail string, number int")
+
+
+def _nth_open(claims: DataFrame, closed: DataFrame, family: list[str]) -> DataFrame:
+    """claims with number: the n-th number of the family from 1 that isn't closed. Before the j-th closed number k there are k - j
+    open ones, so n + j is the n-th one's number for the last j with k - j < n."""
+    marks = ranked(closed.select(*family, "number"), family, [F.col("number")], "j").select(*family, (F.col("number") - F.col("j")).alias("at"), "j")
+    rows = claims.withColumn("at", F.col("n") - 1).unionByName(marks, allowMissingColumns=True)
+    counted = carried(rows, family, [F.col("at"), F.coalesce("j", F.lit((1 << 62)))], F.col("j"), "before").where("n IS NOT NULL")
+    return counted.withColumn("number", (F.col("n") + F.coalesce("before", F.lit(0))).cast("int")).drop("at", "j", "before")
+
+
 def move_plan(targets: DataFrame, destination_names: DataFrame, destination: str, collision: str = "KeepBoth") -> DataFrame:
     """targets (full_path, file_name) with new_name and action for a move into one folder (names in use: column name).
 

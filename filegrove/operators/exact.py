@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filegrove.functions import paths
+from filegrove.operators.ranges import carried
 from filegrove.operators.tables import numbered, stored
 
 PREFIX_BYTES = 65_536
@@ -33,18 +34,44 @@ def admitted(files: DataFrame, min_size: int = 1, max_size: int | None = None, h
     return files.where(keep)
 
 
-def excluded(files: DataFrame, exclusions: DataFrame, path: str = "full_path") -> DataFrame:
-    """files but those at or under an excluded path (column excluded_path), without regard to case.
+#: Excluded paths that are broadcast, and different depths of them that are looked up one by one; beyond, files and exclusions are
+#: merged in the order of paths.
+BROADCAST_EXCLUSIONS, MOST_DEPTHS = 500_000, 16
 
-    Exclusions become an equality join: each file is looked up by its own path and by each folder above it, so that the
-    number of exclusions may grow without a product of both tables.
-    """
+
+def excluded(files: DataFrame, exclusions: DataFrame, path: str = "full_path") -> DataFrame:
+    """files but those at or under an excluded path (column excluded_path), without regard to case. Files with a null path
+    stay; null exclusions say nothing.
+
+    Exclusions below others are dropped. The rest are looked up by the start of each file's path, once for each depth that
+    they have, or, if there are too many to be sent to all tasks, by a merge. Either way a file is one row throughout."""
+    plain = F.upper(F.regexp_replace("excluded_path", "(.)/+$", "$1"))
+    listed = stored(exclusions.where("excluded_path IS NOT NULL").select(plain.alias("_at")).distinct(), "exclusions")
+    above = F.explode(F.expr("transform(sequence(1, size(split(_at, '/')) - 1), n -> substring_index(_at, '/', n))"))
+    inner = listed.where("_at <> '/' AND _at LIKE '%/%'").select("_at", above.alias("_up")).replace("", "/", ["_up"]).join(listed.select(F.col("_at").alias("_up")), "_up").select("_at").distinct()
+    outer = stored(listed.join(inner, "_at", "left_anti").withColumn("_depth", F.when(F.col("_at") == "/", 0).otherwise(F.size(F.split("_at", "/")))), "outer-exclusions")
+    depths = outer.groupBy("_depth").agg(F.count("*").alias("n")).limit(MOST_DEPTHS + 1).collect()  # MOST_DEPTHS + 1 rows at most
+    if len(depths) > MOST_DEPTHS or sum(d["n"] for d in depths) > BROADCAST_EXCLUSIONS:
+        return _merged_out(files, outer, path)
     upper = F.upper(F.col(path))
-    parts = F.split(upper, "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.regexp_replace(F.array_join(F.slice(parts, 1, n), "/"), "^$", "/"))
-    listed = exclusions.select(F.upper(F.regexp_replace("excluded_path", "(.)/+$", "$1")).alias("_at")).distinct()
-    gone = files.select(F.col(path).alias("_path"), F.explode(F.array_distinct(above)).alias("_at")).join(listed, "_at").select("_path").distinct()
-    return files.join(gone, files[path] == gone["_path"], "left_anti")
+    for depth in sorted(d["_depth"] for d in depths):
+        start = F.when(upper.startswith("/"), "/") if depth == 0 else F.substring_index(upper, "/", depth)
+        here = outer.where(F.col("_depth") == depth).select("_at")
+        files = files.join(F.broadcast(here), start == F.col("_at"), "left_anti")
+    return files
+
+
+def _merged_out(files: DataFrame, outer: DataFrame, path: str) -> DataFrame:
+    """files but those at or under a path of outer, of which none lies under another: in an order in which all that is under
+    a path follows it directly, the nearest exclusion before a file is the only one that can cover it."""
+    placed = lambda c: F.when(c == "/", F.lit("")).otherwise(F.replace(c, F.lit("/"), F.lit("\0")))
+    own = F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("_row")
+    rows = files.where(F.col(path).isNotNull()).select(F.lit(0).alias("_all"), placed(F.upper(F.col(path))).alias("_place"), F.lit(1).alias("_kind"), own)
+    marks = outer.select(F.lit(0).alias("_all"), placed(F.col("_at")).alias("_place"), F.lit(0).alias("_kind"))
+    both = carried(rows.unionByName(marks, allowMissingColumns=True), ["_all"], [F.col("_place"), F.col("_kind")], F.when(F.col("_kind") == 0, F.col("_place")), "_before")
+    covered = (F.col("_place") == F.col("_before")) | F.col("_place").startswith(F.concat("_before", F.lit("\0")))
+    kept = both.where((F.col("_kind") == 1) & ~F.coalesce(covered, F.lit(False))).select("_row.*")
+    return kept.unionByName(files.where(F.col(path).isNull()))
 
 
 def several(files: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from filegrove.functions import text
 from filegrove.functions.paths import path_order
 from filegrove.functions.perceptual import aspect_close, hamming, percent, search_keys, search_plan
 from filegrove.operators.graph import connected
+from filegrove.operators.ranges import carried
 from filegrove.operators.tables import Scratch, numbered, stored
 
 FRAMES = 5
@@ -170,19 +171,54 @@ def music_keys(tracks: DataFrame, ready: bool = False) -> tuple[DataFrame, DataF
     return rows.where("_reason IS NULL").drop("_reason"), rows.where("_reason IS NOT NULL").select(F.col("full_path").alias("path"), F.col("_reason").alias("reason")).orderBy(*path_order("path"))
 
 
-def anchored_clusters(rows: DataFrame, keys: list[str], value: str, tie: list[str], most: int) -> DataFrame:
-    """rows with cluster: runs of a key's rows, by value, that lie within most of the run's first (no chaining).
+#: Distinct values of one key that are folded in one row; keys with more are linked instead.
+FOLDED = 1000
 
-    Only distinct values are folded, one short array a key; rows are joined to them, so copies of one value cost nothing."""
-    values = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("vs"))
+
+def anchored_clusters(rows: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
+    """rows with cluster: runs of a key's rows, by value, that lie within most of the run's first (no chaining). Rows with
+    a null key or value are left out.
+
+    Only distinct values are looked at, and rows are joined to them, so copies of one value cost nothing. Keys of up to
+    FOLDED values are settled in a row each; no row holds those of a larger one (see _anchors)."""
+    values = stored(rows.select(*keys, F.col(value).cast("long").alias("v")).dropna().distinct(), "values")
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
+    large = stored(sizes.where(F.col("n") > FOLDED).drop("n"), "large-keys")
+    small = _folded(values.join(large, keys, "left_anti"), keys, most)
+    anchors = small if large.isEmpty() else small.unionByName(_anchors(values.join(large, keys, "left_semi"), keys, most))
+    return rows.join(anchors.withColumnRenamed("v", value), [*keys, value])
+
+
+def _folded(values: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, v, cluster), each key in one fold."""
     start = F.struct(F.lit(None).cast("long").alias("anchor"), F.expr("cast(array() as array<struct<v:bigint,anchor:bigint>>)").alias("out"))
 
     def step(acc: Column, v: Column) -> Column:
         anchor = F.when(acc["anchor"].isNull() | (v - acc["anchor"] > most), v).otherwise(acc["anchor"])
         return F.struct(anchor.alias("anchor"), F.array_append(acc["out"], F.struct(v.alias("v"), anchor.alias("anchor"))).alias("out"))
 
-    folded = values.select(*keys, F.explode(F.aggregate(F.col("vs").cast("array<bigint>"), start, step, lambda acc: acc["out"])).alias("x"))
-    return rows.join(folded.select(*keys, F.col("x.v").alias(value), F.col("x.anchor").alias("cluster")), [*keys, value])
+    each = values.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    folded = each.select(*keys, F.explode(F.aggregate("vs", start, step, lambda acc: acc["out"])).alias("x"))
+    return folded.select(*keys, "x.v", F.col("x.anchor").alias("cluster"))
+
+
+def _anchors(values: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, v, cluster) without a row or task for a key: each value is linked to the next one beyond its reach, links are
+    doubled until the first value has reached all anchors, and each value looks back for the nearest anchor."""
+    by = [F.col(k) for k in keys]
+    points = values.select(*keys, F.col("v").alias("at"), F.col("v").alias("point"), F.lit(None).cast("long").alias("asks"))
+    reaches = values.select(*keys, (F.col("v") + most).alias("at"), F.lit(None).cast("long").alias("point"), F.col("v").alias("asks"))
+    # at one place, what asks stands behind the point: its next one lies beyond
+    both = carried(points.unionByName(reaches), keys, [F.col("at"), F.coalesce("asks", F.lit(-(1 << 63)))], F.col("point"), "next", forward=False)
+    jumps = stored(both.where("asks IS NOT NULL AND next IS NOT NULL").select(*keys, F.col("asks").alias("v"), "next"), "links")
+    reached = stored(values.groupBy(*keys).agg(F.min("v").alias("v")), "anchors")
+    while not jumps.isEmpty():
+        new = reached.join(jumps, [*keys, "v"]).select(*keys, F.col("next").alias("v"))
+        reached = stored(reached.unionByName(new).distinct(), "anchors")
+        further = jumps.withColumnRenamed("next", "v2").join(jumps.select(*by, F.col("v").alias("v2"), "next"), [*keys, "v2"])
+        jumps = stored(further.select(*keys, "v", "next"), "links")
+    marked = values.join(reached.withColumn("cluster", F.col("v")), [*keys, "v"], "left")
+    return carried(marked.withColumnRenamed("cluster", "_own"), keys, [F.col("v")], F.col("_own"), "cluster").select(*keys, "v", "cluster")
 
 
 def music_groups(candidates: DataFrame, most: int = MUSIC_TICKS) -> DataFrame:
@@ -191,7 +227,7 @@ def music_groups(candidates: DataFrame, most: int = MUSIC_TICKS) -> DataFrame:
         raise ValueError("the difference must not be negative")
     keys = ["title_key", "artist_key"]
     by = [*keys, "cluster"]
-    rows = stored(anchored_clusters(candidates, keys, "duration_ticks", ["full_path"], most), "music-clusters")  # read three times
+    rows = stored(anchored_clusters(candidates, keys, "duration_ticks", most), "music-clusters")  # read three times
     pick = F.min(F.struct((-F.col("bitrate")).alias("o0"), (-F.col("size_bytes")).alias("o1"), F.upper("full_path").alias("o2"), F.col("full_path").alias("ref_path"), F.col("duration_ticks").alias("ref_ticks")))
     refs = rows.groupBy(*by).agg(F.count("*").alias("n"), pick.alias("r")).where("n > 1").select(*by, F.col("r.ref_path").alias("ref_path"), F.col("r.ref_ticks").alias("ref_ticks"))
     out = rows.join(_numbered(refs, "music"), by).withColumn("is_reference", F.col("full_path") == F.col("ref_path"))

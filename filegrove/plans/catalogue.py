@@ -481,7 +481,7 @@ _MUSIC = f"""WITH RECURSIVE {adapters.TRACKS_SQL}, k AS (SELECT *, trim(regexp_r
 @query(_MUSIC.replace("{most}", "300000000") + " SELECT full_path, title_key, artist_key, anchor FROM walk")
 def music_clusters(spark, sf_dir):
     good, _ = similarity.music_keys(adapters.tracks(table(spark, sf_dir, "events")), ready=True)
-    rows = similarity.anchored_clusters(good, ["title_key", "artist_key"], "duration_ticks", ["full_path"], 300_000_000)
+    rows = similarity.anchored_clusters(good, ["title_key", "artist_key"], "duration_ticks", 300_000_000)
     return rows.select("full_path", "title_key", "artist_key", F.col("cluster").alias("anchor"))
 
 

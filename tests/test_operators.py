@@ -67,7 +67,7 @@ def test_every_rule_keeps_one(spark):
 def test_clusters_do_not_chain(spark):
     s = 10_000_000
     rows = [("t", "a", d, f"/{i}") for i, d in enumerate([100 * s, 102 * s, 104 * s, 200 * s, 202 * s + 1])]
-    got = similarity.anchored_clusters(spark.createDataFrame(rows, "title string, artist string, d long, full_path string"), ["title", "artist"], "d", ["full_path"], 2 * s).collect()
+    got = similarity.anchored_clusters(spark.createDataFrame(rows, "title string, artist string, d long, full_path string"), ["title", "artist"], "d", 2 * s).collect()
     assert sorted((r["full_path"], r["cluster"] // s) for r in got) == [("/0", 100), ("/1", 100), ("/2", 104), ("/3", 200), ("/4", 202)]
 
 
