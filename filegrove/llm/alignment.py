@@ -166,9 +166,9 @@ def _tokenised(segments: DataFrame, make) -> DataFrame:
     return map_arrow(segments, kernel, TOKENS, Tokenizers.made.clear)
 
 
-def _without(blocks: DataFrame, tokens: DataFrame, keep: Scratch) -> DataFrame:
+def _without(blocks: DataFrame, tokens: DataFrame, keep: Scratch, n: int) -> DataFrame:
     """tokens with counts n over the texts that both sides stand for: those of other texts are taken off."""
-    bad = keep(tokens.where("NOT same").select("segment"), "unlike")
+    bad = keep(tokens.where("NOT same").select("segment"), "unlike", n)
     if bad.isEmpty():
         return tokens
     listed = blocks.where("segment IS NOT NULL")
@@ -212,13 +212,13 @@ def _groups(tokens: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(text.alias("groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.collect_list("link").alias("links"))
 
 
-def _pairs(segments: DataFrame, keep: Scratch) -> DataFrame:
+def _pairs(segments: DataFrame, keep: Scratch, n: int) -> DataFrame:
     """(link, a, b, count, best), a table: how many links of the corpus an id pair has, and whether no pair of its b has more."""
     links = segments.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
     a, b = F.shiftright("link", 32).cast("int"), F.col("link").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    counts = keep(links.where("count > 0").select(a.alias("a"), b.alias("b"), "link", "count"), "counts")
+    counts = keep(links.where("count > 0").select(a.alias("a"), b.alias("b"), "link", "count"), "counts", n)
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
-    return stored(counts.join(most, "b").select("link", "a", "b", "count", (F.col("count") == F.col("most")).alias("best")), "token-pairs")
+    return stored(counts.join(most, "b").select("link", "a", "b", "count", (F.col("count") == F.col("most")).alias("best")), "token-pairs", n)
 
 
 def _told(segments: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 #: Bytes of segments that a task packs at once.
-PACKED_BYTES = 64 << 20
+PACKED_BYTES = 16 << 20
 
 
 def _packed(values: DataFrame) -> DataFrame:
@@ -319,21 +319,22 @@ def aligned(docs: DataFrame, entries_path: str, model_path: str, digest: bool =
         blocks = keep(_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "blocks", compression="zstd")
         listed = blocks.where("segment IS NOT NULL").select(F.col("block").alias("of"), "at", "segment", "n")
         tokens = _tokenised(listed.groupBy("segment").agg(F.sum("n").alias("n")), make)
-        tokens = keep(tokens.withColumn("id", F.monotonically_increasing_id()), "tokens", compression="zstd")
+        n = blocks.count()
+        tokens = keep(tokens.withColumn("id", F.monotonically_increasing_id()), "tokens", n, "zstd")
         shuffles_released(spark)
-        valid = _without(blocks, tokens, keep).where("same")
-        groups = keep(_groups(valid).join(valid.select("id", "segment", "n"), "id"), "groups", compression="zstd")
+        valid = _without(blocks, tokens, keep, n).where("same")
+        groups = keep(_groups(valid).join(valid.select("id", "segment", "n"), "id"), "groups", n, "zstd")
         keep.drop(tokens)
         shuffles_released(spark)
-        pairs = _pairs(groups, keep)
+        pairs = _pairs(groups, keep, n)
         values = listed.drop("n").join(_told(groups, pairs), "segment", "left").select("of", "at", *NUMBERS, "groups")
-        packed = keep(_packed(values), "packed", compression="uncompressed")
+        packed = keep(_packed(values), "packed", n, "uncompressed")
         keep.drop(groups)
         shuffles_released(spark)
         schema = ", ".join(["doc_id long", *(f"{n} long" for n in NUMBERS), "groups string"])
         rows = blocks.where("refs IS NOT NULL").select("block", "doc_id", "refs")
         found = rows.groupBy("block").cogroup(packed.groupBy("of")).applyInArrow(lambda left, right: _joined(left, right, digest), schema)
-        found = stored(found, "aligned-documents")
+        found = stored(found, "aligned-documents", n)
     shuffles_released(spark)
     return found, pairs.drop("link")
 
