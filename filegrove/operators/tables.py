@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import threading
 import time
 import uuid
 
@@ -59,14 +60,56 @@ def _write(df: DataFrame, name: str, rows: int | None, compression: str | None =
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_SCOPES = threading.local()
+
+
+def _left_to(scopes: list[Scope], frame: DataFrame, path: str) -> None:
+    if scopes:
+        scopes[-1].tables.append((frame, path))
+    else:
+        atexit.register(removed, frame.sparkSession, path)
+
+
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """df, written as Parquet and read again; removed when the program ends. rows: about so many are read to make it (large or
-    costly ones count several times), if known; there is a file for each FILE_ROWS at most."""
+    """df, written as Parquet and read again; removed at the end of the Scope that it is made in, else when the program ends
+    (a driver that dies leaves it to the folder's owner). rows: about so many are read to make it (large or costly ones count
+    several times), if known; there is a file for each FILE_ROWS at most."""
     out, path = _write(df, name, rows)
-    atexit.register(removed, df.sparkSession, path)
+    _left_to(getattr(_SCOPES, "open", []), out, path)
     return out
 
 
+class Scope:
+    """with Scope() as scope: tables that stored() makes in this thread are removed at the end, but for those that are kept()
+    for the scope around it. What is read from the others must have been written by then."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.keep: list[DataFrame] = []
+
+    def __enter__(self) -> Scope:
+        _SCOPES.open = [*getattr(_SCOPES, "open", []), self]
+        return self
+
+    def kept(self, table: DataFrame) -> DataFrame:
+        self.keep.append(table)
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        """Removes a table now; one that isn't of this scope stays."""
+        for frame, path in [x for x in self.tables if x[0] is table]:
+            removed(frame.sparkSession, path)
+            self.tables = [x for x in self.tables if x[0] is not frame]
+
+    def __exit__(self, *error) -> None:
+        _SCOPES.open = _SCOPES.open[:-1]
+        for frame, path in self.tables:
+            if any(frame is k for k in self.keep):
+                _left_to(_SCOPES.open, frame, path)
+            else:
+                removed(frame.sparkSession, path)
+
+
 class Scratch:
     """Tables of one computation: with Scratch("name") as keep: table = keep(df, "what"). All are removed at the end of the
     block, so what leaves it must have been stored() from them."""

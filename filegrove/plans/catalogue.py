@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from filegrove.functions import hashes, paths, perceptual, signatures, text
 from filegrove.operators import actions, evidence, exact, export, findings, media_policy, results, review, similarity
-from filegrove.operators.tables import numbered, placed
+from filegrove.operators.tables import numbered, placed, stored
 from filegrove.session import table
 from filegrove.sources import adapters, archives
 from filegrove.sources.adapters import BASE, DAY
@@ -638,7 +638,7 @@ def results_list(spark, sf_dir):
     files = _files(spark, sf_dir)
     found = results.search_findings(findings.large_files(files, 10_000).unionByName(findings.empty_files(files)).withColumn("modified_ticks", F.lit(None).cast("long")), "16")
     items = results.search_items(similarity.image_groups(adapters.images(table(spark, sf_dir, "part")), 12), "16")
-    rows = results.listed(found, items)
+    rows = stored(results.listed(found, items), "listed")  # sorted three times
     out = [results.ordered(rows, i).select(F.lit(i).alias("sort_option"), "row_type", "group_id", "full_path", "size_bytes", "place") for i in range(3)]
     return reduce(DataFrame.unionByName, out)
 

@@ -138,3 +138,21 @@ def test_texts(spark):
     assert [r[0] for r in values(spark, [(n,) for n, _ in spans], "n long", text.span_text(F.col("n")))] == [t for _, t in spans]
     assert values(spark, [(638_081_280_000_000_007,)], "n long", text.utc_text(F.col("n"))) == [("2023-01-01T00:00:00.0000007Z",)]
     assert [r[0] for r in values(spark, [("a",), ('a"b',), ("a,b",), ("a\nb",), (None,)], "t string", text.csv_cell(F.col("t")))] == ["a", '"a""b"', '"a,b"', '"a\nb"', ""]
+
+
+def test_tables_have_a_scope(spark, tmp_path):
+    import os
+
+    from filegrove.operators import tables
+
+    folder = lambda: sorted(os.listdir(tables.shared_folder(spark).removeprefix("file://")))
+    before = folder()
+    with tables.Scope() as outer:
+        first = tables.stored(spark.range(3), "first")
+        with tables.Scope() as inner:
+            tables.stored(spark.range(4), "second")
+            third = inner.kept(tables.stored(first, "third"))
+        assert [n.split("-")[0] for n in folder() if n not in before] == ["first", "third"]
+        outer.drop(first)
+        assert third.count() == 3 and [n.split("-")[0] for n in folder() if n not in before] == ["third"]
+    assert folder() == before
