@@ -1,7 +1,7 @@
 """From documents to token ids in five stages, each on all that its predecessor kept.
 
 run() writes each stage's result as a table in the shared folder and reads it again, so that a lost executor costs one stage
-at most. ORACLE_SQL is None: ranking, signatures and merges can't be expressed in SQL; the tests hold each stage against a
+at most; the table before it and what the stage made for itself go then. ORACLE_SQL is None: ranking, signatures and merges can't be expressed in SQL; the tests hold each stage against a
 brute-force version.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from filegrove.llm import bpe, decontaminate, linededup, neardup, quality
 from filegrove.llm.common import bucket, fresh, written
+from filegrove.operators.tables import Scope
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of recurring templates; n_chars as the texts now are. What only the copies of one text share
-    doesn't recur (see linededup.Tree), so the next stage still finds copies as they were."""
+    doesn't recur (see linededup.Tree), so the next stage still finds copies nearly as they were."""
     (dropped,) = fresh(docs, "dropped")
     out = linededup.drop_recurring_lines(docs, dropped=dropped)
     return out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -54,6 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with Scope() as stages:
+        for name, stage in STAGES:
+            with Scope() as inner:
+                made = inner.kept(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+            stages.drop(docs)  # nothing reads it any more
+            docs = made
+        return stages.kept(docs)
