@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filegrove.operators.generations import Generations
+from filegrove.operators.tables import stored
+
 KEY = ("full_path", "size_bytes", "modified_ticks")
 
 
@@ -37,3 +40,17 @@ def refreshed(files: DataFrame, cache: DataFrame, version: int, compute: Callabl
     gone, of other versions and of unsound evidence are dropped."""
     held = accepted(cache, version, sound).join(files.select(*KEY), list(KEY), "left_semi")
     return held.unionByName(compute(missing(files, cache, version, sound))).withColumn("version", F.lit(version))
+
+
+def refresh(store: Generations, files: DataFrame, version: int, compute: Callable[[DataFrame], DataFrame], sound: Column | None = None) -> tuple[DataFrame, bool]:
+    """(files with their evidence, whether what was computed is in the store): what the store (KEY, evidence columns, version)
+    has of the files' present snapshots, and compute() of the others, which is committed.
+
+    The store may be cleared or written to meanwhile: entries of other writers stay, and evidence that was based on a cleared
+    generation is used but not kept."""
+    since = store.head()
+    cache = store.read(since)
+    new = stored(compute(missing(files, cache, version, sound)), "evidence")
+    kept = True if new.isEmpty() else store.append(new.withColumn("version", F.lit(version)), since)
+    every = accepted(cache, version, sound).join(files.select(*KEY), list(KEY), "left_semi").unionByName(new)
+    return files.join(every, list(KEY)), kept

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filegrove.operators import exact
+from filegrove.operators.generations import Generations
+from filegrove.operators.tables import Scope, stored
 
 KEPT = ("full_path", "file_name", "size_bytes", "modified_ticks", "identity", "digest")
 
@@ -16,22 +18,26 @@ KEPT = ("full_path", "file_name", "size_bytes", "modified_ticks", "identity", "d
 def watch_groups(stream: DataFrame, folder: str, report: Callable[[DataFrame, int], None]):
     """A writer for a stream of files (as exact.funnel takes): start() it with a checkpoint location.
 
-    Digests go to folder, a directory for each batch, which a batch that is run again replaces; so every file counts once.
-    Within it they are dealt by the first two digits of the digest (256 at most), and a batch reads only the parts that it
-    touches. report gets the members of all groups of two or more physical files that the batch touched, and the batch's number.
+    Digests go to a table of generations in folder, one commit a batch; a batch that is run again replaces its own, so every
+    file counts once. Parts are merged as they get many, so batches read some FAN log(batches) of them, and in each, dealt by the
+    first two digits of the digest (256 at most), only the files that the batch touches. report gets the members of all
+    groups of two or more physical files that the batch touched, and the batch's number.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hashed = batch.where("content IS NOT NULL").withColumn("digest", F.sha2(F.col("content").cast("binary"), 256)).select(*KEPT)
-        hashed.withColumn("part", F.substring("digest", 1, 2)).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/batch={number}")
-        seen = spark.read.schema(hashed.schema.add("batch", "long").add("part", "string")).parquet(folder).where(F.col("batch") <= number)
-        new = seen.where(F.col("batch") == number)
-        parts = [r["part"] for r in new.select("part").distinct().collect()]  # 256 at most
-        keys = ["size_bytes", "digest"]
-        touched = seen.where(F.col("part").isin(parts)).drop("part").join(new.select(*keys).distinct(), keys, "left_semi")
-        first = touched.groupBy(*keys, "identity").agg(F.min(F.struct(F.upper("full_path").alias("u"), F.col("full_path").alias("p"))).alias("f")).select(*keys, F.col("f.p").alias("full_path"))
-        report(exact.several(first, keys).join(touched.drop("batch"), [*keys, "full_path"]), number)
+        digest = F.sha2(F.col("content").cast("binary"), 256)
+        with Scope():
+            hashed = batch.where("content IS NOT NULL").withColumn("digest", digest).select(*KEPT).withColumn("part", F.substring("digest", 1, 2))
+            new = stored(hashed, "batch")
+            seen = Generations(batch.sparkSession, folder, new.schema, ("part",))
+            seen.append(new, tag=number)
+            parts = [r["part"] for r in new.select("part").distinct().collect()]  # 256 at most
+            keys = ["size_bytes", "digest"]
+            touched = seen.read().where(F.col("part").isin(parts)).drop("part").join(new.select(*keys).distinct(), keys, "left_semi")
+            first = touched.groupBy(*keys, "identity").agg(F.min(F.struct(F.upper("full_path").alias("u"), F.col("full_path").alias("p"))).alias("f")).select(*keys, F.col("f.p").alias("full_path"))
+            report(exact.several(first, keys).join(touched, [*keys, "full_path"]), number)
+            if seen.merge():
+                seen.vacuum()
 
     return stream.writeStream.foreachBatch(one)
 
