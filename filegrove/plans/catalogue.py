@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filegrove.functions import hashes, paths, perceptual, signatures, text
-from filegrove.operators import actions, evidence, exact, export, findings, media_policy, results, review, similarity
+from filegrove.operators import actions, evidence, exact, export, findings, media_policy, results, review, similarity, trees
 from filegrove.operators.tables import numbered, placed, stored
 from filegrove.session import table
 from filegrove.sources import adapters, archives
@@ -1160,3 +1160,25 @@ def name_rules(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(pick(_HEADS, 1), pick(_BODIES, 10), pick(_TAILS, 80)).alias("file_name"), F.lit(0).alias("attributes"), *[F.lit(1).cast("long").alias(c) for c in ("size_bytes", "created_ticks", "modified_ticks")])
     found = findings.bad_names(rows.withColumn("full_path", k.cast("string")))
     return found.select(F.col("full_path").cast("long").alias("p_partkey"), F.col("reason").alias("reasons"), "suggestion")
+
+
+# --- metadata as trees -----------------------------------------------------------------------------------------------
+
+#: Trees of 13 to 20 parts each, the first ten of which are blocks.
+_NODES = "n AS (SELECT p_partkey // 20 AS tree, p_partkey AS node, CASE WHEN p_partkey % 20 = 0 THEN NULL ELSE p_partkey - p_partkey % 20 + (p_partkey % 20 - 1) // (2 + p_partkey // 20 % 4) END AS parent, p_brand AS name, p_partkey % 20 < 10 AS block, encode(p_name) AS value FROM part WHERE p_partkey % 20 <= 12 + p_partkey // 20 % 7)"
+_DEEP = "d AS (SELECT *, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.*, depth + 1 FROM n JOIN d ON n.tree = d.tree AND n.parent = d.node)"
+_FAULT = """f AS (SELECT tree, CASE WHEN max(depth) FILTER (block) > 2 THEN 'depth' WHEN sum(CASE WHEN block AND parent IS NOT NULL THEN 2 ELSE 1 END) > 27 THEN 'nodes' WHEN max(octet_length(value)) FILTER (NOT block) > 11 THEN 'leaf'
+  WHEN sum(CASE WHEN block THEN 0 ELSE octet_length(value) END + CASE WHEN parent IS NULL THEN 0 ELSE octet_length(encode(name)) + 41 END) > 890 THEN 'bytes' END AS fault FROM d GROUP BY tree)"""
+_SUMS = "".join(
+    f""", s{i} AS (SELECT d.*, CASE WHEN d.block THEN coalesce(made, sha256('')) ELSE sha256(value) END AS digest FROM d LEFT JOIN (SELECT tree, parent, sha256(string_agg(octet_length(encode(name)) || ':' || name || CASE WHEN block THEN 'B' ELSE 'V' END || digest, '' ORDER BY name, block, digest)) AS made FROM s{i + 1} GROUP BY tree, parent) m ON m.tree = d.tree AND m.parent = d.node WHERE depth = {i})"""
+    for i in range(5, -1, -1)
+)
+
+
+@query(f"WITH RECURSIVE {_NODES}, {_DEEP}, {_FAULT}, s6 AS (SELECT *, '' AS digest FROM d WHERE depth > 6){_SUMS} SELECT f.tree, fault, CASE WHEN fault IS NULL THEN digest END AS digest FROM f JOIN s0 USING (tree)")
+def tree_digests(spark, sf_dir):
+    """Trees of parts: the first limit that each one breaks, or its digest."""
+    k = F.col("p_partkey").cast("long")
+    parent = F.when(k % 20 == 0, None).otherwise(k - k % 20 + F.floor((k % 20 - 1) / (2 + F.floor(k / 20) % 4)))
+    nodes = table(spark, sf_dir, "part").where("p_partkey % 20 <= 12 + p_partkey div 20 % 7").select(F.floor(k / 20).alias("tree"), k.alias("node"), parent.alias("parent"), F.col("p_brand").alias("name"), (k % 20 < 10).alias("block"), F.col("p_name").cast("binary").alias("value"))
+    return trees.tree_digests(nodes, trees.Limits(depth=2, nodes=27, leaf_bytes=11, total_bytes=890))
