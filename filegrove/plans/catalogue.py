@@ -325,8 +325,17 @@ def _case(values: dict, name: str = "detected") -> str:
     return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
 
 
-_ALLOWED = _case({k: "[" + ", ".join(f"'{e}'" for e in v[0]) + "]" for k, v in signatures.TYPES.items()})
-_PROPER = _case({k: f"'{v[1]}'" for k, v in signatures.TYPES.items() if v[1]})
+#: What each detected type may be called, and what it should be (fixed values, written out).
+_ALLOWED = _case({
+    "JPEG": "['.jpg', '.jpeg']", "PNG": "['.png']", "GIF": "['.gif']", "BMP": "['.bmp']", "TIFF": "['.tif', '.tiff']", "WebP": "['.webp']", "PDF": "['.pdf']", "RAR": "['.rar']", "7z": "['.7z']",
+    "ZIP": "['.zip', '.docx', '.docm', '.dotx', '.dotm', '.xlsx', '.xlsm', '.xltx', '.xltm', '.xlsb', '.xlam', '.pptx', '.pptm', '.potx', '.potm', '.ppsx', '.ppsm', '.ppam', '.sldx', '.sldm', '.odt', '.ott', '.ods', '.ots', '.odp', '.otp', '.odg', '.otg', '.odf']",
+    "MP3": "['.mp3']", "FLAC": "['.flac']", "WAV": "['.wav']", "Ogg": "['.ogg', '.oga', '.ogv', '.opus']", "MP4": "['.mp4', '.m4a', '.m4v']", "QuickTime": "['.mov']", "ISO BMFF": "['.mp4', '.m4a', '.m4v', '.mov']",
+    "WebM": "['.webm']", "Matroska": "['.mkv', '.mka', '.mks', '.mk3d']", "EBML": "['.webm', '.mkv', '.mka', '.mks', '.mk3d']", "AVI": "['.avi']",
+})
+_PROPER = _case({
+    "JPEG": "'.jpg'", "PNG": "'.png'", "GIF": "'.gif'", "BMP": "'.bmp'", "TIFF": "'.tiff'", "WebP": "'.webp'", "PDF": "'.pdf'", "ZIP": "'.zip'", "RAR": "'.rar'", "7z": "'.7z'", "MP3": "'.mp3'", "FLAC": "'.flac'", "WAV": "'.wav'", "Ogg": "'.ogg'",
+    "MP4": "'.mp4'", "QuickTime": "'.mov'", "WebM": "'.webm'", "Matroska": "'.mkv'", "AVI": "'.avi'",
+})
 
 
 @query(_TYPED + f""" SELECT full_path, regexp_replace(file_name, '[.][^.]*$', '') || {_PROPER} AS suggestion, CASE extension WHEN '' THEN '(none)' ELSE extension END AS current_extension, {_PROPER} AS proper_extension, detected AS detected_type
@@ -847,17 +856,16 @@ def image_samples_skipped(spark, sf_dir):
     return review.sampled(rows, review.sound_image(), review.FAILED_IMAGE)[1]
 
 
-_CODES = [c for codes in (*review.IMAGE_ERRORS.values(), *review.MEDIA_ERRORS.values()) for c in codes]
+#: Codes and kinds that the two queries below ask about, and what the rule says of them, written out (fixed values).
+_CODES = ["88982F50", "88982F80", "88982F81", "88982F07", "88982F60", "88982F61", "88982F62", "88982F63", "88982F70", "88982F72", "C00D36BE", "C00D5212", "C00D36C4", "C00D3700", "C00D714A", "C00D36BE", "C00D3E84"]
 _KINDS = ["data", "argument", "unsupported", "platform", "other"]
+_ASKED = f"p AS (SELECT p_partkey, {_CODES}[(p_partkey % {len(_CODES)} + 1)::INT] AS code, {_KINDS}[(p_partkey % 5 + 1)::INT] AS kind FROM part)"
+_BY_KIND = "(VALUES ('data', 'Invalid', '{bad}'), ('argument', 'Invalid', '{bad}'), ('unsupported', 'UnsupportedOrProtected', 'UnsupportedContainer'), ('platform', 'UnsupportedOrProtected', 'UnsupportedContainer'))"
+_VERDICT = "SELECT p_partkey, coalesce(r.status, k.status) AS status, coalesce(r.error_type, k.error_type) AS error_type FROM p LEFT JOIN r USING (code) LEFT JOIN k USING (kind)"
 
 
-def _verdict_sql(i: int) -> str:
-    rules = [f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN '{v[i]}'" for v, codes in review.MEDIA_ERRORS.items()]
-    last = (("Invalid", "MediaOpenFailure"), ("UnsupportedOrProtected", "UnsupportedContainer"))
-    return "CASE " + " ".join(rules) + f" WHEN kind IN ('data', 'argument') THEN '{last[0][i]}' WHEN kind IN ('unsupported', 'platform') THEN '{last[1][i]}' END"
-
-
-@query(f"WITH p AS (SELECT p_partkey, [{', '.join(repr(c) for c in _CODES)}][(p_partkey % {len(_CODES)} + 1)::INT] AS code, {_KINDS}[(p_partkey % 5 + 1)::INT] AS kind FROM part) SELECT p_partkey, {_verdict_sql(0)} AS status, {_verdict_sql(1)} AS error_type FROM p")
+@query(f"""WITH {_ASKED}, r(code, status, error_type) AS (VALUES ('C00D5212', 'UnsupportedOrProtected', 'CodecUnavailable'), ('C00D36C4', 'UnsupportedOrProtected', 'UnsupportedContainer'), ('C00D3700', 'UnsupportedOrProtected', 'PasswordProtected'),
+  ('C00D714A', 'UnsupportedOrProtected', 'PasswordProtected'), ('C00D36BE', 'Invalid', 'MediaOpenFailure'), ('C00D3E84', 'Invalid', 'MediaOpenFailure')), k(kind, status, error_type) AS {_BY_KIND.format(bad="MediaOpenFailure")} {_VERDICT}""")
 def media_verdicts(spark, sf_dir):
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
     verdict = review.probe_verdict(pick(_CODES), pick(_KINDS), image=False)
@@ -1036,13 +1044,9 @@ def exif_outcomes(spark, sf_dir):
     return review.outcome_counts(found, media_policy.EXIF_OUTCOMES)
 
 
-def _image_verdict_sql(i: int) -> str:
-    rules = [f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN '{v[i]}'" for v, codes in review.IMAGE_ERRORS.items()]
-    last = (("Invalid", "ImageDecodeFailure"), ("UnsupportedOrProtected", "UnsupportedContainer"))
-    return "CASE " + " ".join(rules) + f" WHEN kind IN ('data', 'argument') THEN '{last[0][i]}' WHEN kind IN ('unsupported', 'platform') THEN '{last[1][i]}' END"
-
-
-@query(f"WITH p AS (SELECT p_partkey, [{', '.join(repr(c) for c in _CODES)}][(p_partkey % {len(_CODES)} + 1)::INT] AS code, {_KINDS}[(p_partkey % 5 + 1)::INT] AS kind FROM part) SELECT p_partkey, {_image_verdict_sql(0)} AS status, {_image_verdict_sql(1)} AS error_type FROM p")
+@query(f"""WITH {_ASKED}, r(code, status, error_type) AS (VALUES ('88982F50', 'UnsupportedOrProtected', 'CodecUnavailable'), ('88982F80', 'UnsupportedOrProtected', 'CodecUnavailable'), ('88982F81', 'UnsupportedOrProtected', 'UnsupportedContainer'),
+  ('88982F07', 'Invalid', 'ImageDecodeFailure'), ('88982F60', 'Invalid', 'ImageDecodeFailure'), ('88982F61', 'Invalid', 'ImageDecodeFailure'), ('88982F62', 'Invalid', 'ImageDecodeFailure'), ('88982F63', 'Invalid', 'ImageDecodeFailure'),
+  ('88982F70', 'Invalid', 'ImageDecodeFailure'), ('88982F72', 'Invalid', 'ImageDecodeFailure'), ('C00D36BE', 'Invalid', 'ImageDecodeFailure')), k(kind, status, error_type) AS {_BY_KIND.format(bad="ImageDecodeFailure")} {_VERDICT}""")
 def image_verdicts(spark, sf_dir):
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
     verdict = review.probe_verdict(pick(_CODES), pick(_KINDS), image=True)
