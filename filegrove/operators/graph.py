@@ -36,3 +36,18 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         roots = now.select(F.col("b").alias("node")).distinct()
         found = now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label")))
         return stored(found, name, 2 * rows)
+
+
+def without_nodes(edges: DataFrame, labels: DataFrame, gone: DataFrame, name: str = "components") -> DataFrame:
+    """(node, label) of connected(edges) after nodes went, from labels, its result before: edges (a, b), gone (node).
+
+    Components that lost nothing keep their rows as they are. Of the others the edges between nodes that are left are taken,
+    found by their ends, and joined anew; so the work goes by the size of what was touched, apart from one look at the
+    edges. Nodes left without another are left out, nodes that no component has are passed over."""
+    with Scratch(name) as keep:
+        gone = keep(gone.select("node").distinct(), "gone")
+        touched = keep(labels.join(gone, "node", "left_semi").select("label").distinct(), "touched")
+        left = keep(labels.join(touched, "label", "left_semi").join(gone, "node", "left_anti").select("node"), "left")
+        some = edges.join(left.withColumnRenamed("node", "a"), "a", "left_semi").join(left.withColumnRenamed("node", "b"), "b", "left_semi")
+        again = connected(some.select("a", "b"), name)
+        return stored(labels.join(touched, "label", "left_anti").select("node", "label").unionByName(again), name)

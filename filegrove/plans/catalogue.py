@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filegrove.functions import hashes, paths, perceptual, signatures, text
-from filegrove.operators import actions, evidence, exact, export, findings, media_policy, results, review, similarity, trees
+from filegrove.operators import actions, evidence, exact, export, findings, graph, media_policy, results, review, similarity, trees
 from filegrove.operators.tables import numbered, placed, stored
 from filegrove.session import table
 from filegrove.sources import adapters, archives
@@ -462,6 +462,15 @@ def image_regroup(spark, sf_dir):
     return similarity.image_groups(left, 9).select(*_G)
 
 
+@query(f"WITH RECURSIVE {adapters.IMAGES_SQL.replace(' FROM part)', ' FROM part WHERE p_partkey % 11 <> 3)')}, pairs AS ({_PAIR_SQL.format(d=12)}){_REACH} SELECT full_path, label FROM comp")
+def image_components_left(spark, sf_dir):
+    """Components of similar pictures after some went, of which only those that lost one are made anew."""
+    part = table(spark, sf_dir, "part")
+    edges = stored(similarity.image_pairs(adapters.images(part), 12).select(F.col("a_path").alias("a"), F.col("b_path").alias("b")), "image-edges")
+    gone = adapters.images(part.where("p_partkey % 11 = 3")).select(F.col("full_path").alias("node"))
+    return graph.without_nodes(edges, graph.connected(edges), gone).select(F.col("node").alias("full_path"), "label")
+
+
 _TOTAL = "list_sum(list_transform(range(1, 6), lambda i: bit_count(xor({a}.hashes[i], {b}.hashes[i]))))::INT"
 _VPAIR = f""" SELECT a.full_path AS a_path, b.full_path AS b_path, {_TOTAL.format(a="a", b="b")} AS total FROM videos a JOIN videos b ON a.full_path < b.full_path
  AND (abs(a.duration_ticks - b.duration_ticks) <= 20000000 OR abs(a.duration_ticks - b.duration_ticks) <= greatest(a.duration_ticks, b.duration_ticks) // 50)

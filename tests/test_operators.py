@@ -376,3 +376,21 @@ def test_video_samples_need_five_frames(spark):
     rows = [(1, [frame] * 5, 1.0, "c"), (2, [frame] * 4, 1.0, "c"), (3, [frame] * 4 + [None], 1.0, "c"), (4, None, 1.0, "c"), (5, [frame] * 5, float("inf"), "c"), (6, [frame] * 5, 1.0, " "), (7, [frame] * 4 + [b"short"], 1.0, "c")]
     df = spark.createDataFrame(rows, "i int, frames array<binary>, fps double, codec string").withColumns({c: F.lit(2.0) for c in ("width", "height", "display_aspect", "duration_ticks")})
     assert [r["i"] for r in df.where(review.sound_video()).collect()] == [1]
+
+
+def test_components_after_nodes_went(spark):
+    import random
+
+    from filegrove.operators.graph import connected, without_nodes
+
+    rng = random.Random(9)
+    edges = [(i, i + rng.randint(1, 3)) for i in range(0, 300) if rng.random() < 0.75] + [(1000, i) for i in range(1001, 1200)] + [(2000, 2001)]
+    table = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    labels = connected(table(edges))
+    before = {r["node"]: r["label"] for r in labels.collect()}
+    for gone in ([], [1000], [2001, 7777], rng.sample(range(300), 20), list(range(3000))):
+        want = {r["node"]: r["label"] for r in connected(table([e for e in edges if not set(e) & set(gone)])).collect()}
+        found = without_nodes(table(edges), labels, spark.createDataFrame([(g,) for g in [*gone, *gone[:3]]], "node long"))
+        got = [(r["node"], r["label"]) for r in found.collect()]
+        assert dict(got) == want and len(got) == len(want)
+    assert before
