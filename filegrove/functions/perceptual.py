@@ -160,6 +160,74 @@ def _keyed(number: Column, piece: Column, more: tuple[Column, ...]):
     return lambda mask: F.xxhash64(number, piece.bitwiseXOR(mask), *more)
 
 
+#: Meetings that are compared at once, and what finding a value's rows and a piece of them costs, in meetings.
+TILE, VALUE_WORK, SLICE_WORK = 1 << 18, 10_000, 300
+
+
+def _pieces(rows: int, others: int, distance: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the pieces that cost least: hashes that differ in at most distance bits differ in at most
+    distance // pieces bits of one piece, so only those that are that near in a piece need to meet."""
+
+    def cost(pieces: list[tuple[int, int]]) -> float:
+        near = [sum(math.comb(bits, i) for i in range(distance // len(pieces) + 1)) for _, bits in pieces]
+        return sum(n / 2**bits * rows * others + min(rows, 2**bits) * (VALUE_WORK + SLICE_WORK * n) for n, (_, bits) in zip(near, pieces))
+
+    shapes = [[(0, 0)]]  # all meet all
+    for k in range(4, distance + 2):
+        edges = [i * (64 // k) + min(i, 64 % k) for i in range(k + 1)]
+        shapes.append([(a, b - a) for a, b in zip(edges, edges[1:])])
+    return min(shapes, key=cost)
+
+
+def close_hashes(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places in a and in b of hashes (uint64) that differ in at most distance bits, each pair once, some at a time."""
+    pieces = _pieces(len(a), len(b), distance)
+    radius = distance // len(pieces)
+    masks = [np.uint64(((1 << bits) - 1) << first) for first, bits in pieces]
+    for at, (first, bits) in enumerate(pieces):
+        piece = lambda x: ((x & masks[at]) >> np.uint64(first)).astype(np.int64)  # noqa: B023, E731
+        of_a, of_b = piece(a), piece(b)
+        order_a, order_b = np.argsort(of_a, kind="stable"), np.argsort(of_b, kind="stable")
+        start_a, start_b = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=1 << bits))]) for x in (of_a, of_b))
+        flips = np.array([sum(1 << x for x in some) for n in range(min(radius, bits) + 1) for some in combinations(range(bits), n)], np.int64)
+        for value in np.flatnonzero(np.diff(start_a)):
+            beside = value ^ flips
+            runs = [order_b[s:e] for s, e in zip(start_b[beside].tolist(), start_b[beside + 1].tolist()) if e > s]
+            if not runs:
+                continue
+            others, rows = np.concatenate(runs), order_a[start_a[value] : start_a[value + 1]]
+            for i, j in _tiles(len(rows), len(others)):
+                ours, theirs = rows[i], others[j]
+                differ = a[ours][:, None] ^ b[theirs][None, :]
+                hits = np.flatnonzero((np.bitwise_count(differ) <= distance).ravel())
+                if len(hits):
+                    bits_of = differ.ravel()[hits]
+                    for mask in masks[:at]:  # met before, in an earlier piece
+                        new = np.bitwise_count(bits_of & mask) > radius
+                        hits, bits_of = hits[new], bits_of[new]
+                    yield ours[hits // len(theirs)], theirs[hits % len(theirs)]
+
+
+def _tiles(rows: int, others: int) -> Iterator[tuple[slice, slice]]:
+    wide = min(others, TILE)
+    high = max(1, TILE // max(1, wide))
+    for i in range(0, rows, high):
+        for j in range(0, others, wide):
+            yield slice(i, i + high), slice(j, j + wide)
+
+
+def close_sums(a: np.ndarray, b: np.ndarray, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places in a and in b of rows of several hashes (frames x rows, uint64) that differ in at most total bits in sum."""
+    for i, j in _tiles(a.shape[1], b.shape[1]):
+        ours, theirs = a[:, i], b[:, j]
+        two = sum(np.bitwise_count(ours[f][:, None] ^ theirs[f][None, :]) for f in range(min(2, len(a))))
+        hits = np.flatnonzero((two <= total).ravel())  # two frames rule out nearly all
+        if len(hits):
+            x, y = hits // theirs.shape[1], hits % theirs.shape[1]
+            near = np.bitwise_count(ours[:, x] ^ theirs[:, y]).sum(axis=0, dtype=np.int64) <= total
+            yield x[near] + i.start, y[near] + j.start
+
+
 def aspect_close(a: Column, b: Column, share: float = 0.05) -> Column:
     return F.abs(a - b) / F.greatest(a, b) <= share
 

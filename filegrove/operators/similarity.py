@@ -1,15 +1,17 @@
-"""Similar images and videos, and music by tags: lossless joins on pieces of hashes, components, references and ordinal group ids."""
+"""Similar images and videos, and music by tags: lossless joins of blocks of hashes, components, references and ordinal group ids."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filegrove.functions import text
 from filegrove.functions.paths import path_order
-from filegrove.functions.perceptual import aspect_close, hamming, percent, search_keys, search_plan
+from filegrove.functions.perceptual import close_hashes, close_sums, hamming, percent
 from filegrove.operators.graph import connected
 from filegrove.operators.ranges import carried
 from filegrove.operators.tables import Scratch, numbered, stored
@@ -21,25 +23,82 @@ VIDEO_PRESETS = {"strict": 5, "balanced": 9, "loose": 13}
 MUSIC_TICKS = 2 * text.TICKS_PER_SECOND
 
 
-def _near(rows: DataFrame, keep: Scratch, keys, other_keys, payload: list[str], close: Callable[[str, str], Column]) -> DataFrame:
-    """Distinct pairs (a, b) of ids, a < b, of rows of which one has a key that is another one's other key, and that are close.
-    Only the id, the key and the payload that close() needs are shuffled."""
-    side = lambda x, of: rows.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in payload], F.explode(of).alias("key"))
-    met = side("a", keys).join(side("b", other_keys), "key").where((F.col("a") != F.col("b")) & close("a", "b"))
-    return keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-
-def _ratio(x: str) -> Column:
-    return F.col(f"{x}_width").cast("double") / F.col(f"{x}_height")
+#: Rows of a block: two blocks meet in a task. At least eight blocks share the work of many rows; a task holds two.
+BLOCK_LEAST, BLOCK_MOST = 1 << 14, 1 << 20
+
+
+def _near(rows: DataFrame, step: Column, columns: list[str], close: Callable[[dict, dict], Iterator[tuple[np.ndarray, np.ndarray]]], keep: Scratch) -> DataFrame:
+    """Distinct pairs (a, b) of ids, a < b, of rows of the same or the next step that are close. Rows with nulls in step or
+    columns are left out.
+
+    The rows of a step are dealt to blocks, and each two blocks of it, or of it and the next one, meet in a task, whatever
+    their values are. So a row is shuffled about once for each block, and no key can hold more than its share. close(x, y)
+    takes the columns of two blocks as arrays and gives the places of close rows, some at a time."""
+    dealt = keep(rows.select("id", *columns, step.cast("long").alias("_step")).dropna(), "dealt")
+    counts = dealt.groupBy("_step").agg(F.count("*").alias("_n"))
+    size = min(max(dealt.count() // 8, BLOCK_LEAST), BLOCK_MOST)
+    blocks = keep(counts.select("_step", F.ceil(F.col("_n") / size).cast("long").alias("_own")), "blocks", 1)  # a row a step
+    beside = lambda by, name: blocks.select((F.col("_step") + by).alias("_step"), F.col("_own").alias(name))
+    blocks = blocks.join(beside(-1, "_next"), "_step", "left").join(beside(1, "_before"), "_step", "left").na.fill(0)
+    tasks = blocks.agg(F.sum(F.expr("_own * (_own + 1) div 2 + _own * _next"))).first()[0] or 1
+
+    def met(count: str, meeting: str) -> str:
+        return f"if({count} > 0, transform(sequence(1, greatest({count}, 1)), x -> {meeting}), array())"
+
+    meetings = [
+        met("_own", "named_struct('step', _step, 'over', 0, 'p', least(_block, x), 'q', greatest(_block, x), 'side', if(x < _block, 1, 0))"),
+        met("_next", "named_struct('step', _step, 'over', 1, 'p', _block, 'q', x, 'side', 0)"),
+        met("_before", "named_struct('step', _step - 1, 'over', 1, 'p', x, 'q', _block, 'side', 1)"),
+    ]
+    block = F.pmod(F.xxhash64("id"), F.col("_own")) + 1
+    sent = dealt.join(F.broadcast(blocks), "_step").withColumn("_block", block).select("id", *columns, F.explode(F.expr(f"concat({', '.join(meetings)})")).alias("_m"))
+    key = ["step", "over", "p", "q"]
+    sent = sent.select("id", *columns, "_m.*").repartition(min(2 * tasks, 4000), *key)
+
+    def pairs(of: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        held = {c: table[c].to_numpy() for c in ["id", *columns, "side"]}
+        _, over, p, q = (x.as_py() for x in of)
+        own = not over and p == q
+        x = {c: v[held["side"] == 0] for c, v in held.items()}
+        y = x if own else {c: v[held["side"] == 1] for c, v in held.items()}
+        found, n = [], 0
+        for i, j in close(x, y):
+            a, b = x["id"][i], y["id"][j]
+            if own:
+                a, b = a[a < b], b[a < b]
+            found.append((np.minimum(a, b), np.maximum(a, b)))
+            n += len(a)
+            if n > 50_000:
+                yield _ids(found)
+                found, n = [], 0
+        yield _ids(found)
+
+    return keep(sent.groupBy(*key).applyInArrow(pairs, "a long, b long"), "pairs")
+
+
+def _ids(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    both = [np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], ["a", "b"])
 
 
 def _image_edges(rows: DataFrame, distance: int, keep: Scratch) -> DataFrame:
     """The pairs (a, b) of ids of rows (id, hash, width, height), a table, that are similar."""
     if not 0 <= distance <= 12:
         raise ValueError("the distance must lie between 0 and 12")
-    plan = search_plan(rows.count(), distance)
-    close = lambda a, b: (hamming(F.col(f"{a}_hash"), F.col(f"{b}_hash")) <= distance) & aspect_close(_ratio(a), _ratio(b))
-    return _near(rows, keep, search_keys(F.col("hash"), plan), search_keys(F.col("hash"), plan, True), ["hash", "width", "height"], close)
+
+    def close(x: dict, y: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in close_hashes(x["hash"].view(np.uint64), y["hash"].view(np.uint64), distance):
+            near = _within(x["ratio"][i], y["ratio"][j])
+            yield i[near], j[near]
+
+    return _near(rows.withColumn("ratio", F.col("width").cast("double") / F.col("height")), F.lit(0), ["hash", "ratio"], close, keep)
+
+
+def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """aspect_close() of arrays."""
+    with np.errstate(all="ignore"):
+        return np.abs(a - b) / np.maximum(a, b) <= 0.05
 
 
 def _named(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,8 +113,8 @@ def image_pairs(images: DataFrame, distance: int) -> DataFrame:
     """(a_path, b_path, distance) of images (full_path, hash, width, height) whose hashes differ in at most distance bits
     and whose aspect ratios differ by at most a twentieth. a_path < b_path.
 
-    The join is on pieces of the hash with a few bits changed (see search_plan), which loses no pair. All pairs of equal
-    hashes are among the result; image_groups needs no such pairs."""
+    Blocks of pictures meet in tasks, which compare those that are near in a piece of the hash (see close_hashes); that loses
+    no pair. All pairs of equal hashes are among the result; image_groups needs no such pairs."""
     with Scratch("images") as keep:
         rows = keep(images.select("full_path", "hash", "width", "height").withColumn("id", F.monotonically_increasing_id()), "rows")
         named = _named(_image_edges(rows, distance, keep), rows, ["hash"])
@@ -78,26 +137,26 @@ def _video_edges(rows: DataFrame, mean: int, keep: Scratch) -> DataFrame:
         raise ValueError("the mean distance must lie between 0 and 13")
     # two rows that are close lie within 2 s or 2 %: on this scale less than one step apart
     step = F.floor(F.log(F.col("duration_ticks") / (100.0 * text.TICKS_PER_SECOND) + 1) / 0.0203).cast("int")
-    spread = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(step).alias("steps")).first()
-    plan = search_plan(FRAMES * spread["n"], mean, min(1.0, 3 / max(1, spread["steps"])) / FRAMES, 3)
-    frames = rows.select("id", "duration_ticks", "display_aspect", F.posexplode("hashes").alias("frame", "hash"))
-    keys = lambda other, at: search_keys(F.col("hash"), plan, other, F.col("frame"), at)
-    close = lambda a, b: (
-        (hamming(F.col(f"{a}_hash"), F.col(f"{b}_hash")) <= mean)
-        & duration_close(F.col(f"{a}_duration_ticks"), F.col(f"{b}_duration_ticks"))
-        & aspect_close(F.col(f"{a}_display_aspect"), F.col(f"{b}_display_aspect"))
-    )
-    pairs = _near(frames, keep, keys(False, step), F.concat(*[keys(True, at) for at in (step - 1, step, step + 1)]), ["duration_ticks", "display_aspect", "hash"], close)
-    side = lambda x: rows.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_hashes"))
-    return keep(pairs.join(side("a"), "a").join(side("b"), "b").where(total_distance(F.col("a_hashes"), F.col("b_hashes")) <= FRAMES * mean).select("a", "b"), "edges")
+    frames = [f"hash{i}" for i in range(FRAMES)]
+    flat = rows.select("id", "duration_ticks", "display_aspect", *[F.get("hashes", F.lit(i)).alias(c) for i, c in enumerate(frames)])
+
+    def close(x: dict, y: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        hashes = lambda z: np.stack([z[c] for c in frames]).view(np.uint64)
+        for i, j in close_sums(hashes(x), hashes(y), FRAMES * mean):
+            longer = np.maximum(x["duration_ticks"][i], y["duration_ticks"][j])
+            apart = longer - np.minimum(x["duration_ticks"][i], y["duration_ticks"][j])
+            near = ((apart <= 2 * text.TICKS_PER_SECOND) | (apart <= longer // 50)) & _within(x["display_aspect"][i], y["display_aspect"][j])
+            yield i[near], j[near]
+
+    return _near(flat, step, ["duration_ticks", "display_aspect", *frames], close, keep)
 
 
 def video_pairs(videos: DataFrame, mean: int) -> DataFrame:
     """(a_path, b_path, total) of videos (full_path, hashes, display_aspect, duration_ticks) whose five hashes differ in at
     most 5 x mean bits in sum, with close durations and aspect ratios. a_path < b_path.
 
-    In a sum of at most 5 x mean some frame differs in at most mean bits, so pieces of each frame (see search_plan) lose no
-    pair. Durations join by steps on a logarithmic scale, each row in its own and the next, so far lengths never meet."""
+    Durations meet by steps on a logarithmic scale, each in its own and the next, so far lengths never meet. Of what meets
+    every sum is looked at, no further than two frames where these are over it (see close_sums)."""
     with Scratch("videos") as keep:
         rows = keep(videos.select("full_path", "hashes", "display_aspect", "duration_ticks").withColumn("id", F.monotonically_increasing_id()), "rows")
         named = _named(_video_edges(rows, mean, keep), rows, ["hashes"])

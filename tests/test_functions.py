@@ -79,6 +79,24 @@ def test_work_grows_much_slower_than_pairs():
         assert work == sorted(work) and work[-1] < work[0] * 10**3.2  # a hundred-thousandfold table; all pairs would be 10**5
 
 
+def test_arrays_of_hashes_meet_as_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    shapes = [None, *([(at * 64 // k, (at + 1) * 64 // k - at * 64 // k) for at in range(k)] for k in (4, 7, 13))]
+    for distance, shape in [(d, s) for d in (4, 8, 12) for s in shapes if not s or len(s) <= d + 1]:
+        if shape:
+            monkeypatch.setattr(perceptual, "_pieces", lambda *_, shape=shape: shape)
+        monkeypatch.setattr(perceptual, "TILE", 500)
+        centres = rng.integers(0, 1 << 64, 9, dtype=np.uint64)
+        a, b = (centres[rng.integers(0, 9, n)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (7, n), dtype=np.uint64)) for n in (150, 200))
+        got = [(x, y) for i, j in perceptual.close_hashes(a, b, distance) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        want = set(map(tuple, np.argwhere(np.bitwise_count(a[:, None] ^ b[None, :]) <= distance).tolist()))
+        assert len(got) == len(set(got)) and set(got) == want
+        monkeypatch.undo()
+    frames = [centres[rng.integers(0, 9, (5, n))] for n in (60, 70)]
+    got = {(x, y) for i, j in perceptual.close_sums(*frames, 60) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == set(map(tuple, np.argwhere(np.bitwise_count(frames[0][:, :, None] ^ frames[1][:, None, :]).sum(0) <= 60).tolist()))
+
+
 def test_spans_and_numbers(spark):
     ticks = [0, 1, -15_000_000, 864_000_000_000, 36_610_000_001]
     rows = values(spark, [(t,) for t in ticks], "t long", text.span_text(F.col("t")))

@@ -91,6 +91,20 @@ def test_many_copies_of_one_picture(spark):
     assert len(got) == 3001 and {r["group_id"] for r in got} == {"image-0001"} and got[0]["full_path"] == "/z"
 
 
+def test_blocks_of_pictures_and_videos_meet(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_LEAST", 1)
+    monkeypatch.setattr(similarity, "BLOCK_MOST", 12)
+    s = 10_000_000
+    images = [(f"/{i:03}", (1 << i % 9) - 1, 100, 100) for i in range(60)]
+    got = {(r[0], r[1]) for r in similarity.image_pairs(spark.createDataFrame(images, "full_path string, hash long, width int, height int"), 3).collect()}
+    assert got == {(a[0], b[0]) for a in images for b in images if a[0] < b[0] and abs(images.index(a) % 9 - images.index(b) % 9) <= 3}
+    videos = [(f"/{i:03}", [(1 << i % 9) - 1] * 5, 1.0, (10 + i) * s) for i in range(60)]
+    close = lambda i, j: abs(i % 9 - j % 9) <= 2 and (abs(i - j) <= 2 or 50 * abs(i - j) <= 10 + max(i, j))
+    found = similarity.video_pairs(spark.createDataFrame(videos, "full_path string, hashes array<long>, display_aspect double, duration_ticks long"), 2).collect()
+    got = [(r[0], r[1]) for r in found]
+    assert sorted(got) == sorted((f"/{i:03}", f"/{j:03}") for j in range(60) for i in range(j) if close(i, j))
+
+
 def test_video_durations(spark):
     s = 10_000_000
     schema = "full_path string, hashes array<long>, display_aspect double, duration_ticks long"
