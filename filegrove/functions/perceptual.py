@@ -161,7 +161,7 @@ def _keyed(number: Column, piece: Column, more: tuple[Column, ...]):
 
 
 #: Meetings that are compared at once, and what finding a value's rows and a piece of them costs, in meetings.
-TILE, VALUE_WORK, SLICE_WORK = 1 << 18, 10_000, 300
+TILE, VALUE_WORK, SLICE_WORK = 1 << 16, 10_000, 300
 
 
 def _pieces(rows: int, others: int, distance: int) -> list[tuple[int, int]]:

@@ -90,12 +90,12 @@ def exact_waves(spark, sf_dir):
 
 @query(_MEMBERS + " SELECT full_path, first_path, mem.size_bytes FROM mem JOIN grp USING (content)")
 def exact_verified(spark, sf_dir):
-    """Digests of three bits, which agree by chance; bytes tell contents apart."""
+    """Digests of three bits, which agree by chance: longer ones tell most contents apart, bytes what is left."""
     admitted = exact.admitted(_files(spark, sf_dir), hidden=True, system=True)
-    files, (_, compare, parts) = _held(admitted)
+    files, (digests, compare, parts) = _held(admitted)
     weak = admitted.select("full_path", F.pmod(F.crc32(F.col("content").cast("binary")), F.lit(8)).cast("string").alias("digest"))
     # identities go by content, so names of one file are told apart afterwards
-    found, _ = exact.verified(exact.several(files.join(weak, "full_path"), ["size_bytes", "digest"]), compare, parts)
+    found, _ = exact.verified(exact.several(files.join(weak, "full_path"), ["size_bytes", "digest"]), compare, parts, digests)
     members = exact.one_of_each(found)
     return members.join(exact.groups(members).select("size_bytes", "digest", "first_path"), ["size_bytes", "digest"]).select("full_path", "first_path", "size_bytes")
 

@@ -73,6 +73,22 @@ def test_digests_that_collide_are_told_apart(spark, tmp_path):
     assert empty.count() == none.count() == 0
 
 
+def test_many_contents_of_one_digest_take_few_rounds(spark, tmp_path):
+    files = listed(spark, tmp_path, **{f"f{i}{x}": bytes([i]) * 50 for i in range(12) for x in "ab"}, **{f"late{i}": b"z" * 49 + bytes([i]) for i in range(9)})
+    parts, rounds = (lambda size: F.greatest(F.ceil(size / 7), F.lit(1))), []
+
+    def compare(pairs, first, last):
+        rounds.extend([1] if first == 0 else [])
+        return contents.comparisons(pairs, first, last, 7)
+
+    members, skipped = exact.verified(files.withColumn("digest", F.lit("one")), compare, parts, lambda f, a, b: contents.digests(f, a, b, 7))
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(r["digest"], []).append(r["full_path"].rsplit("/", 1)[1])
+    assert sorted(map(sorted, groups.values())) == sorted([f"f{i}a", f"f{i}b"] for i in range(12)) and skipped.count() == 0
+    assert len(rounds) == 1
+
+
 def test_files_that_change_or_cannot_be_read_are_skipped_with_a_reason(spark, tmp_path):
     files = listed(spark, tmp_path, a=b"1" * 40, b=b"1" * 40, c=b"1" * 40, gone=b"1" * 40, grown=b"1" * 40)
     files = spark.createDataFrame(files.collect(), files.schema)  # as they were listed
