@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from filegrove.functions import paths, signatures, text
 from filegrove.functions.paths import ordinary, path_order
+from filegrove.operators.tables import stored
 from filegrove.sources.archives import zip_status
 
 #: Ends of names of temporary files (fixed values).
@@ -149,6 +151,7 @@ REASONS = (
 )
 _CONTROL = {*map(chr, range(32)), "\x7f"}
 _TURNS = {*map(chr, range(0x202A, 0x202F)), *map(chr, range(0x2066, 0x206A))}
+_HIDDEN, _INVALID = _CONTROL | _TURNS, {*INVALID}
 _DEVICES = {*paths.DEVICES}
 
 
@@ -167,13 +170,18 @@ def _strip_end(name: str) -> str:
     return name[:end]
 
 
+@lru_cache(1 << 16)
+def _piece(c: str) -> tuple[str, str] | None:
+    """A character as written and as inspected, safe; None for controls."""
+    seen = unicodedata.normalize("NFKC", c)
+    if not _HIDDEN.isdisjoint(seen):
+        return None
+    return (c, seen) if _INVALID.isdisjoint(seen) else ("_", "_")
+
+
 def _cleaned(name: str) -> list[tuple[str, str]]:
     """(as written, as inspected) pieces of a name, safe: controls go, invalid characters become "_", ends are trimmed."""
-    pieces = []
-    for c in name:
-        seen = unicodedata.normalize("NFKC", c)
-        if not (_CONTROL | _TURNS).intersection(seen):
-            pieces.append(("_", "_") if set(INVALID).intersection(seen) else (c, seen))
+    pieces = [piece for c in name if (piece := _piece(c))]
     while pieces and pieces[0][1][:1].isspace():
         rest = pieces[0][1].lstrip()
         pieces[:1] = [(rest, rest)] if rest else []
@@ -193,7 +201,7 @@ def name_reasons(name: str) -> list[str]:
     wrong = (
         bool(chars & _CONTROL),
         bool(chars & _TURNS),
-        bool(chars & set(INVALID)),
+        bool(chars & _INVALID),
         seen[:1].isspace() or seen[-1:].isspace(),
         seen.rstrip().endswith("."),
         _device(seen),
@@ -230,6 +238,8 @@ def suspicious(name: Column) -> Column:
 def bad_names(files: DataFrame) -> DataFrame:
     """Ordinary files with a name that Windows or people stumble over, the reasons in order, and a better name.
 
-    An expression passes over plain names; only the others go to Python."""
-    rows = files.where(ordinary(F.col("attributes")) & suspicious(F.col("file_name"))).withColumn("_seen", _inspect("file_name")).where("_seen.reasons IS NOT NULL")
-    return _finding(rows, "File", F.col("_seen.reasons"), {"CurrentName": F.col("file_name")}, F.col("_seen.suggestion")).orderBy(*path_order("full_path"))
+    An expression passes over plain names; only the others go to Python. They are written before they are sifted
+    and sorted: a filter is pushed down and a sort samples its rows, so each name would be inspected four times."""
+    rows = files.where(ordinary(F.col("attributes")) & suspicious(F.col("file_name"))).withColumn("_seen", _inspect("file_name"))
+    found = _finding(rows, "File", F.col("_seen.reasons"), {"CurrentName": F.col("file_name")}, F.col("_seen.suggestion"))
+    return stored(found, "bad-names").where("reason IS NOT NULL").orderBy(*path_order("full_path"))
