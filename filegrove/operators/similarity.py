@@ -222,8 +222,14 @@ def _described(rows: DataFrame, said: dict[str, str | Column], group: dict[str,
 def music_keys(tracks: DataFrame, ready: bool = False) -> tuple[DataFrame, DataFrame]:
     """(candidates with title_key and artist_key, skipped: path, reason). ready: titles and artists are in compatibility
     form, so that no Python runs."""
-    key = (lambda c: text.spelled(F.coalesce(c, F.lit("")))) if ready else text.search_key
-    rows = tracks.withColumns({"title_key": key(F.col("title")), "_a": key(F.col("artist")), "_b": key(F.col("album_artist"))})
+    def keyed(some: DataFrame, key: Callable[[Column], Column]) -> DataFrame:
+        return some.withColumns({"title_key": key(F.col("title")), "_a": key(F.col("artist")), "_b": key(F.col("album_artist"))})
+
+    as_is = lambda c: text.spelled(F.coalesce(c, F.lit("")))
+    plain = F.lit(True) if ready else ~F.concat_ws("", "title", "artist", "album_artist").rlike(r"[^\x00-\x7F]")
+    rows = keyed(tracks.where(plain), as_is)
+    if not ready:  # a branch of an expression would send all rows to Python
+        rows = rows.unionByName(keyed(tracks.where(~plain), text.search_key))
     rows = rows.withColumn("artist_key", F.when(F.col("_a") != "", F.col("_a")).otherwise(F.col("_b"))).withColumn("chosen_artist", F.when(F.col("_a") != "", F.col("artist")).otherwise(F.col("album_artist")))
     reason = F.when(~F.coalesce(F.col("duration_ticks") > 0, F.lit(False)), "Could not read music metadata.").when((F.col("title_key") == "") | (F.col("artist_key") == ""), "Required music metadata is missing.")
     rows = rows.withColumn("_reason", reason).drop("_a", "_b")

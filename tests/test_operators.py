@@ -4,8 +4,10 @@ import io
 import json
 import os
 import struct
+import unicodedata
 import zipfile
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,6 +107,37 @@ def test_blocks_of_pictures_and_videos_meet(spark, monkeypatch):
     assert sorted(got) == sorted((f"/{i:03}", f"/{j:03}") for j in range(60) for i in range(j) if close(i, j))
 
 
+def test_plain_tracks_stay_out_of_python(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(texts: pd.Series) -> pd.Series:
+        seen.add(len(texts))
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t))
+
+    monkeypatch.setattr(similarity.text, "compatible", counted)
+    rows = [(f"/{i}", f"Song {i}!", None, "Who", 5) for i in range(50)] + [("/w", "Ｓｏｎｇ　１", "Ｗｈｏ", None, 5), ("/x", "é", "...", "", 5)]
+    tracks = spark.createDataFrame(rows, "full_path string, title string, artist string, album_artist string, duration_ticks long").coalesce(1)
+    good, skipped = similarity.music_keys(tracks)
+    got = {r["full_path"]: (r["title_key"], r["artist_key"]) for r in good.collect()}
+    assert len(got) == 51 and got["/1"] == got["/w"] == ("song 1", "who") and [r["path"] for r in skipped.collect()] == ["/x"]
+    assert 0 < seen.value < 50
+
+
+def test_names_are_inspected_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("reasons string, suggestion string")
+    def inspect(names: pd.Series) -> pd.DataFrame:
+        seen.add(len(names))
+        return pd.DataFrame({"reasons": ["bad"] * len(names), "suggestion": names})
+
+    monkeypatch.setattr(findings, "_inspect", inspect)
+    files = spark.range(100, numPartitions=4).select(F.format_string("/%03d", "id").alias("full_path"), F.lit("a?").alias("file_name"), F.lit(0).alias("attributes"), *[F.lit(1).cast("long").alias(c) for c in ("size_bytes", "created_ticks", "modified_ticks")])
+    assert tables.placed(findings.bad_names(files)).count() == 100
+    assert seen.value == 100
+
+
 def test_video_durations(spark):
     s = 10_000_000
     schema = "full_path string, hashes array<long>, display_aspect double, duration_ticks long"
