@@ -160,17 +160,19 @@ def _keyed(number: Column, piece: Column, more: tuple[Column, ...]):
     return lambda mask: F.xxhash64(number, piece.bitwiseXOR(mask), *more)
 
 
-#: Meetings that are compared at once, and what finding a value's rows and a piece of them costs, in meetings.
-TILE, VALUE_WORK, SLICE_WORK = 1 << 16, 10_000, 300
+#: Meetings that are compared at once, and what finding a value's rows, a piece of them and one of them costs, in meetings.
+TILE, VALUE_WORK, SLICE_WORK, ROW_WORK = 1 << 16, 20_000, 30, 3
+#: Found pairs that are given at once, about.
+GIVEN = 1 << 14
 
 
 def _pieces(rows: int, others: int, distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the pieces that cost least: hashes that differ in at most distance bits differ in at most
-    distance // pieces bits of one piece, so only those that are that near in a piece need to meet."""
+    """(first bit, bits) of the pieces that cost least: hashes that differ in at most distance bits are near in a piece (see
+    _radii), so only those that are near in one need to meet."""
 
     def cost(pieces: list[tuple[int, int]]) -> float:
-        near = [sum(math.comb(bits, i) for i in range(distance // len(pieces) + 1)) for _, bits in pieces]
-        return sum(n / 2**bits * rows * others + min(rows, 2**bits) * (VALUE_WORK + SLICE_WORK * n) for n, (_, bits) in zip(near, pieces))
+        near = [(bits, sum(math.comb(bits, i) for i in range(radius + 1))) for (_, bits), radius in zip(pieces, _radii(distance, len(pieces)))]
+        return sum(n / 2**bits * others * (rows + min(rows, 2**bits) * ROW_WORK) + min(rows, 2**bits) * (VALUE_WORK + SLICE_WORK * n) for bits, n in near)
 
     shapes = [[(0, 0)]]  # all meet all
     for k in range(4, distance + 2):
@@ -179,33 +181,60 @@ def _pieces(rows: int, others: int, distance: int) -> list[tuple[int, int]]:
     return min(shapes, key=cost)
 
 
+def _radii(distance: int, pieces: int) -> list[int]:
+    """In how many bits each piece may differ. Hashes that differ in more bits of every piece differ in distance + 1 bits at
+    least, as the radii and a bit more for each piece come to that; so no pair is lost. The first pieces are the wider ones."""
+    return [(distance + 1) // pieces - (0 if i < (distance + 1) % pieces else 1) for i in range(pieces)]
+
+
 def close_hashes(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The places in a and in b of hashes (uint64) that differ in at most distance bits, each pair once, some at a time."""
     pieces = _pieces(len(a), len(b), distance)
-    radius = distance // len(pieces)
+    radii = _radii(distance, len(pieces))
     masks = [np.uint64(((1 << bits) - 1) << first) for first, bits in pieces]
+    room, counts = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8)
+    found, n = [], 0
     for at, (first, bits) in enumerate(pieces):
         piece = lambda x: ((x & masks[at]) >> np.uint64(first)).astype(np.int64)  # noqa: B023, E731
         of_a, of_b = piece(a), piece(b)
         order_a, order_b = np.argsort(of_a, kind="stable"), np.argsort(of_b, kind="stable")
         start_a, start_b = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=1 << bits))]) for x in (of_a, of_b))
-        flips = np.array([sum(1 << x for x in some) for n in range(min(radius, bits) + 1) for some in combinations(range(bits), n)], np.int64)
+        sorted_a, sorted_b = a[order_a], b[order_b]
+        flips = np.array([sum(1 << x for x in some) for size in range(min(radii[at], bits) + 1) for some in combinations(range(bits), size)], np.int64)
         for value in np.flatnonzero(np.diff(start_a)):
             beside = value ^ flips
-            runs = [order_b[s:e] for s, e in zip(start_b[beside].tolist(), start_b[beside + 1].tolist()) if e > s]
-            if not runs:
+            others = _runs(start_b[beside], start_b[beside + 1])
+            if not len(others):
                 continue
-            others, rows = np.concatenate(runs), order_a[start_a[value] : start_a[value + 1]]
-            for i, j in _tiles(len(rows), len(others)):
-                ours, theirs = rows[i], others[j]
-                differ = a[ours][:, None] ^ b[theirs][None, :]
-                hits = np.flatnonzero((np.bitwise_count(differ) <= distance).ravel())
+            ours, theirs = sorted_a[start_a[value] : start_a[value + 1]], sorted_b[others]
+            for i, j in _tiles(len(ours), len(theirs)):
+                shape = len(ours[i]), len(theirs[j])
+                size = shape[0] * shape[1]
+                differ = np.bitwise_xor(ours[i][:, None], theirs[j], out=room[:size].reshape(shape)).ravel()
+                hits = np.flatnonzero(np.bitwise_count(differ, out=counts[:size]) <= distance)
                 if len(hits):
-                    bits_of = differ.ravel()[hits]
-                    for mask in masks[:at]:  # met before, in an earlier piece
+                    bits_of = differ[hits]
+                    for mask, radius in zip(masks[:at], radii):  # met before, in an earlier piece
                         new = np.bitwise_count(bits_of & mask) > radius
                         hits, bits_of = hits[new], bits_of[new]
-                    yield ours[hits // len(theirs)], theirs[hits % len(theirs)]
+                    found.append((order_a[start_a[value] + i.start + hits // shape[1]], order_b[others[j.start + hits % shape[1]]]))
+                    n += len(hits)
+                    if n >= GIVEN:
+                        yield _joined(found)
+                        found, n = [], 0
+    if n:
+        yield _joined(found)
+
+
+def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places from each start up to its end, one run behind the other."""
+    sizes = ends - starts
+    last = np.cumsum(sizes)
+    return np.arange(last[-1]) + np.repeat(starts - last + sizes, sizes)
 
 
 def _tiles(rows: int, others: int) -> Iterator[tuple[slice, slice]]:

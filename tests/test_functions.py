@@ -97,6 +97,16 @@ def test_arrays_of_hashes_meet_as_by_brute_force(monkeypatch):
     assert got == set(map(tuple, np.argwhere(np.bitwise_count(frames[0][:, :, None] ^ frames[1][:, None, :]).sum(0) <= 60).tolist()))
 
 
+def test_pieces_need_no_more_bits_than_the_distance_leaves_them(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 1 << 64, 3000, dtype=np.uint64) for _ in range(2))
+    met, tiles = [], perceptual._tiles
+    monkeypatch.setattr(perceptual, "_tiles", lambda rows, others: met.append(rows * others) or tiles(rows, others))
+    monkeypatch.setattr(perceptual, "_pieces", lambda *_: [(at * 64 // 5, (at + 1) * 64 // 5 - at * 64 // 5) for at in range(5)])
+    list(perceptual.close_hashes(a, b, 12))
+    assert sum(met) < 0.048 * 3000**2  # two bits of three pieces and one of two; two bits of each piece are 6 % of all pairs
+
+
 def test_spans_and_numbers(spark):
     ticks = [0, 1, -15_000_000, 864_000_000_000, 36_610_000_001]
     rows = values(spark, [(t,) for t in ticks], "t long", text.span_text(F.col("t")))
