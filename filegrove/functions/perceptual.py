@@ -166,8 +166,8 @@ TILE, VALUE_WORK, SLICE_WORK, ROW_WORK = 1 << 16, 20_000, 30, 3
 GIVEN = 1 << 14
 
 
-def _pieces(rows: int, others: int, distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the pieces that cost least: hashes that differ in at most distance bits are near in a piece (see
+def _pieces(rows: int, others: int, distance: int, wide: int = 64) -> list[tuple[int, int]]:
+    """(first bit, bits) of the pieces of the lowest wide bits that cost least: hashes that differ in at most distance bits are near in a piece (see
     _radii), so only those that are near in one need to meet."""
 
     def cost(pieces: list[tuple[int, int]]) -> float:
@@ -175,8 +175,8 @@ def _pieces(rows: int, others: int, distance: int) -> list[tuple[int, int]]:
         return sum(n / 2**bits * others * (rows + min(rows, 2**bits) * ROW_WORK) + min(rows, 2**bits) * (VALUE_WORK + SLICE_WORK * n) for bits, n in near)
 
     shapes = [[(0, 0)]]  # all meet all
-    for k in range(4, distance + 2):
-        edges = [i * (64 // k) + min(i, 64 % k) for i in range(k + 1)]
+    for k in range(max(1, -(-wide // 16)), min(distance + 1, wide) + 1):
+        edges = [i * (wide // k) + min(i, wide % k) for i in range(k + 1)]
         shapes.append([(a, b - a) for a, b in zip(edges, edges[1:])])
     return min(shapes, key=cost)
 
@@ -189,7 +189,8 @@ def _radii(distance: int, pieces: int) -> list[int]:
 
 def close_hashes(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The places in a and in b of hashes (uint64) that differ in at most distance bits, each pair once, some at a time."""
-    pieces = _pieces(len(a), len(b), distance)
+    a, b, wide = _varying(a, b)
+    pieces = _pieces(len(a), len(b), distance, wide)
     radii = _radii(distance, len(pieces))
     masks = [np.uint64(((1 << bits) - 1) << first) for first, bits in pieces]
     room, counts = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8)
@@ -201,6 +202,16 @@ def close_hashes(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[
         start_a, start_b = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=1 << bits))]) for x in (of_a, of_b))
         sorted_a, sorted_b = a[order_a], b[order_b]
         flips = np.array([sum(1 << x for x in some) for size in range(min(radii[at], bits) + 1) for some in combinations(range(bits), size)], np.int64)
+
+        def new(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            """The places of what no earlier piece let meet."""
+            x, y = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+            differ = sorted_a[x] ^ sorted_b[y]  # noqa: B023
+            first_met = np.ones(len(x), bool)
+            for mask, radius in zip(masks[:at], radii):  # noqa: B023
+                first_met &= np.bitwise_count(differ & mask) > radius
+            return order_a[x[first_met]], order_b[y[first_met]]  # noqa: B023
+
         for value in np.flatnonzero(np.diff(start_a)):
             beside = value ^ flips
             others = _runs(start_b[beside], start_b[beside + 1])
@@ -213,21 +224,29 @@ def close_hashes(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[
                 differ = np.bitwise_xor(ours[i][:, None], theirs[j], out=room[:size].reshape(shape)).ravel()
                 hits = np.flatnonzero(np.bitwise_count(differ, out=counts[:size]) <= distance)
                 if len(hits):
-                    bits_of = differ[hits]
-                    for mask, radius in zip(masks[:at], radii):  # met before, in an earlier piece
-                        new = np.bitwise_count(bits_of & mask) > radius
-                        hits, bits_of = hits[new], bits_of[new]
-                    found.append((order_a[start_a[value] + i.start + hits // shape[1]], order_b[others[j.start + hits % shape[1]]]))
+                    found.append((start_a[value] + i.start + hits // shape[1], others[j.start + hits % shape[1]]))
                     n += len(hits)
                     if n >= GIVEN:
-                        yield _joined(found)
+                        yield new(found)
                         found, n = [], 0
-    if n:
-        yield _joined(found)
-
-
-def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        if n:
+            yield new(found)
+            found, n = [], 0
+
+
+def _varying(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """a and b with only the bits in which any two of them differ, as the lowest ones, and how many these are. Distances stay
+    the same; a piece of bits that are all alike would tell nothing apart."""
+    both = np.concatenate([a[:1], b[:1]])
+    differ = int(np.bitwise_or.reduce(a ^ both[0]) | np.bitwise_or.reduce(b ^ both[0])) if len(both) else 0
+    bits = [i for i in range(64) if differ >> i & 1]
+    if len(bits) == 64:
+        return a, b, 64
+    out = [np.zeros(len(x), np.uint64) for x in (a, b)]
+    for x, y in zip((a, b), out):
+        for at, bit in enumerate(bits):
+            y |= (x >> np.uint64(bit) & np.uint64(1)) << np.uint64(at)
+    return *out, len(bits)
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

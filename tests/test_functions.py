@@ -107,6 +107,25 @@ def test_pieces_need_no_more_bits_than_the_distance_leaves_them(monkeypatch):
     assert sum(met) < 0.048 * 3000**2  # two bits of three pieces and one of two; two bits of each piece are 6 % of all pairs
 
 
+def test_bits_that_are_all_alike_are_in_no_piece(monkeypatch):
+    rng = np.random.default_rng(5)
+    met, tiles = [], perceptual._tiles
+    monkeypatch.setattr(perceptual, "_tiles", lambda rows, others: met.append(rows * others) or tiles(rows, others))
+    cut = lambda wide: [(at * wide // 4, wide // 4) for at in range(4)]
+    monkeypatch.setattr(perceptual, "_pieces", lambda *of: cut(of[3] if len(of) > 3 else 64))
+    for fixed in (0xFFFF << 48, 0x8421 << 20 | 0xFFF):
+        a, b = (rng.integers(0, 1 << 64, 3000, dtype=np.uint64) & np.uint64(~fixed & (1 << 64) - 1) | np.uint64(fixed & 0x5555555555555555) for _ in range(2))
+        b[:50] = a[:50] ^ np.uint64(0b111 << 36)
+        met.clear()
+        got = [(x, y) for i, j in perceptual.close_hashes(a, b, 8) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        want = set(map(tuple, np.argwhere(np.bitwise_count(a[:, None] ^ b[None, :]) <= 8).tolist()))
+        assert len(got) == len(want) >= 50 and set(got) == want and sum(met) < 0.1 * 3000**2  # a piece of such bits alone lets all meet
+    monkeypatch.undo()
+    same = np.full(3, 7, np.uint64)
+    assert sum(len(i) for i, _ in perceptual.close_hashes(same, same[:2], 12)) == 6
+    assert list(perceptual.close_hashes(same[:0], same[:0], 4)) == [] and list(perceptual.close_hashes(same, same[:0], 4)) == []
+
+
 def test_spans_and_numbers(spark):
     ticks = [0, 1, -15_000_000, 864_000_000_000, 36_610_000_001]
     rows = values(spark, [(t,) for t in ticks], "t long", text.span_text(F.col("t")))
