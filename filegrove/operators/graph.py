@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filegrove.operators.tables import Scratch, stored
 
+#: Edges that a task contracts at once.
+CONTRACTED = 200_000
+
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each node of edges (a, b) has one b and no b is an a: then every b is its component's least node."""
@@ -14,15 +21,54 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (a, b) as stars: each node but the least of its component, and that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        while (further := label[label] != label).any():
+            label[further] = label[label[further]]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of the same components, as stars of some edges each: a task takes CONTRACTED of its own at a time."""
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CONTRACTED:
+                yield contract(held)
+                held, n = [], 0
+        if n:
+            yield contract(held)
+
+    def contract(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _least(table["a"].to_numpy(), table["b"].to_numpy())], ["a", "b"])
+
+    return edges.mapInArrow(stars, "a long, b long")
+
+
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) of edges (a, b), a table: label is the least node that can be reached. Nodes without another are left out.
 
-    Large-star and small-star steps in turn, each an aggregate to the least neighbour and a join, until all components are
+    Where nodes are numbers, tasks first make stars of some edges each. Large-star and small-star steps in turn, each an aggregate to the least neighbour and a join, until all components are
     stars. Every step is written to the shared folder, so no plan grows and a lost executor costs one step; no list of
     neighbours is gathered anywhere, and the neighbours of one node may spread over tasks.
     """
     with Scratch(name) as keep:
-        now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        if dict(edges.dtypes)["a"] == dict(edges.dtypes)["b"] == "bigint":
+            # those of few edges are done then; of many, each part's nodes have one edge
+            both = _contracted(both.coalesce(max(1, -(-edges.count() // CONTRACTED))))
+        now = keep(both.distinct(), "edges")
         rows = now.count()
         while not _stars(now):
             # nodes without a lesser neighbour stay as they are, so a hub's edges only wait for those of others

@@ -53,8 +53,7 @@ def _near(rows: DataFrame, step: Column, columns: list[str], close: Callable[[di
     block = F.pmod(F.xxhash64("id"), F.col("_own")) + 1
     sent = dealt.join(F.broadcast(blocks), "_step").withColumn("_block", block).select("id", *columns, F.explode(F.expr(f"concat({', '.join(meetings)})")).alias("_m"))
     key = ["step", "over", "p", "q"]
-    spread = min(max(2 * tasks, 256), 4000)  # few meetings are long ones: they should not share a task by chance
-    sent = sent.select("id", *columns, "_m.*").repartition(spread, *key)
+    sent = sent.select("id", *columns, "_m.*").repartition(min(3 * tasks, 4000), *key)  # few share a task by chance
 
     def pairs(of: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))

@@ -425,6 +425,16 @@ def test_video_samples_need_five_frames(spark):
     assert [r["i"] for r in df.where(review.sound_video()).collect()] == [1]
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    asked, stars = [], graph._stars
+    monkeypatch.setattr(graph, "_stars", lambda edges: asked.append(1) or stars(edges))
+    path = spark.range(300).selectExpr("(id * 8) % 301 AS a", "(id * 8 + 8) % 301 AS b")
+    want = {(i, 0) for i in range(301)}
+    assert {tuple(r) for r in graph.connected(path).collect()} == want and len(asked) == 1
+    monkeypatch.setattr(graph, "CONTRACTED", 60)  # stars of several tasks
+    assert {tuple(r) for r in graph.connected(path.repartition(8)).collect()} == want
+
+
 def test_components_after_nodes_went(spark):
     import random
 
