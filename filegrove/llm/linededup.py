@@ -68,10 +68,11 @@ def _constant(tokens: Column, tree: Tree) -> Column:
     return F.ceil(tokens * tree.constant_share).cast("int")
 
 
-def _sent(rows: DataFrame, width: int = 2) -> DataFrame:
+def _sent(rows: DataFrame, width: int = 2, most: int | None = None) -> DataFrame:
     """A table of width numbers (8 bytes each) a row, for a join: to all tasks up to BROADCAST_LINES rows of two numbers, by a
-    shuffle beyond."""
-    return F.broadcast(rows) if rows.count() * width <= 2 * BROADCAST_LINES else rows
+    shuffle beyond. most: it has no more rows, if known; where these are few enough, they needn't be counted."""
+    few = most is not None and most * width <= 2 * BROADCAST_LINES
+    return F.broadcast(rows) if few or rows.count() * width <= 2 * BROADCAST_LINES else rows
 
 
 def _rarest(words: DataFrame, tree: Tree, keep: Scratch, n: int) -> DataFrame:
@@ -87,37 +88,37 @@ def _rarest(words: DataFrame, tree: Tree, keep: Scratch, n: int) -> DataFrame:
     return keep(shared.select("template", "rank", F.explode(F.slice("keys", 1, F.greatest(most, F.lit(0)).cast("int"))).alias("x")).select("template", "rank", "x.key"), "rarest", 10 * n)
 
 
-def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
-    """(line, template) hashes, a table: which lines agree with which templates of their leaf.
+def _generalised(lines: DataFrame, templates: DataFrame, tree: Tree, keep: Scratch, n: int) -> DataFrame:
+    """(line, template) hashes, a table: which lines agree with which of the n templates of their leaf.
 
     Lines are compared only where they share one of their rarest tokens. In each round the lines that come before all others
     that they share such a token with become templates; who agrees with one leaves, the others wait for the next round. So
     every pair that is compared has a template in it, and no line is left without one."""
-    n = templates.count()
     wide = templates.where(F.col("tokens") >= max(tree.min_tokens, tree.depth + 1))
     # a leaf with a single line, or with too few texts, has nothing to generalise
     leaves = keep(wide.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= tree.min_docs)).select("leaf"), "leaves", n)
-    some = keep(wide.join(_sent(leaves), "leaf", "left_semi"), "some", n)
-    n = some.count()
-    words = lines.select("id", "line").join(_sent(some, 5), "id")
+    some = keep(wide.join(_sent(leaves, most=n), "leaf", "left_semi"), "some", n)
+    n_some = n = some.count()
+    words = lines.select("id", "line").join(_sent(some, 5, n), "id")
     rank = F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long") + F.when(F.col("texts") >= tree.min_docs, 1 << 60).otherwise(0)
     words = keep(words.select("template", "tokens", rank.alias("rank"), F.split("line", " ").alias("words"), "leaf"), "words", 10 * n)
     rarest = _rarest(words, tree, keep, n)
-    left, found, total = rarest, [], 0
-    side = lambda pairs, name, column: words.join(_sent(pairs.select(F.col(name).alias("template")).distinct()), "template", "left_semi").select(F.col("template").alias(name), "tokens", F.col("words").alias(column))
+    left, found, total, n_rarest = rarest, [], 0, None
+    side = lambda pairs, name, column: words.join(_sent(pairs.select(F.col(name).alias("template")).distinct(), most=n_some), "template", "left_semi").select(F.col("template").alias(name), "tokens", F.col("words").alias(column))
     agree = F.size(F.filter(F.zip_with("words", "others", lambda a, b: a == b), lambda same: same))
     while (n := left.count()):
+        n_rarest = n_rarest or n
         first = left.groupBy("key").agg(F.max(F.struct("rank", "template")).alias("first"))
-        leads = left.join(_sent(first, 3), "key").groupBy("template").agg(F.min((F.col("template") == F.col("first.template")).cast("int")).alias("leads"))
+        leads = left.join(_sent(first, 3, n), "key").groupBy("template").agg(F.min((F.col("template") == F.col("first.template")).cast("int")).alias("leads"))
         led = keep(leads.where("leads = 1").select(F.col("template").alias("family")), "led", n)
-        met = keep(rarest.join(_sent(rarest.join(_sent(led.withColumnRenamed("family", "template")), "template", "left_semi").select("key", F.col("template").alias("family"))), "key").where("template <> family").select("template", "family").distinct(), "met", n)
+        met = keep(rarest.join(_sent(rarest.join(_sent(led.withColumnRenamed("family", "template"), most=n), "template", "left_semi").select("key", F.col("template").alias("family")), most=n_rarest), "key").where("template <> family").select("template", "family").distinct(), "met", n)
         few = 10 * met.count()
         total += few
         pairs = met.join(side(met, "template", "words"), "template").join(side(met, "family", "others").drop("tokens"), "family")
         agreed = keep(pairs.where(agree >= _constant(F.col("tokens"), tree)).select("template", "family"), "agreed", few)
         found.append(agreed)
         settled = led.select(F.col("family").alias("template")).unionByName(agreed.select("template")).distinct()
-        now = keep(left.join(_sent(settled), "template", "left_anti"), "left", n)
+        now = keep(left.join(_sent(settled, most=n_some), "template", "left_anti"), "left", n)
         keep.drop(led, met, *([left] if left is not rarest else []))
         left = now
     keep.drop(leaves, some, words)
@@ -138,34 +139,36 @@ def _alike(pairs: DataFrame, texts: DataFrame, tree: Tree, keep: Scratch) -> Dat
     (as many as its share of the text), are b's."""
     n = pairs.count()
     some = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    told = keep(texts.join(_sent(keep(some, "compared", n), 3), "key", "left_semi").dropDuplicates(["key"]).select("key", _shingles(F.col("text")).alias("shingles")), "shingles")
-    side = lambda x: told.join(_sent(pairs.select(F.col(x).alias("key")).distinct(), 3), "key", "left_semi")
+    told = keep(texts.join(_sent(keep(some, "compared", n), 3, 2 * n), "key", "left_semi").dropDuplicates(["key"]).select("key", _shingles(F.col("text")).alias("shingles")), "shingles")
+    side = lambda x: told.join(_sent(pairs.select(F.col(x).alias("key")).distinct(), 3, n), "key", "left_semi")
     lead = keep(side("b").select(F.col("key").alias("b"), F.col("shingles").alias("others")), "led-shingles", n)
     few = lead.agg(F.coalesce(F.sum(F.size("others") * 2 + 8), F.lit(0))).first()[0] <= BROADCAST_NUMBERS
-    met = side("a").withColumnRenamed("key", "a").join(_sent(pairs, 5), "a").join(F.broadcast(lead) if few else lead, "b")
+    met = side("a").withColumnRenamed("key", "a").join(_sent(pairs, 5, n), "a").join(F.broadcast(lead) if few else lead, "b")
     total = F.size("shingles").cast("long")
     common = F.size(F.array_intersect("shingles", "others")).cast("long")
     return met.where((total > 0) & (common * F.col("whole") - total * F.col("most") >= total * (F.col("whole") - F.col("most")) * tree.word_share)).select("a", "b")
 
 
-def recurring_templates(lines: DataFrame, texts: DataFrame, tree: Tree, keep: Scratch) -> DataFrame:
-    """The templates (hashes) of lines that recur, each once. texts: (key, text).
+def recurring_templates(lines: DataFrame, texts: DataFrame, tree: Tree, keep: Scratch, n_lines: int) -> DataFrame:
+    """The templates (hashes) of lines that recur, each once. texts: (key, text); n_lines: rows of lines.
 
     Each line with its numbers as wildcards and each template is a set of lines. A set recurs if its lines stand in min_docs different
     texts that aren't copies. Of each set the text with the least key leads, and texts are held against the leaders of the
     sets that they share in; linked texts are one class."""
     seen = lines.select("template", "leaf", "tokens", "key", "id").groupBy("template", "leaf", "tokens", "key").agg(F.min("id").alias("id"))
-    templates = keep(seen.groupBy("template", "leaf", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("texts")), "templates", lines.count())
-    other = _generalised(lines, templates, tree, keep)
+    templates = keep(seen.groupBy("template", "leaf", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("texts")), "templates", n_lines)
+    n_templates = templates.count()
+    other = _generalised(lines, templates, tree, keep, n_templates)
     alone = templates.where(F.col("texts") >= tree.min_docs).select("template", F.col("template").alias("family"))
     # a family is named by one of its templates, which belongs to it even where it doesn't recur by itself
-    member = keep(other.unionByName(alone).unionByName(other.select(F.col("family").alias("template"), "family")).distinct(), "members", templates.count() + 3 * other.count())
-    places = keep(lines.join(_sent(member.select("template").distinct()), "template", "left_semi").groupBy("template", "key", "place", "whole").agg(F.max("chars").alias("chars")), "places", lines.count())
+    member = keep(other.unionByName(alone).unionByName(other.select(F.col("family").alias("template"), "family")).distinct(), "members", n_templates + 3 * other.count())
+    n_member = member.count()
+    places = keep(lines.join(_sent(member.select("template").distinct(), most=n_member), "template", "left_semi").groupBy("template", "key", "place", "whole").agg(F.max("chars").alias("chars")), "places", n_lines)
     n = places.count()
-    found = places.join(_sent(member), "template")
+    found = places.join(_sent(member, most=n_member), "template")
     sets = found.select("family", "key").distinct().groupBy("family").agg(F.min("key").alias("leader"), F.count("*").alias("texts"))
     sets = keep(sets.where(F.col("texts") >= tree.min_docs).drop("texts"), "sets", 2 * n)
-    within = keep(found.join(_sent(sets, 3), "family").select("family", "leader", "key", "place", "whole", "chars"), "within", 2 * n)
+    within = keep(found.join(_sent(sets, 3, n_member), "family").select("family", "leader", "key", "place", "whole", "chars"), "within", 2 * n)
     own = keep(within.groupBy("family", "leader", "key", "whole").agg(F.sum("chars").alias("own")), "own", 2 * n)
     held = within.groupBy("key", "leader", "place", "whole").agg(F.max("chars").alias("chars")).groupBy("key", "leader", "whole").agg(F.sum("chars").alias("shared"))
     most = own.groupBy("key", "leader").agg(F.max("own").alias("most"))
@@ -173,7 +176,7 @@ def recurring_templates(lines: DataFrame, texts: DataFrame, tree: Tree, keep: Sc
     rest = F.col("whole") - F.col("most")
     beside = F.col("shared") - F.col("most")
     linked = (beside >= rest * tree.link_share) & (F.col("covered") - F.col("most") >= rest * tree.copy_share)
-    met = held.join(most, ["key", "leader"]).join(_sent(keep(covered, "covered", n), 3), "key").where((rest > 0) & (beside > 0) & (F.col("key") != F.col("leader")))
+    met = held.join(most, ["key", "leader"]).join(_sent(keep(covered, "covered", n), 3, n), "key").where((rest > 0) & (beside > 0) & (F.col("key") != F.col("leader")))
     near = keep(met.select(F.col("key").alias("a"), F.col("leader").alias("b"), "whole", "most", beside.alias("beside"), linked.alias("linked")), "near", 2 * n)
     best = F.max(F.struct("beside", "b", "whole", "most")).alias("x")
     open_ = keep(near.groupBy("a").agg(F.max("linked").alias("linked"), best).where("NOT linked").select("a", "x.b", "x.whole", "x.most"), "open", n)
@@ -182,7 +185,7 @@ def recurring_templates(lines: DataFrame, texts: DataFrame, tree: Tree, keep: Sc
     unit = F.when(F.col("whole") == F.col("own"), F.lit(b"")).otherwise(F.coalesce("label", "key"))
     counted = own.join(_sent(classes, 4), "key", "left").select("family", unit.alias("unit")).distinct().groupBy("family").agg(F.count("*").alias("units"))
     recurring = keep(counted.where(F.col("units") >= tree.min_docs).select("family"), "recurring", 2 * n)
-    return member.join(_sent(recurring), "family", "left_semi").select("template").distinct()
+    return member.join(_sent(recurring, most=n_member), "family", "left_semi").select("template").distinct()
 
 
 def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(), dropped: str = "dropped_lines") -> DataFrame:
@@ -198,7 +201,7 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", tree: Tree = Tree(),
         lines = keep(_lines(df, text, tree), "parsed")
         n = lines.count()
         texts = df.select(text_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
-        gone = keep(recurring_templates(lines, texts, tree, keep), "gone", n)
+        gone = keep(recurring_templates(lines, texts, tree, keep, n), "gone", n)
         key, flags = fresh(df, "line_key", "line_places")
         places = lines.join(_sent(gone), "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(flags))
         decided = stored(places.withColumnRenamed("key", key), "line-decisions", n)

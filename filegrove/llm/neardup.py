@@ -182,17 +182,17 @@ def with_bits(sets: DataFrame, plan: Plan) -> DataFrame:
     return map_arrow(sets.select("id", "shingles"), kernel, "id long, bits array<long>")
 
 
-def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of sets with one of these ids (distinct). Up to BROADCAST_IDS they go to all tasks, so that no set is
+def _only(sets: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The rows of sets with one of these ids (distinct, and no more than most). Up to BROADCAST_IDS they go to all tasks, so that no set is
     shuffled only to be dropped."""
-    few = ids.count() <= BROADCAST_IDS
+    few = most <= BROADCAST_IDS or ids.count() <= BROADCAST_IDS
     return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan, keep: Scratch, rows: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", 2 * rows)
-    some = _only(sets, ids)
+    some = _only(sets, ids, 2 * rows)
     whole = lambda x: some.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set"))
     both = pairs.join(whole("a"), "a").join(whole("b"), "b")
     shared, sizes = F.size(F.array_intersect("a_set", "b_set")), F.col("a_n") + F.col("b_n")
@@ -260,8 +260,8 @@ def links(docs: DataFrame, plan: Plan, keep: Scratch) -> tuple[DataFrame, DataFr
     n_shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     live = keep(_linkable(sets, plan), "linkable", n_shingles)
     for _ in range(1, plan.sieves):
-        live = keep(_linkable(_only(sets, live.select("id")), plan), "linkable", n_shingles)
-    live = keep(live.join(with_bits(_only(sets, live.select("id")), plan), "id"), "bits", 300 * live.count())
+        live = keep(_linkable(_only(sets, live.select("id"), n), plan), "linkable", n_shingles)
+    live = keep(live.join(with_bits(_only(sets, live.select("id"), n), plan), "id"), "bits", 300 * live.count())
     buckets = keep(_shared(hits.join(nodes, "node").select("band", "id").join(live.select("id"), "id", "left_semi")), "shared", n_hits)
     # a text that meets many others in its buckets is near the middle of a group: it leads first
     sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import itertools
 import shutil
 import tempfile
 import threading
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: Rows of one file where the number of rows is known. Small tables go to few files: each costs a task, and on a local file
 #: system also two processes that set its permissions.
 FILE_ROWS = 50_000
+#: Tables after which the driver's garbage is collected.
+COLLECT_AFTER = 8
+_WRITTEN = itertools.count(1)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,12 +55,22 @@ def shuffles_released(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def garbage_collected(spark: SparkSession) -> None:
+    """Collects the garbage of plans that have run. A computation of many small queries leaves so much that the driver's heap
+    would otherwise grow to its limit, and the rest of its memory (code, classes, stacks) comes on top; a full collection
+    gives back what the heap doesn't need."""
+    gc.collect()  # what Python refers to in the driver
+    spark.sparkContext._jvm.System.gc()
+
+
 def _write(df: DataFrame, name: str, rows: int | None, compression: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    if next(_WRITTEN) % COLLECT_AFTER == 0:
+        garbage_collected(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 

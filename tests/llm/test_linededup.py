@@ -196,3 +196,16 @@ def test_a_long_text(spark, docs):
     long = "\n".join(f"line number {i} {'x' * (i % 7)}" if i % 2 else f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'ABCDEFGHIJ'[i // 100 % 10]}{'KLMNOPQRST'[i // 1000 % 10]} text" for i in range(20_000))
     texts = [long, long + "\nq", "line number 5 x\nanother thing that is longer"]
     assert [tuple(r) for r in drop_recurring_lines(docs(*texts)).orderBy("doc_id").select("text", "dropped_lines").collect()] == brute(texts)
+
+
+def test_small_tables_are_not_counted(spark, docs):
+    """A join with few rows at most needs no query that counts them: the driver keeps each query for a while."""
+    rng, tracker = random.Random(13), spark.sparkContext.statusTracker()
+    texts = [f"{words(rng, 9)}\nPosted by {words(rng, 1)} in the news section of today" for _ in range(9)]
+    spark.sparkContext.setJobGroup("few-queries", "")
+    try:
+        out = [(r["text"], r["dropped_lines"]) for r in drop_recurring_lines(docs(*texts)).orderBy("doc_id").collect()]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(tracker.getJobIdsForGroup("few-queries"))
+    assert out == brute(texts) and jobs < 130, jobs

@@ -203,3 +203,17 @@ def test_tables_have_a_scope(spark, tmp_path):
         outer.drop(first)
         assert third.count() == 3 and [n.split("-")[0] for n in folder() if n not in before] == ["third"]
     assert folder() == before
+
+
+def test_many_tables_leave_no_garbage(spark):
+    from filegrove.operators import tables
+
+    def full() -> int:
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = full()
+    with tables.Scope():
+        for _ in range(2 * tables.COLLECT_AFTER):
+            tables.stored(spark.range(1), "one")
+    assert full() >= before + 2
